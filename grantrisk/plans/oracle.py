@@ -272,3 +272,166 @@ ORACLE["hist_proba_cumulative"] = R(W(
     "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END / sum(n) OVER (PARTITION BY label) AS cumulative FROM ("
     + _hist_sql("predictions", "probability", "label", 50, "classifier = 'rule7'") + ")"),
     "lo", "hi", "cumulative")
+
+# -- feature preparation ---------------------------------------------------------------
+_CAT = schemas.CATEGORICAL_FEATURES
+_NUMF = schemas.NUMERIC_FEATURES
+
+
+def _pairs(cols) -> str:
+    return " UNION ALL ".join(
+        f"SELECT CAST(NR_CONVENIO AS BIGINT) AS rid, '{c}' AS col, coalesce(CAST({c} AS VARCHAR), 'missing') AS value "
+        "FROM mi" for c in cols)
+
+
+def _codes_cte(cols, name="codes") -> str:
+    return (f"{name} AS (SELECT col, value, first_row, CAST(row_number() OVER (PARTITION BY col ORDER BY first_row, value) "
+            f"- 1 AS INTEGER) AS code FROM (SELECT col, value, min(rid) AS first_row FROM ({_pairs(cols)}) "
+            "GROUP BY col, value))")
+
+
+ORACLE["first_seen_codes"] = W('SELECT col AS "column", value, code, first_row FROM codes', _codes_cte(_CAT))
+_ORD = ["MODALIDADE", "SITUACAO_CONTA", "SITUACAO_PROJETO_BASICO"]
+ORACLE["ordinal_encode"] = W(
+    "SELECT mi.NR_CONVENIO, " + ", ".join(f"k{i}.code AS {c}_code" for i, c in enumerate(_ORD)) + " FROM mi "
+    + " ".join(f"LEFT JOIN codes k{i} ON k{i}.col = '{c}' AND k{i}.value = coalesce(mi.{c}, 'missing')"
+               for i, c in enumerate(_ORD)), _codes_cte(_ORD))
+
+# Distinct values of the three low-cardinality columns in the bound data.
+_ONEHOT_VALUES = {
+    "MODALIDADE": ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"],
+    "SITUACAO_CONTA": ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"],
+    "FAIXA_VALOR": ["convite", "dispensa", "tomada"],
+}
+ORACLE["onehot_wide"] = W("SELECT NR_CONVENIO, " + ", ".join(
+    f"CAST(CASE WHEN {c} = {_q(v)} THEN 1 ELSE 0 END AS INTEGER) AS \"{c}_{v}\""
+    for c, vs in _ONEHOT_VALUES.items() for v in vs) + " FROM mi")
+
+_IMP = ("imp AS (SELECT NR_CONVENIO, " + ", ".join(f"coalesce({c}, avg({c}) OVER ()) AS {c}" for c in _NUMF)
+        + " FROM mi)")
+_STATS = ("st AS (SELECT count(*) AS n, " + ", ".join(
+    f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}, max(abs({c})) AS a_{c}" for c in _NUMF) + " FROM imp)")
+
+
+def _std_scale(c: str) -> str:
+    eps = "2.220446049250313e-16"
+    return (f"(CASE WHEN s_{c} IS NULL OR isnan(s_{c}) OR s_{c} * s_{c} <= n * {eps} * (s_{c} * s_{c}) "
+            f"+ (n * m_{c} * {eps}) * (n * m_{c} * {eps}) THEN 1.0 ELSE s_{c} END)")
+
+
+ORACLE["impute_mean"] = R(W("SELECT * FROM imp", _IMP), *_NUMF)
+ORACLE["standardize"] = R(W("SELECT NR_CONVENIO, " + ", ".join(
+    f"({c} - m_{c}) / {_std_scale(c)} AS {c}" for c in _NUMF) + " FROM imp, st", _IMP, _STATS), *_NUMF)
+ORACLE["scale_only"] = R(W("SELECT NR_CONVENIO, " + ", ".join(
+    f"{c} / {_std_scale(c)} AS {c}" for c in _NUMF) + " FROM imp, st", _IMP, _STATS), *_NUMF)
+ORACLE["maxabs"] = R(W("SELECT NR_CONVENIO, " + ", ".join(
+    f"{c} / (CASE WHEN a_{c} IS NULL OR a_{c} = 0 THEN 1.0 ELSE a_{c} END) AS {c}" for c in _NUMF)
+    + " FROM imp, st", _IMP, _STATS), *_NUMF)
+
+# -- splits and rebalancing --------------------------------------------------------------
+
+
+def _mix(i: str, seed: int) -> str:
+    return f"(((({i}) * 48271 + {seed * 7919}) % 2147483647) * 16807 % 2147483647)"
+
+
+ORACLE["holdout_split"] = W(
+    "SELECT row_id, label, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY mx, row_id) "
+    "<= round(count(*) OVER (PARTITION BY label) * CAST(0.1 AS DOUBLE)) THEN 'test' ELSE 'train' END AS split "
+    f"FROM (SELECT *, {_mix('row_id', schemas.SEED)} AS mx FROM labelled)")
+ORACLE["stratified_folds"] = W(
+    "SELECT l.row_id, l.label, b.f AS fold FROM "
+    "(SELECT row_id, label, row_number() OVER (PARTITION BY label ORDER BY row_id) - 1 AS r FROM labelled) l "
+    "JOIN b ON l.label = b.label AND l.r >= b.lo AND l.r < b.hi",
+    "cls AS (SELECT label, count(*) AS n, min(row_id) AS first FROM labelled GROUP BY label)",
+    "ord AS (SELECT label, n, coalesce(sum(n) OVER (ORDER BY first, label ROWS BETWEEN UNBOUNDED PRECEDING "
+    "AND 1 PRECEDING), 0) AS start FROM cls)",
+    "alloc AS (SELECT label, CAST(f AS INTEGER) AS f, CAST(floor((start + n - 1 - f) / 10.0) - "
+    "floor((start - 1 - f) / 10.0) AS BIGINT) AS cnt FROM ord, range(10) t(f))",
+    "b AS (SELECT label, f, sum(cnt) OVER (PARTITION BY label ORDER BY f ROWS BETWEEN UNBOUNDED PRECEDING "
+    "AND CURRENT ROW) - cnt AS lo, sum(cnt) OVER (PARTITION BY label ORDER BY f ROWS BETWEEN UNBOUNDED "
+    "PRECEDING AND CURRENT ROW) AS hi FROM alloc)")
+ORACLE["class_weights"] = R(W(
+    "SELECT row_id, label, CAST(count(*) OVER () AS DOUBLE) / ((SELECT count(DISTINCT label) FROM labelled) "
+    "* count(*) OVER (PARTITION BY label)) AS weight FROM labelled"), "weight")
+ORACLE["class_weights_pos"] = W("SELECT row_id, label, CASE WHEN label = 1 THEN 20.0 ELSE 1.0 END AS weight "
+                                "FROM labelled")
+
+_SUMV = "list_reduce(list_prepend(0.0, {v}), lambda a, x: a + x)"
+_SQV = "list_reduce(list_prepend(0.0, list_transform({v}, lambda x: x * x)), lambda a, x: a + x)"
+_D2 = ("list_reduce(list_prepend(0.0, list_transform(list_zip({a}, {b}), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), "
+       "lambda s, x: s + x)")
+
+
+def _smote_ctes(src: str, ratio: float, p: str, seed: int = schemas.SEED, k: int = schemas.SMOTE_K) -> list[str]:
+    """CTEs ``{p}_out`` = rows of ``src`` (row_id, label, v) + synthetic rows."""
+    return [
+        f"{p}_cnt AS (SELECT count(*) FILTER (WHERE label = 1) AS n_min, count(*) FILTER (WHERE label <> 1) AS n_maj "
+        f"FROM {src})",
+        f"{p}_par AS (SELECT n_min, CAST(trunc(n_maj * CAST({ratio} AS DOUBLE) - n_min) AS BIGINT) AS n_new, "
+        f"least({k}, n_min - 1) AS kk FROM {p}_cnt)",
+        f"{p}_mino AS (SELECT row_id, v, row_number() OVER (ORDER BY row_id) - 1 AS rk FROM {src} WHERE label = 1)",
+        f"{p}_nn AS (SELECT base_id, nb_id, row_number() OVER (PARTITION BY base_id ORDER BY d2, nb_id) - 1 AS pos "
+        f"FROM (SELECT a.row_id AS base_id, b.row_id AS nb_id, {_D2.format(a='a.v', b='b.v')} AS d2 "
+        f"FROM {p}_mino a JOIN {p}_mino b ON a.row_id <> b.row_id))",
+        f"{p}_draw AS (SELECT j, {_mix('j', seed)} % (n_min * kk) AS idx, kk, "
+        f"CAST({_mix('j', seed + 1)} AS DOUBLE) / 2147483647.0 AS step "
+        f"FROM (SELECT unnest(range(n_new)) AS j, n_min, kk FROM {p}_par))",
+        f"{p}_syn AS (SELECT -(d.j + 1) AS row_id, 1 AS label, "
+        f"list_transform(list_zip(x.v, y.v), lambda q: q[1] + d.step * (q[2] - q[1])) AS v, "
+        f"x.row_id AS base_id, nn.nb_id AS neighbour_id, d.step AS step "
+        f"FROM {p}_draw d JOIN {p}_mino x ON x.rk = d.idx // d.kk "
+        f"JOIN {p}_nn nn ON nn.base_id = x.row_id AND nn.pos = d.idx % d.kk "
+        f"JOIN {p}_mino y ON y.row_id = nn.nb_id)",
+        f"{p}_out AS (SELECT row_id, label, v, false AS synthetic, CAST(NULL AS BIGINT) AS base_id, "
+        f"CAST(NULL AS BIGINT) AS neighbour_id, CAST(NULL AS DOUBLE) AS step FROM {src} UNION ALL "
+        f"SELECT CAST(row_id AS BIGINT), CAST(label AS INTEGER), v, true, base_id, neighbour_id, step FROM {p}_syn)",
+    ]
+
+
+def _nearmiss_ctes(src: str, ratio: float, p: str, k: int = schemas.NEARMISS_K) -> list[str]:
+    """CTE ``{p}_out`` = minority rows + kept majority rows with mean_dist."""
+    return [
+        f"{p}_cnt AS (SELECT count(*) FILTER (WHERE label = 1) AS n_min, count(*) FILTER (WHERE label <> 1) AS n_maj "
+        f"FROM {src})",
+        f"{p}_d AS (SELECT a.row_id, b.row_id AS mid, {_D2.format(a='a.v', b='b.v')} AS d2 "
+        f"FROM (SELECT * FROM {src} WHERE label <> 1) a JOIN (SELECT * FROM {src} WHERE label = 1) b ON true)",
+        f"{p}_md AS (SELECT row_id, list_reduce(list_prepend(0.0, list(sqrt(d2) ORDER BY d2, mid)), "
+        f"lambda s, x: s + x) / count(*) AS mean_dist FROM (SELECT *, row_number() OVER (PARTITION BY row_id "
+        f"ORDER BY d2, mid) AS r FROM {p}_d) WHERE r <= {k} GROUP BY row_id)",
+        f"{p}_keep AS (SELECT row_id, mean_dist FROM (SELECT *, row_number() OVER (ORDER BY mean_dist, row_id) AS r "
+        f"FROM {p}_md), {p}_cnt WHERE r <= CAST(trunc(n_min / CAST({ratio} AS DOUBLE)) AS BIGINT))",
+        f"{p}_out AS (SELECT s.*, CAST(NULL AS DOUBLE) AS mean_dist FROM {src} s WHERE label = 1 UNION ALL "
+        f"SELECT s.*, k.mean_dist FROM {src} s JOIN {p}_keep k ON s.row_id = k.row_id)",
+    ]
+
+
+_MAT = "mat AS (SELECT row_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM matrix)"
+_SUMMARY = (f"SELECT * EXCLUDE (v), {_SUMV.format(v='v')} AS x_sum, {_SQV.format(v='v')} AS x_norm2 FROM ")
+ORACLE["smote"] = R(W(_SUMMARY + "sm_out", _MAT, *_smote_ctes("mat", 0.2, "sm")), "step", "x_sum", "x_norm2")
+ORACLE["nearmiss"] = R(W(_SUMMARY + "nm_out", _MAT, *_nearmiss_ctes("mat", 0.2, "nm")),
+                       "mean_dist", "x_sum", "x_norm2")
+ORACLE["smote_nearmiss"] = R(W(_SUMMARY + "nm_out", _MAT, *_smote_ctes("mat", 0.5, "sm"),
+                               *_nearmiss_ctes("sm_out", 0.5, "nm")), "step", "mean_dist", "x_sum", "x_norm2")
+ORACLE["resample_plan"] = W("""
+SELECT method, ratio, CASE WHEN infeasible THEN NULL ELSE lab END AS label,
+       CAST(CASE WHEN infeasible THEN NULL WHEN lab = 0 THEN n0 ELSE n1 END AS BIGINT) AS n,
+       CASE WHEN infeasible THEN 'infeasible' END AS error
+FROM (
+  SELECT method, ratio, n0, n1, (n_new < 0 OR n0 > n_maj) AS infeasible
+  FROM (
+    SELECT m.method, r.ratio, c.n_maj,
+           CASE WHEN m.method = 'nearmiss' THEN 0 ELSE CAST(trunc(c.n_maj * r.ratio - c.n_min) AS BIGINT) END AS n_new,
+           CASE m.method WHEN 'smote' THEN c.n_maj
+                WHEN 'nearmiss' THEN CAST(trunc(c.n_min / r.ratio) AS BIGINT)
+                ELSE CAST(trunc((c.n_min + CAST(trunc(c.n_maj * r.ratio - c.n_min) AS BIGINT)) / r.ratio) AS BIGINT)
+           END AS n0,
+           CASE m.method WHEN 'nearmiss' THEN c.n_min
+                ELSE c.n_min + CAST(trunc(c.n_maj * r.ratio - c.n_min) AS BIGINT) END AS n1
+    FROM (SELECT count(*) FILTER (WHERE label = 1) AS n_min, count(*) FILTER (WHERE label <> 1) AS n_maj
+          FROM matrix) c,
+         (VALUES ('smote'), ('nearmiss'), ('smote_nearmiss')) m(method),
+         (VALUES (CAST(0.1 AS DOUBLE)), (CAST(0.2 AS DOUBLE)), (CAST(1.0 AS DOUBLE))) r(ratio)) x) y,
+  (VALUES (0), (1)) l(lab)
+WHERE NOT infeasible OR lab = 0
+""")

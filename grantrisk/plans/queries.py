@@ -353,3 +353,178 @@ def q_hist_proba(spark, sf):
     p = preds(spark, sf).filter(F.col("classifier") == "rule7")
     h = mx.class_histogram(p, "probability", "label", 50)
     return mx.cumulative_histogram(h, "label")
+
+
+# -- 2.9 feature preparation ---------------------------------------------------------
+
+from grantrisk.operators import balance as bal  # noqa: E402
+from grantrisk.operators import prepare as prep  # noqa: E402
+
+ONEHOT_COLUMNS = ["MODALIDADE", "SITUACAO_CONTA", "FAIXA_VALOR"]
+
+
+def model_input(spark, sf):
+    return etl.model_input(features(spark, sf)).withColumn("row_id", F.col("NR_CONVENIO").cast("bigint"))
+
+
+@query("first_seen_codes")
+def q_first_seen(spark, sf):
+    """First-seen ordinal codes of every categorical column."""
+    return prep.first_seen_codes(model_input(spark, sf), schemas.CATEGORICAL_FEATURES, "row_id")
+
+
+@query("ordinal_encode")
+def q_ordinal(spark, sf):
+    """G3 applied: category -> first-seen code for three columns."""
+    mi = model_input(spark, sf)
+    cols = ["MODALIDADE", "SITUACAO_CONTA", "SITUACAO_PROJETO_BASICO"]
+    codes = prep.first_seen_codes(mi, cols, "row_id")
+    return prep.apply_codes(mi.select("NR_CONVENIO", *cols), codes, cols).select(
+        "NR_CONVENIO", *[f"{c}_code" for c in cols])
+
+
+@query("onehot_wide")
+def q_onehot(spark, sf):
+    """G1: wide indicator columns for three low-cardinality columns."""
+    mi = model_input(spark, sf).select("NR_CONVENIO", *ONEHOT_COLUMNS)
+    return prep.onehot_wide(mi, ONEHOT_COLUMNS)
+
+
+def _numeric(spark, sf):
+    mi = model_input(spark, sf).select("NR_CONVENIO", *schemas.NUMERIC_FEATURES)
+    return mi, prep.fit_numeric(mi, schemas.NUMERIC_FEATURES)
+
+
+@query("impute_mean")
+def q_impute(spark, sf):
+    """Numeric gaps filled with the column mean."""
+    mi, st = _numeric(spark, sf)
+    return prep.impute_mean(mi, st)
+
+
+@query("standardize")
+def q_standardize(spark, sf):
+    """G4 + G6: mean-imputed, population-standardised numerics."""
+    mi, st = _numeric(spark, sf)
+    imp = prep.impute_mean(mi, st)
+    return prep.standardize(imp, prep.fit_numeric(imp, schemas.NUMERIC_FEATURES))
+
+
+@query("scale_only")
+def q_scale_only(spark, sf):
+    """G4 + G7: divided by the population deviation, not centred."""
+    mi, st = _numeric(spark, sf)
+    imp = prep.impute_mean(mi, st)
+    return prep.standardize(imp, prep.fit_numeric(imp, schemas.NUMERIC_FEATURES), with_mean=False)
+
+
+@query("maxabs")
+def q_maxabs(spark, sf):
+    """G4 + G8: divided by the maximum absolute value."""
+    mi, st = _numeric(spark, sf)
+    imp = prep.impute_mean(mi, st)
+    return prep.maxabs_scale(imp, prep.fit_numeric(imp, schemas.NUMERIC_FEATURES))
+
+
+def _assembled(spark, sf, kind):
+    mi = model_input(spark, sf)
+    num, cat = schemas.NUMERIC_FEATURES, schemas.CATEGORICAL_FEATURES
+    fit = prep.tree_pipeline if kind == "tree" else prep.linear_pipeline
+    model, _ = fit(mi, num, cat, "row_id")
+    return prep.transform(model, mi, cat)
+
+
+@query("tree_matrix")
+def q_tree_matrix(spark, sf):
+    """G9/G10 (tree): imputed numerics + ordinal codes assembled into vectors."""
+    m = _assembled(spark, sf, "tree")
+    return m.select("NR_CONVENIO", F.col("TARGET").alias("label"),
+                    F.size(prep_vector_to_array("features")).alias("width"),
+                    F.aggregate(prep_vector_to_array("features"), F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+@query("linear_matrix")
+def q_linear_matrix(spark, sf):
+    """G9/G10 (linear): standardised numerics + one-hot (sparse) vectors."""
+    m = _assembled(spark, sf, "linear")
+    arr = prep_vector_to_array("features")
+    return m.select("NR_CONVENIO", F.col("TARGET").alias("label"), F.size(arr).alias("width"),
+                    F.size(F.filter(arr, lambda x: x != 0)).alias("nonzero"))
+
+
+@query("feature_names")
+def q_feature_names(spark, sf):
+    """Feature index -> name of the linear matrix."""
+    m = _assembled(spark, sf, "linear")
+    names = prep.feature_names(m)
+    return spark.createDataFrame(names, "idx int, name string")
+
+
+def prep_vector_to_array(c):
+    from pyspark.ml.functions import vector_to_array
+    return vector_to_array(F.col(c))
+
+
+# -- 2.10 splits and rebalancing -------------------------------------------------------
+
+def labelled(spark, sf):
+    return _t(spark, sf, "labelled")
+
+
+def matrix(spark, sf):
+    return _t(spark, sf, "matrix")
+
+
+@query("holdout_split")
+def q_holdout(spark, sf):
+    """Stratified 90/10 hold-out (exact per-class counts)."""
+    return bal.holdout_split(labelled(spark, sf)).select("row_id", "label", "split")
+
+
+@query("stratified_folds")
+def q_folds(spark, sf):
+    """R2: unshuffled stratified 10-fold assignment."""
+    return bal.stratified_folds(labelled(spark, sf)).select("row_id", "label", "fold")
+
+
+@query("class_weights")
+def q_weights(spark, sf):
+    """Balanced class weights n / (2 n_c)."""
+    return bal.class_weights(labelled(spark, sf)).select("row_id", "label", "weight")
+
+
+@query("class_weights_pos")
+def q_weights_pos(spark, sf):
+    """Positive-class weight 20 (boosted-tree setting)."""
+    return bal.class_weights(labelled(spark, sf), mode="pos").select("row_id", "label", "weight")
+
+
+def _vec_summary(df, vec="embedding"):
+    return df.withColumns({
+        "x_sum": F.aggregate(F.col(vec), F.lit(0.0), lambda a, x: a + x),
+        "x_norm2": F.aggregate(F.col(vec), F.lit(0.0), lambda a, x: a + x * x),
+    }).drop(vec)
+
+
+@query("smote")
+def q_smote(spark, sf):
+    """SMOTE of the embedding matrix to minority/majority = 0.2."""
+    return _vec_summary(bal.smote(matrix(spark, sf), 0.2))
+
+
+@query("nearmiss")
+def q_nearmiss(spark, sf):
+    """NearMiss-1 of the embedding matrix to 0.2."""
+    return _vec_summary(bal.nearmiss(matrix(spark, sf), 0.2))
+
+
+@query("smote_nearmiss")
+def q_smote_nearmiss(spark, sf):
+    """SMOTE then NearMiss at 0.5."""
+    return _vec_summary(bal.smote_nearmiss(matrix(spark, sf), 0.5))
+
+
+@query("resample_plan")
+def q_plan(spark, sf):
+    """Class counts for every (resampler, ratio) of the 10:1, 5:1, 1:1 plan."""
+    return bal.resample_plan(matrix(spark, sf), schemas.RESAMPLE_RATIOS)
