@@ -528,3 +528,125 @@ def q_smote_nearmiss(spark, sf):
 def q_plan(spark, sf):
     """Class counts for every (resampler, ratio) of the 10:1, 5:1, 1:1 plan."""
     return bal.resample_plan(matrix(spark, sf), schemas.RESAMPLE_RATIOS)
+
+
+# -- 2.11 learning and search (rows-only checks) ----------------------------------------
+
+from grantrisk.operators import learn  # noqa: E402
+from grantrisk.plans import train  # noqa: E402
+
+_MATRIX_CACHE: dict = {}
+
+
+def _mats(spark, sf, variant="sem_municipio_orgao"):
+    key = (sf, variant)
+    if key not in _MATRIX_CACHE:
+        _MATRIX_CACHE[key] = train.build_matrices(features(spark, sf), variant)
+    return _MATRIX_CACHE[key]
+
+
+def _long(rows, variant):
+    return rows.select(F.lit(variant).alias("variant"), "classifier", "metric", "value")
+
+
+@query("gbt")
+def q_gbt(spark, sf):
+    """Boosted trees with the reference defaults, hold-out metrics."""
+    m = _mats(spark, sf)
+    _, _, rows = train.fit_eval("gbt", None, m)
+    return _long(rows, m.variant)
+
+
+@query("logit")
+def q_logit(spark, sf):
+    """M2: balanced elastic-net logistic regression, hold-out metrics."""
+    m = _mats(spark, sf)
+    _, _, rows = train.fit_eval("logit", None, m)
+    return _long(rows, m.variant)
+
+
+@query("mlp")
+def q_mlp(spark, sf):
+    """M3: one-hidden-layer perceptron, hold-out metrics."""
+    m = _mats(spark, sf)
+    _, _, rows = train.fit_eval("mlp", {"max_iter": 100}, m)
+    return _long(rows, m.variant)
+
+
+@query("predictions")
+def q_predictions(spark, sf):
+    """M4: hold-out predictions of the logistic model."""
+    m = _mats(spark, sf)
+    _, pred, _ = train.fit_eval("logit", None, m)
+    return pred
+
+
+def _train_folds(m, which="linear"):
+    data = (m.linear if which == "linear" else m.tree).filter(F.col("split") == "train")
+    return bal.stratified_folds(data, "label", "row_id")
+
+
+@query("fold_metrics")
+def q_fold_metrics(spark, sf):
+    """M6: six metrics per fold of a 10-fold logistic run."""
+    m = _mats(spark, sf)
+    df = _train_folds(m)
+    return learn.kfold_metrics(lambda tr: train.make_estimator("logit", None, tr), df, classifier="logit")
+
+
+@query("fold_summary")
+def q_fold_summary(spark, sf):
+    """Mean and sample deviation of the 10-fold metrics."""
+    return mx.fold_summary(q_fold_metrics(spark, sf))
+
+
+@query("cv_score")
+def q_cv(spark, sf):
+    """M5: mean 10-fold ROC area of the default logistic model."""
+    m = _mats(spark, sf)
+    s = learn.cv_score(lambda tr: train.make_estimator("logit", None, tr), _train_folds(m))
+    return spark.createDataFrame([("logit", "roc_auc", float(s))], "classifier string, metric string, value double")
+
+
+@query("grid_search")
+def q_grid(spark, sf):
+    """Boosted-tree grid (reduced: 2 depths x 2 sizes, 3 folds) -> trials."""
+    m = _mats(spark, sf)
+    df = bal.stratified_folds(m.tree.filter(F.col("split") == "train"), "label", "row_id", k=3)
+    grid = {"learning_rate": [0.1], "max_depth": [3, 5], "n_estimators": [10, 20]}
+    return learn.search(spark, lambda c, tr: learn.gbt(c), learn.grid_candidates(grid), df, k=3)
+
+
+@query("random_search")
+def q_random(spark, sf):
+    """Seeded random search of the logistic space (4 draws, 3 folds)."""
+    m = _mats(spark, sf)
+    df = bal.stratified_folds(m.linear.filter(F.col("split") == "train"), "label", "row_id", k=3)
+    cands = learn.draw_candidates(learn.LOGIT_SPACE, 4)
+    return learn.search(spark, lambda c, tr: train.make_estimator("logit", c, tr), cands, df,
+                        metric="average_precision", k=3)
+
+
+@query("best_refit")
+def q_best(spark, sf):
+    """Refit the best random-search candidate on the training part."""
+    m = _mats(spark, sf)
+    best = learn.best_candidate(q_random(spark, sf))
+    _, _, rows = train.fit_eval("logit", best, m)
+    return _long(rows, m.variant)
+
+
+@query("importances")
+def q_importances(spark, sf):
+    """Ten largest boosted-tree importances with feature names."""
+    m = _mats(spark, sf)
+    model, _, _ = train.fit_eval("gbt", {"n_estimators": 20}, m)
+    return learn.importances(model, m.tree_names)
+
+
+@query("experiment_matrix")
+def q_experiment(spark, sf):
+    """3 variants x 3 models (small settings) + one resampled phase."""
+    feats = features(spark, sf)
+    params = {"gbt": {"n_estimators": 20}, "mlp": {"hidden_layer_sizes": 10, "max_iter": 50}}
+    return train.experiment(feats, params=params, resample=[("smote", 0.2)])
