@@ -435,3 +435,9 @@ FROM (
   (VALUES (0), (1)) l(lab)
 WHERE NOT infeasible OR lab = 0
 """)
+
+# -- sources / sinks: a lossless round trip reproduces the source query -----------------
+ORACLE["csv_roundtrip"] = ORACLE["feature_table"]
+ORACLE["etl_from_files"] = ORACLE["feature_table"]
+ORACLE["stage_tables"] = ORACLE["feature_table"]
+ORACLE["stream_load"] = ORACLE["filter_status"]

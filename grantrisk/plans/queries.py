@@ -650,3 +650,103 @@ def q_experiment(spark, sf):
     feats = features(spark, sf)
     params = {"gbt": {"n_estimators": 20}, "mlp": {"hidden_layer_sizes": 10, "max_iter": 50}}
     return train.experiment(feats, params=params, resample=[("smote", 0.2)])
+
+
+# -- 2.1 sources and sinks -----------------------------------------------------------
+
+from grantrisk.session import scratch_path  # noqa: E402
+from grantrisk.sources import libsvm as svm  # noqa: E402
+from grantrisk.sources import tables as tbl  # noqa: E402
+from grantrisk.sources import text as txt  # noqa: E402
+from grantrisk.streaming.append_load import stream_extracts  # noqa: E402
+
+BOUND_SOURCES = ["convenio", "proposta", "emenda", "consorcios"]
+
+
+def _write_extracts(spark, sf) -> str:
+    folder = scratch_path(spark, "extracts")
+    for t in BOUND_SOURCES:
+        txt.export_csv(_t(spark, sf, t), txt.extract_path(folder, t))
+    return folder
+
+
+@query("csv_roundtrip")
+def q_csv_roundtrip(spark, sf):
+    """S10 + S1: feature table exported with decimal commas and read back typed."""
+    f = features(spark, sf)
+    path = scratch_path(spark, "features_csv")
+    txt.export_csv(f, path)
+    return txt.read_typed_csv(spark, path, f.schema)
+
+
+@query("etl_from_files")
+def q_etl_files(spark, sf):
+    """S1-S4 end to end: extracts written as ';' files, loaded by the registry, feature table."""
+    folder = _write_extracts(spark, sf)
+    t = txt.load_tables(spark, folder, BOUND_SOURCES)
+    return etl.feature_table(t["convenio"], t["proposta"], t["emenda"], t["consorcios"])
+
+
+@query("stream_load")
+def q_stream(spark, sf):
+    """S4/S5 as a file stream: agreements appended exactly once, final statuses kept."""
+    src = scratch_path(spark, "incoming")
+    txt.export_csv(_t(spark, sf, "convenio"), src)
+    dst, ck = scratch_path(spark, "convenio_tbl"), scratch_path(spark, "convenio_ck")
+    stream_extracts(spark, src, "convenio", dst, ck)
+    stream_extracts(spark, src, "convenio", dst, ck)  # re-run: nothing new, no duplicates
+    return spark.read.parquet(dst).select(*_t(spark, sf, "convenio").columns)
+
+
+@query("stage_tables")
+def q_stage(spark, sf):
+    """Staged tables written and re-read, feature table from the stages."""
+    root = scratch_path(spark, "stages")
+    s = tbl.stage(staged(spark, sf), tbl.save_named(staged(spark, sf), root, "staged", variant="all"))
+    back = tbl.read_table(spark, root + "/staged/variant=all")
+    del s
+    return etl.feature_maths(back)
+
+
+@query("separator_repair_file")
+def q_repair_file(spark, sf):
+    """S3: repair of a written text file into a new path; lines read back."""
+    src, dst = scratch_path(spark, "pages_txt"), scratch_path(spark, "pages_fixed")
+    _t(spark, sf, "pages").select(F.col("html").alias("value")).write.text(src)
+    txt.repair_file(spark, src, dst)
+    return spark.read.text(dst)
+
+
+@query("libsvm_roundtrip")
+def q_libsvm(spark, sf):
+    """Linear matrix written as libsvm and read back with fixed width."""
+    m = _mats(spark, sf)
+    path = scratch_path(spark, "svm")
+    svm.write_libsvm(m.linear, path)
+    n = learn.vector_width(m.linear)
+    back = svm.read_libsvm(spark, path, n)
+    return back.select("label", F.size(prep_vector_to_array("features")).alias("width"),
+                       F.aggregate(prep_vector_to_array("features"), F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+@query("libsvm_zero_based")
+def q_libsvm0(spark, sf):
+    """S12 zero_based: 0-based index files shifted and read by the libsvm source."""
+    m = _mats(spark, sf)
+    path = scratch_path(spark, "svm0")
+    svm.write_libsvm(m.tree, path, zero_based=True)
+    back = svm.read_libsvm(spark, path, learn.vector_width(m.tree), zero_based=True)
+    return back.select("label", F.aggregate(prep_vector_to_array("features"), F.lit(0.0),
+                                            lambda a, x: a + x).alias("total"))
+
+
+@query("model_roundtrip")
+def q_model(spark, sf):
+    """Fitted model saved, loaded and used for predictions."""
+    from pyspark.ml.classification import LogisticRegressionModel
+    m = _mats(spark, sf)
+    model, _, _ = train.fit_eval("logit", None, m)
+    path = scratch_path(spark, "model")
+    tbl.save_model(model, path)
+    back = tbl.load_model(path, LogisticRegressionModel)
+    return learn.predict(back, m.linear.filter(F.col("split") == "test"))
