@@ -42,23 +42,44 @@ def class_counts(df: DataFrame, label: str) -> dict[int, int]:
 
 # -- R1 -------------------------------------------------------------------------
 
+def holdout_counts(counts: dict, test_share: float) -> dict:
+    """Rows per class in the test part of a stratified split.
+
+    ``n_test = ceil(share x n)``; the training part gets ``floor(n_c x
+    n_train / n)`` rows per class plus one for the classes with the largest
+    remainders (ties: smaller label) until it holds ``n_train`` rows; the
+    test part takes the rest of each class.
+    """
+    n = sum(counts.values())
+    n_test = math.ceil(test_share * n)
+    n_train = n - n_test
+    cont = {c: v * n_train / n for c, v in counts.items()}
+    train = {c: math.floor(x) for c, x in cont.items()}
+    need = n_train - sum(train.values())
+    for c in sorted(cont, key=lambda c: (-(cont[c] - train[c]), c))[:need]:
+        train[c] += 1
+    return {c: counts[c] - train[c] for c in counts}
+
+
 def holdout_split(df: DataFrame, label: str = "label", row_id: str = "row_id",
                   test_share: float = schemas.HOLDOUT_SHARE, seed: int = schemas.SEED,
                   n_buckets: int = 64) -> DataFrame:
-    """Adds ``split`` = 'test' for round(share x n_class) rows per class.
+    """Adds ``split`` = 'test' / 'train' with exact per-class counts.
 
     Rows are ordered inside each class by ``mix(id, seed)`` then id; the
-    first ones form the test set, so shares are exact per class.
+    first :func:`holdout_counts` rows of each class form the test part.
     """
+    k = holdout_counts(class_counts(df, label), test_share)  # one entry per class
     d = df.withColumn("__mix", mix(row_id, seed))
     d = ranking.row_number_global(d, [F.col("__mix"), F.col(row_id)],
                                   ranking.uniform_bucket("__mix", n_buckets, _P), [label], out="__rn")
-    n = d.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
-    # one row per class: bounded
-    d = d.join(F.broadcast(n), on=[label])
-    is_test = F.col("__rn") <= F.round(F.col("__n") * F.lit(float(test_share)))
+    limit = None
+    for c, n_c in k.items():
+        cond = F.col(label).isNull() if c is None else (F.col(label) == F.lit(c))
+        limit = F.when(cond, F.lit(n_c)) if limit is None else limit.when(cond, F.lit(n_c))
+    is_test = F.col("__rn") <= limit
     return d.withColumn("split", F.when(is_test, F.lit("test")).otherwise(F.lit("train"))) \
-        .drop("__mix", "__rn", "__n")
+        .drop("__mix", "__rn")
 
 
 # -- R2 -------------------------------------------------------------------------

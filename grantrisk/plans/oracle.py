@@ -92,7 +92,7 @@ def R(sql: str, *cols: str) -> str:
     """Round the named double columns to 6 places."""
     if not cols:
         return sql
-    rep = ", ".join(f"round({c}, 6) AS {c}" for c in cols)
+    rep = ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in cols)  # + 0.0 turns -0.0 into 0.0
     return f"SELECT * REPLACE ({rep}) FROM ({sql}) _r"
 
 
@@ -336,9 +336,15 @@ def _mix(i: str, seed: int) -> str:
 
 
 ORACLE["holdout_split"] = W(
-    "SELECT row_id, label, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY mx, row_id) "
-    "<= round(count(*) OVER (PARTITION BY label) * CAST(0.1 AS DOUBLE)) THEN 'test' ELSE 'train' END AS split "
-    f"FROM (SELECT *, {_mix('row_id', schemas.SEED)} AS mx FROM labelled)")
+    "SELECT l.row_id, l.label, CASE WHEN l.rn <= k.n_test THEN 'test' ELSE 'train' END AS split FROM "
+    f"(SELECT row_id, label, row_number() OVER (PARTITION BY label ORDER BY {_mix('row_id', schemas.SEED)}, row_id) "
+    "AS rn FROM labelled) l JOIN k ON l.label = k.label",
+    "cc AS (SELECT label, count(*) AS n_c FROM labelled GROUP BY label)",
+    "tot AS (SELECT sum(n_c) AS n, sum(n_c) - CAST(ceil(CAST(0.1 AS DOUBLE) * sum(n_c)) AS BIGINT) AS n_train FROM cc)",
+    "fl AS (SELECT label, n_c, CAST(n_c AS DOUBLE) * n_train / n AS cont, floor(CAST(n_c AS DOUBLE) * n_train / n) AS f, "
+    "n_train FROM cc, tot)",
+    "k AS (SELECT label, n_c - (f + CASE WHEN row_number() OVER (ORDER BY cont - f DESC, label) "
+    "<= n_train - sum(f) OVER () THEN 1 ELSE 0 END) AS n_test FROM fl)")
 ORACLE["stratified_folds"] = W(
     "SELECT l.row_id, l.label, b.f AS fold FROM "
     "(SELECT row_id, label, row_number() OVER (PARTITION BY label ORDER BY row_id) - 1 AS r FROM labelled) l "

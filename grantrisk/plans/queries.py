@@ -33,7 +33,8 @@ def query(name: str):
 
 
 def round6(df: DataFrame) -> DataFrame:
-    cols = [F.round(F.col(f.name), 6).alias(f.name)
+    # "+ 0.0" turns a rounded -0.0 into 0.0 so both engines print the same zero
+    cols = [(F.round(F.col(f.name), 6) + F.lit(0.0)).alias(f.name)
             if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
             for f in df.schema.fields]
     return df.select(*cols)
