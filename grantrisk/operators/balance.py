@@ -11,8 +11,9 @@ running counts (:mod:`grantrisk.operators.ranking`) instead of a window
 partitioned only by the label, which would put each class in one task.
 
 Neighbour search (R3/R4) is exact: the reference (minority) side is packed
-into arrays of a *checked* size and broadcast; each query row computes its
-distances JVM-side with higher-order functions and keeps its k best.  When
+into arrays of a *checked* size, evaluated once as a scalar subquery; each
+query row computes its distances JVM-side with higher-order functions and
+keeps its k best.  When
 the minority side exceeds one broadcast chunk it is split into chunks, each
 chunk yields k candidates per query, and a final per-query merge keeps the
 global k best — exact, no cross join, no unbounded broadcast.
@@ -171,10 +172,11 @@ def knn(queries: DataFrame, refs: DataFrame, k: int, row_id: str = "row_id", vec
     q = queries.select(F.col(row_id).alias("__qid"), _as_double(vec).alias("__qvec"))
     parts = []
     for c in range(n_chunks):
-        # One row holding at most `chunk_rows` vectors (size checked above).
+        # One value holding at most `chunk_rows` vectors (size checked above),
+        # evaluated once as a scalar subquery and shipped with the tasks.
         packed = r.filter(F.col("__chunk") == c).agg(
-            F.collect_list(F.struct("__rid", "__rvec")).alias("__refs")).withColumn("__one", F.lit(1))
-        cand = q.withColumn("__one", F.lit(1)).join(F.broadcast(packed), "__one")
+            F.collect_list(F.struct("__rid", "__rvec")).alias("__refs"))
+        cand = q.withColumn("__refs", packed.select("__refs").scalar())
         dists = F.transform("__refs", lambda e: F.struct(_sqdist(F.col("__qvec"), e["__rvec"]).alias("d2"),
                                                          e["__rid"].alias("id")))
         if exclude_self:

@@ -207,10 +207,14 @@ def top_groups(report: DataFrame, group: str, n: int, by: str = "total") -> Data
 
 
 def distinct_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """A5: (column, value) for every distinct value of each column."""
-    parts = [df.select(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")).distinct()
-             for c in cols]
-    return reduce(DataFrame.unionByName, parts)
+    """A5: (column, value) for every distinct value of each column.
+
+    All columns are stacked and de-duplicated in one aggregation (one
+    shuffle, partial aggregation per task) rather than one per column.
+    """
+    stack = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
+                                for c in cols]))
+    return df.select(stack.alias("__p")).select("__p.column", "__p.value").distinct()
 
 
 def first_seen(df: DataFrame, col: str, row_id: str) -> DataFrame:

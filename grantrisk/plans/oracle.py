@@ -447,3 +447,31 @@ ORACLE["csv_roundtrip"] = ORACLE["feature_table"]
 ORACLE["etl_from_files"] = ORACLE["feature_table"]
 ORACLE["stage_tables"] = ORACLE["feature_table"]
 ORACLE["stream_load"] = ORACLE["filter_status"]
+
+
+# -- assembled matrices: imputed numerics then first-seen codes, summed in vector order --
+def _tree_total(src: str, cats: list[str], label_expr: str, key: str, extra_cols: str = "") -> str:
+    num_terms = [f"coalesce({c}, avg({c}) OVER ())" for c in _NUMF]
+    code_terms = [f"k{i}.code" for i in range(len(cats))]
+    total = "0.0"
+    for t in num_terms + code_terms:
+        total = f"({total} + {t})"
+    joins = " ".join(f"LEFT JOIN codes k{i} ON k{i}.col = '{c}' AND k{i}.value = coalesce(CAST(s.{c} AS VARCHAR), "
+                     "'missing')" for i, c in enumerate(cats))
+    pairs = " UNION ALL ".join(
+        f"SELECT rid, '{c}' AS col, coalesce(CAST({c} AS VARCHAR), 'missing') AS value FROM {src}" for c in cats)
+    codes = (f"codes AS (SELECT col, value, CAST(row_number() OVER (PARTITION BY col ORDER BY first_row, value) - 1 "
+             f"AS INTEGER) AS code FROM (SELECT col, value, min(rid) AS first_row FROM ({pairs}) GROUP BY col, value))")
+    body = (f"SELECT {key}{extra_cols}, {label_expr}, {total.replace('coalesce(', 'coalesce(s.').replace('avg(', 'avg(s.')} "
+            f"AS total FROM {src} s {joins}")
+    return codes, body
+
+
+_TM_CODES, _TM_BODY = _tree_total("mi2", _CAT, "TARGET AS label", "NR_CONVENIO", ", 19 AS width")
+ORACLE["tree_matrix"] = R(W(_TM_BODY.replace(", 19 AS width", ", CAST(19 AS INTEGER) AS width"),
+                            "mi2 AS (SELECT *, CAST(NR_CONVENIO AS BIGINT) AS rid FROM mi)", _TM_CODES), "total")
+_VAR_CAT = [c for c in _CAT if c not in schemas.VARIANT_DROPS["sem_municipio_orgao"]]
+_SV_CODES, _SV_BODY = _tree_total("mi3", _VAR_CAT, "CAST(TARGET AS DOUBLE) AS label", "rid")
+ORACLE["libsvm_zero_based"] = R(W("SELECT label, total FROM (" + _SV_BODY + ")",
+                                  "mi3 AS (SELECT *, CAST(NR_CONVENIO AS BIGINT) AS rid FROM mi "
+                                  "WHERE TARGET IS NOT NULL)", _SV_CODES), "total")
