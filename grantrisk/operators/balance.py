@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from grantrisk import schemas
 from grantrisk.functions.scalar import mix, uniform01
 from grantrisk.operators import ranking
+from grantrisk.session import cut_lineage
 
 _P = 2147483647
 # Largest packed reference chunk broadcast to every task (bytes, estimated).
@@ -232,7 +233,7 @@ def smote(df: DataFrame, ratio: float, label: str = "label", row_id: str = "row_
         raise ValueError("SMOTE needs at least two minority rows")
     mino = df.filter(F.col(label) == minority).select(row_id, vec)
     ranked = ranking.row_number_global(mino, [F.col(row_id)], _id_bucket(mino, row_id, 64), out="__rank")
-    nn = knn(mino, mino, kk, row_id, vec, exclude_self=True)
+    nn = cut_lineage(knn(mino, mino, kk, row_id, vec, exclude_self=True))
     info = ranked.join(nn, on=[row_id]).select(
         (F.col("__rank") - 1).alias("__b"), F.col(row_id).alias("base_id"),
         _as_double(vec).alias("__x"), F.col("nn"))
@@ -280,6 +281,9 @@ def nearmiss(df: DataFrame, ratio: float, label: str = "label", row_id: str = "r
     nn = knn(majo, mino, k, row_id, vec)
     md = nn.select(row_id, (F.aggregate(F.transform("nn", lambda e: F.sqrt(e["d2"])), F.lit(0.0),
                                         lambda a, x: a + x) / F.size("nn")).alias("mean_dist"))
+    # The neighbour search runs once: quantiles, ranking and the final
+    # selection all read the checkpointed distances.
+    md = cut_lineage(md)
     md = ranking.quantile_bucket(md, "mean_dist", n_buckets)
     md = ranking.row_number_global(md, [F.col("mean_dist"), F.col(row_id)], "__bucket", out="__rn")
     keep = md.filter(F.col("__rn") <= n_keep).select(row_id, "mean_dist")
@@ -292,7 +296,7 @@ def nearmiss(df: DataFrame, ratio: float, label: str = "label", row_id: str = "r
 
 def smote_nearmiss(df: DataFrame, ratio: float, **kw) -> DataFrame:
     """SMOTE then NearMiss, both at ``ratio``."""
-    s = smote(df, ratio, **kw)
+    s = cut_lineage(smote(df, ratio, **kw))  # NearMiss reads it several times
     nm_kw = {k_: v for k_, v in kw.items() if k_ in ("label", "row_id", "vec", "minority")}
     return nearmiss(s.drop("mean_dist") if "mean_dist" in s.columns else s, ratio, **nm_kw)
 

@@ -203,12 +203,12 @@ def indexers(labels: dict[str, list[str]], handle_invalid: str = "error") -> lis
 
 
 def tree_pipeline(df: DataFrame, num: Sequence[str], cat: Sequence[str], row_id: str,
-                  out: str = "features") -> tuple[PipelineModel, DataFrame]:
+                  out: str = "features", codes: DataFrame | None = None) -> tuple[PipelineModel, DataFrame]:
     """G9 (tree): mean-impute numerics, first-seen ordinal codes, assemble.
 
     Returns the fitted pipeline and the category-code table.
     """
-    codes = first_seen_codes(df, cat, row_id)
+    codes = codes if codes is not None else first_seen_codes(df, cat, row_id)
     labels = category_labels(codes, cat)
     stages = [Imputer(strategy="mean", inputCols=list(num), outputCols=[f"{c}_imp" for c in num]),
               *indexers(labels),
@@ -232,10 +232,10 @@ class LinearPrep:
 
 
 def linear_pipeline(df: DataFrame, num: Sequence[str], cat: Sequence[str], row_id: str,
-                    out: str = "features") -> tuple[LinearPrep, DataFrame]:
+                    out: str = "features", codes: DataFrame | None = None) -> tuple[LinearPrep, DataFrame]:
     """G9 (linear): mean-impute + population-standardise numerics, one-hot
     categoricals in first-seen order (sparse; unknown category is an error)."""
-    codes = first_seen_codes(df, cat, row_id)
+    codes = codes if codes is not None else first_seen_codes(df, cat, row_id)
     labels = category_labels(codes, cat)
     st = fit_numeric(df, num)
     imp = impute_mean(df, st)

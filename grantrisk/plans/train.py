@@ -49,13 +49,14 @@ def build_matrices(features: DataFrame, variant: str, checkpoint: bool = True,
     num = [c for c in schemas.NUMERIC_FEATURES if c in mi.columns]
     cat = [c for c in schemas.CATEGORICAL_FEATURES if c in mi.columns]
     split = bal.holdout_split(mi.select(ROW_ID, LABEL)).select(ROW_ID, "split")
-    mi = mi.join(split, on=ROW_ID)
-    tree_model, _ = prep.tree_pipeline(mi, num, cat, ROW_ID)
+    mi = cut_lineage(mi.join(split, on=ROW_ID))
+    codes = cut_lineage(prep.first_seen_codes(mi, cat, ROW_ID))  # one code table for both matrices
+    tree_model, _ = prep.tree_pipeline(mi, num, cat, ROW_ID, codes=codes)
     tree = learn.strip_nominal(prep.transform(tree_model, mi, cat))
     tree_names = prep.feature_names(prep.transform(tree_model, mi.limit(1), cat))
     tree = bal.class_weights(tree.select(ROW_ID, LABEL, "features", "split"), LABEL, mode="pos",
                              pos_weight=pos_weight)
-    lin_model, _ = prep.linear_pipeline(mi, num, cat, ROW_ID)
+    lin_model, _ = prep.linear_pipeline(mi, num, cat, ROW_ID, codes=codes)
     lin_full = prep.transform(lin_model, mi, cat)
     lin_names = prep.feature_names(lin_full)
     lin = bal.class_weights(lin_full.select(ROW_ID, LABEL, "features", "split"), LABEL, mode="balanced")
