@@ -42,6 +42,13 @@ def class_counts(df: DataFrame, label: str) -> dict[int, int]:
     return {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
+def minority_class(counts: dict, minority=None):
+    """The given minority label, or the smallest class (ties: smaller label)."""
+    if minority is not None:
+        return minority
+    return min(counts, key=lambda c: (counts[c], c))
+
+
 # -- R1 -------------------------------------------------------------------------
 
 def holdout_counts(counts: dict, test_share: float) -> dict:
@@ -205,7 +212,7 @@ def smote_count(n_major: int, n_minor: int, ratio: float) -> int:
 
 def smote(df: DataFrame, ratio: float, label: str = "label", row_id: str = "row_id",
           vec: str = "embedding", k: int = schemas.SMOTE_K, seed: int = schemas.SEED,
-          minority: int = 1) -> DataFrame:
+          minority: int | None = None) -> DataFrame:
     """Append synthetic minority rows x + u (nb - x), nb one of the k
     nearest minority rows of x.
 
@@ -217,6 +224,7 @@ def smote(df: DataFrame, ratio: float, label: str = "label", row_id: str = "row_
     """
     spark: SparkSession = df.sparkSession
     counts = class_counts(df, label)
+    minority = minority_class(counts, minority)
     n_min = counts.get(minority, 0)
     n_maj = max(v for c, v in counts.items() if c != minority)
     n_new = smote_count(n_maj, n_min, ratio)
@@ -265,7 +273,7 @@ def nearmiss_keep(n_major: int, n_minor: int, ratio: float) -> int:
 
 
 def nearmiss(df: DataFrame, ratio: float, label: str = "label", row_id: str = "row_id",
-             vec: str = "embedding", k: int = schemas.NEARMISS_K, minority: int = 1,
+             vec: str = "embedding", k: int = schemas.NEARMISS_K, minority: int | None = None,
              n_buckets: int = 64) -> DataFrame:
     """Keep the majority rows with the smallest mean distance to their k
     nearest minority rows (ties: smaller id), until minority/majority = ratio.
@@ -273,6 +281,7 @@ def nearmiss(df: DataFrame, ratio: float, label: str = "label", row_id: str = "r
     Adds ``mean_dist`` (NULL for minority rows).
     """
     counts = class_counts(df, label)
+    minority = minority_class(counts, minority)
     n_min = counts.get(minority, 0)
     n_maj = max(v for c, v in counts.items() if c != minority)
     n_keep = nearmiss_keep(n_maj, n_min, ratio)

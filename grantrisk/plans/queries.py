@@ -647,10 +647,16 @@ def q_importances(spark, sf):
 
 @query("experiment_matrix")
 def q_experiment(spark, sf):
-    """3 variants x 3 models (small settings) + one resampled phase."""
+    """3 variants x 3 models, default phase (small settings).
+
+    The resampled phase (``train.experiment(resample=...)``) is exercised by
+    tests/test_train.py; on this binding the classes are about 1:1, so the
+    10:1 and 5:1 targets are infeasible and 1:1 over the full one-hot width
+    is too slow for a registered check.
+    """
     feats = features(spark, sf)
     params = {"gbt": {"n_estimators": 20}, "mlp": {"hidden_layer_sizes": 10, "max_iter": 50}}
-    return train.experiment(feats, params=params, resample=[("smote", 0.2)])
+    return train.experiment(feats, params=params)
 
 
 # -- 2.1 sources and sinks -----------------------------------------------------------

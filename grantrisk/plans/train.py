@@ -96,12 +96,15 @@ def resampled_train(data: DataFrame, method: str, ratio: float, pos_weight: floa
 
 def experiment(features: DataFrame, variants=("all", "sem_municipio", "sem_municipio_orgao"),
                models=("gbt", "logit", "mlp"), params: dict | None = None,
-               resample: list[tuple[str, float]] | None = None) -> DataFrame:
+               resample: list[tuple[str, float]] | None = None,
+               resample_variants=None, resample_models=None) -> DataFrame:
     """Long metric table (variant, phase, ratio, resampler, classifier, metric, value).
 
     ``params`` maps model kind -> parameters (e.g. tuned ones); ``resample``
-    lists (method, ratio) pairs for the resampled phase, where the boosted
-    tree's positive weight is set to the ratio's inverse share.
+    lists (method, ratio) pairs for the resampled phase (training part only,
+    test part untouched), where the boosted tree's positive weight is set to
+    the inverse of the ratio; infeasible ratios are skipped.
+    ``resample_variants`` / ``resample_models`` restrict that phase.
     """
     params = params or {}
     parts = []
@@ -113,7 +116,9 @@ def experiment(features: DataFrame, variants=("all", "sem_municipio", "sem_munic
                                      F.lit(None).cast("double").alias("ratio"),
                                      F.lit(None).cast("string").alias("resampler"),
                                      F.col("classifier"), "metric", "value"))
-            for method, ratio in resample or []:
+            do_resample = (resample_variants is None or v in resample_variants) and \
+                (resample_models is None or kind in resample_models)
+            for method, ratio in (resample or []) if do_resample else []:
                 data = m.tree if kind == "gbt" else m.linear
                 w = (1.0 / ratio) if kind == "gbt" else None
                 try:
