@@ -118,18 +118,19 @@ def stratified_folds(df: DataFrame, label: str = "label", row_id: str = "row_id"
             lo += cnt
         start += n_c
     btab = spark.createDataFrame(bounds, f"{label} {dict(df.dtypes)[label]}, {out} int, lo long, hi long")
-    d = ranking.row_number_global(df, [F.col(row_id)], _id_bucket(df, row_id, n_buckets), [label], out="__rn")
+    d = _rank_by_id(df, row_id, [label], "__rn", n_buckets)
     d = d.withColumn("__r", F.col("__rn") - 1)
     # classes x k rows: bounded; equi-join on the class plus a range test
     j = d.join(F.broadcast(btab), (d[label] == btab[label]) & (d["__r"] >= btab["lo"]) & (d["__r"] < btab["hi"]))
     return j.select(*[d[c] for c in df.columns], btab[out])
 
 
-def _id_bucket(df: DataFrame, row_id: str, n_buckets: int) -> Column:
-    st = df.agg(F.min(row_id).alias("lo"), F.max(row_id).alias("hi")).first()
-    lo, hi = st["lo"] or 0, st["hi"] or 0
-    span = float(hi - lo + 1) if hi >= lo else 1.0
-    return ranking.uniform_bucket(F.col(row_id) - F.lit(lo), n_buckets, span)
+def _rank_by_id(df: DataFrame, row_id: str, partition_by: Sequence[str] = (), out: str = "__rn",
+                n_buckets: int = 64) -> DataFrame:
+    """1-based rank by ``row_id`` (per partition) with equi-depth id buckets,
+    so clustered ids never concentrate in one window task."""
+    d = ranking.quantile_bucket(df, row_id, n_buckets)
+    return ranking.row_number_global(d, [F.col(row_id)], "__bucket", partition_by, out=out).drop("__bucket")
 
 
 # -- R7 -------------------------------------------------------------------------
@@ -173,7 +174,7 @@ def knn(queries: DataFrame, refs: DataFrame, k: int, row_id: str = "row_id", vec
     n_chunks = max(1, math.ceil(n_ref / chunk_rows))
     r = refs.select(F.col(row_id).alias("__rid"), _as_double(vec).alias("__rvec"))
     if n_chunks > 1:
-        r = ranking.row_number_global(r, [F.col("__rid")], _id_bucket(r, "__rid", 64), out="__rn")
+        r = _rank_by_id(r, "__rid", out="__rn")
         r = r.withColumn("__chunk", ((F.col("__rn") - 1) / F.lit(chunk_rows)).cast("int")).drop("__rn")
     else:
         r = r.withColumn("__chunk", F.lit(0))
@@ -240,7 +241,7 @@ def smote(df: DataFrame, ratio: float, label: str = "label", row_id: str = "row_
     if kk < 1:
         raise ValueError("SMOTE needs at least two minority rows")
     mino = df.filter(F.col(label) == minority).select(row_id, vec)
-    ranked = ranking.row_number_global(mino, [F.col(row_id)], _id_bucket(mino, row_id, 64), out="__rank")
+    ranked = _rank_by_id(mino, row_id, out="__rank")
     nn = cut_lineage(knn(mino, mino, kk, row_id, vec, exclude_self=True))
     info = ranked.join(nn, on=[row_id]).select(
         (F.col("__rank") - 1).alias("__b"), F.col(row_id).alias("base_id"),

@@ -475,3 +475,43 @@ _SV_CODES, _SV_BODY = _tree_total("mi3", _VAR_CAT, "CAST(TARGET AS DOUBLE) AS la
 ORACLE["libsvm_zero_based"] = R(W("SELECT label, total FROM (" + _SV_BODY + ")",
                                   "mi3 AS (SELECT *, CAST(NR_CONVENIO AS BIGINT) AS rid FROM mi "
                                   "WHERE TARGET IS NOT NULL)", _SV_CODES), "total")
+
+
+# -- remaining inventory rows -------------------------------------------------------------
+ORACLE["column_roles"] = "SELECT * FROM (VALUES " + ", ".join(
+    [f"('{c}', 'numeric', {i})" for i, c in enumerate(_NUMF)]
+    + [f"('{c}', 'categorical', {len(_NUMF) + i})" for i, c in enumerate(_CAT)]) + ") t(\"column\", role, position)"
+ORACLE["shuffle_order"] = W(
+    f"SELECT row_id, row_number() OVER (ORDER BY {_mix('row_id', schemas.SEED)}, row_id) AS position "
+    "FROM (SELECT CAST(NR_CONVENIO AS BIGINT) AS row_id FROM feat)")
+ORACLE["metric_report"] = W(
+    "SELECT s.classifier, printf('%.3f', s.accuracy) AS \"ACU\", printf('%.3f', s.recall) AS \"SEN\", "
+    "printf('%.3f', s.specificity) AS \"ESP\", printf('%.3f', s.precision) AS \"PRE\", "
+    "printf('%.3f', s.f_measure) AS \"F-measure\", printf('%.3f', a.roc_auc) AS \"AUC\" "
+    "FROM (" + _SCORES_F + ") s LEFT JOIN (" + _AUC + ") a ON s.classifier = a.classifier", _GROUPED)
+
+_FOLDS = """
+cls AS (SELECT classifier, label, count(*) AS n, min(row_id) AS first FROM predictions GROUP BY classifier, label),
+ord AS (SELECT classifier, label, n, coalesce(sum(n) OVER (PARTITION BY classifier ORDER BY first, label
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM cls),
+alloc AS (SELECT classifier, label, CAST(f AS INTEGER) AS f, CAST(floor((start + n - 1 - f) / 10.0)
+          - floor((start - 1 - f) / 10.0) AS BIGINT) AS cnt FROM ord, range(10) t(f)),
+b AS (SELECT classifier, label, f, sum(cnt) OVER (PARTITION BY classifier, label ORDER BY f ROWS BETWEEN
+      UNBOUNDED PRECEDING AND CURRENT ROW) - cnt AS lo, sum(cnt) OVER (PARTITION BY classifier, label ORDER BY f
+      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi FROM alloc),
+pf AS (SELECT p.*, b.f AS fold FROM (SELECT *, row_number() OVER (PARTITION BY classifier, label ORDER BY row_id) - 1
+       AS r FROM predictions) p JOIN b ON p.classifier = b.classifier AND p.label = b.label AND p.r >= b.lo
+       AND p.r < b.hi),
+fc AS (SELECT classifier, fold, count(*) FILTER (WHERE label = 0 AND prediction = 0) AS tn,
+       count(*) FILTER (WHERE label = 0 AND prediction = 1) AS fp, count(*) FILTER (WHERE label = 1 AND prediction = 0) AS fn,
+       count(*) FILTER (WHERE label = 1 AND prediction = 1) AS tp FROM pf GROUP BY classifier, fold),
+fs AS (SELECT classifier, fold, CAST(tp + tn AS DOUBLE) / NULLIF(tp + tn + fp + fn, 0) AS accuracy,
+       CAST(tp AS DOUBLE) / NULLIF(tp + fp, 0) AS precision, CAST(tp AS DOUBLE) / NULLIF(tp + fn, 0) AS recall,
+       CAST(tn AS DOUBLE) / NULLIF(tn + fp, 0) AS specificity FROM fc),
+fl AS (SELECT classifier, fold, metric, value FROM (
+       SELECT *, 2.0 * precision * recall / NULLIF(precision + recall, 0) AS f_measure FROM fs)
+       UNPIVOT (value FOR metric IN (accuracy, precision, recall, specificity, f_measure)))
+"""
+ORACLE["fold_summary_scores"] = R(W(
+    "SELECT classifier, metric, avg(value) AS mean, stddev_samp(value) AS stdev FROM fl GROUP BY classifier, metric",
+    _FOLDS), "mean", "stdev")

@@ -757,3 +757,53 @@ def q_model(spark, sf):
     tbl.save_model(model, path)
     back = tbl.load_model(path, LogisticRegressionModel)
     return learn.predict(back, m.linear.filter(F.col("split") == "test"))
+
+
+# -- remaining inventory rows with exact oracles ----------------------------------------
+
+from grantrisk.functions.scalar import mix as _mix_col  # noqa: E402
+from grantrisk.operators import ranking as _rk  # noqa: E402
+
+
+@query("column_roles")
+def q_roles(spark, sf):
+    """Numeric / categorical role and position of every model-input column."""
+    mi = etl.model_input(features(spark, sf)).drop("NR_CONVENIO", "TARGET")
+    num, cat = rel.column_roles(mi)
+    rows = [(c, "numeric", i) for i, c in enumerate(num)] + [(c, "categorical", len(num) + i)
+                                                              for i, c in enumerate(cat)]
+    return spark.createDataFrame(rows, "column string, role string, position int")
+
+
+@query("shuffle_order")
+def q_shuffle(spark, sf):
+    """Reproducible shuffled order of the agreements (rank of mix(id, seed))."""
+    f = features(spark, sf).select(F.col("NR_CONVENIO").cast("bigint").alias("row_id"))
+    f = f.withColumn("__mix", _mix_col("row_id", schemas.SEED))
+    out = _rk.row_number_global(f, [F.col("__mix"), F.col("row_id")],
+                                _rk.uniform_bucket("__mix", 64, 2147483647), out="position")
+    return out.select("row_id", "position")
+
+
+@query("metric_report")
+def q_metric_report(spark, sf):
+    """E6 + F9: the metric table rendered with three decimals."""
+    p = mx.metric_pivot(mx.metric_long(preds(spark, sf)))
+    return p.select("classifier", *[fx.fmt3(F.col(f"`{m}`")).alias(m) for m in mx.METRIC_NAMES])
+
+
+@query("fold_summary_scores")
+def q_fold_scores(spark, sf):
+    """M6 metric part + A6: hard-label scores per stratified fold of each score
+    rule, then mean and sample deviation over the 10 folds."""
+    p = preds(spark, sf)
+    parts = []
+    for rule in ["rule7", "rule13", "rule_month"]:
+        parts.append(bal.stratified_folds(p.filter(F.col("classifier") == rule), "label", "row_id"))
+    folded = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    hs = mx.hard_scores(folded, group=["classifier", "fold"])
+    names = ["accuracy", "precision", "recall", "specificity", "f_measure"]
+    long = hs.select("classifier", "fold", F.explode(F.array(*[
+        F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in names])).alias("m")) \
+        .select("classifier", "fold", "m.metric", "m.value")
+    return mx.fold_summary(long)
