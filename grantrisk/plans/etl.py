@@ -90,3 +90,32 @@ def model_input(features: DataFrame) -> DataFrame:
     df = df.withColumns(num)
     keep = ["NR_CONVENIO", "TARGET"] + schemas.NUMERIC_FEATURES + schemas.CATEGORICAL_FEATURES
     return df.select(*keep)
+
+
+def stage_sources_bucketed(tables: dict[str, DataFrame], root: str, n_buckets: int,
+                           prefix: str = "stage") -> dict[str, DataFrame]:
+    """Stage the four loaded sources bucketed by the proposal id.
+
+    Every join and grouping of :func:`feature_table` is on that key, so the
+    feature build then runs without any shuffle of the staged inputs.
+    """
+    from grantrisk.sources.tables import write_bucketed
+    return {t: write_bucketed(df, f"{prefix}_{t}", KEY, n_buckets, f"{root.rstrip('/')}/{t}")
+            for t, df in tables.items()}
+
+
+def run_etl(spark, extracts: str, out: str, export_csv: str | None = None,
+            bucket_root: str | None = None, n_buckets: int = 0, compat: bool = False) -> DataFrame:
+    """Extract folder -> typed sources -> (optional bucketed stage) -> feature
+    table written to ``out`` (and optionally exported as ``;`` CSV)."""
+    from grantrisk.sources import tables as tbl
+    from grantrisk.sources import text as txt
+    src = txt.load_tables(spark, extracts)
+    if bucket_root and n_buckets > 0:
+        src = stage_sources_bucketed(src, bucket_root, n_buckets)
+    feats = feature_table(src["convenio"], src["proposta"], src["emenda"], src["consorcios"], compat)
+    tbl.write_table(feats, out)
+    written = spark.read.parquet(out)
+    if export_csv:
+        txt.export_csv(written, export_csv)
+    return written

@@ -515,3 +515,4 @@ fl AS (SELECT classifier, fold, metric, value FROM (
 ORACLE["fold_summary_scores"] = R(W(
     "SELECT classifier, metric, avg(value) AS mean, stddev_samp(value) AS stdev FROM fl GROUP BY classifier, metric",
     _FOLDS), "mean", "stdev")
+ORACLE["feature_table_bucketed"] = ORACLE["feature_table"]

@@ -807,3 +807,13 @@ def q_fold_scores(spark, sf):
         F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in names])).alias("m")) \
         .select("classifier", "fold", "m.metric", "m.value")
     return mx.fold_summary(long)
+
+
+@query("feature_table_bucketed")
+def q_features_bucketed(spark, sf):
+    """S9 + co-location: sources staged bucketed by proposal id, feature table
+    built from the staged tables (joins and counts without shuffles)."""
+    root = scratch_path(spark, "bucketed")
+    tag = td._view_prefix(sf)
+    src = etl.stage_sources_bucketed({t: _t(spark, sf, t) for t in BOUND_SOURCES}, root, 8, prefix=tag + "stage")
+    return etl.feature_table(src["convenio"], src["proposta"], src["emenda"], src["consorcios"])

@@ -58,3 +58,17 @@ def save_model(model, path: str) -> None:
 
 def load_model(path: str, cls=PipelineModel):
     return cls.load(path)
+
+
+def write_bucketed(df: DataFrame, table: str, key: str, n_buckets: int, path: str) -> DataFrame:
+    """Stage ``df`` as a catalog table bucketed and sorted by ``key``.
+
+    Tables bucketed on the same key with the same bucket count join and
+    aggregate on that key without a shuffle (co-located), which is what
+    repeated feature-table builds over the same extracts want.  Data files
+    live at ``path`` (shared storage); only the table definition is in the
+    session catalog.
+    """
+    df.write.mode("overwrite").bucketBy(n_buckets, key).sortBy(key) \
+        .option("path", path).saveAsTable(table)
+    return df.sparkSession.table(table)
