@@ -76,3 +76,27 @@ def is_local_path(path: str) -> bool:
 def ensure_parent(path: str) -> None:
     if is_local_path(path):
         os.makedirs(os.path.dirname(path.replace("file:", "")) or ".", exist_ok=True)
+
+
+def cluster_conf(total_input_bytes: int, cores: int, target_partition_bytes: int = 256 * 1024 * 1024) -> dict:
+    """Submission settings sized for a large cluster (apply at job submit).
+
+    * input splits of ``target_partition_bytes`` (parquet/CSV are splittable),
+    * initial shuffle partitions ~ input / target, at least 3 waves of cores,
+      then AQE coalesces small ones and splits skewed ones at runtime,
+    * broadcast only what AQE measured below a fixed threshold.
+    The library never sets these itself on a shared cluster.
+    """
+    parts = max(3 * cores, total_input_bytes // target_partition_bytes)
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes // 2),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "3",
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(int(parts)),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+        "spark.sql.sources.bucketing.enabled": "true",
+    }

@@ -78,3 +78,14 @@ def test_balanced_weights(spark):
     df = spark.createDataFrame([(i, 0) for i in range(6)] + [(9, 1), (10, 1)], "row_id long, label int")
     w = {r["label"]: r["weight"] for r in bal.class_weights(df).collect()}
     assert w == {0: 8 / 12, 1: 8 / 4}
+
+
+def test_unknown_category_is_an_error(spark):
+    from pyspark.errors import PySparkException
+    from py4j.protocol import Py4JJavaError
+    df = spark.createDataFrame([(1, "b", 1.0), (2, "a", 2.0)], "rid long, c string, x double")
+    model, _ = prep.linear_pipeline(df, ["x"], ["c"], "rid")
+    assert model.transform(df).count() == 2
+    new = spark.createDataFrame([(3, "zzz", 1.0)], "rid long, c string, x double")
+    with pytest.raises((PySparkException, Py4JJavaError)):
+        model.transform(new).collect()

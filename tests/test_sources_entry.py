@@ -74,3 +74,16 @@ def test_oracle_agreement_small(spark, name):
     idx = [rel.columns.index(c) for c in cols]
     b = sorted(tuple(norm(r[i]) for i in idx) for r in rel.fetchall())
     assert a == b
+
+
+def test_bucketed_stage_equals_plain(spark):
+    from grantrisk.plans import etl
+    from grantrisk.plans import queries as Q
+    from grantrisk.session import cluster_conf
+    plain = Q.QUERIES["feature_table"](spark, SF)
+    bucketed = Q.QUERIES["feature_table_bucketed"](spark, SF)
+    cols = plain.columns
+    assert plain.select(*cols).exceptAll(bucketed.select(*cols)).count() == 0
+    assert bucketed.select(*cols).exceptAll(plain.select(*cols)).count() == 0
+    assert int(cluster_conf(100 * 2**40, 8000)["spark.sql.shuffle.partitions"]) == 409600
+    assert etl.KEY == "ID_PROPOSTA"
