@@ -516,3 +516,23 @@ ORACLE["fold_summary_scores"] = R(W(
     "SELECT classifier, metric, avg(value) AS mean, stddev_samp(value) AS stdev FROM fl GROUP BY classifier, metric",
     _FOLDS), "mean", "stdev")
 ORACLE["feature_table_bucketed"] = ORACLE["feature_table"]
+
+
+def _linear_total_sql() -> str:
+    cats = _VAR_CAT
+    imp = ("li AS (SELECT CAST(TARGET AS DOUBLE) AS label, " + ", ".join(
+        f"coalesce({c}, avg({c}) OVER ()) AS {c}" for c in _NUMF) + " FROM mi WHERE TARGET IS NOT NULL)")
+    st = ("st AS (SELECT count(*) AS n, " + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in _NUMF)
+          + " FROM li)")
+    total = "0.0"
+    for c in _NUMF:
+        total = f"({total} + ({c} - m_{c}) / {_std_scale(c)})"
+    for _ in cats:
+        total = f"({total} + 1.0)"
+    width = ("(SELECT CAST(count(*) AS INTEGER) + " + str(len(_NUMF)) + " FROM (SELECT DISTINCT col, value FROM ("
+             + " UNION ALL ".join(f"SELECT '{c}' AS col, coalesce(CAST({c} AS VARCHAR), 'missing') AS value FROM mi "
+                                  "WHERE TARGET IS NOT NULL" for c in cats) + ")))")
+    return W(f"SELECT label, {width} AS width, {total} AS total FROM li, st", imp, st)
+
+
+ORACLE["libsvm_roundtrip"] = R(_linear_total_sql(), "total")
