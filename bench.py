@@ -14,11 +14,11 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = [
-    "feature_table", "feature_table_compat", "etl_from_files", "csv_roundtrip",
+    "feature_table", "feature_table_compat", "feature_table_bucketed", "etl_from_files", "csv_roundtrip",
     "class_balance_agency", "top_groups_project", "hist_value", "distinct_categories",
     "roc_auc", "avg_precision", "pr_points", "metric_pivot", "hist_proba_cumulative",
     "first_seen_codes", "onehot_wide", "standardize",
-    "holdout_split", "stratified_folds", "smote", "nearmiss", "smote_nearmiss",
+    "holdout_split", "stratified_folds", "shuffle_order", "smote", "nearmiss", "smote_nearmiss",
     "logit", "gbt",
 ]
 

@@ -120,25 +120,44 @@ class NumericStats:
     mean: dict[str, float] = field(default_factory=dict)
     std_pop: dict[str, float] = field(default_factory=dict)
     max_abs: dict[str, float] = field(default_factory=dict)
+    present: dict[str, int] = field(default_factory=dict)
     count: int = 0
 
 
 def fit_numeric(df: DataFrame, cols: Sequence[str]) -> NumericStats:
-    """One aggregation: mean, population deviation and max |x| per column."""
+    """One aggregation: mean, population deviation, max |x| and non-missing
+    count per column (NaN counts as missing)."""
     aggs = [F.count(F.lit(1)).alias("__n")]
     for c in cols:
-        x = F.col(c).cast("double")
+        x = F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
         aggs += [F.avg(x).alias(f"m_{c}"), F.stddev_pop(x).alias(f"s_{c}"),
-                 F.max(F.abs(x)).alias(f"a_{c}")]
+                 F.max(F.abs(x)).alias(f"a_{c}"), F.count(x).alias(f"c_{c}")]
     r = df.agg(*aggs).first()
     st = NumericStats(list(cols), count=int(r["__n"]))
     for c in cols:
         st.mean[c] = r[f"m_{c}"]
         st.std_pop[c] = r[f"s_{c}"]
         st.max_abs[c] = r[f"a_{c}"]
+        st.present[c] = int(r[f"c_{c}"])
     return st
 
 
+def imputed_stats(st: NumericStats) -> NumericStats:
+    """Statistics of the mean-imputed columns, derived without another pass.
+
+    Filling the gaps with the mean keeps the mean, scales the population
+    variance by present/n and can only add |mean| as a new absolute value.
+    """
+    out = NumericStats(list(st.cols), count=st.count)
+    for c in st.cols:
+        m, s, a, k, n = st.mean[c], st.std_pop[c], st.max_abs[c], st.present[c], st.count
+        out.mean[c] = m
+        out.present[c] = n if m is not None else k
+        out.std_pop[c] = s * math.sqrt(k / n) if (s is not None and n) else s
+        out.max_abs[c] = max(a, abs(m)) if (a is not None and m is not None and k < n) else a
+    return out
+
+
 def impute_mean(df: DataFrame, st: NumericStats) -> DataFrame:
     """NULL/NaN -> column mean (as ``SimpleImputer(strategy='mean')``)."""
     out = {}
@@ -239,7 +258,7 @@ def linear_pipeline(df: DataFrame, num: Sequence[str], cat: Sequence[str], row_i
     labels = category_labels(codes, cat)
     st = fit_numeric(df, num)
     imp = impute_mean(df, st)
-    st2 = fit_numeric(imp, num)
+    st2 = imputed_stats(st)
     stages = [*indexers(labels),
               OneHotEncoder(dropLast=False, handleInvalid="error",
                             inputCols=[f"{c}_idx" for c in cat], outputCols=[f"{c}_oh" for c in cat]),

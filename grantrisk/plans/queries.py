@@ -408,7 +408,7 @@ def q_standardize(spark, sf):
     """G4 + G6: mean-imputed, population-standardised numerics."""
     mi, st = _numeric(spark, sf)
     imp = prep.impute_mean(mi, st)
-    return prep.standardize(imp, prep.fit_numeric(imp, schemas.NUMERIC_FEATURES))
+    return prep.standardize(imp, prep.imputed_stats(st))
 
 
 @query("scale_only")
@@ -416,7 +416,7 @@ def q_scale_only(spark, sf):
     """G4 + G7: divided by the population deviation, not centred."""
     mi, st = _numeric(spark, sf)
     imp = prep.impute_mean(mi, st)
-    return prep.standardize(imp, prep.fit_numeric(imp, schemas.NUMERIC_FEATURES), with_mean=False)
+    return prep.standardize(imp, prep.imputed_stats(st), with_mean=False)
 
 
 @query("maxabs")
@@ -424,7 +424,7 @@ def q_maxabs(spark, sf):
     """G4 + G8: divided by the maximum absolute value."""
     mi, st = _numeric(spark, sf)
     imp = prep.impute_mean(mi, st)
-    return prep.maxabs_scale(imp, prep.fit_numeric(imp, schemas.NUMERIC_FEATURES))
+    return prep.maxabs_scale(imp, prep.imputed_stats(st))
 
 
 def _assembled(spark, sf, kind):
@@ -540,7 +540,8 @@ _MATRIX_CACHE: dict = {}
 
 
 def _mats(spark, sf, variant="sem_municipio_orgao"):
-    key = (sf, variant)
+    """Training matrices, built (and checkpointed) once per session and folder."""
+    key = (id(spark), id(spark.sparkContext), sf, variant)
     if key not in _MATRIX_CACHE:
         _MATRIX_CACHE[key] = train.build_matrices(features(spark, sf), variant)
     return _MATRIX_CACHE[key]
