@@ -229,7 +229,6 @@ def smote(df: DataFrame, ratio: float, label: str = "label", row_id: str = "row_
     n_min = counts.get(minority, 0)
     n_maj = max(v for c, v in counts.items() if c != minority)
     n_new = smote_count(n_maj, n_min, ratio)
-    vtype = dict(df.dtypes)[vec]
     base = df.select(row_id, label, F.col(vec).alias(vec), F.lit(False).alias("synthetic"),
                      F.lit(None).cast("bigint").alias("base_id"),
                      F.lit(None).cast("bigint").alias("neighbour_id"),
@@ -259,7 +258,6 @@ def smote(df: DataFrame, ratio: float, label: str = "label", row_id: str = "row_
                    F.zip_with("__x", "__nb", lambda a, b: a + F.col("step") * (b - a)).alias(vec),
                    F.lit(True).alias("synthetic"), F.col("base_id").cast("bigint"),
                    F.col("neighbour_id").cast("bigint"), F.col("step"))
-    del vtype
     return base.unionByName(new)
 
 
@@ -337,8 +335,7 @@ def resample_plan(df: DataFrame, ratios: Sequence[float], methods: Sequence[str]
                              .select(F.lit(m).alias("method"), F.lit(float(r)).alias("ratio"),
                                      F.col(label).cast("int").alias("label"), "n",
                                      F.lit(None).cast("string").alias("error")))
-            except ValueError as e:
-                del e
+            except ValueError:
                 parts.append(spark.createDataFrame(
                     [(m, float(r), None, None, "infeasible")],
                     "method string, ratio double, label int, n long, error string"))

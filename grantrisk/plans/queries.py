@@ -710,10 +710,9 @@ def q_stream(spark, sf):
 def q_stage(spark, sf):
     """Staged tables written and re-read, feature table from the stages."""
     root = scratch_path(spark, "stages")
-    s = tbl.stage(staged(spark, sf), tbl.save_named(staged(spark, sf), root, "staged", variant="all"))
-    back = tbl.read_table(spark, root + "/staged/variant=all")
-    del s
-    return etl.feature_maths(back)
+    tbl.save_named(staged(spark, sf), root, "staged", variant="all")          # S13 / S6
+    back = tbl.load_named(spark, root, "staged", variant="all")               # S13 / S7
+    return tbl.stage(etl.feature_maths(back), f"{root}/features")             # S9
 
 
 @query("separator_repair_file")

@@ -47,3 +47,22 @@ def value_histogram(features: DataFrame, n_bins: int = 1000, view_max: float = 5
     """Per-class equal-width histogram of the global value, bins in view."""
     h = mx.class_histogram(features.filter(features[label].isin(0, 1)), value, label, n_bins)
     return h.filter(h["lo"] <= view_max)
+
+
+def run_reports(features: DataFrame, predictions: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All report tables: four class-balance reports (full and top rows), the
+    value histogram and, given predictions, the probability distribution,
+    metric table and curves."""
+    out = {}
+    for name in BALANCE_REPORTS:
+        out[f"balance_{name}"] = class_balance_report(features, name)
+        out[f"top_{name}"] = class_balance_report(features, name, top=True)
+    out["hist_value"] = value_histogram(features)
+    if predictions is not None:
+        h = mx.class_histogram(predictions, "probability", "label", 50)
+        out["hist_probability"] = mx.cumulative_histogram(h, "label")
+        out["metrics"] = mx.metric_pivot(mx.metric_long(predictions))
+        out["roc_points"] = mx.roc_points(predictions, group="classifier")
+        out["pr_points"] = mx.pr_points(predictions, group="classifier")
+        out["misclassified"] = mx.misclassified(predictions)
+    return out

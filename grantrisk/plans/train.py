@@ -94,17 +94,46 @@ def resampled_train(data: DataFrame, method: str, ratio: float, pos_weight: floa
     return bal.class_weights(out, LABEL, mode="pos", pos_weight=pos_weight)
 
 
+SPACES = {"gbt": learn.GBT_SPACE, "logit": learn.LOGIT_SPACE, "mlp": learn.MLP_SPACE}
+
+
+def tune(kind: str, m: Matrices, n_iter: int, folds: int = schemas.N_FOLDS, metric: str = "roc_auc",
+         seed: int = schemas.SEED, base: dict | None = None) -> tuple[dict, DataFrame]:
+    """Seeded random search of ``kind`` on the training part.
+
+    Returns the best parameters (on top of ``base``) and the trials table.
+    As in the original search, the positive weight is not part of the best
+    parameters, so the boosted tree keeps its default weight when refitted.
+    """
+    data = (m.tree if kind == "gbt" else m.linear).filter(F.col("split") == "train")
+    folded = bal.stratified_folds(data, LABEL, ROW_ID, k=folds)
+    cands = [{**(base or {}), **c} for c in learn.draw_candidates(SPACES[kind], n_iter, seed)]
+    trials = learn.search(folded.sparkSession, lambda c, tr: make_estimator(kind, c, tr), cands, folded,
+                          metric=metric, k=folds)
+    best = learn.best_candidate(trials)
+    return best, trials
+
+
+def _tag(rows: DataFrame, variant: str, phase: str, ratio=None, method=None) -> DataFrame:
+    return rows.select(F.lit(variant).alias("variant"), F.lit(phase).alias("phase"),
+                       F.lit(ratio).cast("double").alias("ratio"), F.lit(method).cast("string").alias("resampler"),
+                       F.col("classifier"), "metric", "value")
+
+
 def experiment(features: DataFrame, variants=("all", "sem_municipio", "sem_municipio_orgao"),
                models=("gbt", "logit", "mlp"), params: dict | None = None,
                resample: list[tuple[str, float]] | None = None,
-               resample_variants=None, resample_models=None) -> DataFrame:
+               resample_variants=None, resample_models=None,
+               tune_iter: int = 0, tune_folds: int = schemas.N_FOLDS) -> DataFrame:
     """Long metric table (variant, phase, ratio, resampler, classifier, metric, value).
 
-    ``params`` maps model kind -> parameters (e.g. tuned ones); ``resample``
-    lists (method, ratio) pairs for the resampled phase (training part only,
-    test part untouched), where the boosted tree's positive weight is set to
-    the inverse of the ratio; infeasible ratios are skipped.
-    ``resample_variants`` / ``resample_models`` restrict that phase.
+    Phases: ``default`` (``params`` per model kind), ``tuned`` when
+    ``tune_iter`` > 0 (seeded search, best refit), and ``resampled`` for
+    each (method, ratio) of ``resample`` — training part only, test part
+    untouched, using the tuned parameters when there are any and, for the
+    boosted tree, a positive weight equal to the inverse of the ratio.
+    Infeasible ratios are skipped; ``resample_variants`` / ``resample_models``
+    restrict that phase.
     """
     params = params or {}
     parts = []
@@ -112,10 +141,12 @@ def experiment(features: DataFrame, variants=("all", "sem_municipio", "sem_munic
         m = build_matrices(features, v)
         for kind in models:
             _, _, rows = fit_eval(kind, params.get(kind), m)
-            parts.append(rows.select(F.lit(v).alias("variant"), F.lit("default").alias("phase"),
-                                     F.lit(None).cast("double").alias("ratio"),
-                                     F.lit(None).cast("string").alias("resampler"),
-                                     F.col("classifier"), "metric", "value"))
+            parts.append(_tag(rows, v, "default"))
+            chosen = dict(params.get(kind) or {})
+            if tune_iter > 0:
+                chosen, _ = tune(kind, m, tune_iter, tune_folds, base=params.get(kind))
+                _, _, rows = fit_eval(kind, chosen, m)
+                parts.append(_tag(rows, v, "tuned"))
             do_resample = (resample_variants is None or v in resample_variants) and \
                 (resample_models is None or kind in resample_models)
             for method, ratio in (resample or []) if do_resample else []:
@@ -125,13 +156,11 @@ def experiment(features: DataFrame, variants=("all", "sem_municipio", "sem_munic
                     tr = resampled_train(data, method, ratio, w)
                 except ValueError:
                     continue
-                p = dict(params.get(kind) or {})
+                p = dict(chosen)
                 if kind == "gbt":
                     p["scale_pos_weight"] = 1.0 / ratio
                 _, _, rows = fit_eval(kind, p, m, train=tr)
-                parts.append(rows.select(F.lit(v).alias("variant"), F.lit("resampled").alias("phase"),
-                                         F.lit(float(ratio)).alias("ratio"), F.lit(method).alias("resampler"),
-                                         F.col("classifier"), "metric", "value"))
+                parts.append(_tag(rows, v, "resampled", float(ratio), method))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -10,9 +10,10 @@ SF = "/root/testdata/sf0.001"
 def test_experiment_with_resampled_phase(spark):
     feats = Q.features(spark, SF)
     out = train.experiment(feats, variants=("sem_municipio_orgao",), models=("logit",),
-                           resample=[("smote", 1.0), ("nearmiss", 1.0), ("smote", 0.01)])
+                           resample=[("smote", 1.0), ("nearmiss", 1.0), ("smote", 0.01)],
+                           tune_iter=2, tune_folds=2)
     phases = {(r["phase"], r["resampler"]) for r in out.select("phase", "resampler").distinct().collect()}
-    assert phases == {("default", None), ("resampled", "smote"), ("resampled", "nearmiss")}
+    assert phases == {("default", None), ("tuned", None), ("resampled", "smote"), ("resampled", "nearmiss")}
     vals = [r["value"] for r in out.filter(F.col("metric") == "AUC").collect()]
     assert all(v is not None and 0.0 <= v <= 1.0 for v in vals)
 
