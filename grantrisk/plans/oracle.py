@@ -536,3 +536,15 @@ def _linear_total_sql() -> str:
 
 
 ORACLE["libsvm_roundtrip"] = R(_linear_total_sql(), "total")
+
+
+# Feature names of the linear matrix: numerics, then one block per categorical
+# column in code (first-seen) order, named <column>_oh_<value>.
+_CAT_POS = " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(_CAT))
+ORACLE["feature_names"] = W(
+    "SELECT CAST(idx AS INTEGER) AS idx, name FROM ("
+    + " UNION ALL ".join(f"SELECT {i} AS idx, '{c}' AS name" for i, c in enumerate(_NUMF))
+    + f" UNION ALL SELECT {len(_NUMF)} + c.off + k.code AS idx, k.col || '_oh_' || k.value AS name "
+    "FROM codes k JOIN (SELECT col, coalesce(sum(n) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND "
+    f"1 PRECEDING), 0) AS off FROM (SELECT col, CASE col {_CAT_POS} END AS pos, count(*) AS n FROM codes "
+    "GROUP BY col)) c ON k.col = c.col)", _codes_cte(_CAT))
