@@ -548,3 +548,8 @@ ORACLE["feature_names"] = W(
     "FROM codes k JOIN (SELECT col, coalesce(sum(n) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND "
     f"1 PRECEDING), 0) AS off FROM (SELECT col, CASE col {_CAT_POS} END AS pos, count(*) AS n FROM codes "
     "GROUP BY col)) c ON k.col = c.col)", _codes_cte(_CAT))
+
+# Text file of page bodies, one value per line: line breaks (\n, \r\n, \r) split rows.
+ORACLE["separator_repair_file"] = (
+    "SELECT unnest(string_split(regexp_replace(regexp_replace(regexp_replace(html, '[ ]+;', ' -', 'g'), "
+    "';[ ]+', '- ', 'g'), '\\r\\n?', chr(10), 'g'), chr(10))) AS value FROM pages")
