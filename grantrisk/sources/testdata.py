@@ -146,21 +146,23 @@ def _view_prefix(sf_dir: str) -> str:
     return "gr_" + re.sub(r"[^0-9a-zA-Z]+", "_", sf_dir.strip("/")) + "_"
 
 
-def register_base(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+def _view(spark: SparkSession, sf_dir: str, t: str) -> str:
+    view = _view_prefix(sf_dir) + t
+    if not spark.catalog.tableExists(view):
+        spark.read.parquet(f"{sf_dir.rstrip('/')}/{t}.parquet").createOrReplaceTempView(view)
+    return view
+
+
+def register_base(spark: SparkSession, sf_dir: str, names=BASE_TABLES) -> dict[str, str]:
     """Temp views over the parquet files of one folder; returns name -> view."""
-    prefix = _view_prefix(sf_dir)
-    names = {}
-    for t in BASE_TABLES:
-        view = prefix + t
-        if not spark.catalog.tableExists(view):
-            spark.read.parquet(f"{sf_dir.rstrip('/')}/{t}.parquet").createOrReplaceTempView(view)
-        names[t] = view
-    return names
+    return {t: _view(spark, sf_dir, t) for t in names}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A base table or a bound reference table as a DataFrame."""
-    names = register_base(spark, sf_dir)
-    if name in names:
-        return spark.table(names[name])
+    """A base table or a bound reference table as a DataFrame (only the base
+    tables the binding reads are registered)."""
+    if name in BASE_TABLES:
+        return spark.table(_view(spark, sf_dir, name))
+    used = [t for t in BASE_TABLES if "{" + t + "}" in BINDINGS[name]]
+    names = register_base(spark, sf_dir, used)
     return spark.sql(BINDINGS[name].format(**names))
