@@ -478,9 +478,10 @@ ORACLE["libsvm_zero_based"] = R(W("SELECT label, total FROM (" + _SV_BODY + ")",
 
 
 # -- remaining inventory rows -------------------------------------------------------------
-ORACLE["column_roles"] = "SELECT * FROM (VALUES " + ", ".join(
-    [f"('{c}', 'numeric', {i})" for i, c in enumerate(_NUMF)]
-    + [f"('{c}', 'categorical', {len(_NUMF) + i})" for i, c in enumerate(_CAT)]) + ") t(\"column\", role, position)"
+ORACLE["column_roles"] = W(" UNION ALL ".join(
+    [f"SELECT '{c}' AS \"column\", 'numeric' AS role, {i} AS position, count({c}) AS n_present FROM mi"
+     for i, c in enumerate(_NUMF)]
+    + [f"SELECT '{c}', 'categorical', {len(_NUMF) + i}, count({c}) FROM mi" for i, c in enumerate(_CAT)]))
 ORACLE["shuffle_order"] = W(
     f"SELECT row_id, row_number() OVER (ORDER BY {_mix('row_id', schemas.SEED)}, row_id) AS position "
     "FROM (SELECT CAST(NR_CONVENIO AS BIGINT) AS row_id FROM feat)")

@@ -767,12 +767,17 @@ from grantrisk.operators import ranking as _rk  # noqa: E402
 
 @query("column_roles")
 def q_roles(spark, sf):
-    """Numeric / categorical role and position of every model-input column."""
+    """Role (numeric / categorical) and position of every model-input
+    column, with its non-missing count (one pass over the data)."""
     mi = etl.model_input(features(spark, sf)).drop("NR_CONVENIO", "TARGET")
     num, cat = rel.column_roles(mi)
-    rows = [(c, "numeric", i) for i, c in enumerate(num)] + [(c, "categorical", len(num) + i)
-                                                              for i, c in enumerate(cat)]
-    return spark.createDataFrame(rows, "column string, role string, position int")
+    roles = [(c, "numeric", i) for i, c in enumerate(num)] + [(c, "categorical", len(num) + i)
+                                                               for i, c in enumerate(cat)]
+    stack = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(r).alias("role"),
+                                         F.lit(i).alias("position"), F.col(c).isNotNull().alias("present"))
+                                for c, r, i in roles]))
+    return mi.select(stack.alias("p")).groupBy("p.column", "p.role", "p.position") \
+        .agg(F.count_if(F.col("p.present")).alias("n_present"))
 
 
 @query("shuffle_order")
