@@ -10,16 +10,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from grantrisk import schemas
 from grantrisk.functions import scalar as fx
+from grantrisk.functions.scalar import mix as _mix_col
+from grantrisk.operators import balance as bal
+from grantrisk.operators import learn
 from grantrisk.operators import metrics as mx
+from grantrisk.operators import prepare as prep
+from grantrisk.operators import ranking as _rk
 from grantrisk.operators import relational as rel
-from grantrisk.plans import etl, report
+from grantrisk.plans import etl, report, train
+from grantrisk.session import scratch_path
+from grantrisk.sources import libsvm as svm
+from grantrisk.sources import tables as tbl
 from grantrisk.sources import testdata as td
+from grantrisk.sources import text as txt
+from grantrisk.streaming.append_load import stream_extracts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -358,8 +369,6 @@ def q_hist_proba(spark, sf):
 
 # -- 2.9 feature preparation ---------------------------------------------------------
 
-from grantrisk.operators import balance as bal  # noqa: E402
-from grantrisk.operators import prepare as prep  # noqa: E402
 
 ONEHOT_COLUMNS = ["MODALIDADE", "SITUACAO_CONTA", "FAIXA_VALOR"]
 
@@ -462,7 +471,6 @@ def q_feature_names(spark, sf):
 
 
 def prep_vector_to_array(c):
-    from pyspark.ml.functions import vector_to_array
     return vector_to_array(F.col(c))
 
 
@@ -533,8 +541,6 @@ def q_plan(spark, sf):
 
 # -- 2.11 learning and search (rows-only checks) ----------------------------------------
 
-from grantrisk.operators import learn  # noqa: E402
-from grantrisk.plans import train  # noqa: E402
 
 _MATRIX_CACHE: dict = {}
 
@@ -662,11 +668,6 @@ def q_experiment(spark, sf):
 
 # -- 2.1 sources and sinks -----------------------------------------------------------
 
-from grantrisk.session import scratch_path  # noqa: E402
-from grantrisk.sources import libsvm as svm  # noqa: E402
-from grantrisk.sources import tables as tbl  # noqa: E402
-from grantrisk.sources import text as txt  # noqa: E402
-from grantrisk.streaming.append_load import stream_extracts  # noqa: E402
 
 BOUND_SOURCES = ["convenio", "proposta", "emenda", "consorcios"]
 
@@ -761,8 +762,6 @@ def q_model(spark, sf):
 
 # -- remaining inventory rows with exact oracles ----------------------------------------
 
-from grantrisk.functions.scalar import mix as _mix_col  # noqa: E402
-from grantrisk.operators import ranking as _rk  # noqa: E402
 
 
 @query("column_roles")
