@@ -42,6 +42,8 @@ def quantile_bucket(df: DataFrame, col: str, n_buckets: int = DEFAULT_BUCKETS,
     probs = [i / n_buckets for i in range(1, n_buckets)]
     cuts = df.agg(F.percentile_approx(F.col(col).cast("double"), probs, 10000).alias("q")).first()["q"]
     splits = sorted({float(x) for x in (cuts or []) if x is not None})
+    if not splits:  # one bucket (or no non-NULL values): nothing to cut
+        return df.withColumn("__bucket", F.lit(0))
     splits = [float("-inf")] + splits + [float("inf")]
     nb = len(splits) - 1
     tmp = "__bkt_in"

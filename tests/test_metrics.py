@@ -70,3 +70,23 @@ def test_bucketed_running_sum_equals_single_window(spark):
     ref = df.withColumn("rn2", F.row_number().over(Window.partitionBy("g").orderBy("k", "id")))
     j = got.join(ref, on=["id"])
     assert j.filter(F.col("rn") != F.col("rn2")).count() == 0
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 5)), st.integers(0, 2), st.integers(0, 9)),
+                min_size=1, max_size=60),
+       st.integers(1, 6), st.booleans())
+def test_running_sums_property(spark, rows, n_buckets, descending):
+    from pyspark.sql import Window
+    data = [(i, k, g, v) for i, (k, g, v) in enumerate(rows)]
+    df = spark.createDataFrame(data, "id long, k int, g int, v int")
+    b = ranking.quantile_bucket(df, "k", n_buckets, descending=descending)
+    key = F.col("k").desc_nulls_last() if descending else F.col("k").asc_nulls_first()
+    got = ranking.running_sums(b, [key, F.col("id")], {"s": F.col("v")}, "__bucket", ["g"])
+    w = Window.partitionBy("g").orderBy(key, "id").rowsBetween(Window.unboundedPreceding, 0)
+    ref = {r["id"]: r["s"] for r in df.withColumn("s", F.sum("v").over(w)).collect()}
+    assert {r["id"]: r["s"] for r in got.collect()} == ref
