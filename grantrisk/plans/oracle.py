@@ -554,3 +554,11 @@ ORACLE["feature_names"] = W(
 ORACLE["separator_repair_file"] = (
     "SELECT unnest(string_split(regexp_replace(regexp_replace(regexp_replace(html, '[ ]+;', ' -', 'g'), "
     "';[ ]+', '- ', 'g'), '\\r\\n?', chr(10), 'g'), chr(10))) AS value FROM pages")
+_LINES = ("SELECT unnest(string_split(regexp_replace(html, '\\r\\n?', chr(10), 'g'), chr(10))) AS value "
+          "FROM pages")
+_FIXED = "regexp_replace(regexp_replace(value, '[ ]+;', ' -', 'g'), ';[ ]+', '- ', 'g')"
+ORACLE["separator_report"] = (
+    "SELECT value, seps_before, seps_after FROM (SELECT value, "
+    "CAST(length(value) - length(replace(value, ';', '')) AS INTEGER) AS seps_before, "
+    f"CAST(length({_FIXED}) - length(replace({_FIXED}, ';', '')) AS INTEGER) AS seps_after FROM ({_LINES})) "
+    "WHERE seps_before <> seps_after")

@@ -821,3 +821,11 @@ def q_features_bucketed(spark, sf):
     tag = td._view_prefix(sf)
     src = etl.stage_sources_bucketed({t: _t(spark, sf, t) for t in BOUND_SOURCES}, root, 8, prefix=tag + "stage")
     return etl.feature_table(src["convenio"], src["proposta"], src["emenda"], src["consorcios"])
+
+
+@query("separator_report")
+def q_sep_report(spark, sf):
+    """S3 report: lines whose ';' count changes under the repair (fields merged)."""
+    src = scratch_path(spark, "pages_txt")
+    _t(spark, sf, "pages").select(F.col("html").alias("value")).write.text(src)
+    return txt.repair_report(spark, src)
