@@ -360,7 +360,7 @@ ORACLE["stratified_folds"] = W(
 ORACLE["class_weights"] = R(W(
     "SELECT row_id, label, CAST(count(*) OVER () AS DOUBLE) / ((SELECT count(DISTINCT label) FROM labelled) "
     "* count(*) OVER (PARTITION BY label)) AS weight FROM labelled"), "weight")
-ORACLE["class_weights_pos"] = W("SELECT row_id, label, CASE WHEN label = 1 THEN 20.0 ELSE 1.0 END AS weight "
+ORACLE["class_weights_pos"] = W("SELECT row_id, label, CAST(CASE WHEN label = 1 THEN 20.0 ELSE 1.0 END AS DOUBLE) AS weight "
                                 "FROM labelled")
 
 _SUMV = "list_reduce(list_prepend(0.0, {v}), lambda a, x: a + x)"
