@@ -122,19 +122,23 @@ def count_matches(left: DataFrame, right: DataFrame, key: str, out: str) -> Data
 
 def count_matches_grouped(left: DataFrame, right: DataFrame, key: str, group: str,
                           out: str, tiebreak: str | None = None) -> DataFrame:
-    """J2 compatibility mode: join first, then one row per ``group``.
-
-    Columns not grouped take the values of one row of the group (the row
-    with the smallest ``tiebreak``), which is the deterministic form of a
-    loose GROUP BY (A2).
+    """J2 compatibility mode: "LEFT JOIN, then COUNT per ``group``".
+
+    The count of a group is the sum over its left rows of the number of
+    right rows matching that row's key, so the right side is pre-counted per
+    key and joined (no row fan-out even when one key holds a third of the
+    right rows), then summed per group.  Columns not grouped take the values
+    of one row of the group (smallest ``tiebreak``), the deterministic form
+    of a loose GROUP BY (A2).
     """
-    r = right.select(F.col(key).alias("__k"))
-    j = left.join(r, left[key] == r["__k"], "left")
+    counts = right.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("__k")) \
+        .agg(F.count(F.lit(1)).alias("__n"))
+    j = left.join(counts, left[key] == counts["__k"], "left")
     cols = left.columns
     tb = tiebreak or group
     agg = j.groupBy(left[group].alias("__g")).agg(
         F.min_by(F.struct(*[left[c] for c in cols]), left[tb]).alias("__row"),
-        F.count(r["__k"]).alias(out),
+        F.coalesce(F.sum(counts["__n"]), F.lit(0)).alias(out),
     )
     return agg.select(*[F.col("__row")[c].alias(c) for c in cols], F.col(out).cast("bigint"))
 

@@ -73,3 +73,12 @@ def test_feature_maths(spark):
     assert f["SITUACAO_PROJETO_BASICO"] == "missing"
     assert f["PERC_REPASSE"] == 0.8 and f["PERC_DESEMBOLSADO"] == 0.0
     assert f["DIF_PRORROG"] == 29 and f["DIF_ORIG"] is None
+
+
+def test_grouped_count_with_duplicate_left_rows(spark):
+    agr = spark.createDataFrame([("n1", "p1", 1), ("n1", "p1", 2), ("n2", "p2", 3), ("n3", None, 4)],
+                                "NR_CONVENIO string, ID_PROPOSTA string, MES int")
+    em = spark.createDataFrame([("p1",), ("p1",), ("p1",), ("p2",), (None,)], "ID_PROPOSTA string")
+    g = {r["NR_CONVENIO"]: (r["EMENDAS"], r["MES"])
+         for r in rel.count_matches_grouped(agr, em, "ID_PROPOSTA", "NR_CONVENIO", "EMENDAS", "MES").collect()}
+    assert g == {"n1": (6, 1), "n2": (1, 3), "n3": (0, 4)}
