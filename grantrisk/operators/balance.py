@@ -72,13 +72,14 @@ def holdout_counts(counts: dict, test_share: float) -> dict:
 
 def holdout_split(df: DataFrame, label: str = "label", row_id: str = "row_id",
                   test_share: float = schemas.HOLDOUT_SHARE, seed: int = schemas.SEED,
-                  n_buckets: int = 64) -> DataFrame:
+                  n_buckets: int | None = None) -> DataFrame:
     """Adds ``split`` = 'test' / 'train' with exact per-class counts.
 
     Rows are ordered inside each class by ``mix(id, seed)`` then id; the
     first :func:`holdout_counts` rows of each class form the test part.
     """
     k = holdout_counts(class_counts(df, label), test_share)  # one entry per class
+    n_buckets = n_buckets or ranking.default_buckets(df.sparkSession)
     d = df.withColumn("__mix", mix(row_id, seed))
     d = ranking.row_number_global(d, [F.col("__mix"), F.col(row_id)],
                                   ranking.uniform_bucket("__mix", n_buckets, _P), [label], out="__rn")
@@ -94,7 +95,7 @@ def holdout_split(df: DataFrame, label: str = "label", row_id: str = "row_id",
 # -- R2 -------------------------------------------------------------------------
 
 def stratified_folds(df: DataFrame, label: str = "label", row_id: str = "row_id",
-                     k: int = schemas.N_FOLDS, out: str = "fold", n_buckets: int = 64) -> DataFrame:
+                     k: int = schemas.N_FOLDS, out: str = "fold", n_buckets: int | None = None) -> DataFrame:
     """R2: unshuffled stratified k-fold assignment (contiguous blocks per class).
 
     Classes are numbered by first appearance (row-id order).  Sorting all
@@ -126,7 +127,7 @@ def stratified_folds(df: DataFrame, label: str = "label", row_id: str = "row_id"
 
 
 def _rank_by_id(df: DataFrame, row_id: str, partition_by: Sequence[str] = (), out: str = "__rn",
-                n_buckets: int = 64) -> DataFrame:
+                n_buckets: int | None = None) -> DataFrame:
     """1-based rank by ``row_id`` (per partition) with equi-depth id buckets,
     so clustered ids never concentrate in one window task."""
     d = ranking.quantile_bucket(df, row_id, n_buckets)
@@ -273,7 +274,7 @@ def nearmiss_keep(n_major: int, n_minor: int, ratio: float) -> int:
 
 def nearmiss(df: DataFrame, ratio: float, label: str = "label", row_id: str = "row_id",
              vec: str = "embedding", k: int = schemas.NEARMISS_K, minority: int | None = None,
-             n_buckets: int = 64) -> DataFrame:
+             n_buckets: int | None = None) -> DataFrame:
     """Keep the majority rows with the smallest mean distance to their k
     nearest minority rows (ties: smaller id), until minority/majority = ratio.
 

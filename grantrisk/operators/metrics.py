@@ -61,7 +61,7 @@ def hard_scores(df: DataFrame, label: str = "label", pred: str = "prediction",
 
 
 def score_groups(df: DataFrame, label: str = "label", score: str = "probability",
-                 group: str | Sequence[str] | None = None, n_buckets: int = 64) -> DataFrame:
+                 group: str | Sequence[str] | None = None, n_buckets: int | None = None) -> DataFrame:
     """Per (group, distinct score): tp, fp, and running cumTP/cumFP in
     descending score order, plus class totals P and N of the group."""
     gs = _groups(group)

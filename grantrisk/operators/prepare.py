@@ -37,7 +37,7 @@ def fill_categories(df: DataFrame, cols: Sequence[str], token: str = schemas.MIS
 # -- O5 / G3: first-seen category codes ------------------------------------------
 
 def first_seen_codes(df: DataFrame, cols: Sequence[str], row_id: str,
-                     token: str = schemas.MISSING, n_buckets: int = 16) -> DataFrame:
+                     token: str = schemas.MISSING, n_buckets: int | None = None) -> DataFrame:
     """(column, value, code), codes 0.. in order of first appearance.
 
     "Appearance" is the order of ``row_id``; NULL counts as ``token``.  The

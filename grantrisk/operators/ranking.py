@@ -22,6 +22,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BUCKETS = 64
+MAX_BUCKETS = 1 << 17
+
+
+def default_buckets(spark) -> int:
+    """Buckets per group: at least 64, otherwise the session's shuffle
+    partition count (so window parallelism grows with the cluster), capped so
+    the broadcast offset table stays small (groups x 2^17 rows at most)."""
+    try:
+        n = int(spark.conf.get("spark.sql.shuffle.partitions", "64"))
+    except (TypeError, ValueError):
+        n = DEFAULT_BUCKETS
+    return max(DEFAULT_BUCKETS, min(n, MAX_BUCKETS))
 
 
 def uniform_bucket(col: str | Column, n_buckets: int, upper: float) -> Column:
@@ -31,7 +43,7 @@ def uniform_bucket(col: str | Column, n_buckets: int, upper: float) -> Column:
     return F.least(F.greatest(b, F.lit(0)), F.lit(n_buckets - 1)).cast("int")
 
 
-def quantile_bucket(df: DataFrame, col: str, n_buckets: int = DEFAULT_BUCKETS,
+def quantile_bucket(df: DataFrame, col: str, n_buckets: int | None = None,
                     descending: bool = False) -> DataFrame:
     """Add ``__bucket`` from approximate quantiles of ``col`` (equi-depth).
 
@@ -39,8 +51,10 @@ def quantile_bucket(df: DataFrame, col: str, n_buckets: int = DEFAULT_BUCKETS,
     0 (ascending) or the last bucket (descending), i.e. they sort first/last
     consistently with ``asc_nulls_first``/``desc_nulls_last``.
     """
+    n_buckets = n_buckets or default_buckets(df.sparkSession)
     probs = [i / n_buckets for i in range(1, n_buckets)]
-    cuts = df.agg(F.percentile_approx(F.col(col).cast("double"), probs, 10000).alias("q")).first()["q"]
+    accuracy = max(10000, 10 * n_buckets)
+    cuts = df.agg(F.percentile_approx(F.col(col).cast("double"), probs, accuracy).alias("q")).first()["q"]
     splits = sorted({float(x) for x in (cuts or []) if x is not None})
     if not splits:  # one bucket (or no non-NULL values): nothing to cut
         return df.withColumn("__bucket", F.lit(0))

@@ -785,7 +785,7 @@ def q_shuffle(spark, sf):
     f = features(spark, sf).select(F.col("NR_CONVENIO").cast("bigint").alias("row_id"))
     f = f.withColumn("__mix", _mix_col("row_id", schemas.SEED))
     out = _rk.row_number_global(f, [F.col("__mix"), F.col("row_id")],
-                                _rk.uniform_bucket("__mix", 64, 2147483647), out="position")
+                                _rk.uniform_bucket("__mix", _rk.default_buckets(spark), 2147483647), out="position")
     return out.select("row_id", "position")
 
 
