@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexerModel, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grantrisk import schemas
@@ -249,6 +249,23 @@ class LinearPrep:
         x = standardize(impute_mean(df, self.stats), self.imputed_stats)
         return self.encoder.transform(fill_categories(x, self.cat))
 
+    def save(self, path: str) -> None:
+        """Statistics as a one-row table, encoder with the ML writer."""
+        import json
+        from dataclasses import asdict
+        spark = SparkSession.getActiveSession()
+        doc = json.dumps({"stats": asdict(self.stats), "imputed": asdict(self.imputed_stats), "cat": self.cat})
+        spark.createDataFrame([(doc,)], "doc string").write.mode("overwrite").parquet(f"{path}/stats")
+        self.encoder.write().overwrite().save(f"{path}/encoder")
+
+    @staticmethod
+    def load(path: str) -> "LinearPrep":
+        import json
+        spark = SparkSession.getActiveSession()
+        doc = json.loads(spark.read.parquet(f"{path}/stats").first()["doc"])
+        return LinearPrep(NumericStats(**doc["stats"]), NumericStats(**doc["imputed"]),
+                          PipelineModel.load(f"{path}/encoder"), doc["cat"])
+
 
 def linear_pipeline(df: DataFrame, num: Sequence[str], cat: Sequence[str], row_id: str,
                     out: str = "features", codes: DataFrame | None = None) -> tuple[LinearPrep, DataFrame]:

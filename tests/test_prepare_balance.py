@@ -89,3 +89,15 @@ def test_unknown_category_is_an_error(spark):
     new = spark.createDataFrame([(3, "zzz", 1.0)], "rid long, c string, x double")
     with pytest.raises((PySparkException, Py4JJavaError)):
         model.transform(new).collect()
+
+
+def test_linear_prep_save_load(spark):
+    from grantrisk.session import scratch_path
+    df = spark.createDataFrame([(1, "b", 1.0), (2, "a", None), (3, "a", 4.0)], "rid long, c string, x double")
+    model, _ = prep.linear_pipeline(df, ["x"], ["c"], "rid")
+    path = scratch_path(spark, "t_prep")
+    model.save(path)
+    back = prep.LinearPrep.load(path)
+    a = [r["features"].toArray().tolist() for r in model.transform(df).orderBy("rid").collect()]
+    b = [r["features"].toArray().tolist() for r in back.transform(df).orderBy("rid").collect()]
+    assert a == b
