@@ -175,6 +175,15 @@ def _scale(v: float | None) -> float:
     return 1.0 if v is None or v == 0.0 or math.isnan(v) else float(v)
 
 
+def is_constant(st: NumericStats, c: str) -> bool:
+    """Variance within floating error of 0 (see :func:`std_scale`)."""
+    s, m, n = st.std_pop[c], st.mean[c] or 0.0, st.count
+    if s is None or math.isnan(s):
+        return True
+    var = s * s
+    return var <= n * _EPS * var + (n * m * _EPS) ** 2
+
+
 def std_scale(st: NumericStats, c: str) -> float:
     """Deviation used to scale ``c``; 1 for (numerically) constant columns.
 
@@ -183,20 +192,22 @@ def std_scale(st: NumericStats, c: str) -> float:
     differs from 0.8 only in the last bit is constant, not noise blown up
     to unit variance.
     """
-    s, m, n = st.std_pop[c], st.mean[c] or 0.0, st.count
-    if s is None or math.isnan(s):
-        return 1.0
-    var = s * s
-    if var <= n * _EPS * var + (n * m * _EPS) ** 2:
-        return 1.0
-    return float(s)
+    return 1.0 if is_constant(st, c) else float(st.std_pop[c])
 
 
 def standardize(df: DataFrame, st: NumericStats, with_mean: bool = True) -> DataFrame:
-    """(x - mean) / population deviation; constant column -> scale 1."""
+    """(x - mean) / population deviation; constant column -> scale 1.
+
+    Centred constant columns are exactly 0 (not float noise around 0): a
+    learner that rescales features internally would otherwise divide by a
+    deviation of ~1e-16.
+    """
     out = {}
     for c in st.cols:
         x = F.col(c).cast("double")
+        if with_mean and is_constant(st, c):
+            out[c] = F.when(x.isNull(), F.lit(None).cast("double")).otherwise(F.lit(0.0))
+            continue
         if with_mean:
             x = x - F.lit(st.mean[c] or 0.0)
         out[c] = x / F.lit(std_scale(st, c))
