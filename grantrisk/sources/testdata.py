@@ -52,7 +52,8 @@ SELECT CAST(o_orderkey AS STRING) AS NR_CONVENIO,
        o_totalprice AS VL_GLOBAL_CONV,
        o_totalprice * 0.8 AS VL_REPASSE_CONV,
        o_totalprice * 0.2 AS VL_CONTRAPARTIDA_CONV,
-       CASE o_orderstatus WHEN 'F' THEN o_totalprice WHEN 'P' THEN o_totalprice * 0.5 END
+       CASE WHEN o_orderpriority = '5-LOW' THEN CAST(NULL AS DOUBLE)
+            ELSE o_totalprice * CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) / 5.0 END
            AS VL_DESEMBOLSADO_CONV,
        {_ddmmyyyy('o_orderdate')} AS DIA_INIC_VIGENC_CONV,
        CASE WHEN o_orderpriority = '3-MEDIUM' AND o_orderstatus = 'O'
