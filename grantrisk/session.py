@@ -8,7 +8,6 @@ folder named by ``spark.checkpoint.dir``.  Only when that setting is absent
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -50,6 +49,9 @@ def checkpoint_root(spark: SparkSession) -> str:
         current = sc.getCheckpointDir()
         if current:
             return current
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors "
+                               "(a machine-local temporary folder does not survive executor loss)")
         root = tempfile.mkdtemp(prefix="grantrisk-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
     if not sc.getCheckpointDir():
@@ -69,15 +71,6 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
-def is_local_path(path: str) -> bool:
-    return "://" not in path or path.startswith("file:")
-
-
-def ensure_parent(path: str) -> None:
-    if is_local_path(path):
-        os.makedirs(os.path.dirname(path.replace("file:", "")) or ".", exist_ok=True)
-
-
 def cluster_conf(total_input_bytes: int, cores: int, target_partition_bytes: int = 256 * 1024 * 1024) -> dict:
     """Submission settings sized for a large cluster (apply at job submit).
 
