@@ -67,7 +67,10 @@ def gbt(params: dict | None = None, features: str = "features", label: str = "la
                         featureSubsetStrategy=str(float(p["colsample_bytree"]))
                         if float(p["colsample_bytree"]) < 1.0 else "all",
                         minInfoGain=float(p["gamma"]), minInstancesPerNode=max(1, int(p["min_child_weight"])),
-                        maxBins=64, checkpointInterval=10, cacheNodeIds=True)
+                        maxBins=64, checkpointInterval=10,
+                        # node-id caching pays off only for deep trees; shallow
+                        # trees are cheaper to ship to the executors
+                        cacheNodeIds=int(p["max_depth"]) > 10)
     if weight:
         est.setWeightCol(weight)
     return est
