@@ -10,10 +10,11 @@ another engine) reproduces the same draw.  Per-class ranks use bucketed
 running counts (:mod:`grantrisk.operators.ranking`) instead of a window
 partitioned only by the label, which would put each class in one task.
 
-Neighbour search (R3/R4) is exact: the reference (minority) side is packed
-into arrays of a *checked* size, evaluated once as a scalar subquery; each
-query row computes its distances JVM-side with higher-order functions and
-keeps its k best.  When
+Neighbour search (R3/R4) is exact: the reference (minority) side is cut into
+chunks of a *checked* size; a chunk is broadcast once per executor and every
+query partition scores its Arrow batches against it with numpy (or, with
+``engine="sql"``, JVM-side with higher-order functions), keeping its k best.
+When
 the minority side exceeds one broadcast chunk it is split into chunks, each
 chunk yields k candidates per query, and a final per-query merge keeps the
 global k best — exact, no cross join, no unbounded broadcast.
@@ -161,31 +162,102 @@ def _sqdist(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x)
 
 
+def _nearest(qid, qmat, rid, rmat, k: int, exclude_self: bool):
+    """Exact k nearest rows of ``rmat`` for every row of ``qmat`` (numpy).
+
+    Squared distances are accumulated dimension by dimension from 0, the
+    same floating-point sequence as the SQL path, and the k best are ordered
+    by (distance, id) — ties at the k-th place are resolved by id exactly.
+    Returns (offsets, d2, ids) of a list<struct> column.
+    """
+    import numpy as np
+    n, m = len(qid), len(rid)
+    kk = min(k, m - 1 if exclude_self else m)
+    out_d, out_i = np.empty((n, max(kk, 0))), np.empty((n, max(kk, 0)), dtype=np.int64)
+    if kk <= 0 or n == 0:
+        return np.zeros(n + 1, dtype=np.int32), out_d.ravel(), out_i.ravel()
+    step = max(1, int(4e7 // max(1, m * 8)))  # keep each distance block ~40M cells
+    for lo in range(0, n, step):
+        hi = min(n, lo + step)
+        d2 = np.zeros((hi - lo, m))
+        for j in range(qmat.shape[1]):
+            diff = qmat[lo:hi, j][:, None] - rmat[None, :, j]
+            d2 += diff * diff
+        if exclude_self:
+            d2[qid[lo:hi][:, None] == rid[None, :]] = np.inf
+        part = np.argpartition(d2, kk - 1, axis=1)[:, :kk]
+        kth = np.take_along_axis(d2, part, axis=1).max(axis=1)
+        ties = (d2 <= kth[:, None]).sum(axis=1) > kk
+        for r in range(hi - lo):
+            cand = np.nonzero(d2[r] <= kth[r])[0] if ties[r] else part[r]
+            order = np.lexsort((rid[cand], d2[r, cand]))[:kk]
+            out_d[lo + r] = d2[r, cand[order]]
+            out_i[lo + r] = rid[cand[order]]
+    offsets = np.arange(0, n * kk + 1, kk, dtype=np.int32)
+    return offsets, out_d.ravel(), out_i.ravel()
+
+
+def _knn_chunk_numpy(q: DataFrame, chunk: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+    """One size-checked reference chunk, broadcast once per executor; query
+    rows stay partitioned by Spark and are scored batch-wise with numpy."""
+    import numpy as np
+    import pyarrow as pa
+    spark = q.sparkSession
+    tbl = chunk.select("__rid", "__rvec").toArrow()
+    rid = tbl.column("__rid").to_numpy().astype(np.int64)
+    vecs = tbl.column("__rvec").combine_chunks()
+    dim = len(vecs[0]) if len(vecs) else 0
+    rmat = vecs.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rid), dim)
+    bc = spark.sparkContext.broadcast((rid, rmat))
+    struct_t = pa.struct([("d2", pa.float64()), ("id", pa.int64())])
+
+    def score(batches):
+        r_ids, r_mat = bc.value
+        for b in batches:
+            qid = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            qv = b.column(1)
+            qmat = qv.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(qid), -1) \
+                if len(qid) else np.empty((0, r_mat.shape[1]))
+            offs, d2, ids = _nearest(qid, qmat, r_ids, r_mat, k, exclude_self)
+            nn = pa.ListArray.from_arrays(pa.array(offs, pa.int32()),
+                                          pa.StructArray.from_arrays([pa.array(d2), pa.array(ids)],
+                                                                     fields=list(struct_t)))
+            yield pa.RecordBatch.from_arrays([pa.array(qid, pa.int64()), nn], names=["__qid", "nn"])
+
+    return q.mapInArrow(score, "__qid bigint, nn array<struct<d2: double, id: bigint>>")
+
+
 def knn(queries: DataFrame, refs: DataFrame, k: int, row_id: str = "row_id", vec: str = "embedding",
-        exclude_self: bool = False, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+        exclude_self: bool = False, max_bytes: int = MAX_BROADCAST_BYTES, engine: str = "numpy") -> DataFrame:
     """Exact k nearest ``refs`` of every query row.
 
     Returns (row_id, nn) where ``nn`` is an array of (d2, id) structs sorted by
-    squared distance then id (ties broken by the smaller id).
+    squared distance then id (ties broken by the smaller id).  ``engine``:
+    ``"numpy"`` (default) scores Arrow batches against a broadcast chunk;
+    ``"sql"`` stays in the JVM with higher-order functions (interpreted,
+    slower).  Both give identical results.
     """
     dim = len(refs.select(vec).first()[vec] or [])
     n_ref = refs.count()
     per_row = 8 * (dim + 2) + 32
     chunk_rows = max(1, max_bytes // per_row)
     n_chunks = max(1, math.ceil(n_ref / chunk_rows))
-    r = refs.select(F.col(row_id).alias("__rid"), _as_double(vec).alias("__rvec"))
+    r = refs.select(F.col(row_id).cast("bigint").alias("__rid"), _as_double(vec).alias("__rvec"))
     if n_chunks > 1:
         r = _rank_by_id(r, "__rid", out="__rn")
         r = r.withColumn("__chunk", ((F.col("__rn") - 1) / F.lit(chunk_rows)).cast("int")).drop("__rn")
     else:
         r = r.withColumn("__chunk", F.lit(0))
-    q = queries.select(F.col(row_id).alias("__qid"), _as_double(vec).alias("__qvec"))
+    q = queries.select(F.col(row_id).cast("bigint").alias("__qid"), _as_double(vec).alias("__qvec"))
     parts = []
     for c in range(n_chunks):
+        chunk = r.filter(F.col("__chunk") == c)
+        if engine == "numpy":
+            parts.append(_knn_chunk_numpy(q, chunk, k, exclude_self))
+            continue
         # One value holding at most `chunk_rows` vectors (size checked above),
         # evaluated once as a scalar subquery and shipped with the tasks.
-        packed = r.filter(F.col("__chunk") == c).agg(
-            F.collect_list(F.struct("__rid", "__rvec")).alias("__refs"))
+        packed = chunk.agg(F.collect_list(F.struct("__rid", "__rvec")).alias("__refs"))
         cand = q.withColumn("__refs", packed.select("__refs").scalar())
         dists = F.transform("__refs", lambda e: F.struct(_sqdist(F.col("__qvec"), e["__rvec"]).alias("d2"),
                                                          e["__rid"].alias("id")))
@@ -198,7 +270,8 @@ def knn(queries: DataFrame, refs: DataFrame, k: int, row_id: str = "row_id", vec
     if n_chunks > 1:
         allc = allc.groupBy("__qid").agg(F.flatten(F.collect_list("nn")).alias("nn")) \
             .select("__qid", F.slice(F.array_sort("nn"), 1, k).alias("nn"))
-    return allc.withColumnRenamed("__qid", row_id)
+    out = allc.withColumnRenamed("__qid", row_id)
+    return out.withColumn(row_id, F.col(row_id).cast(dict(queries.dtypes)[row_id]))
 
 
 # -- R3 SMOTE ---------------------------------------------------------------------

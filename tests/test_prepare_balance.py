@@ -51,12 +51,19 @@ def test_nearmiss_counts_and_subset(spark):
         bal.smote(m, 0.01)
 
 
-def test_knn_chunked_equals_single_chunk(spark):
+def test_knn_engines_and_chunks_agree(spark):
     m = _matrix(spark, 60, 30)
+    m = m.unionByName(m.filter("label = 1").withColumn("row_id", F.col("row_id") + 500))  # exact ties
     mino, majo = m.filter("label = 1"), m.filter("label = 0")
-    one = {r["row_id"]: [e["id"] for e in r["nn"]] for r in bal.knn(majo, mino, 3).collect()}
-    many = {r["row_id"]: [e["id"] for e in r["nn"]] for r in bal.knn(majo, mino, 3, max_bytes=200).collect()}
-    assert one == many
+
+    def ids(df):
+        return {r["row_id"]: [(e["d2"], e["id"]) for e in r["nn"]] for r in df.collect()}
+    ref = ids(bal.knn(majo, mino, 3, engine="sql"))
+    assert ids(bal.knn(majo, mino, 3)) == ref
+    assert ids(bal.knn(majo, mino, 3, max_bytes=200)) == ref
+    assert ids(bal.knn(majo, mino, 3, max_bytes=200, engine="sql")) == ref
+    self_sql = ids(bal.knn(mino, mino, 4, exclude_self=True, engine="sql"))
+    assert ids(bal.knn(mino, mino, 4, exclude_self=True)) == self_sql
 
 
 def test_folds_and_holdout(spark):
