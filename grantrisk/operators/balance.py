@@ -176,7 +176,7 @@ def _nearest(qid, qmat, rid, rmat, k: int, exclude_self: bool):
     out_d, out_i = np.empty((n, max(kk, 0))), np.empty((n, max(kk, 0)), dtype=np.int64)
     if kk <= 0 or n == 0:
         return np.zeros(n + 1, dtype=np.int32), out_d.ravel(), out_i.ravel()
-    step = max(1, int(4e7 // max(1, m * 8)))  # keep each distance block ~40M cells
+    step = max(1, int(1e7 // max(1, m)))  # distance block of ~1e7 cells (80 MB) per task
     for lo in range(0, n, step):
         hi = min(n, lo + step)
         d2 = np.zeros((hi - lo, m))
