@@ -562,3 +562,26 @@ ORACLE["separator_report"] = (
     "CAST(length(value) - length(replace(value, ';', '')) AS INTEGER) AS seps_before, "
     f"CAST(length({_FIXED}) - length(replace({_FIXED}, ';', '')) AS INTEGER) AS seps_after FROM ({_LINES})) "
     "WHERE seps_before <> seps_after")
+
+
+def _linear_matrix_sql() -> str:
+    """Width and non-zero count of the linear matrix rows (variant 'all')."""
+    imp = ("la AS (SELECT NR_CONVENIO, TARGET AS label, " + ", ".join(
+        f"coalesce({c}, avg({c}) OVER ()) AS {c}" for c in _NUMF) + " FROM mi)")
+    # centre with the mean that was imputed (mean of the present values)
+    st = ("sa AS (SELECT (SELECT count(*) FROM la) AS n, " + ", ".join(
+        f"(SELECT avg({c}) FROM mi) AS m_{c}, (SELECT stddev_pop({c}) FROM la) AS s_{c}" for c in _NUMF) + ")")
+    eps = "2.220446049250313e-16"
+    terms = []
+    for c in _NUMF:
+        const = (f"(s_{c} IS NULL OR isnan(s_{c}) OR s_{c} * s_{c} <= n * {eps} * (s_{c} * s_{c}) "
+                 f"+ (n * m_{c} * {eps}) * (n * m_{c} * {eps}))")
+        terms.append(f"CASE WHEN {const} OR {c} - m_{c} = 0 THEN 0 ELSE 1 END")
+    width = ("(SELECT CAST(count(*) AS INTEGER) + " + str(len(_NUMF)) + " FROM (SELECT DISTINCT col, value FROM ("
+             + " UNION ALL ".join(f"SELECT '{c}' AS col, coalesce(CAST({c} AS VARCHAR), 'missing') AS value FROM mi"
+                                  for c in _CAT) + ")))")
+    nonzero = "CAST(" + " + ".join(terms) + f" + {len(_CAT)} AS INTEGER)"
+    return W(f"SELECT NR_CONVENIO, label, {width} AS width, {nonzero} AS nonzero FROM la, sa", imp, st)
+
+
+ORACLE["linear_matrix"] = _linear_matrix_sql()
