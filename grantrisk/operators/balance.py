@@ -61,6 +61,8 @@ def holdout_counts(counts: dict, test_share: float) -> dict:
     test part takes the rest of each class.
     """
     n = sum(counts.values())
+    if n == 0:
+        return {}
     n_test = math.ceil(test_share * n)
     n_train = n - n_test
     cont = {c: v * n_train / n for c, v in counts.items()}
@@ -84,10 +86,10 @@ def holdout_split(df: DataFrame, label: str = "label", row_id: str = "row_id",
     d = df.withColumn("__mix", mix(row_id, seed))
     d = ranking.row_number_global(d, [F.col("__mix"), F.col(row_id)],
                                   ranking.uniform_bucket("__mix", n_buckets, _P), [label], out="__rn")
-    limit = None
+    limit = F.lit(0)
     for c, n_c in k.items():
         cond = F.col(label).isNull() if c is None else (F.col(label) == F.lit(c))
-        limit = F.when(cond, F.lit(n_c)) if limit is None else limit.when(cond, F.lit(n_c))
+        limit = F.when(cond, F.lit(n_c)).otherwise(limit)
     is_test = F.col("__rn") <= limit
     return d.withColumn("split", F.when(is_test, F.lit("test")).otherwise(F.lit("train"))) \
         .drop("__mix", "__rn")
@@ -237,7 +239,10 @@ def knn(queries: DataFrame, refs: DataFrame, k: int, row_id: str = "row_id", vec
     ``"sql"`` stays in the JVM with higher-order functions (interpreted,
     slower).  Both give identical results.
     """
-    dim = len(refs.select(vec).first()[vec] or [])
+    first = refs.select(vec).first()
+    if first is None:  # no reference rows: every query gets an empty list
+        return queries.select(F.col(row_id), F.array().cast("array<struct<d2: double, id: bigint>>").alias("nn"))
+    dim = len(first[vec] or [])
     n_ref = refs.count()
     per_row = 8 * (dim + 2) + 32
     chunk_rows = max(1, max_bytes // per_row)

@@ -79,7 +79,8 @@ def score_groups(df: DataFrame, label: str = "label", score: str = "probability"
         g = g.join(F.broadcast(totals), on=gs, how="inner")
     else:
         t = totals.first()
-        g = g.withColumns({"P": F.lit(t["P"]), "N": F.lit(t["N"])})
+        p_, n_ = (t["P"], t["N"]) if t is not None else (0, 0)
+        g = g.withColumns({"P": F.lit(p_).cast("bigint"), "N": F.lit(n_).cast("bigint")})
     return g.drop("__bucket")
 
 

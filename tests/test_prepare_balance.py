@@ -108,3 +108,14 @@ def test_linear_prep_save_load(spark):
     a = [r["features"].toArray().tolist() for r in model.transform(df).orderBy("rid").collect()]
     b = [r["features"].toArray().tolist() for r in back.transform(df).orderBy("rid").collect()]
     assert a == b
+
+
+def test_empty_inputs(spark):
+    from grantrisk.operators import metrics as mx
+    empty = spark.createDataFrame([], "row_id long, label int, embedding array<float>")
+    m = _matrix(spark, 5, 2)
+    assert bal.knn(m, empty, 3).filter(F.size("nn") == 0).count() == 7
+    assert bal.holdout_counts({}, 0.1) == {}
+    assert bal.holdout_split(spark.createDataFrame([], "row_id long, label int")).count() == 0
+    p = spark.createDataFrame([], "label int, probability double, prediction int")
+    assert [r["roc_auc"] for r in mx.roc_auc(p).collect()] == [None]  # undefined area, as SQL aggregates
