@@ -250,3 +250,28 @@ def importances(model, names: Sequence[tuple[int, str]], top: int = 10) -> DataF
     rows = [(i, name.get(i, f"f{i}"), float(v)) for i, v in enumerate(imp)]
     df = spark.createDataFrame(rows, "idx int, name string, importance double")
     return df.orderBy(F.col("importance").desc(), "idx").limit(top)
+
+
+def grid_search_cv(spark: SparkSession, estimator, grid: dict[str, Sequence], df: DataFrame,
+                   fold: str = "fold", parallelism: int = 2, seed: int = schemas.SEED) -> DataFrame:
+    """M7 with Spark ML's ``CrossValidator``: candidates from ``grid`` (keys
+    are estimator parameter names), folds from the ``fold`` column (exact
+    stratified folds), candidate fits run ``parallelism`` at a time.  The
+    evaluator keeps every threshold (``numBins=0``), so the ROC area is exact.
+    Returns the trials table (trial, score, params...)."""
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+    b = ParamGridBuilder()
+    for name, vals in grid.items():
+        b = b.addGrid(estimator.getParam(name), list(vals))
+    maps = b.build()
+    ev = BinaryClassificationEvaluator(labelCol=estimator.getLabelCol(), rawPredictionCol="rawPrediction",
+                                       metricName="areaUnderROC", numBins=0)
+    cv = CrossValidator(estimator=estimator, estimatorParamMaps=maps, evaluator=ev, foldCol=fold,
+                        parallelism=parallelism, seed=seed)
+    model = cv.fit(df.withColumn(fold, F.col(fold).cast("int")))
+    keys = list(grid)
+    rows = [tuple([i, float(score)] + [float(pm[estimator.getParam(k)]) for k in keys])
+            for i, (pm, score) in enumerate(zip(maps, model.avgMetrics))]
+    schema = "trial int, score double" + "".join(f", {k} double" for k in keys)
+    return spark.createDataFrame(rows, schema)

@@ -829,3 +829,13 @@ def q_sep_report(spark, sf):
     src = scratch_path(spark, "pages_txt")
     _t(spark, sf, "pages").select(F.col("html").alias("value")).write.text(src)
     return txt.repair_report(spark, src)
+
+
+@query("grid_search_cv")
+def q_grid_cv(spark, sf):
+    """M7 with CrossValidator(foldCol, parallelism): two logistic regularisation
+    strengths (reduced budget), exact 3-fold stratified folds."""
+    m = _mats(spark, sf)
+    df = bal.stratified_folds(m.linear.filter(F.col("split") == "train"), "label", "row_id", k=3)
+    est = learn.logit(None, n_rows=df.count())
+    return learn.grid_search_cv(spark, est, {"regParam": [1e-3, 1e-1]}, df)
