@@ -553,6 +553,18 @@ def _mats(spark, sf, variant="sem_municipio_orgao"):
     return _MATRIX_CACHE[key]
 
 
+_SMALL_RESULTS: dict = {}
+
+
+def _memo(spark, sf, name, build):
+    """Small driver-built result tables (fold metrics, trials) reused by the
+    queries that summarise them, once per session and folder."""
+    key = (id(spark), id(spark.sparkContext), sf, name)
+    if key not in _SMALL_RESULTS:
+        _SMALL_RESULTS[key] = build()
+    return _SMALL_RESULTS[key]
+
+
 def _long(rows, variant):
     return rows.select(F.lit(variant).alias("variant"), "classifier", "metric", "value")
 
@@ -597,9 +609,11 @@ def _train_folds(m, which="linear"):
 @query("fold_metrics")
 def q_fold_metrics(spark, sf):
     """M6: six metrics per fold of a 10-fold logistic run."""
-    m = _mats(spark, sf)
-    df = _train_folds(m)
-    return learn.kfold_metrics(lambda tr: train.make_estimator("logit", None, tr), df, classifier="logit")
+    def build():
+        m = _mats(spark, sf)
+        df = _train_folds(m)
+        return learn.kfold_metrics(lambda tr: train.make_estimator("logit", None, tr), df, classifier="logit")
+    return _memo(spark, sf, "fold_metrics", build)
 
 
 @query("fold_summary")
@@ -628,11 +642,13 @@ def q_grid(spark, sf):
 @query("random_search")
 def q_random(spark, sf):
     """Seeded random search of the logistic space (4 draws, 3 folds)."""
-    m = _mats(spark, sf)
-    df = bal.stratified_folds(m.linear.filter(F.col("split") == "train"), "label", "row_id", k=3)
-    cands = learn.draw_candidates(learn.LOGIT_SPACE, 4)
-    return learn.search(spark, lambda c, tr: train.make_estimator("logit", c, tr), cands, df,
-                        metric="average_precision", k=3)
+    def build():
+        m = _mats(spark, sf)
+        df = bal.stratified_folds(m.linear.filter(F.col("split") == "train"), "label", "row_id", k=3)
+        cands = learn.draw_candidates(learn.LOGIT_SPACE, 4)
+        return learn.search(spark, lambda c, tr: train.make_estimator("logit", c, tr), cands, df,
+                            metric="average_precision", k=3)
+    return _memo(spark, sf, "random_search", build)
 
 
 @query("best_refit")
