@@ -45,11 +45,11 @@ def model_frame(features: DataFrame, variant: str, agency: str | None = None) ->
 
 def build_matrices(features: DataFrame, variant: str, checkpoint: bool = True,
                    pos_weight: float = schemas.DEFAULT_POS_WEIGHT) -> Matrices:
-    mi = model_frame(features, variant)
+    # the feature pipeline runs once; the split's passes read the checkpoint
+    mi = cut_lineage(model_frame(features, variant))
     num = [c for c in schemas.NUMERIC_FEATURES if c in mi.columns]
     cat = [c for c in schemas.CATEGORICAL_FEATURES if c in mi.columns]
-    split = bal.holdout_split(mi.select(ROW_ID, LABEL)).select(ROW_ID, "split")
-    mi = cut_lineage(mi.join(split, on=ROW_ID))
+    mi = cut_lineage(bal.holdout_split(mi, LABEL, ROW_ID))
     codes = cut_lineage(prep.first_seen_codes(mi, cat, ROW_ID))  # one code table for both matrices
     tree_model, _ = prep.tree_pipeline(mi, num, cat, ROW_ID, codes=codes)
     tree = learn.strip_nominal(prep.transform(tree_model, mi, cat))
