@@ -170,14 +170,15 @@ def _nearest(qid, qmat, rid, rmat, k: int, exclude_self: bool):
     Squared distances are accumulated dimension by dimension from 0, the
     same floating-point sequence as the SQL path, and the k best are ordered
     by (distance, id) — ties at the k-th place are resolved by id exactly.
-    Returns (offsets, d2, ids) of a list<struct> column.
+    A query's own row (``exclude_self``) is masked out only where it is
+    present.  Returns (offsets, d2, ids) of a list<struct> column.
     """
     import numpy as np
     n, m = len(qid), len(rid)
-    kk = min(k, m - 1 if exclude_self else m)
-    out_d, out_i = np.empty((n, max(kk, 0))), np.empty((n, max(kk, 0)), dtype=np.int64)
+    kk = min(k, m)
     if kk <= 0 or n == 0:
-        return np.zeros(n + 1, dtype=np.int32), out_d.ravel(), out_i.ravel()
+        return np.zeros(n + 1, dtype=np.int32), np.empty(0), np.empty(0, dtype=np.int64)
+    out_d, out_i = np.empty((n, kk)), np.empty((n, kk), dtype=np.int64)
     step = max(1, int(1e7 // max(1, m)))  # distance block of ~1e7 cells (80 MB) per task
     for lo in range(0, n, step):
         hi = min(n, lo + step)
@@ -195,8 +196,9 @@ def _nearest(qid, qmat, rid, rmat, k: int, exclude_self: bool):
             order = np.lexsort((rid[cand], d2[r, cand]))[:kk]
             out_d[lo + r] = d2[r, cand[order]]
             out_i[lo + r] = rid[cand[order]]
-    offsets = np.arange(0, n * kk + 1, kk, dtype=np.int32)
-    return offsets, out_d.ravel(), out_i.ravel()
+    keep = np.isfinite(out_d)  # drops the masked own row, if it was among the k
+    offsets = np.concatenate([[0], np.cumsum(keep.sum(axis=1))]).astype(np.int32)
+    return offsets, out_d[keep], out_i[keep]
 
 
 def _knn_chunk_numpy(q: DataFrame, chunk: DataFrame, k: int, exclude_self: bool) -> DataFrame:

@@ -64,6 +64,8 @@ def test_knn_engines_and_chunks_agree(spark):
     assert ids(bal.knn(majo, mino, 3, max_bytes=200, engine="sql")) == ref
     self_sql = ids(bal.knn(mino, mino, 4, exclude_self=True, engine="sql"))
     assert ids(bal.knn(mino, mino, 4, exclude_self=True)) == self_sql
+    assert ids(bal.knn(mino, mino, 4, exclude_self=True, max_bytes=200)) == self_sql
+    assert ids(bal.knn(mino, mino, 4, exclude_self=True, max_bytes=200, engine="sql")) == self_sql
 
 
 def test_folds_and_holdout(spark):
