@@ -34,6 +34,17 @@ from grantrisk.operators import ranking
 from grantrisk.session import cut_lineage
 
 _P = 2147483647
+
+# The neighbour kernel runs in Python workers; pickling this module's
+# functions by value ships them with the task, so executors need no copy of
+# the package on their path.
+try:
+    import sys as _sys
+
+    from pyspark import cloudpickle as _cloudpickle
+    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # noqa: BLE001 - older cloudpickle: rely on --py-files
+    pass
 # Largest packed reference chunk broadcast to every task (bytes, estimated).
 MAX_BROADCAST_BYTES = 256 * 1024 * 1024
 
