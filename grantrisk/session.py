@@ -53,7 +53,6 @@ def checkpoint_root(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors "
                                "(a machine-local temporary folder does not survive executor loss)")
         root = tempfile.mkdtemp(prefix="grantrisk-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(root)
     return root
