@@ -41,4 +41,29 @@ SELECT page_id, o.host, o.path, x.rule AS rule,
 FROM o JOIN u USING (host) LEFT JOIN fit ON fit.host = o.host AND fit.path = o.path
 """
 
-ORACLE: dict[str, str] = {"op8_url_filter": OP8}
+OP10 = r"""
+WITH d AS (
+  SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size,
+         length(regexp_replace(text, '[^\p{L}]+', '', 'g'))::DOUBLE AS letters,
+         length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS solid,
+         (('0x' || substr(md5('0|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
+  FROM documents),
+k AS (SELECT doc_id, source, size, -ln(u) / coalesce(greatest(CASE WHEN solid > 0 THEN letters / solid END, 0.05), 0.05) AS key FROM d),
+s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM k GROUP BY source),
+s1 AS (SELECT *, [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3]::DOUBLE AS w, 3.0::DOUBLE * source_size AS cap FROM s0),
+s2 AS (SELECT *, sum(cap) OVER o AS caps, sum(w) OVER o AS ws, sum(source_size) OVER () AS total, sum(w) OVER () AS weights
+       FROM s1 WINDOW o AS (ORDER BY cap / w, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+grow AS (SELECT a.source, (SELECT coalesce(sum(b.cap), 0) FROM s2 b WHERE b.cap / b.w <= a.cap / a.w) AS held,
+                (SELECT coalesce(sum(b.w), 0) FROM s2 b WHERE b.cap / b.w > a.cap / a.w) AS free, a.cap / a.w AS t, a.total FROM s2 a),
+level AS (SELECT max(l) AS level FROM (
+            SELECT total::DOUBLE / weights AS l FROM s2
+            UNION ALL SELECT (total - held) / free FROM grow WHERE free > 0 AND t <= (total - held) / free)),
+t AS (SELECT source, source_size, least(cap, level * w) AS target FROM s1, level),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs FROM t),
+r AS (SELECT k.*, source_size, target, epochs, target - epochs * source_size AS rest,
+             sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) - size / 2.0 AS middle
+      FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, source_size, target, (size * (epochs + CASE WHEN middle <= rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM r
+"""
+
+ORACLE: dict[str, str] = {"op8_url_filter": OP8, "op10_mixing": OP10}

@@ -7,13 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import urls
-from .common import table
+from . import mixing, sharding, urls
+from .common import staged, table
 
 URL_RULES = (urls.Rule("allow", "org/"), urls.Rule("block", "example.org/es/"), urls.Rule("block", "example.org/en/1"),
              urls.Rule("allow", "com/fr/"), urls.Rule("block", "com/de/"))
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of near equal bytes (tokens and rows balanced as well)."""
+    out = sharding.shard_documents(table(spark, sf_dir, "documents"), 40)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"),
+                      F.lit(None).cast("int").alias("grown_shard"), "tokens")
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict for every page: the five rules, else the host's reputation from its pages' weak labels."""
     pages = table(spark, sf_dir, "pages")
@@ -22,6 +29,15 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of weights 5, 2, 1 over the sources takes of every document."""
+    items = staged(mixing.items_of(table(spark, sf_dir, "documents")), "mix-items")
+    mixed = mixing.apply_mix(items, mixing.plan_mix(items, (5, 2, 1), 1.0, 3.0))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
     "op8_url_filter": op8_url_filter,
+    "op10_mixing": op10_mixing,
 }
