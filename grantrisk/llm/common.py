@@ -43,10 +43,9 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def crc32_of_id(col: str | Column) -> Column:
-    """crc32 of an id written as text (NULL: of the empty text)."""
-    c = F.col(col) if isinstance(col, str) else col
-    return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary"))
+def in_fold(col: str, parts: int, part: int) -> Column:
+    """True for ids whose crc32 as text (NULL: as the empty text) leaves ``part`` modulo ``parts``."""
+    return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % parts == part
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:

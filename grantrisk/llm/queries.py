@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from . import mixing, sharding, urls
-from .common import staged, table
+from . import bpe, langid, mixing, sharding, urls
+from .common import in_fold, staged, table
+
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+#: Count and digests of a text's ids and decoded bytes.
+BPE_DIGESTS = {
+    "n_tokens": (T.LongType(), lambda ids, raw: len(ids)),
+    "ids_sha256": (T.StringType(), lambda ids, raw: hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest()),
+    "decoded_sha256": (T.StringType(), lambda ids, raw: hashlib.sha256(raw).hexdigest()),
+}
 
 URL_RULES = (urls.Rule("allow", "org/"), urls.Rule("block", "example.org/es/"), urls.Rule("block", "example.org/en/1"),
              urls.Rule("allow", "com/fr/"), urls.Rule("block", "com/de/"))
@@ -21,6 +32,18 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"), "tokens")
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count and digests of ids and decoded bytes of every document."""
+    return bpe.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), RANKS, BPE_DIGESTS, keep_text=False)
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from the documents outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~in_fold("doc_id", 5, 0)))
+    return langid.predict(docs, model).select("doc_id", in_fold("doc_id", 5, 0).alias("held_out"), "lang_pred", "score")
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict for every page: the five rules, else the host's reputation from its pages' weak labels."""
     pages = table(spark, sf_dir, "pages")
@@ -38,6 +61,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op5_bpe": op5_bpe,
+    "op6_language": op6_language,
     "op8_url_filter": op8_url_filter,
     "op10_mixing": op10_mixing,
 }
