@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import bpe, langid, mixing, sharding, urls
+from . import bpe, fertility, langid, mixing, quality, sharding, urls
 from .common import in_fold, staged, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -32,6 +32,15 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"), "tokens")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated quality score of every document, learnt from labels outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(~in_fold("doc_id", 3, 1))
+    scored = quality.score(docs, quality.fit(docs, labels))
+    return scored.select("doc_id", in_fold("doc_id", 3, 1).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and digests of ids and decoded bytes of every document."""
     return bpe.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), RANKS, BPE_DIGESTS, keep_text=False)
@@ -52,6 +61,16 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdict of every document: base rules, then bands of tokeniser fertility per language."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    frame = staged(fertility.measured(docs, into="m").drop("text"), "fertility")
+    counts = [f"m.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return fertility.judged(frame, "m").select(
+        "doc_id", *counts, F.col("m_failed").alias("base_failed"), F.col("m_kept").alias("kept"),
+        "m.chars_per_token", "m.byte_share", "m.token_entropy")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of weights 5, 2, 1 over the sources takes of every document."""
     items = staged(mixing.items_of(table(spark, sf_dir, "documents")), "mix-items")
@@ -61,8 +80,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_quality": op2_quality,
     "op5_bpe": op5_bpe,
     "op6_language": op6_language,
     "op8_url_filter": op8_url_filter,
+    "op9_quality_rules": op9_quality_rules,
     "op10_mixing": op10_mixing,
 }
