@@ -41,6 +41,18 @@ SELECT page_id, o.host, o.path, x.rule AS rule,
 FROM o JOIN u USING (host) LEFT JOIN fit ON fit.host = o.host AND fit.path = o.path
 """
 
+OP4 = f"""
+WITH l AS (
+  SELECT doc_id, i, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UPPER}', '{UPPER.lower()}') AS key
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+               generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)),
+r AS (SELECT key, min(doc_id) AS first FROM l WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1),
+m AS (SELECT l.*, r.key IS NOT NULL AND l.doc_id <> r.first AS gone FROM l LEFT JOIN r USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
 OP10 = r"""
 WITH d AS (
   SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size,
@@ -66,4 +78,4 @@ r AS (SELECT k.*, source_size, target, epochs, target - epochs * source_size AS
 SELECT doc_id, size, source_size, target, (size * (epochs + CASE WHEN middle <= rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM r
 """
 
-ORACLE: dict[str, str] = {"op8_url_filter": OP8, "op10_mixing": OP10}
+ORACLE: dict[str, str] = {"op4_line_dedup": OP4, "op8_url_filter": OP8, "op10_mixing": OP10}

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import bpe, fertility, langid, mixing, quality, sharding, urls
+from . import bpe, fertility, langid, lines, mixing, quality, sharding, urls
 from .common import in_fold, staged, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -41,6 +41,14 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines before and dropped, and a digest of what stays, of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = lines.drop_lines(docs, counts=("n_lines", "n_dropped"))
+    return kept.select("doc_id", "n_lines", "n_dropped",
+                       F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and digests of ids and decoded bytes of every document."""
     return bpe.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), RANKS, BPE_DIGESTS, keep_text=False)
@@ -81,6 +89,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_quality": op2_quality,
+    "op4_line_dedup": op4_line_dedup,
     "op5_bpe": op5_bpe,
     "op6_language": op6_language,
     "op8_url_filter": op8_url_filter,
