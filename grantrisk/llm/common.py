@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,3 +82,59 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
                 e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         before = now
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def in_blocks(rows: DataFrame, key: list[str], member: str, limit: int) -> DataFrame:
+    """Split the groups of ``key`` so that every pair of members meets in a task-sized group.
+
+    Groups of up to ``limit`` rows stay whole.  Larger ones are cut by a hash
+    of ``member`` into blocks of about ``limit`` rows, and each row goes to
+    every pair of blocks that its own belongs to.  Adds ``block`` and
+    ``pair`` (i * 2**31 + j, i <= j); (key, pair) is the new group, of about
+    2 * limit rows at most.  Rows i != j of one pair of blocks need comparing
+    across the blocks only.
+    """
+    blocks = F.ceil(F.col("n") / F.lit(limit)).cast("int").alias("blocks")
+    hot = rows.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > limit).select(*key, blocks)
+    out = rows.join(hot, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    out = out.withColumn("block", F.pmod(F.xxhash64(member), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    out = out.withColumn("other", other)
+    pair = F.least("block", "other").cast("long") * F.lit(1 << 31) + F.greatest("block", "other")
+    return out.withColumn("pair", pair).drop("other", "blocks")
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links a[i] - b[i] as a forest of stars: the nodes that aren't the smallest of their tree, and their roots."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    left, right, label = at[:len(a)], at[len(a):], np.arange(len(nodes))
+    while True:
+        least, new = np.minimum(label[left], label[right]), label.copy()
+        np.minimum.at(new, left, least)
+        np.minimum.at(new, right, least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    below = label != np.arange(len(nodes))
+    return nodes[below], nodes[label[below]]
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Whole groups of rows that arrive sorted by the long columns ``keys``: (rows, start of each group and the end)."""
+    rest = None
+    for batch in batches:
+        if rest is not None and rest.num_rows:
+            batch = pa.concat_batches([rest, batch])
+        if not batch.num_rows:
+            continue
+        change = np.zeros(batch.num_rows, dtype=bool)
+        for k in keys:
+            values = batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False)
+            change[1:] |= values[1:] != values[:-1]
+        starts = np.concatenate([[0], np.flatnonzero(change)])
+        if starts[-1]:
+            yield batch.slice(0, starts[-1]), starts
+        rest = batch.slice(starts[-1])
+    if rest is not None and rest.num_rows:
+        yield rest, np.array([0, rest.num_rows])

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import bpe, fertility, langid, lines, mixing, quality, sharding, urls
+from . import bpe, fertility, langid, lines, mixing, quality, sharding, simhash, urls
 from .common import in_fold, staged, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -61,6 +61,12 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", in_fold("doc_id", 5, 0).alias("held_out"), "lang_pred", "score")
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of four-word shingles and near-duplicate group (at most 4 bits apart) of every document."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict for every page: the five rules, else the host's reputation from its pages' weak labels."""
     pages = table(spark, sf_dir, "pages")
@@ -92,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op5_bpe": op5_bpe,
     "op6_language": op6_language,
+    "op7_simhash": op7_simhash,
     "op8_url_filter": op8_url_filter,
     "op9_quality_rules": op9_quality_rules,
     "op10_mixing": op10_mixing,
