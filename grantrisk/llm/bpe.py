@@ -10,6 +10,7 @@ whole text while each call to the library sees a bounded piece.
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 from collections.abc import Callable, Iterator, Sequence
 
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Cut texts into pieces of about so many characters.
 PIECE = 1 << 16
 #: Give batches of about so many bytes of text back to Spark.
@@ -27,6 +29,12 @@ BATCH_BYTES = 16 << 20
 
 #: From a text's ids and decoded bytes, a value of the Spark type.
 Derived = tuple[T.DataType, Callable[[np.ndarray, bytes], object]]
+#: Count of ids, digest of the ids as little-endian unsigned 32-bit integers, digest of the decoded bytes.
+DIGESTS: dict[str, Derived] = {
+    "n_tokens": (T.LongType(), lambda ids, raw: len(ids)),
+    "ids_sha256": (T.StringType(), lambda ids, raw: hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest()),
+    "decoded_sha256": (T.StringType(), lambda ids, raw: hashlib.sha256(raw).hexdigest()),
+}
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

@@ -204,7 +204,7 @@ def drop_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("__id"),
                        F.col(text_col).cast("string").alias("__text"))
     joined = held.join(drops, held["__id"].eqNullSafe(drops["id"]), "left").drop("id")
-    n, gone = counts or ("__n", "__gone")
+    n, gone = counts or (into, into)
     kept = [f for f in docs.schema.fields if f.name.lower() not in {into.lower(), n.lower(), gone.lower()}]
     flat = joined.select(*[F.col("row").getField(f.name).alias(f.name) for f in kept], F.col("__text").alias(t), F.col("digests").alias(d))
     schema = T.StructType([*kept, T.StructField(into, T.StringType()), *([T.StructField(x, T.LongType()) for x in counts or ()])])

@@ -2,25 +2,15 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 
-import public_tokenizers
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from . import bpe, fertility, langid, lines, mixing, quality, sharding, simhash, urls
+from . import bpe, fertility, langid, lines, mixing, quality, sharding, simhash, urls, vectors
 from .common import in_fold, staged, table
 
-RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-#: Count and digests of a text's ids and decoded bytes.
-BPE_DIGESTS = {
-    "n_tokens": (T.LongType(), lambda ids, raw: len(ids)),
-    "ids_sha256": (T.StringType(), lambda ids, raw: hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest()),
-    "decoded_sha256": (T.StringType(), lambda ids, raw: hashlib.sha256(raw).hexdigest()),
-}
-
 URL_RULES = (urls.Rule("allow", "org/"), urls.Rule("block", "example.org/es/"), urls.Rule("block", "example.org/en/1"),
              urls.Rule("allow", "com/fr/"), urls.Rule("block", "com/de/"))
 
@@ -41,6 +31,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of cosine 0.98 or more within a label, and their groups, for every embedding."""
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), 0.98)
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines before and dropped, and a digest of what stays, of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -51,7 +46,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and digests of ids and decoded bytes of every document."""
-    return bpe.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), RANKS, BPE_DIGESTS, keep_text=False)
+    return bpe.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), bpe.RANKS, bpe.DIGESTS, keep_text=False)
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +90,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_quality": op2_quality,
+    "op3_embeddings": op3_embeddings,
     "op4_line_dedup": op4_line_dedup,
     "op5_bpe": op5_bpe,
     "op6_language": op6_language,
@@ -102,4 +98,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_quality_rules": op9_quality_rules,
     "op10_mixing": op10_mixing,
+    "pipeline": corpus_pipeline.run,
 }
