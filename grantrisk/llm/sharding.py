@@ -29,11 +29,17 @@ SLOT_BUCKETS = 1024
 
 
 def place(vectors: np.ndarray, n_shards: int) -> np.ndarray:
-    """Shard of each vector (rows of shares of the total times n_shards): dot-product placement, largest first."""
+    """Shard of each vector, in units of a shard's capacity: dot-product placement, largest first.
+
+    Among the shards that can take the vector, the one whose residual has the
+    highest dot product with it; among all of them when none can.
+    """
     residual = np.ones((n_shards, vectors.shape[1]))
     shard = np.zeros(len(vectors), dtype=np.int64)
     for i in np.lexsort((np.arange(len(vectors)), -vectors.sum(axis=1), -vectors.max(axis=1))):
-        shard[i] = k = int(np.argmax(residual @ vectors[i]))
+        score = residual @ vectors[i]
+        fits = (residual >= vectors[i]).all(axis=1)
+        shard[i] = k = int(np.argmax(np.where(fits, score, -np.inf) if fits.any() else score))
         residual[k] -= vectors[i]
     return shard
 
