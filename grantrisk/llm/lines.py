@@ -214,7 +214,7 @@ def drop_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
             texts, befores, dropped = [], [], []
             for text, digests in zip(batch.column(len(kept)), batch.column(len(kept) + 1)):
                 text, digests = text.as_py(), digests.as_py()
-                if digests is None:
+                if digests is None or text is None:
                     texts.append(text)
                     befores.append((text or "").count("\n") + 1)
                     dropped.append(0)
