@@ -182,6 +182,8 @@ def lines_to_drop(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     first = F.min("id")
     repeats = found.groupBy("digest").agg(first.alias("first"), F.max("id").alias("last"), F.max(F.col("id").isNull()).alias("odd")) \
         .where("first <> last or (odd and first is not null)")
+    # Written first: a join of two plain tables can split the suspects of a frequent line.
+    repeats = staged(repeats.select("digest", "first"), "repeats")
     gone = found.join(repeats, "digest").where("id is null or id <> first")
     return gone.groupBy("id").agg(F.collect_set("digest").alias("digests"))
 
