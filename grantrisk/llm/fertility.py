@@ -177,7 +177,9 @@ def judged(frame: DataFrame, m: str, lang_col: str | None = "lang") -> DataFrame
     has no words and fails, a NULL language is judged with its script.
     """
     group = group_of(F.col(lang_col) if lang_col else None, F.col(f"{m}.script"))
-    out = frame.withColumn(f"{m}_group", group).join(bands(frame, group, m), F.col(f"{m}_group") == F.col(f"{m}_of"), "left")
+    # Written first: a table of a few rows whose known size lets the join broadcast it.
+    limits = staged(bands(frame, group, m), "bands")
+    out = frame.withColumn(f"{m}_group", group).join(limits, F.col(f"{m}_group") == F.col(f"{m}_of"), "left")
     out = out.withColumn(f"{m}_failed", base_failed(m)).withColumn(f"{m}_kept", ~base_failed(m) & in_bands(m))
     return out.drop(f"{m}_group", f"{m}_of", f"{m}_typical", *[f"{m}_{x}" for x in FIGURES])
 
