@@ -24,6 +24,7 @@ def main(argv: list[str] | None = None) -> None:
     e.add_argument("--bucket-root")
     e.add_argument("--buckets", type=int, default=0)
     e.add_argument("--compat", action="store_true")
+    e.add_argument("--allow-missing", action="store_true", help="columns that the extracts lack become NULL")
     r = sub.add_parser("report")
     r.add_argument("--features", required=True)
     r.add_argument("--predictions")
@@ -44,7 +45,7 @@ def main(argv: list[str] | None = None) -> None:
     checkpoint_root(spark)
     if a.cmd == "etl":
         from grantrisk.plans import etl
-        etl.run_etl(spark, a.extracts, a.out, a.csv, a.bucket_root, a.buckets, a.compat)
+        etl.run_etl(spark, a.extracts, a.out, a.csv, a.bucket_root, a.buckets, a.compat, a.allow_missing)
     elif a.cmd == "report":
         from grantrisk.plans import report
         preds = spark.read.parquet(a.predictions) if a.predictions else None

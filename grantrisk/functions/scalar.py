@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from grantrisk import schemas
 
-_MIX_MOD = 2147483647
+MIX_RANGE = 1 << 60
 
 
 def _c(c: str | Column) -> Column:
@@ -19,21 +19,20 @@ def _c(c: str | Column) -> Column:
 
 
 def mix(i: str | Column, seed: int) -> Column:
-    """Portable pseudo-random integer in [0, 2^31-1) from an id and a seed.
+    """Portable pseudo-random integer in [0, 2^60) from an id and a seed.
 
-    ``((i*48271 + seed*7919) mod p) * 16807 mod p`` on BIGINT, with p = 2^31-1.
-    Every intermediate stays below 2^62, so the same value is produced by any
-    SQL engine with 64-bit integers; it is stable across retries because it
-    depends only on the row's id, never on partitioning.
+    The first 15 hexadecimal digits of the md5 of ``seed|id``: defined for
+    every id, the same in any SQL engine with md5, independent for different
+    seeds, and stable across retries because it depends only on the row's
+    id, never on partitioning.  A NULL id counts as the empty text.
     """
-    i = _c(i).cast("bigint")
-    a = F.pmod(i * F.lit(48271) + F.lit(seed * 7919), F.lit(_MIX_MOD))
-    return F.pmod(a * F.lit(16807), F.lit(_MIX_MOD))
+    text = F.concat(F.lit(f"{seed}|"), F.coalesce(_c(i).cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("bigint")
 
 
 def uniform01(i: str | Column, seed: int) -> Column:
     """``mix`` scaled to [0, 1)."""
-    return mix(i, seed).cast("double") / F.lit(float(_MIX_MOD))
+    return mix(i, seed).cast("double") / F.lit(float(MIX_RANGE))
 
 
 def fill_zero_expr(c: str, dtype: str | None = None) -> Column:
@@ -97,7 +96,21 @@ def decimal_comma_to_double(c: str | Column) -> Column:
 
 
 def double_to_decimal_comma(c: str | Column) -> Column:
-    """F10 inverse: number -> plain text with a decimal comma (no exponent, no grouping)."""
-    plain = _c(c).try_cast("decimal(38,12)").cast("string")
-    plain = F.regexp_replace(plain, r"\.?0+$", "")
-    return F.translate(plain, ".", ",")
+    """F10 inverse: double -> plain text with a decimal comma (no exponent, no grouping).
+
+    The shortest text that reads back as the same double, its exponent
+    written out.  NaN becomes NULL; infinities keep their names.
+    """
+    x = F.nanvl(_c(c).cast("double"), F.lit(None).cast("double"))
+    text = x.cast("string")
+    shape = r"^-?(\d+)\.(\d+?)0*(?:E(-?\d+))?$"
+    whole, part, exponent = (F.regexp_extract(text, shape, i) for i in (1, 2, 3))
+    part = F.when(part == "0", "").otherwise(part)
+    digits = F.concat(whole, part)
+    point = F.length(whole) + F.when(exponent == "", 0).otherwise(exponent.try_cast("int"))
+    padded = F.when(point <= 0, F.concat(F.repeat(F.lit("0"), 1 - point), digits)) \
+        .otherwise(F.rpad(digits, F.greatest(point, F.length(digits)), "0"))
+    point = F.greatest(point, F.lit(1))
+    front, back = F.substring(padded, 1, point), F.substring(padded, point + 1, F.length(padded))
+    plain = F.concat(F.when(text.startswith("-"), "-").otherwise(""), front, F.when(back == "", "").otherwise(F.concat(F.lit(","), back)))
+    return F.when(text.rlike(shape), plain).otherwise(text)

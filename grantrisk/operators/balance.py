@@ -29,12 +29,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grantrisk import schemas
-from grantrisk.functions.scalar import mix, uniform01
+from grantrisk.functions.scalar import MIX_RANGE, mix, uniform01
 from grantrisk.operators import ranking
 from grantrisk.session import cut_lineage
 
-_P = 2147483647
-
 # The neighbour kernel runs in Python workers; pickling this module's
 # functions by value ships them with the task, so executors need no copy of
 # the package on their path.
@@ -58,7 +56,15 @@ def minority_class(counts: dict, minority=None):
     """The given minority label, or the smallest class (ties: smaller label)."""
     if minority is not None:
         return minority
-    return min(counts, key=lambda c: (counts[c], c))
+    return min(counts, key=lambda c: (counts[c], _null_last(c)))
+
+
+def _null_last(c) -> tuple:
+    return (c is None, 0 if c is None else c)
+
+
+class InfeasibleRatio(ValueError):
+    """The ratio asks a resampler for rows that it can't make."""
 
 
 # -- R1 -------------------------------------------------------------------------
@@ -79,7 +85,7 @@ def holdout_counts(counts: dict, test_share: float) -> dict:
     cont = {c: v * n_train / n for c, v in counts.items()}
     train = {c: math.floor(x) for c, x in cont.items()}
     need = n_train - sum(train.values())
-    for c in sorted(cont, key=lambda c: (-(cont[c] - train[c]), c))[:need]:
+    for c in sorted(cont, key=lambda c: (-(cont[c] - train[c]), _null_last(c)))[:need]:
         train[c] += 1
     return {c: counts[c] - train[c] for c in counts}
 
@@ -96,7 +102,7 @@ def holdout_split(df: DataFrame, label: str = "label", row_id: str = "row_id",
     n_buckets = n_buckets or ranking.default_buckets(df.sparkSession)
     d = df.withColumn("__mix", mix(row_id, seed))
     d = ranking.row_number_global(d, [F.col("__mix"), F.col(row_id)],
-                                  ranking.uniform_bucket("__mix", n_buckets, _P), [label], out="__rn")
+                                  ranking.uniform_bucket("__mix", n_buckets, MIX_RANGE), [label], out="__rn")
     limit = F.lit(0)
     for c, n_c in k.items():
         cond = F.col(label).isNull() if c is None else (F.col(label) == F.lit(c))
@@ -136,7 +142,7 @@ def stratified_folds(df: DataFrame, label: str = "label", row_id: str = "row_id"
     d = _rank_by_id(df, row_id, [label], "__rn", n_buckets)
     d = d.withColumn("__r", F.col("__rn") - 1)
     # classes x k rows: bounded; equi-join on the class plus a range test
-    j = d.join(F.broadcast(btab), (d[label] == btab[label]) & (d["__r"] >= btab["lo"]) & (d["__r"] < btab["hi"]))
+    j = d.join(F.broadcast(btab), d[label].eqNullSafe(btab[label]) & (d["__r"] >= btab["lo"]) & (d["__r"] < btab["hi"]))
     return j.select(*[d[c] for c in df.columns], btab[out])
 
 
@@ -298,7 +304,7 @@ def smote_count(n_major: int, n_minor: int, ratio: float) -> int:
     """Synthetic rows needed so that minority / majority reaches ``ratio``."""
     n_new = int(n_major * ratio - n_minor)
     if n_new < 0:
-        raise ValueError(f"ratio {ratio} would remove minority rows "
+        raise InfeasibleRatio(f"ratio {ratio} would remove minority rows "
                          f"({n_minor} minority vs {n_major} majority already)")
     return n_new
 
@@ -330,7 +336,7 @@ def smote(df: DataFrame, ratio: float, label: str = "label", row_id: str = "row_
         return base
     kk = min(k, n_min - 1)
     if kk < 1:
-        raise ValueError("SMOTE needs at least two minority rows")
+        raise InfeasibleRatio("SMOTE needs at least two minority rows")
     mino = df.filter(F.col(label) == minority).select(row_id, vec)
     ranked = _rank_by_id(mino, row_id, out="__rank")
     nn = cut_lineage(knn(mino, mino, kk, row_id, vec, exclude_self=True))
@@ -358,7 +364,7 @@ def smote(df: DataFrame, ratio: float, label: str = "label", row_id: str = "row_
 def nearmiss_keep(n_major: int, n_minor: int, ratio: float) -> int:
     n_keep = int(n_minor / ratio)
     if n_keep > n_major:
-        raise ValueError(f"ratio {ratio} would need new majority rows "
+        raise InfeasibleRatio(f"ratio {ratio} would need new majority rows "
                          f"({n_keep} requested, {n_major} present)")
     return n_keep
 
@@ -427,7 +433,7 @@ def resample_plan(df: DataFrame, ratios: Sequence[float], methods: Sequence[str]
                              .select(F.lit(m).alias("method"), F.lit(float(r)).alias("ratio"),
                                      F.col(label).cast("int").alias("label"), "n",
                                      F.lit(None).cast("string").alias("error")))
-            except ValueError:
+            except InfeasibleRatio:
                 parts.append(spark.createDataFrame(
                     [(m, float(r), None, None, "infeasible")],
                     "method string, ratio double, label int, n long, error string"))

@@ -37,7 +37,7 @@ GBT_DEFAULTS = {"n_estimators": 150, "max_depth": 6, "learning_rate": 0.3, "subs
                 "colsample_bytree": 1.0, "gamma": 0.0, "min_child_weight": 1,
                 "scale_pos_weight": schemas.DEFAULT_POS_WEIGHT}
 LOGIT_DEFAULTS = {"C": 1.0, "l1_ratio": 0.0, "fit_intercept": True}
-MLP_DEFAULTS = {"hidden_layer_sizes": 100, "max_iter": 500, "tol": 1e-4, "learning_rate_init": 0.001}
+MLP_DEFAULTS = {"hidden_layer_sizes": 100, "max_iter": 500, "tol": 1e-4}
 # Grid of the boosted-tree grid search: 3 rates x 6 depths x 5 sizes.
 GBT_GRID = {"learning_rate": [0.001, 0.01, 0.1], "max_depth": [5, 6, 7, 8, 10, 12],
             "n_estimators": [50, 100, 150, 200, 250]}
@@ -52,22 +52,26 @@ def strip_nominal(df: DataFrame, col: str = "features") -> DataFrame:
 
 
 def gbt(params: dict | None = None, features: str = "features", label: str = "label",
-        weight: str | None = "weight", seed: int = schemas.SEED) -> GBTClassifier:
+        weight: str | None = "weight", seed: int = schemas.SEED, max_bins: int = 256) -> GBTClassifier:
     """M1: GBT from boosted-tree parameters.
 
-    n_estimators->maxIter, max_depth->maxDepth (<= 30), learning_rate->stepSize,
+    n_estimators->maxIter, max_depth->maxDepth (above 30, Spark's limit, is an
+    error), learning_rate->stepSize, max_bins->maxBins (split candidates per
+    feature; features with more values are cut at quantiles),
     subsample->subsamplingRate, colsample_bytree->featureSubsetStrategy (per
     node), gamma->minInfoGain, min_child_weight->minInstancesPerNode; the
     positive weight travels in ``weight`` (see ``class_weights(mode='pos')``).
     """
     p = {**GBT_DEFAULTS, **(params or {})}
+    if int(p["max_depth"]) > 30:
+        raise ValueError(f"max_depth {p['max_depth']}: trees are at most 30 deep")
     est = GBTClassifier(featuresCol=features, labelCol=label, seed=seed,
-                        maxIter=int(p["n_estimators"]), maxDepth=min(30, int(p["max_depth"])),
+                        maxIter=int(p["n_estimators"]), maxDepth=int(p["max_depth"]),
                         stepSize=float(p["learning_rate"]), subsamplingRate=float(p["subsample"]),
                         featureSubsetStrategy=str(float(p["colsample_bytree"]))
                         if float(p["colsample_bytree"]) < 1.0 else "all",
                         minInfoGain=float(p["gamma"]), minInstancesPerNode=max(1, int(p["min_child_weight"])),
-                        maxBins=64, checkpointInterval=10,
+                        maxBins=max_bins, checkpointInterval=10,
                         # node-id caching pays off only for deep trees; shallow
                         # trees are cheaper to ship to the executors
                         cacheNodeIds=int(p["max_depth"]) > 10)
@@ -91,12 +95,17 @@ def logit(params: dict | None = None, n_rows: int = 1, features: str = "features
 
 def mlp(params: dict | None = None, n_features: int = 1, features: str = "features",
         label: str = "label", seed: int = schemas.SEED) -> MultilayerPerceptronClassifier:
-    """M3: one hidden layer; sigmoid units, L-BFGS (Spark's solvers)."""
+    """M3: one hidden layer of sigmoid units.
+
+    Without ``learning_rate_init`` the solver is L-BFGS, which has no rate;
+    with one it is gradient descent at that rate.
+    """
     p = {**MLP_DEFAULTS, **(params or {})}
+    rate = p.get("learning_rate_init")
+    solver = {"solver": "l-bfgs"} if rate is None else {"solver": "gd", "stepSize": float(rate)}
     return MultilayerPerceptronClassifier(featuresCol=features, labelCol=label, seed=seed,
                                           layers=[n_features, int(p["hidden_layer_sizes"]), 2],
-                                          maxIter=int(p["max_iter"]), tol=float(p["tol"]),
-                                          stepSize=float(p["learning_rate_init"]))
+                                          maxIter=int(p["max_iter"]), tol=float(p["tol"]), **solver)
 
 
 def vector_width(df: DataFrame, col: str = "features") -> int:
@@ -152,13 +161,13 @@ def kfold_metrics(make: Callable[[DataFrame], Any], df: DataFrame, fold: str = "
 def cv_score(make: Callable[[DataFrame], Any], df: DataFrame, metric: str = "roc_auc",
              fold: str = "fold", k: int = schemas.N_FOLDS, parallelism: int = 2,
              row_id: str = "row_id", label: str = "label") -> float:
-    """M5: mean k-fold score of one candidate."""
+    """M5: mean k-fold score of one candidate; NaN when a fold's score is undefined."""
     def one(f: int) -> float:
         tr, va = df.filter(F.col(fold) != f), df.filter(F.col(fold) == f)
         return score(predict(make(tr).fit(tr), va, row_id, label), metric)
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
-        vals = [v for v in ex.map(one, range(k)) if v is not None]
-    return sum(vals) / len(vals) if vals else float("nan")
+        vals = list(ex.map(one, range(k)))
+    return sum(vals) / len(vals) if vals and None not in vals else float("nan")
 
 
 @dataclass(frozen=True)
@@ -238,17 +247,16 @@ def search(spark: SparkSession, make_from: Callable[[dict, DataFrame], Any], can
 
 def best_candidate(trials: DataFrame) -> dict:
     """Parameters of the best trial (highest score, then lowest trial)."""
-    r = trials.orderBy(F.col("score").desc_nulls_last(), "trial").first()
+    score_ = F.nanvl("score", F.lit(None).cast("double"))  # an undefined score never wins
+    r = trials.orderBy(score_.desc_nulls_last(), "trial").first()
     return {k: v for k, v in r.asDict().items() if k not in ("trial", "score")}
 
 
-def importances(model, names: Sequence[tuple[int, str]], top: int = 10) -> DataFrame:
-    """M12 + O3: the ``top`` largest importances with feature names."""
-    spark = SparkSession.getActiveSession()
+def importances(model, names: DataFrame, top: int = 10) -> DataFrame:
+    """M12 + O3: the ``top`` largest importances, named by the table (idx, name)."""
     imp = model.featureImportances.toArray().tolist()
-    name = dict(names)
-    rows = [(i, name.get(i, f"f{i}"), float(v)) for i, v in enumerate(imp)]
-    df = spark.createDataFrame(rows, "idx int, name string, importance double")
+    df = names.sparkSession.createDataFrame([(i, float(v)) for i, v in enumerate(imp)], "idx int, importance double")
+    df = df.join(names, "idx", "left").select("idx", F.coalesce("name", F.concat(F.lit("f"), "idx")).alias("name"), "importance")
     return df.orderBy(F.col("importance").desc(), "idx").limit(top)
 
 

@@ -76,7 +76,12 @@ def score_groups(df: DataFrame, label: str = "label", score: str = "probability"
     totals = g.groupBy(*gs).agg(F.sum("tp").alias("P"), F.sum("fp").alias("N"))
     # One row per group (classifier): bounded by the number of groups.
     if gs:
-        g = g.join(F.broadcast(totals), on=gs, how="inner")
+        same = None
+        for i, c in enumerate(gs):
+            totals = totals.withColumnRenamed(c, f"__g{i}")
+            one = F.col(c).eqNullSafe(F.col(f"__g{i}"))
+            same = one if same is None else same & one
+        g = g.join(F.broadcast(totals), same).drop(*[f"__g{i}" for i in range(len(gs))])
     else:
         t = totals.first()
         p_, n_ = (t["P"], t["N"]) if t is not None else (0, 0)
@@ -136,7 +141,7 @@ def metric_long(df: DataFrame, label: str = "label", pred: str = "prediction",
     """Long metric table (group, metric, value) with the report's metric names."""
     hs = hard_scores(df, label, pred, group)
     auc = roc_auc(df, label, score, group)
-    j = hs.join(auc, on=[group], how="left")
+    j = hs.join(auc.withColumnRenamed(group, "__g"), F.col(group).eqNullSafe(F.col("__g")), "left").drop("__g")
     pairs = {"ACU": "accuracy", "SEN": "recall", "ESP": "specificity", "PRE": "precision",
              "F-measure": "f_measure", "AUC": "roc_auc"}
     stack = F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(v).alias("value"))
@@ -163,42 +168,45 @@ def misclassified(df: DataFrame, label: str = "label", pred: str = "prediction")
         "kind", F.when(F.col(label) == 0, F.lit("FP")).otherwise(F.lit("FN")))
 
 
-def class_histogram(df: DataFrame, value: str, label: str, n_bins: int) -> DataFrame:
-    """Per-class equal-width histogram over the class's own min..max.
+def class_histogram(df: DataFrame, value: str, label: str, n_bins: int, group: Sequence[str] = ()) -> DataFrame:
+    """Equal-width histogram per class (and ``group``) over its own min..max.
 
-    Returns every bin (empty ones with n = 0): (label, bin, lo, hi, n).  The
-    last bin is closed on the right.  The per-class range table has one row
-    per class, so broadcasting it is bounded.
+    Returns every bin (empty ones with n = 0): (group, label, bin, lo, hi, n).
+    The last bin is closed on the right.  The range table has one row per
+    class and group and is joined without a hint, so it is broadcast only
+    where it is measured to be small.
     """
+    keys = [*group, label]
     x = F.col(value).cast("double")
-    rng = df.filter(x.isNotNull()).groupBy(label).agg(F.min(x).alias("__lo"), F.max(x).alias("__hi"))
+    rng = df.filter(x.isNotNull()).groupBy(*keys).agg(F.min(x).alias("__lo"), F.max(x).alias("__hi"))
     width = F.col("__hi") - F.col("__lo")
-    binned = df.filter(x.isNotNull()).join(F.broadcast(rng), on=[label]).select(
-        label,
+    binned = df.filter(x.isNotNull()).join(rng, on=keys).select(
+        *keys,
         F.when(width == 0, F.lit(0)).otherwise(
             F.least(F.lit(n_bins - 1),
                     F.floor((x - F.col("__lo")) * F.lit(n_bins) / width).cast("int"))).alias("bin"))
-    counts = binned.groupBy(label, "bin").agg(F.count(F.lit(1)).alias("n"))
-    bins = rng.select(label, "__lo", "__hi",
+    counts = binned.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"))
+    bins = rng.select(*keys, "__lo", "__hi",
                       F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("bin"))
     step = (F.col("__hi") - F.col("__lo")) / F.lit(float(n_bins))
-    out = bins.join(counts, on=[label, "bin"], how="left").select(
-        label, "bin",
+    out = bins.join(counts, on=[*keys, "bin"], how="left").select(
+        *keys, "bin",
         (F.col("__lo") + F.col("bin") * step).alias("lo"),
         (F.col("__lo") + (F.col("bin") + 1) * step).alias("hi"),
         F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n"))
     return out
 
 
-def cumulative_histogram(hist: DataFrame, label: str, reverse_labels: Sequence[int] = (0,)) -> DataFrame:
+def cumulative_histogram(hist: DataFrame, label: str, reverse_labels: Sequence[int] = (0,),
+                         group: Sequence[str] = ()) -> DataFrame:
     """Normalised cumulative histogram; reversed for ``reverse_labels``.
 
     Operates on the (classes x bins) table, which is bounded by the bin
     count, so its per-class window is small.
     """
-    tot = F.sum("n").over(Window.partitionBy(label))
-    fwd = Window.partitionBy(label).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    bwd = Window.partitionBy(label).orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    tot = F.sum("n").over(Window.partitionBy(*group, label))
+    fwd = Window.partitionBy(*group, label).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    bwd = Window.partitionBy(*group, label).orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, 0)
     rev = F.col(label).isin(list(reverse_labels))
     return hist.withColumn("cumulative", F.when(rev, F.sum("n").over(bwd)).otherwise(F.sum("n").over(fwd))
                            / tot)

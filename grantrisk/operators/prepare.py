@@ -1,9 +1,9 @@
 """Feature preparation (G1-G11): encoders, imputers, scalers, assembly.
 
-Fitting computes one small statistics row (or one label list per column)
-with a single distributed aggregation; applying is a projection with
-literals, so it stays inside whole-stage code generation.  Only those
-bounded statistics reach the driver, which is also how Spark ML fits.
+Fitting numerics computes one small statistics row; applying it is a
+projection with literals, so it stays inside whole-stage code generation.
+Categories are coded by joining a code table, which never leaves the cluster:
+the driver learns how many codes a column has, not which.
 
 Scaling follows the population-deviation convention (constant columns get
 scale 1, so they map to 0), which differs from Spark's ``StandardScaler``
@@ -12,17 +12,20 @@ scale 1, so they map to 0), which differs from Spark's ``StandardScaler``
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grantrisk import schemas
 from grantrisk.operators import ranking
+from grantrisk.session import cut_lineage
 
 MAX_WIDE_CATEGORIES = 1000
 
@@ -56,19 +59,6 @@ def first_seen_codes(df: DataFrame, cols: Sequence[str], row_id: str,
     return ranked.select("column", "value", (F.col("__rn") - 1).cast("int").alias("code"), "first_row")
 
 
-def category_labels(codes: DataFrame, cols: Sequence[str]) -> dict[str, list[str]]:
-    """Label lists (ordered by code) for building ``StringIndexerModel``s.
-
-    The code table has one row per distinct category value, which is the
-    same bounded amount of data ``StringIndexer`` itself collects.
-    """
-    rows = codes.select("column", "value", "code").collect()
-    out: dict[str, list[str]] = {c: [] for c in cols}
-    for r in sorted(rows, key=lambda r: (r["column"], r["code"])):
-        out[r["column"]].append(r["value"])
-    return out
-
-
 def apply_codes(df: DataFrame, codes: DataFrame, cols: Sequence[str],
                 token: str = schemas.MISSING, suffix: str = "_code") -> DataFrame:
     """G3 as a join: category -> ordinal code (unknown value -> NULL).
@@ -91,7 +81,7 @@ def onehot_wide(df: DataFrame, cols: Sequence[str], max_categories: int = MAX_WI
     """G1: ``col_value`` indicator columns (sorted values), NULL -> all zeros.
 
     Wide tables are only sensible for low-cardinality columns; above
-    ``max_categories`` distinct values use :func:`onehot_vector` (sparse).
+    ``max_categories`` distinct values use :func:`onehot_sparse`.
     """
     if values is None:
         values = {}
@@ -102,7 +92,7 @@ def onehot_wide(df: DataFrame, cols: Sequence[str], max_categories: int = MAX_WI
         too_wide = [c for c, n in counts.items() if n > max_categories]
         if too_wide:
             raise ValueError(f"columns {too_wide} exceed {max_categories} categories; "
-                             "use onehot_vector for sparse encoding")
+                             "use onehot_sparse for them")
         for r in dist.collect():
             values.setdefault(r["c"], []).append(r["v"])
     new = {}
@@ -112,6 +102,31 @@ def onehot_wide(df: DataFrame, cols: Sequence[str], max_categories: int = MAX_WI
     return df.withColumns(new).drop(*cols) if new else df.drop(*cols)
 
 
+def code_offsets(codes: DataFrame, cols: Sequence[str], start: int = 0) -> dict[str, int]:
+    """Index of each column's code 0 when the columns' codes are laid out in a row (one number per column)."""
+    n = {r["column"]: r["n"] for r in codes.groupBy("column").agg(F.count("*").alias("n")).collect()}
+    out = {}
+    for c in cols:
+        out[c], start = start, start + n.get(c, 0)
+    return out
+
+
+def onehot_sparse(df: DataFrame, codes: DataFrame, cols: Sequence[str], out: str = "onehot") -> DataFrame:
+    """G1 for any cardinality: ``out`` holds the sorted indices of a row's ones.
+
+    Index = the column's offset + the value's code (see
+    :func:`first_seen_codes`); a NULL has none.  ``cols`` are dropped.  Codes
+    are joined, so the number of categories is bounded by nothing.
+    """
+    at = code_offsets(codes, cols)
+    coded = df
+    for c in cols:
+        m = codes.filter(F.col("column") == c).select(F.col("value").alias(f"__v_{c}"), F.col("code").alias(f"__k_{c}"))
+        coded = coded.join(m, F.col(c).cast("string") == F.col(f"__v_{c}"), "left").drop(f"__v_{c}")
+    ones = F.array_compact(F.array(*[F.col(f"__k_{c}").cast("bigint") + at[c] for c in cols]))
+    return coded.withColumn(out, ones).drop(*cols, *[f"__k_{c}" for c in cols])
+
+
 # -- G4, G6, G7, G8: numeric statistics and scaling ----------------------------------
 
 @dataclass
@@ -219,62 +234,65 @@ def maxabs_scale(df: DataFrame, st: NumericStats) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") / F.lit(_scale(st.max_abs[c])) for c in st.cols})
 
 
-# -- G2, G9, G10, G11: vector pipelines ------------------------------------------------
+# -- G2, G9, G10, G11: vector preparation ------------------------------------------------
 
-def indexers(labels: dict[str, list[str]], handle_invalid: str = "error") -> list[StringIndexerModel]:
-    """One fixed-label indexer per column (label order = code order).
+def indexed(df: DataFrame, codes: DataFrame, cat: Sequence[str]) -> DataFrame:
+    """``{c}_idx`` (double) by joining the code table; a category without a code is an error."""
+    out = apply_codes(df, codes, cat, suffix="_idx")
+    return out.withColumns({f"{c}_idx": F.coalesce(
+        F.col(f"{c}_idx").cast("double"),
+        F.raise_error(F.concat(F.lit(f"unknown category of {c}: "), F.col(c))).cast("double")) for c in cat})
 
-    One model per column on purpose: the multi-column constructor pads every
-    label list to the longest one, which corrupts the nominal metadata that
-    one-hot encoding and tree learners read.
-    """
-    return [StringIndexerModel.from_labels(labels[c], inputCol=c, outputCol=f"{c}_idx",
-                                           handleInvalid=handle_invalid) for c in labels]
+
+@dataclass
+class TreePrep:
+    """Fitted tree preparation: numeric means and the category-code table."""
+    stats: NumericStats
+    codes: DataFrame
+    cat: list[str]
+    out: str = "features"
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        x = indexed(impute_mean(df, self.stats), self.codes, self.cat)
+        return x.withColumn(self.out, array_to_vector(F.array(
+            *[F.col(c).cast("double") for c in self.stats.cols], *[F.col(f"{c}_idx") for c in self.cat])))
 
 
 def tree_pipeline(df: DataFrame, num: Sequence[str], cat: Sequence[str], row_id: str,
-                  out: str = "features", codes: DataFrame | None = None) -> tuple[PipelineModel, DataFrame]:
+                  out: str = "features", codes: DataFrame | None = None) -> tuple[TreePrep, DataFrame]:
     """G9 (tree): mean-impute numerics, first-seen ordinal codes, assemble.
 
-    Returns the fitted pipeline and the category-code table.
+    Returns the fitted preparation and the category-code table.
     """
-    codes = codes if codes is not None else first_seen_codes(df, cat, row_id)
-    labels = category_labels(codes, cat)
-    stages = [Imputer(strategy="mean", inputCols=list(num), outputCols=[f"{c}_imp" for c in num]),
-              *indexers(labels),
-              VectorAssembler(inputCols=[f"{c}_imp" for c in num] + [f"{c}_idx" for c in cat],
-                              outputCol=out)]
-    model = Pipeline(stages=stages).fit(fill_categories(df, cat))
-    return model, codes
+    codes = codes if codes is not None else cut_lineage(first_seen_codes(df, cat, row_id))
+    return TreePrep(fit_numeric(df, num), codes, list(cat), out), codes
 
 
 @dataclass
 class LinearPrep:
-    """Fitted linear preparation: numeric statistics + encoder pipeline."""
+    """Fitted linear preparation: numeric statistics, category codes, one-hot encoder and assembler."""
     stats: NumericStats
     imputed_stats: NumericStats
+    codes: DataFrame
     encoder: PipelineModel
     cat: list[str]
 
     def transform(self, df: DataFrame) -> DataFrame:
         x = standardize(impute_mean(df, self.stats), self.imputed_stats)
-        return self.encoder.transform(fill_categories(x, self.cat))
+        return self.encoder.transform(indexed(x, self.codes, self.cat))
 
     def save(self, path: str) -> None:
-        """Statistics as a one-row table, encoder with the ML writer."""
-        import json
-        from dataclasses import asdict
-        spark = SparkSession.getActiveSession()
+        """Statistics as a one-row table, codes as a table, encoder with the ML writer."""
         doc = json.dumps({"stats": asdict(self.stats), "imputed": asdict(self.imputed_stats), "cat": self.cat})
-        spark.createDataFrame([(doc,)], "doc string").write.mode("overwrite").parquet(f"{path}/stats")
+        self.codes.sparkSession.createDataFrame([(doc,)], "doc string").write.mode("overwrite").parquet(f"{path}/stats")
+        self.codes.write.mode("overwrite").parquet(f"{path}/codes")
         self.encoder.write().overwrite().save(f"{path}/encoder")
 
     @staticmethod
     def load(path: str) -> "LinearPrep":
-        import json
         spark = SparkSession.getActiveSession()
         doc = json.loads(spark.read.parquet(f"{path}/stats").first()["doc"])
-        return LinearPrep(NumericStats(**doc["stats"]), NumericStats(**doc["imputed"]),
+        return LinearPrep(NumericStats(**doc["stats"]), NumericStats(**doc["imputed"]), spark.read.parquet(f"{path}/codes"),
                           PipelineModel.load(f"{path}/encoder"), doc["cat"])
 
 
@@ -282,34 +300,44 @@ def linear_pipeline(df: DataFrame, num: Sequence[str], cat: Sequence[str], row_i
                     out: str = "features", codes: DataFrame | None = None) -> tuple[LinearPrep, DataFrame]:
     """G9 (linear): mean-impute + population-standardise numerics, one-hot
     categoricals in first-seen order (sparse; unknown category is an error)."""
-    codes = codes if codes is not None else first_seen_codes(df, cat, row_id)
-    labels = category_labels(codes, cat)
+    codes = codes if codes is not None else cut_lineage(first_seen_codes(df, cat, row_id))
     st = fit_numeric(df, num)
-    imp = impute_mean(df, st)
     st2 = imputed_stats(st)
-    stages = [*indexers(labels),
-              OneHotEncoder(dropLast=False, handleInvalid="error",
+    stages = [OneHotEncoder(dropLast=False, handleInvalid="error",
                             inputCols=[f"{c}_idx" for c in cat], outputCols=[f"{c}_oh" for c in cat]),
               VectorAssembler(inputCols=list(num) + [f"{c}_oh" for c in cat], outputCol=out)]
-    scaled = standardize(imp, st2)
-    enc = Pipeline(stages=stages).fit(fill_categories(scaled, cat))
-    return LinearPrep(st, st2, enc, list(cat)), codes
-
-
-def transform(model, df: DataFrame, cat: Sequence[str]) -> DataFrame:
-    if isinstance(model, LinearPrep):
-        return model.transform(df)
-    return model.transform(fill_categories(df, cat))
-
-
-def feature_names(df: DataFrame, col: str = "features") -> list[tuple[int, str]]:
-    """(index, name) from the vector column's ML attribute metadata."""
-    meta = df.schema[col].metadata.get("ml_attr", {})
-    attrs = meta.get("attrs", {})
-    out = []
-    for group in attrs.values():
-        for a in group:
-            out.append((int(a["idx"]), a.get("name", f"f{a['idx']}")))
-    if not out and "num_attrs" in meta:
-        out = [(i, f"f{i}") for i in range(meta["num_attrs"])]
-    return sorted(out)
+    # the encoder needs each column's number of codes only, which the code table tells
+    ends = codes.groupBy().pivot("column", list(cat)).agg(F.max("code").cast("double"))
+    one = ends.select(*[F.coalesce(F.col(f"`{c}`"), F.lit(0.0)).alias(f"{c}_idx") for c in cat],
+                      *[F.lit(0.0).alias(c) for c in num])
+    return LinearPrep(st, st2, codes, Pipeline(stages=stages).fit(one), list(cat)), codes
+
+
+def transform(model, df: DataFrame, cat: Sequence[str] = ()) -> DataFrame:
+    return model.transform(df)
+
+
+def feature_names(codes: DataFrame, num: Sequence[str], cat: Sequence[str], kind: str = "linear") -> DataFrame:
+    """(idx, name) of a matrix as a table.
+
+    Tree: a name per column.  Linear: the numerics, then ``{column}_oh_{value}``
+    for every category in code order.
+    """
+    spark = codes.sparkSession
+    if kind == "tree":
+        return spark.createDataFrame(list(enumerate([*num, *[f"{c}_idx" for c in cat]])), "idx int, name string")
+    at = code_offsets(codes, cat, len(num))
+    offset = F.coalesce(*[F.when(F.col("column") == c, F.lit(i)) for c, i in at.items()])
+    ones = codes.select((offset + F.col("code")).cast("int").alias("idx"), F.concat("column", F.lit("_oh_"), "value").alias("name"))
+    return spark.createDataFrame(list(enumerate(num)), "idx int, name string").unionByName(ones)
+
+
+def vector_entries(df: DataFrame, col: str = "features") -> DataFrame:
+    """``df`` with ``entries`` for the vector: its stored (idx, value) pairs, zeros left out.
+
+    Sparse vectors are read as they are stored, never widened.
+    """
+    v = F.unwrap_udt(F.col(col))
+    idx = F.when(v["type"] == 0, v["indices"]).otherwise(F.sequence(F.lit(0), F.size(v["values"]) - 1))
+    pairs = F.zip_with(idx, v["values"], lambda i, x: F.struct(i.alias("idx"), x.alias("value")))
+    return df.withColumn("entries", F.filter(pairs, lambda p: p["value"] != 0))

@@ -88,7 +88,12 @@ def running_sums(df: DataFrame, order_by: Sequence[Column], sums: dict[str, Colu
     offsets = totals.select(*parts, "__b", *[
         F.coalesce(F.sum(f"__t_{n}").over(wt), F.lit(0)).alias(f"__o_{n}") for n in sums])
     # offsets has at most |groups| x n_buckets rows: safe to broadcast.
-    d = d.join(F.broadcast(offsets), on=[*parts, "__b"], how="left")
+    on = F.col("__b") == F.col("__ob")
+    for i, p in enumerate(parts):  # NULL is a group like any other
+        offsets = offsets.withColumnRenamed(p, f"__g{i}")
+        on = on & F.col(p).eqNullSafe(F.col(f"__g{i}"))
+    offsets = offsets.withColumnRenamed("__b", "__ob")
+    d = d.join(F.broadcast(offsets), on, "left").drop("__ob", *[f"__g{i}" for i in range(len(parts))])
     w = Window.partitionBy(*parts, "__b").orderBy(*order_by) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     d = d.withColumns({n: F.sum(f"__v_{n}").over(w) + F.col(f"__o_{n}") for n in sums})

@@ -105,12 +105,13 @@ def stage_sources_bucketed(tables: dict[str, DataFrame], root: str, n_buckets: i
 
 
 def run_etl(spark, extracts: str, out: str, export_csv: str | None = None,
-            bucket_root: str | None = None, n_buckets: int = 0, compat: bool = False) -> DataFrame:
+            bucket_root: str | None = None, n_buckets: int = 0, compat: bool = False,
+            allow_missing: bool = False) -> DataFrame:
     """Extract folder -> typed sources -> (optional bucketed stage) -> feature
     table written to ``out`` (and optionally exported as ``;`` CSV)."""
     from grantrisk.sources import tables as tbl
     from grantrisk.sources import text as txt
-    src = txt.load_tables(spark, extracts)
+    src = txt.load_tables(spark, extracts, allow_missing=allow_missing)
     if bucket_root and n_buckets > 0:
         src = stage_sources_bucketed(src, bucket_root, n_buckets)
     feats = feature_table(src["convenio"], src["proposta"], src["emenda"], src["consorcios"], compat)

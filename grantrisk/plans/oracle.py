@@ -114,8 +114,9 @@ ORACLE["cast_types"] = W("SELECT NR_CONVENIO, CAST(MES AS VARCHAR) AS MES, CAST(
                          "CAST(EMENDAS AS DOUBLE) AS EMENDAS, CAST(DIF_ORIG AS DOUBLE) AS DIF_ORIG FROM feat")
 ORACLE["class_filter"] = R(W("SELECT NR_CONVENIO, VL_GLOBAL_CONV, TARGET FROM feat WHERE TARGET = 1"),
                            "VL_GLOBAL_CONV")
-ORACLE["feature_variants"] = R(W("SELECT * EXCLUDE (COD_MUNIC_IBGE, COD_ORGAO_SUP, COD_ORGAO) FROM mi"),
-                               *_NUM_DOUBLE)
+ORACLE["feature_variants"] = R(W(" UNION ALL BY NAME ".join(
+    "SELECT *" + (f" EXCLUDE ({', '.join(drops)})" if drops else "") + f", '{v}' AS variant FROM mi"
+    for v, drops in schemas.VARIANT_DROPS.items())), *_NUM_DOUBLE)
 ORACLE["agency_filter"] = R(W("SELECT * EXCLUDE (COD_MUNIC_IBGE, COD_ORGAO_SUP, COD_ORGAO) FROM mi "
                               "WHERE COD_ORGAO_SUP = '1'"), *_NUM_DOUBLE)
 
@@ -266,12 +267,13 @@ ORACLE["metric_pivot"] = R(W(
     '"ACU"', '"SEN"', '"ESP"', '"PRE"', '"F-measure"', '"AUC"')
 ORACLE["misclassified"] = W("SELECT classifier, row_id, label, CASE WHEN label = 0 THEN 'FP' ELSE 'FN' END AS kind "
                             "FROM predictions WHERE prediction <> label")
+_RULES = ("rule7", "rule13", "rule_month")
 ORACLE["hist_proba_cumulative"] = R(W(
-    "SELECT *, CASE WHEN label IN (0) THEN sum(n) OVER (PARTITION BY label ORDER BY bin DESC "
-    "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) ELSE sum(n) OVER (PARTITION BY label ORDER BY bin "
-    "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END / sum(n) OVER (PARTITION BY label) AS cumulative FROM ("
-    + _hist_sql("predictions", "probability", "label", 50, "classifier = 'rule7'") + ")"),
-    "lo", "hi", "cumulative")
+    "SELECT *, CASE WHEN label IN (0) THEN sum(n) OVER (PARTITION BY classifier, label ORDER BY bin DESC "
+    "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) ELSE sum(n) OVER (PARTITION BY classifier, label ORDER BY bin "
+    "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END / sum(n) OVER (PARTITION BY classifier, label) AS cumulative FROM ("
+    + " UNION ALL ".join(f"SELECT '{r}' AS classifier, * FROM (" + _hist_sql("predictions", "probability", "label", 50, f"classifier = '{r}'") + ")"
+                         for r in _RULES) + ")"), "lo", "hi", "cumulative")
 
 # -- feature preparation ---------------------------------------------------------------
 _CAT = schemas.CATEGORICAL_FEATURES
@@ -291,10 +293,10 @@ def _codes_cte(cols, name="codes") -> str:
 
 
 ORACLE["first_seen_codes"] = W('SELECT col AS "column", value, code, first_row FROM codes', _codes_cte(_CAT))
-_ORD = ["MODALIDADE", "SITUACAO_CONTA", "SITUACAO_PROJETO_BASICO"]
+_ORD = _CAT
 ORACLE["ordinal_encode"] = W(
     "SELECT mi.NR_CONVENIO, " + ", ".join(f"k{i}.code AS {c}_code" for i, c in enumerate(_ORD)) + " FROM mi "
-    + " ".join(f"LEFT JOIN codes k{i} ON k{i}.col = '{c}' AND k{i}.value = coalesce(mi.{c}, 'missing')"
+    + " ".join(f"LEFT JOIN codes k{i} ON k{i}.col = '{c}' AND k{i}.value = coalesce(CAST(mi.{c} AS VARCHAR), 'missing')"
                for i, c in enumerate(_ORD)), _codes_cte(_ORD))
 
 # Distinct values of the three low-cardinality columns in the bound data.
@@ -307,6 +309,15 @@ ORACLE["onehot_wide"] = W("SELECT NR_CONVENIO, " + ", ".join(
     f"CAST(CASE WHEN {c} = {_q(v)} THEN 1 ELSE 0 END AS INTEGER) AS \"{c}_{v}\""
     for c, vs in _ONEHOT_VALUES.items() for v in vs) + " FROM mi")
 
+_OFFSETS = ("SELECT col, coalesce(sum(n) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off "
+            "FROM (SELECT col, CASE col " + " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(_CAT))
+            + " END AS pos, count(*) AS n FROM codes GROUP BY col)")
+ORACLE["onehot_sparse"] = W(
+    "SELECT p.NR_CONVENIO, CAST(o.off + k.code AS BIGINT) AS idx FROM ("
+    + " UNION ALL ".join(f"SELECT NR_CONVENIO, '{c}' AS col, CAST({c} AS VARCHAR) AS value FROM mi" for c in _CAT)
+    + f") p JOIN codes k ON p.col = k.col AND p.value = k.value JOIN ({_OFFSETS}) o ON o.col = p.col "
+    "WHERE p.value IS NOT NULL", _codes_cte(_CAT))
+
 _IMP = ("imp AS (SELECT NR_CONVENIO, " + ", ".join(f"coalesce({c}, avg({c}) OVER ()) AS {c}" for c in _NUMF)
         + " FROM mi)")
 _STATS = ("st AS (SELECT count(*) AS n, " + ", ".join(
@@ -332,7 +343,7 @@ ORACLE["maxabs"] = R(W("SELECT NR_CONVENIO, " + ", ".join(
 
 
 def _mix(i: str, seed: int) -> str:
-    return f"(((({i}) * 48271 + {seed * 7919}) % 2147483647) * 16807 % 2147483647)"
+    return f"CAST('0x' || substr(md5('{seed}|' || coalesce(CAST({i} AS VARCHAR), '')), 1, 15) AS BIGINT)"
 
 
 ORACLE["holdout_split"] = W(
@@ -381,7 +392,7 @@ def _smote_ctes(src: str, ratio: float, p: str, seed: int = schemas.SEED, k: int
         f"FROM (SELECT a.row_id AS base_id, b.row_id AS nb_id, {_D2.format(a='a.v', b='b.v')} AS d2 "
         f"FROM {p}_mino a JOIN {p}_mino b ON a.row_id <> b.row_id))",
         f"{p}_draw AS (SELECT j, {_mix('j', seed)} % (n_min * kk) AS idx, kk, "
-        f"CAST({_mix('j', seed + 1)} AS DOUBLE) / 2147483647.0 AS step "
+        f"CAST({_mix('j', seed + 1)} AS DOUBLE) / 1152921504606846976.0 AS step "
         f"FROM (SELECT unnest(range(n_new)) AS j, n_min, kk FROM {p}_par))",
         f"{p}_syn AS (SELECT -(d.j + 1) AS row_id, 1 AS label, "
         f"list_transform(list_zip(x.v, y.v), lambda q: q[1] + d.step * (q[2] - q[1])) AS v, "
@@ -467,9 +478,18 @@ def _tree_total(src: str, cats: list[str], label_expr: str, key: str, extra_cols
     return codes, body
 
 
-_TM_CODES, _TM_BODY = _tree_total("mi2", _CAT, "TARGET AS label", "NR_CONVENIO", ", 19 AS width")
-ORACLE["tree_matrix"] = R(W(_TM_BODY.replace(", 19 AS width", ", CAST(19 AS INTEGER) AS width"),
-                            "mi2 AS (SELECT *, CAST(NR_CONVENIO AS BIGINT) AS rid FROM mi)", _TM_CODES), "total")
+def _code_entries(one: str) -> str:
+    """(NR_CONVENIO, label, col, code) of every category as ``one`` says."""
+    return (f"SELECT p.NR_CONVENIO, p.label, {one} FROM (" + " UNION ALL ".join(
+        f"SELECT NR_CONVENIO, TARGET AS label, '{c}' AS col, coalesce(CAST({c} AS VARCHAR), 'missing') AS value FROM mi" for c in _CAT)
+        + f") p JOIN codes k ON p.col = k.col AND p.value = k.value JOIN ({_OFFSETS}) o ON o.col = p.col")
+
+
+_POS_OF = "CASE p.col " + " ".join(f"WHEN '{c}' THEN {len(_NUMF) + i}" for i, c in enumerate(_CAT)) + " END"
+_KEEP = "SELECT NR_CONVENIO, label, CAST(idx AS INTEGER) AS idx, CAST(value AS DOUBLE) AS value FROM ({}) WHERE round(value, 6) <> 0"
+ORACLE["tree_matrix"] = R(W(_KEEP.format(" UNION ALL ".join(
+    [f"SELECT NR_CONVENIO, TARGET AS label, {i} AS idx, coalesce({c}, avg({c}) OVER ()) AS value FROM mi" for i, c in enumerate(_NUMF)]
+    + [_code_entries(f"{_POS_OF} AS idx, CAST(k.code AS DOUBLE) AS value")])), _codes_cte(_CAT)), "value")
 _VAR_CAT = [c for c in _CAT if c not in schemas.VARIANT_DROPS["sem_municipio_orgao"]]
 _SV_CODES, _SV_BODY = _tree_total("mi3", _VAR_CAT, "CAST(TARGET AS DOUBLE) AS label", "rid")
 ORACLE["libsvm_zero_based"] = R(W("SELECT label, total FROM (" + _SV_BODY + ")",
@@ -565,23 +585,23 @@ ORACLE["separator_report"] = (
 
 
 def _linear_matrix_sql() -> str:
-    """Width and non-zero count of the linear matrix rows (variant 'all')."""
+    """Every non-zero entry of the linear matrix (variant 'all')."""
     imp = ("la AS (SELECT NR_CONVENIO, TARGET AS label, " + ", ".join(
         f"coalesce({c}, avg({c}) OVER ()) AS {c}" for c in _NUMF) + " FROM mi)")
     # centre with the mean that was imputed (mean of the present values)
     st = ("sa AS (SELECT (SELECT count(*) FROM la) AS n, " + ", ".join(
         f"(SELECT avg({c}) FROM mi) AS m_{c}, (SELECT stddev_pop({c}) FROM la) AS s_{c}" for c in _NUMF) + ")")
     eps = "2.220446049250313e-16"
-    terms = []
-    for c in _NUMF:
+    parts = []
+    for i, c in enumerate(_NUMF):
         const = (f"(s_{c} IS NULL OR isnan(s_{c}) OR s_{c} * s_{c} <= n * {eps} * (s_{c} * s_{c}) "
                  f"+ (n * m_{c} * {eps}) * (n * m_{c} * {eps}))")
-        terms.append(f"CASE WHEN {const} OR {c} - m_{c} = 0 THEN 0 ELSE 1 END")
-    width = ("(SELECT CAST(count(*) AS INTEGER) + " + str(len(_NUMF)) + " FROM (SELECT DISTINCT col, value FROM ("
-             + " UNION ALL ".join(f"SELECT '{c}' AS col, coalesce(CAST({c} AS VARCHAR), 'missing') AS value FROM mi"
-                                  for c in _CAT) + ")))")
-    nonzero = "CAST(" + " + ".join(terms) + f" + {len(_CAT)} AS INTEGER)"
-    return W(f"SELECT NR_CONVENIO, label, {width} AS width, {nonzero} AS nonzero FROM la, sa", imp, st)
+        parts.append(f"SELECT NR_CONVENIO, label, {i} AS idx, CASE WHEN {const} THEN 0.0 ELSE ({c} - m_{c}) / s_{c} END AS value FROM la, sa")
+    parts.append(_code_entries(f"{len(_NUMF)} + o.off + k.code AS idx, 1.0 AS value"))
+    return R(W(_KEEP.format(" UNION ALL ".join(parts)), imp, st, _codes_cte(_CAT)), "value")
 
 
 ORACLE["linear_matrix"] = _linear_matrix_sql()
+ORACLE["append_load"] = R(W("SELECT * FROM convenio UNION ALL SELECT * FROM convenio"), *_VL)
+ORACLE["scan_with_dates"] = R(W("SELECT * REPLACE (" + ", ".join(f"{_date(c)} AS {c}" for c in schemas.DATE_COLUMNS)
+                                + ") FROM convenio"), *_VL)

@@ -25,7 +25,7 @@ from grantrisk.operators import prepare as prep
 from grantrisk.operators import ranking as _rk
 from grantrisk.operators import relational as rel
 from grantrisk.plans import etl, report, train
-from grantrisk.session import scratch_path
+from grantrisk.session import cut_lineage, scratch_path
 from grantrisk.sources import libsvm as svm
 from grantrisk.sources import tables as tbl
 from grantrisk.sources import testdata as td
@@ -115,8 +115,13 @@ def q_class_filter(spark, sf):
 
 @query("feature_variants")
 def q_variants(spark, sf):
-    """The narrowest variant (no municipality, no agencies) of the model input."""
-    return rel.feature_variant(etl.model_input(features(spark, sf)), "sem_municipio_orgao")
+    """The three variants of the model input, one below the other (dropped columns are NULL)."""
+    mi = cut_lineage(etl.model_input(features(spark, sf)))
+    parts = [rel.feature_variant(mi, v).withColumn("variant", F.lit(v)) for v in schemas.VARIANT_DROPS]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
 
 
 @query("agency_filter")
@@ -361,10 +366,9 @@ def q_misclassified(spark, sf):
 
 @query("hist_proba_cumulative")
 def q_hist_proba(spark, sf):
-    """50-bin cumulative probability distribution per class."""
-    p = preds(spark, sf).filter(F.col("classifier") == "rule7")
-    h = mx.class_histogram(p, "probability", "label", 50)
-    return mx.cumulative_histogram(h, "label")
+    """50-bin cumulative probability distribution per classifier and class."""
+    h = mx.class_histogram(preds(spark, sf), "probability", "label", 50, ["classifier"])
+    return mx.cumulative_histogram(h, "label", group=["classifier"])
 
 
 # -- 2.9 feature preparation ---------------------------------------------------------
@@ -385,10 +389,10 @@ def q_first_seen(spark, sf):
 
 @query("ordinal_encode")
 def q_ordinal(spark, sf):
-    """G3 applied: category -> first-seen code for three columns."""
-    mi = model_input(spark, sf)
-    cols = ["MODALIDADE", "SITUACAO_CONTA", "SITUACAO_PROJETO_BASICO"]
-    codes = prep.first_seen_codes(mi, cols, "row_id")
+    """G3 applied: category -> first-seen code for every categorical column."""
+    mi = cut_lineage(model_input(spark, sf))
+    cols = schemas.CATEGORICAL_FEATURES
+    codes = cut_lineage(prep.first_seen_codes(mi, cols, "row_id"))
     return prep.apply_codes(mi.select("NR_CONVENIO", *cols), codes, cols).select(
         "NR_CONVENIO", *[f"{c}_code" for c in cols])
 
@@ -400,8 +404,18 @@ def q_onehot(spark, sf):
     return prep.onehot_wide(mi, ONEHOT_COLUMNS)
 
 
+@query("onehot_sparse")
+def q_onehot_sparse(spark, sf):
+    """G1 for all nine columns, whatever their cardinality: a row per one of the sparse indicator matrix."""
+    mi = cut_lineage(model_input(spark, sf).select("NR_CONVENIO", "row_id", *schemas.CATEGORICAL_FEATURES))
+    codes = cut_lineage(prep.first_seen_codes(mi, schemas.CATEGORICAL_FEATURES, "row_id"))
+    ones = prep.onehot_sparse(mi, codes, schemas.CATEGORICAL_FEATURES)
+    return ones.select("NR_CONVENIO", F.explode("onehot").alias("idx"))
+
+
 def _numeric(spark, sf):
-    mi = model_input(spark, sf).select("NR_CONVENIO", *schemas.NUMERIC_FEATURES)
+    # the feature pipeline runs once; fit and transform read the checkpoint
+    mi = cut_lineage(model_input(spark, sf).select("NR_CONVENIO", *schemas.NUMERIC_FEATURES))
     return mi, prep.fit_numeric(mi, schemas.NUMERIC_FEATURES)
 
 
@@ -437,37 +451,37 @@ def q_maxabs(spark, sf):
 
 
 def _assembled(spark, sf, kind):
-    mi = model_input(spark, sf)
+    mi = cut_lineage(model_input(spark, sf))
     num, cat = schemas.NUMERIC_FEATURES, schemas.CATEGORICAL_FEATURES
     fit = prep.tree_pipeline if kind == "tree" else prep.linear_pipeline
     model, _ = fit(mi, num, cat, "row_id")
-    return prep.transform(model, mi, cat)
+    return model.transform(mi)
+
+
+def _entries(matrix):
+    """A row per entry of the matrix that isn't zero at six places."""
+    rows = prep.vector_entries(matrix).select("NR_CONVENIO", F.col("TARGET").alias("label"), F.inline("entries"))
+    return rows.filter(F.round("value", 6) != 0)
 
 
 @query("tree_matrix")
 def q_tree_matrix(spark, sf):
-    """G9/G10 (tree): imputed numerics + ordinal codes assembled into vectors."""
-    m = _assembled(spark, sf, "tree")
-    return m.select("NR_CONVENIO", F.col("TARGET").alias("label"),
-                    F.size(prep_vector_to_array("features")).alias("width"),
-                    F.aggregate(prep_vector_to_array("features"), F.lit(0.0), lambda a, x: a + x).alias("total"))
+    """G9/G10 (tree): imputed numerics + ordinal codes as vectors, every non-zero entry."""
+    return _entries(_assembled(spark, sf, "tree"))
 
 
 @query("linear_matrix")
 def q_linear_matrix(spark, sf):
-    """G9/G10 (linear): standardised numerics + one-hot (sparse) vectors."""
-    m = _assembled(spark, sf, "linear")
-    arr = prep_vector_to_array("features")
-    return m.select("NR_CONVENIO", F.col("TARGET").alias("label"), F.size(arr).alias("width"),
-                    F.size(F.filter(arr, lambda x: x != 0)).alias("nonzero"))
+    """G9/G10 (linear): standardised numerics + one-hot (sparse) vectors, every non-zero entry."""
+    return _entries(_assembled(spark, sf, "linear"))
 
 
 @query("feature_names")
 def q_feature_names(spark, sf):
     """Feature index -> name of the linear matrix."""
-    m = _assembled(spark, sf, "linear")
-    names = prep.feature_names(m)
-    return spark.createDataFrame(names, "idx int, name string")
+    mi = cut_lineage(model_input(spark, sf))
+    codes = cut_lineage(prep.first_seen_codes(mi, schemas.CATEGORICAL_FEATURES, "row_id"))
+    return prep.feature_names(codes, schemas.NUMERIC_FEATURES, schemas.CATEGORICAL_FEATURES)
 
 
 def prep_vector_to_array(c):
@@ -708,7 +722,8 @@ def q_csv_roundtrip(spark, sf):
 def q_etl_files(spark, sf):
     """S1-S4 end to end: extracts written as ';' files, loaded by the registry, feature table."""
     folder = _write_extracts(spark, sf)
-    t = txt.load_tables(spark, folder, BOUND_SOURCES)
+    # the binding has the columns that the pipeline uses, not all of the registry
+    t = txt.load_tables(spark, folder, BOUND_SOURCES, allow_missing=True)
     return etl.feature_table(t["convenio"], t["proposta"], t["emenda"], t["consorcios"])
 
 
@@ -718,8 +733,8 @@ def q_stream(spark, sf):
     src = scratch_path(spark, "incoming")
     txt.export_csv(_t(spark, sf, "convenio"), src)
     dst, ck = scratch_path(spark, "convenio_tbl"), scratch_path(spark, "convenio_ck")
-    stream_extracts(spark, src, "convenio", dst, ck)
-    stream_extracts(spark, src, "convenio", dst, ck)  # re-run: nothing new, no duplicates
+    stream_extracts(spark, src, "convenio", dst, ck, allow_missing=True)
+    stream_extracts(spark, src, "convenio", dst, ck, allow_missing=True)  # re-run: nothing new, no duplicates
     return spark.read.parquet(dst).select(*_t(spark, sf, "convenio").columns)
 
 
@@ -732,6 +747,23 @@ def q_stage(spark, sf):
     return tbl.stage(etl.feature_maths(back), f"{root}/features")             # S9
 
 
+@query("append_load")
+def q_append(spark, sf):
+    """Agreements appended to a typed table twice, as two loads do."""
+    path = scratch_path(spark, "appended")
+    for _ in range(2):
+        tbl.append_table(_t(spark, sf, "convenio"), path)
+    return spark.read.parquet(path)
+
+
+@query("scan_with_dates")
+def q_scan_dates(spark, sf):
+    """A table read with its three date columns parsed."""
+    path = scratch_path(spark, "dated")
+    tbl.write_table(_t(spark, sf, "convenio"), path)
+    return tbl.read_table(spark, path, {c: schemas.DATE_FORMAT for c in schemas.DATE_COLUMNS})
+
+
 @query("separator_repair_file")
 def q_repair_file(spark, sf):
     """S3: repair of a written text file into a new path; lines read back."""
@@ -801,7 +833,7 @@ def q_shuffle(spark, sf):
     f = features(spark, sf).select(F.col("NR_CONVENIO").cast("bigint").alias("row_id"))
     f = f.withColumn("__mix", _mix_col("row_id", schemas.SEED))
     out = _rk.row_number_global(f, [F.col("__mix"), F.col("row_id")],
-                                _rk.uniform_bucket("__mix", _rk.default_buckets(spark), 2147483647), out="position")
+                                _rk.uniform_bucket("__mix", _rk.default_buckets(spark), fx.MIX_RANGE), out="position")
     return out.select("row_id", "position")
 
 
@@ -835,7 +867,8 @@ def q_features_bucketed(spark, sf):
     built from the staged tables (joins and counts without shuffles)."""
     root = scratch_path(spark, "bucketed")
     tag = td._view_prefix(sf)
-    src = etl.stage_sources_bucketed({t: _t(spark, sf, t) for t in BOUND_SOURCES}, root, 8, prefix=tag + "stage")
+    src = etl.stage_sources_bucketed({t: _t(spark, sf, t) for t in BOUND_SOURCES}, root,
+                                     int(spark.conf.get("spark.sql.shuffle.partitions")), prefix=tag + "stage")
     return etl.feature_table(src["convenio"], src["proposta"], src["emenda"], src["consorcios"])
 
 

@@ -32,8 +32,8 @@ class Matrices:
     variant: str
     tree: DataFrame      # row_id, label, features, weight, split
     linear: DataFrame    # row_id, label, features, weight, split
-    tree_names: list
-    linear_names: list
+    tree_names: DataFrame    # idx, name
+    linear_names: DataFrame
 
 
 def model_frame(features: DataFrame, variant: str, agency: str | None = None) -> DataFrame:
@@ -52,19 +52,26 @@ def build_matrices(features: DataFrame, variant: str, checkpoint: bool = True,
     mi = cut_lineage(bal.holdout_split(mi, LABEL, ROW_ID))
     codes = cut_lineage(prep.first_seen_codes(mi, cat, ROW_ID))  # one code table for both matrices
     tree_model, _ = prep.tree_pipeline(mi, num, cat, ROW_ID, codes=codes)
-    tree = learn.strip_nominal(prep.transform(tree_model, mi, cat))
-    tree_names = prep.feature_names(prep.transform(tree_model, mi.limit(1), cat))
+    tree = learn.strip_nominal(tree_model.transform(mi))
+    tree_names = prep.feature_names(codes, num, cat, "tree")
     tree = bal.class_weights(tree.select(ROW_ID, LABEL, "features", "split"), LABEL, mode="pos",
                              pos_weight=pos_weight)
     lin_model, _ = prep.linear_pipeline(mi, num, cat, ROW_ID, codes=codes)
-    lin_full = prep.transform(lin_model, mi, cat)
-    lin_names = prep.feature_names(lin_full)
+    lin_full = lin_model.transform(mi)
+    lin_names = prep.feature_names(codes, num, cat)
     lin = bal.class_weights(lin_full.select(ROW_ID, LABEL, "features", "split"), LABEL, mode="balanced")
     if checkpoint:
         tree, lin = cut_lineage(tree), cut_lineage(lin)
     return Matrices(variant, tree, lin, tree_names, lin_names)
 
 
+def reweighted(data: DataFrame, params: dict | None) -> DataFrame:
+    """``scale_pos_weight`` among the parameters sets the weight of positive rows."""
+    if "scale_pos_weight" not in (params or {}):
+        return data
+    return bal.class_weights(data.drop("weight"), LABEL, mode="pos", pos_weight=float(params["scale_pos_weight"]))
+
+
 def make_estimator(kind: str, params: dict | None, train: DataFrame):
     if kind == "gbt":
         return learn.gbt(params)
@@ -79,6 +86,8 @@ def fit_eval(kind: str, params: dict | None, m: Matrices, train: DataFrame | Non
     data = m.tree if kind == "gbt" else m.linear
     tr = train if train is not None else data.filter(F.col("split") == "train")
     te = data.filter(F.col("split") == "test")
+    if kind == "gbt":
+        tr = reweighted(tr, params)
     model = make_estimator(kind, params, tr).fit(tr)
     pred = learn.predict(model, te)
     return model, pred, learn.metric_rows(pred, kind)
@@ -132,8 +141,8 @@ def experiment(features: DataFrame, variants=("all", "sem_municipio", "sem_munic
     each (method, ratio) of ``resample`` — training part only, test part
     untouched, using the tuned parameters when there are any and, for the
     boosted tree, a positive weight equal to the inverse of the ratio.
-    Infeasible ratios are skipped; ``resample_variants`` / ``resample_models``
-    restrict that phase.
+    An infeasible ratio gives one row with metric ``infeasible`` and no value;
+    ``resample_variants`` / ``resample_models`` restrict that phase.
     """
     params = params or {}
     parts = []
@@ -154,7 +163,9 @@ def experiment(features: DataFrame, variants=("all", "sem_municipio", "sem_munic
                 w = (1.0 / ratio) if kind == "gbt" else None
                 try:
                     tr = resampled_train(data, method, ratio, w)
-                except ValueError:
+                except bal.InfeasibleRatio:
+                    none = data.sparkSession.createDataFrame([(kind, "infeasible", None)], "classifier string, metric string, value double")
+                    parts.append(_tag(none, v, "resampled", float(ratio), method))
                     continue
                 p = dict(chosen)
                 if kind == "gbt":

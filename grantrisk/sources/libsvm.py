@@ -8,10 +8,10 @@ the shared checkpoint folder, then read by the ``libsvm`` source.
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from grantrisk.operators.prepare import vector_entries
 from grantrisk.session import scratch_path
 
 
@@ -22,12 +22,9 @@ def write_libsvm(df: DataFrame, path: str, label: str = "label", features: str =
         df.select(F.col(label).cast("double").alias("label"), F.col(features).alias("features")) \
             .write.mode("overwrite").format("libsvm").save(path)
         return
-    arr = vector_to_array(features)
-    pairs = F.filter(F.arrays_zip(F.sequence(F.lit(0), F.size(arr) - 1).alias("i"), arr.alias("v")),
-                     lambda p: p["v"] != 0)
-    toks = F.transform(pairs, lambda p: F.concat(p["i"].cast("string"), F.lit(":"), p["v"].cast("string")))
+    toks = F.transform("entries", lambda p: F.concat(p["idx"].cast("string"), F.lit(":"), p["value"].cast("string")))
     line = F.concat_ws(" ", F.col(label).cast("double").cast("string"), F.concat_ws(" ", toks))
-    df.select(line.alias("value")).write.mode("overwrite").text(path)
+    vector_entries(df, features).select(line.alias("value")).write.mode("overwrite").text(path)
 
 
 def read_libsvm(spark: SparkSession, path: str, n_features: int, zero_based: bool = False) -> DataFrame:

@@ -7,7 +7,7 @@ and its DuckDB oracle start from identical inputs:
 * agreements (``convenio``)    <- ``orders`` (one agreement per order)
 * proposals  (``proposta``)    <- ``orders`` x ``customer`` x ``nation``,
   customers with a negative balance have no proposal (unmatched agreements)
-* amendments (``emenda``)      <- returned ``lineitem`` rows
+* amendments (``emenda``)      <- ``lineitem`` rows
 * consortium members (``consorcios``) <- ``lineitem`` (order, supplier)
 * predictions / matrices       <- ``orders``, ``labels``, ``embeddings``
 
@@ -87,7 +87,6 @@ SELECT CAST(l_orderkey AS STRING) AS ID_PROPOSTA,
        CAST(l_linenumber AS STRING) AS NR_EMENDA,
        l_extendedprice AS VALOR_REPASSE_EMENDA
 FROM {lineitem}
-WHERE l_returnflag = 'R'
 """
 
 CONSORCIOS_SQL = """

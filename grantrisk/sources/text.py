@@ -1,10 +1,10 @@
 """Semicolon-separated extracts.
 
 Extracts are read as text by header name and cast by name with the
-registry in :mod:`grantrisk.schemas`; numbers use a decimal comma.  Reading
-is splittable by default (``multi_line=False``) so a large extract is read
-by many tasks; pass ``multi_line=True`` only for files with quoted line
-breaks (one task per file then).
+registry in :mod:`grantrisk.schemas`; numbers use a decimal comma.  A quoted
+field may hold line breaks, so a file is read as a whole by one task.  Pass
+``multi_line=False`` for files known to have none: a large extract is then
+split among many tasks.
 """
 
 from __future__ import annotations
@@ -22,19 +22,24 @@ from grantrisk.operators import relational as rel
 CSV_OPTIONS = {"sep": ";", "header": "true", "encoding": "UTF-8", "quote": '"', "escape": '"'}
 
 
-def read_text_table(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def read_text_table(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """All columns as strings, named by the header."""
     return spark.read.options(**CSV_OPTIONS).option("multiLine", str(multi_line).lower()) \
         .option("inferSchema", "false").csv(path)
 
 
-def cast_columns(df: DataFrame, types: dict[str, T.DataType]) -> DataFrame:
-    """Text -> declared types; doubles accept a decimal comma; bad text -> NULL."""
+def cast_columns(df: DataFrame, types: dict[str, T.DataType], allow_missing: bool = False) -> DataFrame:
+    """Text -> declared types; doubles accept a decimal comma; bad text -> NULL.
+
+    A declared column that the text lacks is an error, or NULL with ``allow_missing``.
+    """
+    missing = [c for c in types if c not in df.columns]
+    if missing and not allow_missing:
+        raise ValueError(f"columns missing from the text: {missing}")
+    df = df.withColumns({c: F.lit(None).cast("string") for c in missing})
     out = {}
     for c, t in types.items():
-        if c not in df.columns:
-            out[c] = F.lit(None).cast(t)
-        elif isinstance(t, T.StringType):
+        if isinstance(t, T.StringType):
             continue
         elif isinstance(t, (T.DoubleType, T.FloatType)):
             out[c] = fx.decimal_comma_to_double(c).cast(t)
@@ -45,11 +50,12 @@ def cast_columns(df: DataFrame, types: dict[str, T.DataType]) -> DataFrame:
     return df.withColumns(out) if out else df
 
 
-def read_extract(spark: SparkSession, path: str, table: str, multi_line: bool = False) -> DataFrame:
+def read_extract(spark: SparkSession, path: str, table: str, multi_line: bool = True,
+                 allow_missing: bool = False) -> DataFrame:
     """One source extract with the registry's types and column order."""
     sp = schemas.spec(table)
     raw = read_text_table(spark, path, multi_line)
-    typed = cast_columns(raw, {c: sp.type_of(c) for c in sp.columns})
+    typed = cast_columns(raw, {c: sp.type_of(c) for c in sp.columns}, allow_missing)
     return typed.select(*sp.columns)
 
 
@@ -58,11 +64,12 @@ def extract_path(folder: str, table: str) -> str:
 
 
 def load_tables(spark: SparkSession, folder: str, tables: Sequence[str] = schemas.LOADED_TABLES,
-                filter_status: bool = True) -> dict[str, DataFrame]:
+                filter_status: bool = True, multi_line: bool = True,
+                allow_missing: bool = False) -> dict[str, DataFrame]:
     """The loaded extracts; agreements keep only final statuses (P5)."""
     out = {}
     for t in tables:
-        df = read_extract(spark, extract_path(folder, t), t)
+        df = read_extract(spark, extract_path(folder, t), t, multi_line, allow_missing)
         if t == "convenio" and filter_status:
             df = rel.keep_values(df, "SIT_CONVENIO", schemas.FINAL_STATUSES)
         out[t] = df
@@ -73,7 +80,9 @@ def to_text_columns(df: DataFrame) -> DataFrame:
     """Render every column as extract text (decimal comma for floating values)."""
     cols = []
     for f in df.schema.fields:
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
+        if isinstance(f.dataType, T.DecimalType):
+            cols.append(F.translate(F.col(f.name).cast("string"), ".", ",").alias(f.name))
+        elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             cols.append(fx.double_to_decimal_comma(f.name).alias(f.name))
         else:
             cols.append(F.col(f.name).cast("string").alias(f.name))

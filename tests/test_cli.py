@@ -11,7 +11,7 @@ def test_cli_etl_and_report(spark):
     for t in Q.BOUND_SOURCES:
         txt.export_csv(Q._t(spark, SF, t), txt.extract_path(f"{root}/extracts", t))
     main(["etl", "--extracts", f"{root}/extracts", "--out", f"{root}/features", "--csv", f"{root}/features_csv",
-          "--bucket-root", f"{root}/stage", "--buckets", "4"])
+          "--bucket-root", f"{root}/stage", "--buckets", "4", "--allow-missing"])
     feats = spark.read.parquet(f"{root}/features")
     assert feats.count() == Q.QUERIES["feature_table"](spark, SF).count()
     main(["report", "--features", f"{root}/features", "--out", f"{root}/reports"])

@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -53,6 +54,7 @@ def test_decimal_comma_roundtrip(spark):
 
 
 def test_mix_is_deterministic_and_portable(spark):
-    df = spark.range(0, 1000).select(fx.mix("id", 6439).alias("m"))
-    py = [(((i * 48271 + 6439 * 7919) % 2147483647) * 16807) % 2147483647 for i in range(1000)]
+    ids = [*range(1000), 2 * 10 ** 14, -5]
+    df = spark.createDataFrame([(i,) for i in ids], "id long").select(fx.mix("id", 6439).alias("m"))
+    py = [int(hashlib.md5(f"6439|{i}".encode()).hexdigest()[:15], 16) for i in ids]
     assert [r[0] for r in df.collect()] == py

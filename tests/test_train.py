@@ -14,6 +14,8 @@ def test_experiment_with_resampled_phase(spark):
                            tune_iter=2, tune_folds=2)
     phases = {(r["phase"], r["resampler"]) for r in out.select("phase", "resampler").distinct().collect()}
     assert phases == {("default", None), ("tuned", None), ("resampled", "smote"), ("resampled", "nearmiss")}
+    odd = out.filter("metric = 'infeasible'").select("resampler", "ratio", "value").collect()
+    assert [tuple(r) for r in odd] == [("smote", 0.01, None)]
     vals = [r["value"] for r in out.filter(F.col("metric") == "AUC").collect()]
     assert all(v is not None and 0.0 <= v <= 1.0 for v in vals)
 
