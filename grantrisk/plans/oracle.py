@@ -346,16 +346,21 @@ def _mix(i: str, seed: int) -> str:
     return f"CAST('0x' || substr(md5('{seed}|' || coalesce(CAST({i} AS VARCHAR), '')), 1, 15) AS BIGINT)"
 
 
-ORACLE["holdout_split"] = W(
-    "SELECT l.row_id, l.label, CASE WHEN l.rn <= k.n_test THEN 'test' ELSE 'train' END AS split FROM "
-    f"(SELECT row_id, label, row_number() OVER (PARTITION BY label ORDER BY {_mix('row_id', schemas.SEED)}, row_id) "
-    "AS rn FROM labelled) l JOIN k ON l.label = k.label",
-    "cc AS (SELECT label, count(*) AS n_c FROM labelled GROUP BY label)",
-    "tot AS (SELECT sum(n_c) AS n, sum(n_c) - CAST(ceil(CAST(0.1 AS DOUBLE) * sum(n_c)) AS BIGINT) AS n_train FROM cc)",
-    "fl AS (SELECT label, n_c, CAST(n_c AS DOUBLE) * n_train / n AS cont, floor(CAST(n_c AS DOUBLE) * n_train / n) AS f, "
-    "n_train FROM cc, tot)",
-    "k AS (SELECT label, n_c - (f + CASE WHEN row_number() OVER (ORDER BY cont - f DESC, label) "
-    "<= n_train - sum(f) OVER () THEN 1 ELSE 0 END) AS n_test FROM fl)")
+def _holdout(src: str) -> list[str]:
+    """CTEs that end in ho (row_id, label, split) for the rows of ``src`` (row_id, label)."""
+    return [
+        f"cc AS (SELECT label, count(*) AS n_c FROM {src} GROUP BY label)",
+        "tot AS (SELECT sum(n_c) AS n, sum(n_c) - CAST(ceil(CAST(0.1 AS DOUBLE) * sum(n_c)) AS BIGINT) AS n_train FROM cc)",
+        "fl AS (SELECT label, n_c, CAST(n_c AS DOUBLE) * n_train / n AS cont, floor(CAST(n_c AS DOUBLE) * n_train / n) AS f, "
+        "n_train FROM cc, tot)",
+        "k AS (SELECT label, n_c - (f + CASE WHEN row_number() OVER (ORDER BY cont - f DESC, label) "
+        "<= n_train - sum(f) OVER () THEN 1 ELSE 0 END) AS n_test FROM fl)",
+        "ho AS (SELECT l.row_id, l.label, CASE WHEN l.rn <= k.n_test THEN 'test' ELSE 'train' END AS split FROM "
+        f"(SELECT row_id, label, row_number() OVER (PARTITION BY label ORDER BY {_mix('row_id', schemas.SEED)}, row_id) "
+        f"AS rn FROM {src}) l JOIN k ON l.label = k.label)"]
+
+
+ORACLE["holdout_split"] = W("SELECT * FROM ho", *_holdout("labelled"))
 ORACLE["stratified_folds"] = W(
     "SELECT l.row_id, l.label, b.f AS fold FROM "
     "(SELECT row_id, label, row_number() OVER (PARTITION BY label ORDER BY row_id) - 1 AS r FROM labelled) l "
@@ -605,3 +610,32 @@ ORACLE["linear_matrix"] = _linear_matrix_sql()
 ORACLE["append_load"] = R(W("SELECT * FROM convenio UNION ALL SELECT * FROM convenio"), *_VL)
 ORACLE["scan_with_dates"] = R(W("SELECT * REPLACE (" + ", ".join(f"{_date(c)} AS {c}" for c in schemas.DATE_COLUMNS)
                                 + ") FROM convenio"), *_VL)
+
+# -- learners with closed forms, hold-out rows, plans ---------------------------------------
+_LAB = "lab AS (SELECT CAST(NR_CONVENIO AS BIGINT) AS row_id, CAST(TARGET AS INTEGER) AS label, EMENDAS >= 4 AS x FROM mi WHERE TARGET IS NOT NULL)"
+_SHARES = ("w AS (SELECT *, CAST(count(*) OVER () AS DOUBLE) / (2 * count(*) OVER (PARTITION BY label)) AS weight FROM lab)",
+           "sh AS (SELECT x, sum(weight * label) / sum(weight) AS p FROM w GROUP BY x)")
+ORACLE["logit_closed_form"] = W("SELECT row_id, label, round(p, 3) AS probability FROM lab JOIN sh USING (x)", _LAB, *_SHARES)
+ORACLE["gbt_closed_form"] = R(W(
+    "SELECT row_id, label, 1 / (1 + exp(-2 * (2 * p - 1))) AS probability, CASE WHEN p > 0.5 THEN 1 ELSE 0 END AS prediction "
+    "FROM lab JOIN sh USING (x)", _LAB, *_SHARES), "probability")
+ORACLE["importance_closed_form"] = W(
+    "SELECT 0 AS idx, 'many_amendments' AS name, CAST(count(*) > 1 AS INTEGER)::DOUBLE AS importance FROM sh "
+    "UNION ALL SELECT 1, 'constant', 0.0::DOUBLE", _LAB, *_SHARES)
+ORACLE["mlp_holdout"] = W("SELECT row_id, label, TRUE AS agree FROM ho WHERE split = 'test'", _LAB, *_holdout("lab"))
+ORACLE["model_roundtrip_equal"] = W("SELECT row_id, label, TRUE AS same FROM ho WHERE split = 'test'", _LAB, *_holdout("lab"))
+ORACLE["grid_plan"] = (
+    "SELECT fold, n_valid, positives, CAST(sum(n_valid) OVER (PARTITION BY trial) - n_valid AS BIGINT) AS n_train, trial, "
+    "learning_rate, max_depth, n_estimators FROM (SELECT fold, count(*) AS n_valid, CAST(sum(label) AS BIGINT) AS positives FROM ("
+    + ORACLE["stratified_folds"] + ") GROUP BY fold), (SELECT CAST(row_number() OVER (ORDER BY a, b, c) - 1 AS INTEGER) AS trial, "
+    "a::DOUBLE AS learning_rate, b::DOUBLE AS max_depth, c::DOUBLE AS n_estimators FROM (VALUES (0.001), (0.01), (0.1)) r(a), "
+    "(VALUES (5), (6), (7), (8), (10), (12)) d(b), (VALUES (50), (100), (150), (200), (250)) e(c))")
+ORACLE["best_trial"] = (
+    "SELECT CASE classifier WHEN 'rule13' THEN 0 WHEN 'rule7' THEN 1 ELSE 2 END AS trial, roc_auc AS score, "
+    "CAST(length(classifier) AS DOUBLE) AS name_length FROM (" + ORACLE["roc_auc"] + ") ORDER BY score DESC, trial LIMIT 1")
+_TRAIN_MEANS = "tm AS (SELECT " + ", ".join(f"avg({c}) AS m_{c}" for c in _NUMF) + " FROM mi JOIN ho ON ho.row_id = CAST(NR_CONVENIO AS BIGINT) WHERE split = 'train')"
+_FILLED = "fi AS (SELECT row_id, split, " + ", ".join(f"coalesce({c}, m_{c}) AS {c}" for c in _NUMF) + " FROM mi JOIN ho ON ho.row_id = CAST(NR_CONVENIO AS BIGINT), tm)"
+_TRAIN_STATS = "st AS (SELECT count(*) AS n, " + ", ".join(f"stddev_pop({c}) AS s_{c}" for c in _NUMF) + " FROM fi WHERE split = 'train')"
+ORACLE["standardize_train"] = R(W(
+    "SELECT row_id, split, " + ", ".join(f"({c} - m_{c}) / {_std_scale(c)} AS {c}" for c in _NUMF) + " FROM fi, tm, st",
+    _LAB, *_holdout("lab"), _TRAIN_MEANS, _FILLED, _TRAIN_STATS), *_NUMF)

@@ -44,19 +44,28 @@ def model_frame(features: DataFrame, variant: str, agency: str | None = None) ->
 
 
 def build_matrices(features: DataFrame, variant: str, checkpoint: bool = True,
-                   pos_weight: float = schemas.DEFAULT_POS_WEIGHT) -> Matrices:
+                   pos_weight: float = schemas.DEFAULT_POS_WEIGHT, fit_on: str = "train") -> Matrices:
+    """Matrices of one variant, split and weighted.
+
+    ``fit_on``: rows from which means and deviations are taken, ``"train"``
+    or, as the original experiment did, ``"all"``.  Category codes always
+    cover all rows, so the test part has no unknown category.
+    """
+    if fit_on not in ("train", "all"):
+        raise ValueError(f"fit_on {fit_on!r}")
     # the feature pipeline runs once; the split's passes read the checkpoint
     mi = cut_lineage(model_frame(features, variant))
     num = [c for c in schemas.NUMERIC_FEATURES if c in mi.columns]
     cat = [c for c in schemas.CATEGORICAL_FEATURES if c in mi.columns]
     mi = cut_lineage(bal.holdout_split(mi, LABEL, ROW_ID))
     codes = cut_lineage(prep.first_seen_codes(mi, cat, ROW_ID))  # one code table for both matrices
-    tree_model, _ = prep.tree_pipeline(mi, num, cat, ROW_ID, codes=codes)
+    fit_rows = mi.filter(F.col("split") == "train") if fit_on == "train" else mi
+    tree_model, _ = prep.tree_pipeline(fit_rows, num, cat, ROW_ID, codes=codes)
     tree = learn.strip_nominal(tree_model.transform(mi))
     tree_names = prep.feature_names(codes, num, cat, "tree")
     tree = bal.class_weights(tree.select(ROW_ID, LABEL, "features", "split"), LABEL, mode="pos",
                              pos_weight=pos_weight)
-    lin_model, _ = prep.linear_pipeline(mi, num, cat, ROW_ID, codes=codes)
+    lin_model, _ = prep.linear_pipeline(fit_rows, num, cat, ROW_ID, codes=codes)
     lin_full = lin_model.transform(mi)
     lin_names = prep.feature_names(codes, num, cat)
     lin = bal.class_weights(lin_full.select(ROW_ID, LABEL, "features", "split"), LABEL, mode="balanced")
@@ -106,7 +115,7 @@ def resampled_train(data: DataFrame, method: str, ratio: float, pos_weight: floa
 SPACES = {"gbt": learn.GBT_SPACE, "logit": learn.LOGIT_SPACE, "mlp": learn.MLP_SPACE}
 
 
-def tune(kind: str, m: Matrices, n_iter: int, folds: int = schemas.N_FOLDS, metric: str = "roc_auc",
+def tune(kind: str, m: Matrices, n_iter: int = 20, folds: int = schemas.N_FOLDS, metric: str = "roc_auc",
          seed: int = schemas.SEED, base: dict | None = None) -> tuple[dict, DataFrame]:
     """Seeded random search of ``kind`` on the training part.
 
@@ -115,7 +124,7 @@ def tune(kind: str, m: Matrices, n_iter: int, folds: int = schemas.N_FOLDS, metr
     parameters, so the boosted tree keeps its default weight when refitted.
     """
     data = (m.tree if kind == "gbt" else m.linear).filter(F.col("split") == "train")
-    folded = bal.stratified_folds(data, LABEL, ROW_ID, k=folds)
+    folded = cut_lineage(bal.stratified_folds(data, LABEL, ROW_ID, k=folds))
     cands = [{**(base or {}), **c} for c in learn.draw_candidates(SPACES[kind], n_iter, seed)]
     trials = learn.search(folded.sparkSession, lambda c, tr: make_estimator(kind, c, tr), cands, folded,
                           metric=metric, k=folds)
@@ -123,6 +132,21 @@ def tune(kind: str, m: Matrices, n_iter: int, folds: int = schemas.N_FOLDS, metr
     return best, trials
 
 
+def grid_search(m: Matrices, grid: dict | None = None, folds: int = schemas.N_FOLDS, metric: str = "roc_auc") -> DataFrame:
+    """M7: trials of the boosted-tree grid (default: all 90 candidates, ten folds) on the training part."""
+    folded = cut_lineage(bal.stratified_folds(m.tree.filter(F.col("split") == "train"), LABEL, ROW_ID, k=folds))
+    cands = learn.grid_candidates(grid or learn.GBT_GRID)
+    return learn.search(folded.sparkSession, lambda c, tr: learn.gbt(c), cands, folded, metric=metric, k=folds)
+
+
+def random_search(m: Matrices, n: int = 10, folds: int = schemas.N_FOLDS, metric: str = "recall",
+                  seed: int = schemas.SEED) -> DataFrame:
+    """M8: trials of ``n`` seeded draws of boosted trees (default: ten draws, ten folds, scored by recall)."""
+    folded = cut_lineage(bal.stratified_folds(m.tree.filter(F.col("split") == "train"), LABEL, ROW_ID, k=folds))
+    cands = learn.draw_candidates(learn.GBT_RANDOM_SPACE, n, seed)
+    return learn.search(folded.sparkSession, lambda c, tr: learn.gbt(c), cands, folded, metric=metric, k=folds)
+
+
 def _tag(rows: DataFrame, variant: str, phase: str, ratio=None, method=None) -> DataFrame:
     return rows.select(F.lit(variant).alias("variant"), F.lit(phase).alias("phase"),
                        F.lit(ratio).cast("double").alias("ratio"), F.lit(method).cast("string").alias("resampler"),
