@@ -10,14 +10,10 @@ another engine) reproduces the same draw.  Per-class ranks use bucketed
 running counts (:mod:`grantrisk.operators.ranking`) instead of a window
 partitioned only by the label, which would put each class in one task.
 
-Neighbour search (R3/R4) is exact: the reference (minority) side is cut into
-chunks of a *checked* size; a chunk is broadcast once per executor and every
-query partition scores its Arrow batches against it with numpy (or, with
-``engine="sql"``, JVM-side with higher-order functions), keeping its k best.
-When
-the minority side exceeds one broadcast chunk it is split into chunks, each
-chunk yields k candidates per query, and a final per-query merge keeps the
-global k best — exact, no cross join, no unbounded broadcast.
+Neighbour search (R3/R4) is exact and partitioned: references live in pivot
+cells, large cells in blocks of a bounded size; a query searches its own cell
+and then only the cells that the triangle inequality leaves.  Neither side
+passes through the driver and nothing that grows with the data is broadcast.
 """
 
 from __future__ import annotations
@@ -43,8 +39,11 @@ try:
     _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
 except Exception:  # noqa: BLE001 - older cloudpickle: rely on --py-files
     pass
-# Largest packed reference chunk broadcast to every task (bytes, estimated).
-MAX_BROADCAST_BYTES = 256 * 1024 * 1024
+# Reference rows that a task of the neighbour search holds (bytes, estimated), and query rows.
+MAX_BLOCK_BYTES = 8 * 1024 * 1024
+QUERY_ROWS = 1 << 16
+# Cells of the neighbour search.
+PIVOTS = 64
 
 
 def class_counts(df: DataFrame, label: str) -> dict[int, int]:
@@ -206,95 +205,165 @@ def _nearest(qid, qmat, rid, rmat, k: int, exclude_self: bool):
         if exclude_self:
             d2[qid[lo:hi][:, None] == rid[None, :]] = np.inf
         part = np.argpartition(d2, kk - 1, axis=1)[:, :kk]
-        kth = np.take_along_axis(d2, part, axis=1).max(axis=1)
-        ties = (d2 <= kth[:, None]).sum(axis=1) > kk
-        for r in range(hi - lo):
-            cand = np.nonzero(d2[r] <= kth[r])[0] if ties[r] else part[r]
-            order = np.lexsort((rid[cand], d2[r, cand]))[:kk]
-            out_d[lo + r] = d2[r, cand[order]]
-            out_i[lo + r] = rid[cand[order]]
+        best = np.take_along_axis(d2, part, axis=1)
+        order = np.lexsort((rid[part], best), axis=1)
+        out_d[lo:hi] = np.take_along_axis(best, order, axis=1)
+        out_i[lo:hi] = np.take_along_axis(rid[part], order, axis=1)
+        kth = best.max(axis=1)
+        # rows with a tie at the k-th place: the smaller ids win
+        for r in np.flatnonzero((d2 <= kth[:, None]).sum(axis=1) > kk):
+            cand = np.flatnonzero(d2[r] <= kth[r])
+            cand = cand[np.lexsort((rid[cand], d2[r, cand]))[:kk]]
+            out_d[lo + r], out_i[lo + r] = d2[r, cand], rid[cand]
     keep = np.isfinite(out_d)  # drops the masked own row, if it was among the k
     offsets = np.concatenate([[0], np.cumsum(keep.sum(axis=1))]).astype(np.int32)
     return offsets, out_d[keep], out_i[keep]
 
 
-def _knn_chunk_numpy(q: DataFrame, chunk: DataFrame, k: int, exclude_self: bool) -> DataFrame:
-    """One size-checked reference chunk, broadcast once per executor; query
-    rows stay partitioned by Spark and are scored batch-wise with numpy."""
+def _matrix(table, ids: str, vectors: str):
+    """(ids, rows of doubles) of an Arrow table; NULL or ragged vectors are an error that names a row."""
     import numpy as np
+    rid = table.column(ids).to_numpy().astype(np.int64)
+    column = table.column(vectors).combine_chunks()
+    widths = column.value_lengths().to_numpy(zero_copy_only=False)
+    bad = np.flatnonzero((widths != widths[0]) | np.isnan(widths.astype(np.float64))) if len(rid) else []
+    if len(bad) or column.flatten().null_count:
+        raise ValueError(f"vector of another length or with NULLs, row {rid[bad[0]] if len(bad) else rid[0]}")
+    return rid, column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rid), -1)
+
+
+def _distances(rows, pivots):
+    """Euclidean distances of every row to every pivot."""
+    import numpy as np
+    square = (rows * rows).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1)[None, :] - 2 * rows @ pivots.T
+    return np.sqrt(np.maximum(square, 0.0))
+
+
+def _to_pivots(df: DataFrame, pivots, ids: str, vectors: str) -> DataFrame:
+    """``df`` (id, vector) with ``to``: the distances to the pivots."""
+    import pyarrow as pa
+    held = df.sparkSession.sparkContext.broadcast(pivots)
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            _, rows = _matrix(pa.Table.from_batches([batch]), ids, vectors)
+            if rows.shape[1] != held.value.shape[1]:
+                raise ValueError(f"vectors of {rows.shape[1]} and of {held.value.shape[1]} components")
+            to = _distances(rows, held.value)
+            lists = pa.ListArray.from_arrays(pa.array(range(0, to.size + 1, to.shape[1]), pa.int32()), to.ravel())
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[ids, vectors, "to"])
+
+    return df.mapInArrow(run, f"{ids} bigint, {vectors} array<double>, to array<double>")
+
+
+def _score_cells(q: DataFrame, r: DataFrame, blocks: Column, n_chunks: int, k: int, exclude_self: bool) -> DataFrame:
+    """(qid, nn) lists of every query row (qid, qvec, cell) against every block of its cell's rows (rid, rvec, cell)."""
     import pyarrow as pa
-    spark = q.sparkSession
-    tbl = chunk.select("__rid", "__rvec").toArrow()
-    rid = tbl.column("__rid").to_numpy().astype(np.int64)
-    vecs = tbl.column("__rvec").combine_chunks()
-    dim = len(vecs[0]) if len(vecs) else 0
-    rmat = vecs.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rid), dim)
-    bc = spark.sparkContext.broadcast((rid, rmat))
+    q = q.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))) \
+        .withColumn("chunk", F.pmod(F.xxhash64("qid"), F.lit(n_chunks)).cast("int"))
+    r = r.withColumn("block", F.pmod(F.xxhash64("rid"), blocks).cast("int")) \
+        .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))))
     struct_t = pa.struct([("d2", pa.float64()), ("id", pa.int64())])
 
-    def score(batches):
-        r_ids, r_mat = bc.value
-        for b in batches:
-            qid = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            qv = b.column(1)
-            qmat = qv.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(qid), -1) \
-                if len(qid) else np.empty((0, r_mat.shape[1]))
-            offs, d2, ids = _nearest(qid, qmat, r_ids, r_mat, k, exclude_self)
-            nn = pa.ListArray.from_arrays(pa.array(offs, pa.int32()),
-                                          pa.StructArray.from_arrays([pa.array(d2), pa.array(ids)],
-                                                                     fields=list(struct_t)))
-            yield pa.RecordBatch.from_arrays([pa.array(qid, pa.int64()), nn], names=["__qid", "nn"])
+    def score(left, right):
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"qid": pa.array([], pa.int64()), "nn": pa.array([], pa.list_(struct_t))})
+        qid, qmat = _matrix(left, "qid", "qvec")
+        rid, rmat = _matrix(right, "rid", "rvec")
+        offs, d2, ids = _nearest(qid, qmat, rid, rmat, k, exclude_self)
+        structs = pa.StructArray.from_arrays([pa.array(d2), pa.array(ids)], fields=list(struct_t))
+        return pa.table({"qid": pa.array(qid), "nn": pa.ListArray.from_arrays(pa.array(offs, pa.int32()), structs)})
+
+    key = ["cell", "block", "chunk"]
+    return q.groupBy(*key).cogroup(r.groupBy(*key)).applyInArrow(score, "qid bigint, nn array<struct<d2: double, id: bigint>>")
+
 
-    return q.mapInArrow(score, "__qid bigint, nn array<struct<d2: double, id: bigint>>")
+def _best(lists: DataFrame, k: int) -> DataFrame:
+    return lists.groupBy("qid").agg(F.flatten(F.collect_list("nn")).alias("nn")) \
+        .select("qid", F.slice(F.array_sort("nn"), 1, k).alias("nn"))
+
+
+def _knn_cells(queries: DataFrame, refs: DataFrame, k: int, exclude_self: bool, block_rows: int) -> DataFrame:
+    """Exact k nearest by pivot cells.
+
+    References live in the cell of their nearest pivot (as many cells as there
+    would be blocks, PIVOTS at most), large cells in blocks of about
+    ``block_rows``.  A query first searches its own cell; its k-th
+    distance then bounds the cells that can hold anything nearer (triangle
+    inequality with the cell's radius), and those alone are searched too.
+    Pivots, radii and block counts are PIVOTS rows; vectors only move by
+    shuffles, each task holding one block and one chunk of queries.
+    """
+    import numpy as np
+    wanted = min(PIVOTS, math.ceil(refs.count() / block_rows))
+    sample = refs.orderBy(F.xxhash64("rid"), "rid").limit(wanted).toArrow()
+    _, pivots = _matrix(sample, "rid", "rvec")
+    pivots = np.unique(pivots, axis=0)
+    nearest = F.array_position("to", F.array_min("to")).cast("int") - 1
+    r = cut_lineage(_to_pivots(refs, pivots, "rid", "rvec").select("rid", "rvec", nearest.alias("cell"), F.array_min("to").alias("own")))
+    cells = {c.cell: c for c in r.groupBy("cell").agg(F.max("own").alias("radius"), F.count("*").alias("n")).collect()}
+    n_blocks = [math.ceil(cells[c].n / block_rows) if c in cells else 0 for c in range(len(pivots))]
+    radius = [cells[c].radius if c in cells else 0.0 for c in range(len(pivots))]
+    blocks = F.element_at(F.lit(n_blocks), F.col("cell") + 1)
+    r = r.select("rid", "rvec", "cell")
+    q = cut_lineage(_to_pivots(queries, pivots, "qid", "qvec"))
+    n_chunks = max(1, math.ceil(q.count() / QUERY_ROWS))
+    used = F.lit([n > 0 for n in n_blocks])
+    home = F.array_min(F.filter(F.arrays_zip(F.col("to").alias("d"), F.sequence(F.lit(0), F.size("to") - 1).alias("c"), used.alias("u")),
+                                lambda x: x["u"]))["c"].cast("int")
+    q = q.withColumn("home", home)
+    first = cut_lineage(_best(_score_cells(q.select("qid", "qvec", F.col("home").alias("cell")), r, blocks, n_chunks, k, exclude_self), k))
+    bound = F.when(F.size("nn") == k, F.sqrt(F.col("nn")[k - 1]["d2"])).otherwise(F.lit(float("inf")))
+    reach = q.join(first.select("qid", bound.alias("bound")), "qid", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+    # a little slack for rounding: a cell too many costs time only
+    near = F.filter(F.arrays_zip(F.col("to").alias("d"), F.lit(radius).alias("radius"), used.alias("u"), F.sequence(F.lit(0), F.size("to") - 1).alias("c")),
+                    lambda x: x["u"] & (x["c"] != F.col("home")) & (x["d"] - x["radius"] <= F.col("bound") * (1 + 1e-9) + 1e-9))
+    rest = reach.select("qid", "qvec", F.explode(F.transform(near, lambda x: x["c"].cast("int"))).alias("cell"))
+    return _best(first.unionByName(_score_cells(rest, r, blocks, n_chunks, k, exclude_self)), k)
+
+
+def _knn_sql(q: DataFrame, r: DataFrame, k: int, exclude_self: bool, chunk_rows: int) -> DataFrame:
+    """The same lists with higher-order functions, each size-checked chunk of references as one value: for checks on small data."""
+    n_chunks = max(1, math.ceil(r.count() / chunk_rows))
+    r = _rank_by_id(r, "rid", out="__rn").withColumn("chunk", ((F.col("__rn") - 1) / F.lit(chunk_rows)).cast("int"))
+    lists = []
+    for c in range(n_chunks):
+        packed = r.filter(F.col("chunk") == c).agg(F.collect_list(F.struct("rid", "rvec")).alias("refs"))
+        dists = F.transform("refs", lambda e: F.struct(_sqdist(F.col("qvec"), e["rvec"]).alias("d2"), e["rid"].alias("id")))
+        if exclude_self:
+            dists = F.filter(dists, lambda s: s["id"] != F.col("qid"))
+        lists.append(q.withColumn("refs", packed.select("refs").scalar()).select("qid", dists.alias("nn")))
+    out = lists[0]
+    for part in lists[1:]:
+        out = out.unionByName(part)
+    return _best(out, k)
 
 
 def knn(queries: DataFrame, refs: DataFrame, k: int, row_id: str = "row_id", vec: str = "embedding",
-        exclude_self: bool = False, max_bytes: int = MAX_BROADCAST_BYTES, engine: str = "numpy") -> DataFrame:
+        exclude_self: bool = False, max_bytes: int = MAX_BLOCK_BYTES, engine: str = "numpy") -> DataFrame:
     """Exact k nearest ``refs`` of every query row.
 
     Returns (row_id, nn) where ``nn`` is an array of (d2, id) structs sorted by
-    squared distance then id (ties broken by the smaller id).  ``engine``:
-    ``"numpy"`` (default) scores Arrow batches against a broadcast chunk;
-    ``"sql"`` stays in the JVM with higher-order functions (interpreted,
-    slower).  Both give identical results.
+    squared distance then id (ties broken by the smaller id).  ``max_bytes``
+    bounds the reference rows that a task holds at a time.  ``engine``:
+    ``"numpy"`` (default) searches pivot cells; ``"sql"`` compares every pair
+    in the JVM and gives identical results.  NULL vectors, NULL components and
+    vectors of another length are an error.
     """
     first = refs.select(vec).first()
     if first is None:  # no reference rows: every query gets an empty list
         return queries.select(F.col(row_id), F.array().cast("array<struct<d2: double, id: bigint>>").alias("nn"))
-    dim = len(first[vec] or [])
-    n_ref = refs.count()
-    per_row = 8 * (dim + 2) + 32
-    chunk_rows = max(1, max_bytes // per_row)
-    n_chunks = max(1, math.ceil(n_ref / chunk_rows))
-    r = refs.select(F.col(row_id).cast("bigint").alias("__rid"), _as_double(vec).alias("__rvec"))
-    if n_chunks > 1:
-        r = _rank_by_id(r, "__rid", out="__rn")
-        r = r.withColumn("__chunk", ((F.col("__rn") - 1) / F.lit(chunk_rows)).cast("int")).drop("__rn")
+    rows = max(1, max_bytes // (8 * (len(first[vec] or []) + 2) + 32))
+    r = refs.select(F.col(row_id).cast("bigint").alias("rid"), _as_double(vec).alias("rvec"))
+    q = queries.select(F.col(row_id).cast("bigint").alias("qid"), _as_double(vec).alias("qvec"))
+    if engine == "sql":
+        found = _knn_sql(q, r, k, exclude_self, rows)
     else:
-        r = r.withColumn("__chunk", F.lit(0))
-    q = queries.select(F.col(row_id).cast("bigint").alias("__qid"), _as_double(vec).alias("__qvec"))
-    parts = []
-    for c in range(n_chunks):
-        chunk = r.filter(F.col("__chunk") == c)
-        if engine == "numpy":
-            parts.append(_knn_chunk_numpy(q, chunk, k, exclude_self))
-            continue
-        # One value holding at most `chunk_rows` vectors (size checked above),
-        # evaluated once as a scalar subquery and shipped with the tasks.
-        packed = chunk.agg(F.collect_list(F.struct("__rid", "__rvec")).alias("__refs"))
-        cand = q.withColumn("__refs", packed.select("__refs").scalar())
-        dists = F.transform("__refs", lambda e: F.struct(_sqdist(F.col("__qvec"), e["__rvec"]).alias("d2"),
-                                                         e["__rid"].alias("id")))
-        if exclude_self:
-            dists = F.filter(dists, lambda s: s["id"] != F.col("__qid"))
-        parts.append(cand.select("__qid", F.slice(F.array_sort(dists), 1, k).alias("nn")))
-    allc = parts[0]
-    for p in parts[1:]:
-        allc = allc.unionByName(p)
-    if n_chunks > 1:
-        allc = allc.groupBy("__qid").agg(F.flatten(F.collect_list("nn")).alias("nn")) \
-            .select("__qid", F.slice(F.array_sort("nn"), 1, k).alias("nn"))
-    out = allc.withColumnRenamed("__qid", row_id)
+        found = _knn_cells(q, r, k, exclude_self, rows)
+    empty = F.array().cast("array<struct<d2: double, id: bigint>>")
+    out = q.select("qid").join(found, "qid", "left").select(F.col("qid").alias(row_id), F.coalesce("nn", empty).alias("nn"))
     return out.withColumn(row_id, F.col(row_id).cast(dict(queries.dtypes)[row_id]))
 
 

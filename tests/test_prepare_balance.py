@@ -121,3 +121,23 @@ def test_empty_inputs(spark):
     assert bal.holdout_split(spark.createDataFrame([], "row_id long, label int")).count() == 0
     p = spark.createDataFrame([], "label int, probability double, prediction int")
     assert [r["roc_auc"] for r in mx.roc_auc(p).collect()] == [None]  # undefined area, as SQL aggregates
+
+
+def test_knn_with_many_cells_and_one_oversized(spark):
+    import numpy as np
+    rng = np.random.default_rng(2)
+    spots = rng.normal(scale=20, size=(30, 6))
+    refs = [(i, (spots[i % 30] + rng.normal(size=6)).tolist()) for i in range(200)] + [(1000 + i, spots[0].tolist()) for i in range(150)]
+    queries = [(5000 + i, (spots[i % 30] + rng.normal(size=6)).tolist()) for i in range(90)]
+    r, q = (spark.createDataFrame(x, "row_id long, embedding array<double>") for x in (refs, queries))
+    lists = lambda df: {x.row_id: [(e.d2, e.id) for e in x.nn] for x in df.collect()}
+    assert lists(bal.knn(q, r, 4, max_bytes=2000)) == lists(bal.knn(q, r, 4, engine="sql"))
+    assert lists(bal.knn(r, r, 3, exclude_self=True, max_bytes=2000)) == lists(bal.knn(r, r, 3, exclude_self=True, engine="sql"))
+
+
+def test_knn_names_the_row_of_an_odd_vector(spark):
+    good = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, 4.0])], "row_id long, embedding array<double>")
+    for odd in ([1.0], [1.0, None], None):
+        bad = spark.createDataFrame([(7, odd)], "row_id long, embedding array<double>")
+        with pytest.raises(Exception, match="7|components"):
+            bal.knn(bad, good, 1).collect()
