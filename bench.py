@@ -28,7 +28,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = [a for a in sys.argv[1:]] or HEADLINE
     from grantrisk.plans.queries import QUERIES
-    from grantrisk.session import local_session
+    from grantrisk.session import local_session, release_scratch
     spark = local_session(cpus, app="grantrisk-bench")
     spark.range(1000).selectExpr("sum(id)").collect()  # JVM warm-up, not timed
     times: dict[str, float] = {}
@@ -40,6 +40,7 @@ def main() -> None:
             times[name] = round(time.time() - t0, 3)
         except Exception as e:  # noqa: BLE001
             errors[name] = f"{type(e).__name__}: {str(e)[:200]}"
+    release_scratch(spark)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     out = {"metric": "headline_total_sec", "value": round(sum(times.values()), 3), "unit": "sec",
            "queries": times, "sf": float(sf) if sf.replace(".", "").isdigit() else sf,

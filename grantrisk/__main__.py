@@ -40,7 +40,7 @@ def main(argv: list[str] | None = None) -> None:
     a = ap.parse_args(argv)
 
     spark = SparkSession.builder.appName(f"grantrisk-{a.cmd}").getOrCreate()
-    from grantrisk.session import checkpoint_root
+    from grantrisk.session import checkpoint_root, release_scratch
     from grantrisk.sources import tables as tbl
     checkpoint_root(spark)
     if a.cmd == "etl":
@@ -58,6 +58,7 @@ def main(argv: list[str] | None = None) -> None:
                                models=tuple(a.models), resample=res, tune_iter=a.tune_iter,
                                tune_folds=a.tune_folds)
         tbl.write_table(out, f"{a.out.rstrip('/')}/metrics")
+    release_scratch(spark)
 
 
 if __name__ == "__main__":

@@ -219,8 +219,3 @@ def distinct_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     stack = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
                                 for c in cols]))
     return df.select(stack.alias("__p")).select("__p.column", "__p.value").distinct()
-
-
-def first_seen(df: DataFrame, col: str, row_id: str) -> DataFrame:
-    """O5 input: (value, first row id) per distinct value."""
-    return df.groupBy(F.col(col).alias("value")).agg(F.min(row_id).alias("first_row"))

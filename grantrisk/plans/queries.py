@@ -384,7 +384,8 @@ def model_input(spark, sf):
 @query("first_seen_codes")
 def q_first_seen(spark, sf):
     """First-seen ordinal codes of every categorical column."""
-    return prep.first_seen_codes(model_input(spark, sf), schemas.CATEGORICAL_FEATURES, "row_id")
+    mi = cut_lineage(model_input(spark, sf).select("row_id", *schemas.CATEGORICAL_FEATURES))  # read twice
+    return prep.first_seen_codes(mi, schemas.CATEGORICAL_FEATURES, "row_id")
 
 
 @query("ordinal_encode")
@@ -400,7 +401,7 @@ def q_ordinal(spark, sf):
 @query("onehot_wide")
 def q_onehot(spark, sf):
     """G1: wide indicator columns for three low-cardinality columns."""
-    mi = model_input(spark, sf).select("NR_CONVENIO", *ONEHOT_COLUMNS)
+    mi = cut_lineage(model_input(spark, sf).select("NR_CONVENIO", *ONEHOT_COLUMNS))  # read twice
     return prep.onehot_wide(mi, ONEHOT_COLUMNS)
 
 

@@ -21,9 +21,7 @@ BALANCE_REPORTS = {
 }
 
 BALANCE_SQL = (
-    "SELECT {g}, count(target) AS total, "
-    "sum(CASE WHEN target = 0 THEN 1 ELSE 0 END) AS negativos, "
-    "sum(CASE WHEN target = 1 THEN 1 ELSE 0 END) AS positivos "
+    "SELECT {g}, count(TARGET) AS total, count_if(TARGET = 0) AS negativos, count_if(TARGET = 1) AS positivos "
     "FROM {table} GROUP BY {g} ORDER BY total DESC"
 )
 
