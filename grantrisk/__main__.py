@@ -39,6 +39,7 @@ def main(argv: list[str] | None = None) -> None:
     t.add_argument("--resample", nargs="*", default=[])
     a = ap.parse_args(argv)
 
+    own = SparkSession.getActiveSession() is None
     spark = SparkSession.builder.appName(f"grantrisk-{a.cmd}").getOrCreate()
     from grantrisk.session import checkpoint_root, release_scratch
     from grantrisk.sources import tables as tbl
@@ -58,7 +59,8 @@ def main(argv: list[str] | None = None) -> None:
                                models=tuple(a.models), resample=res, tune_iter=a.tune_iter,
                                tune_folds=a.tune_folds)
         tbl.write_table(out, f"{a.out.rstrip('/')}/metrics")
-    release_scratch(spark)
+    if own:  # a caller's session may still need its scratch tables
+        release_scratch(spark)
 
 
 if __name__ == "__main__":
