@@ -141,7 +141,7 @@ def links(fps: DataFrame, max_bits: int = 4, segments: int | None = None) -> Dat
 
 
 def groups(marked: DataFrame, max_bits: int = 4, segments: int | None = None, id_col: str = "doc_id") -> DataFrame:
-    """(fp, component_id): for each different ``fp`` of ``marked`` the smallest id that its group holds.
+    """(fp, tree, component_id): for each different ``fp`` of ``marked`` its group and the smallest id that this holds.
 
     ``marked`` has columns ``fp`` and ``id_col`` and is read twice; pass a
     staged table.  NULL ids count only where a group has no other.
@@ -150,7 +150,7 @@ def groups(marked: DataFrame, max_bits: int = 4, segments: int | None = None, id
     found = components(links(fps.select("fp"), max_bits, segments))
     tree = fps.join(found, fps["fp"] == found["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("tree"))
     least = tree.groupBy("tree").agg(F.min("first").alias("component_id"))
-    return staged(tree.join(least, "tree").select("fp", "component_id"), "simhash-groups")
+    return staged(tree.join(least, "tree").select("fp", "tree", "component_id"), "simhash-groups")
 
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 4, max_bits: int = 4,
@@ -163,14 +163,27 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     stay; an empty table gives none.
     """
     marked = staged(docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col).cast("string"), shingle).alias("fp")), "simhash")
-    return marked.join(groups(marked, max_bits, segments), "fp")
+    return marked.join(groups(marked, max_bits, segments), "fp").drop("tree")
 
 
 def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 4, max_bits: int = 4,
              segments: int | None = None) -> DataFrame:
-    """The columns of ``docs``, one row of each group: that with the smallest id (of rows repeating it, one)."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    marked = staged(docs.select(row, F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col).cast("string"), shingle).alias("fp")), "simhash")
-    found = groups(marked.select("fp", "doc_id"), max_bits, segments)
-    first = marked.join(found, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return first.groupBy("doc_id", "component_id").agg(F.first("row").alias("row")).select("row.*")
+    """The columns of ``docs``, one row of each group: that with the smallest id.
+
+    Of rows that repeat this id, the one with the smallest md5 of its text stays.
+    """
+    text = F.col(text_col).cast("string")
+    key = F.coalesce(F.md5(text.cast("binary")), F.lit("")).alias("text_key")
+    slim = staged(docs.select(F.col(id_col).alias("doc_id"), key, fingerprint(text, shingle).alias("fp")), "simhash")
+    first = slim.join(groups(slim.select("fp", "doc_id"), max_bits, segments), "fp") \
+        .where(F.col("doc_id").eqNullSafe(F.col("component_id"))) \
+        .groupBy("tree").agg(F.min("text_key").alias("text_key"), F.first("component_id").alias("doc_id"))
+
+    def keys(doc_id: Column) -> list[Column]:  # never NULL, so that both sides meet by plain equality
+        return [doc_id.isNull().alias("k0"), F.coalesce(doc_id.cast("string"), F.lit("")).alias("k1")]
+
+    kept = first.select(*keys(F.col("doc_id")), F.col("text_key").alias("k2"))
+    # Texts are shuffled once: repeated rows are merged before, and the join finds them dealt by its keys.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *keys(F.col(id_col)), key.alias("k2"))
+    rows = rows.groupBy("k0", "k1", "k2").agg(F.first("row").alias("row"))
+    return rows.join(kept, ["k0", "k1", "k2"], "left_semi").select("row.*")
