@@ -25,7 +25,7 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Cut texts into pieces of about so many characters.
 PIECE = 1 << 16
 #: Give batches of about so many bytes of text back to Spark.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 #: From a text's ids and decoded bytes, a value of the Spark type.
 Derived = tuple[T.DataType, Callable[[np.ndarray, bytes], object]]
