@@ -113,4 +113,6 @@ def double_to_decimal_comma(c: str | Column) -> Column:
     point = F.greatest(point, F.lit(1))
     front, back = F.substring(padded, 1, point), F.substring(padded, point + 1, F.length(padded))
     plain = F.concat(F.when(text.startswith("-"), "-").otherwise(""), front, F.when(back == "", "").otherwise(F.concat(F.lit(","), back)))
-    return F.when(text.rlike(shape), plain).otherwise(text)
+    # most doubles have no exponent: their text needs no taking apart
+    short = F.translate(F.regexp_replace(text, r"\.0$", ""), ".", ",")
+    return F.when(~text.contains("E"), short).when(text.rlike(shape), plain).otherwise(text)
