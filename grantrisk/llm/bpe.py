@@ -40,7 +40,11 @@ DIGESTS: dict[str, Derived] = {
 def read_ranks(path: str) -> dict[bytes, int]:
     """A rank file: a token in base64 and its rank on each line."""
     with open(path, "rb") as f:
-        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        return parse_ranks(f.read())
+
+
+def parse_ranks(raw: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, raw.splitlines())}
 
 
 def pieces(text: str, size: int = PIECE) -> Iterator[str]:
@@ -62,7 +66,8 @@ def _encoding(ranks: dict[bytes, int]):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def _codec(ranks: dict[bytes, int]) -> tuple[Callable[[str | None], np.ndarray], Callable[[np.ndarray], bytes]]:
+def codec(ranks: dict[bytes, int]) -> tuple[Callable[[str | None], np.ndarray], Callable[[np.ndarray], bytes]]:
+    """Both ways: a text's ids, and the bytes of ids."""
     encoding = _encoding(ranks)
     token = [b""] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
@@ -113,7 +118,7 @@ def encode(docs: DataFrame, ranks_path: str, text_col: str = "text", ids_col: st
     replaced and all others are handed through.  No special tokens.
     """
     def values(ranks):
-        to_ids, _ = _codec(ranks)
+        to_ids, _ = codec(ranks)
         return lambda text: (to_ids(text).astype(np.int32),)
 
     return _mapped(docs, {ids_col: T.ArrayType(T.IntegerType())}, values, ranks_path, text_col)
@@ -126,7 +131,7 @@ def decode(docs: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col: st
     file doesn't have fails.
     """
     def values(ranks):
-        _, to_bytes = _codec(ranks)
+        _, to_bytes = codec(ranks)
         return lambda ids: (to_bytes(np.asarray(ids or [], dtype=np.int64)),)
 
     return _mapped(docs, {bytes_col: T.BinaryType()}, values, ranks_path, ids_col)
@@ -143,7 +148,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, derive: dict[str, Derived],
     functions = [f for _, f in derive.values()]
 
     def values(ranks):
-        to_ids, to_bytes = _codec(ranks)
+        to_ids, to_bytes = codec(ranks)
 
         def one(text):
             ids = to_ids(text)

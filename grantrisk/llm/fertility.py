@@ -1,9 +1,10 @@
 """Quality rules from base counts and from tokeniser fertility.
 
-A public sentencepiece vocabulary with byte fallback reads the words of each
-text.  Three figures come out: characters per token, the share of tokens that
-are fallback bytes, and the entropy of the tokens relative to the most that
-so many tokens could have.  Rejection bands per language (per script where no
+Four public vocabularies read the words of each text, each word by itself: a
+sentencepiece one with byte fallback, two byte-level ones and one with word
+ends.  Each gives characters per token and the entropy of the tokens relative
+to the most that so many tokens could have, the first also the share of
+tokens that are fallback bytes.  Rejection bands per language (per script where no
 language is given) follow from the quartiles of these figures over all
 documents, so they need no list of languages:
 
@@ -12,15 +13,20 @@ documents, so they need no list of languages:
 * byte-fallback share above its band (symbols, wrong encodings),
 * token entropy below its band (one phrase over and over).
 
+A text outside the band of any vocabulary goes.
+
 An address, a number or a quotation in an otherwise clean text shifts the
 figures by its share of the tokens, so a band widens with 1 / tokens.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -29,11 +35,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import bpe
 from .common import free_name, staged
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
-#: Encode about so many characters of words at a time.
-PIECE = 1 << 16
+#: The other public vocabularies; byte_bpe_50k.json is that of the rank file again.
+OTHERS = {"byte": public_tokenizers.path("byte_bpe_50k.tiktoken"), "multi": public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+          "word": public_tokenizers.path("word_bpe_49k.json")}
+#: A Python worker remembers the tokens of about so many words of up to so many bytes.
+CACHE_WORDS, CACHE_BYTES = 1 << 18, 48
+#: Ids of the k-th vocabulary are told apart by adding k times this.
+_SHIFT = 1 << 16
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 10
 #: A base rule fails above this percentage of words in repeated windows.
@@ -41,7 +53,8 @@ MAX_REPEAT_PERCENT = 20
 WINDOW = 5
 #: Half-width of a band in interquartile ranges, and the least half-width of each figure.
 BAND = 2.0
-FIGURES = {"chars_per_token": 0.1, "byte_share": 0.05, "token_entropy": 0.1}
+FIGURES = {"chars_per_token": 0.1, "byte_share": 0.05, "token_entropy": 0.1} \
+    | {f"{x}_{v}": least for v in OTHERS for x, least in (("chars_per_token", 0.1), ("token_entropy", 0.1))}
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63],
                         dtype=np.uint64)
 
@@ -50,7 +63,9 @@ MEASURES = T.StructType([
     T.StructField("n_symbols", T.LongType()), T.StructField("n_dup_lines", T.LongType()),
     T.StructField("n_repeat_words", T.LongType()), T.StructField("n_tokens", T.LongType()),
     T.StructField("chars_per_token", T.DoubleType()), T.StructField("byte_share", T.DoubleType()),
-    T.StructField("token_entropy", T.DoubleType()), T.StructField("script", T.StringType())])
+    T.StructField("token_entropy", T.DoubleType()),
+    *[T.StructField(f"{x}_{v}", T.DoubleType()) for v in OTHERS for x in ("chars_per_token", "token_entropy")],
+    T.StructField("script", T.StringType())])
 
 
 def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
@@ -81,39 +96,162 @@ def base_counts(text: str) -> tuple[list[bytes], int, int, int, int]:
             repeated_words(words))
 
 
-def _parts(words: list[bytes]) -> Iterator[str]:
-    """The words joined by spaces, in parts of about ``PIECE`` bytes; tokens never cross a space."""
-    start, size = 0, 0
-    for i, word in enumerate(words):
-        size += len(word) + 1
-        if size >= PIECE or i == len(words) - 1:
-            yield b" ".join(words[start:i + 1]).decode()
-            start, size = i + 1, 0
-
-
 def _script(text: str) -> str:
     """First word of the Unicode name of the text's first letter ('LATIN', 'CJK', ...); '' without letters."""
     letter = re.search(r"[^\W\d_]", text)
     return unicodedata.name(letter[0], "").partition(" ")[0] if letter else ""
 
 
-def _measurer(model: bytes):
+def _entropy(times: np.ndarray) -> float:
+    """Entropy of tokens that occur so many times, relative to the most that so many could have."""
+    n = int(times.sum())
+    return 1.0 if n < 2 else float((np.log2(n) - (times * np.log2(times)).sum() / n) / np.log2(n))
+
+
+def _read(model_path: str = VOCABULARY) -> tuple[bytes, dict[str, bytes]]:
+    """The files of all vocabularies."""
+    files = []
+    for path in (model_path, *OTHERS.values()):
+        with open(path, "rb") as f:
+            files.append(f.read())
+    return files[0], dict(zip(OTHERS, files[1:]))
+
+
+#: Of some words: their ids one after the other, and where each word's begin and the last one's end.
+Coded = tuple[np.ndarray, np.ndarray]
+
+
+def _cat(lists: Sequence[Sequence[int]]) -> Coded:
+    ids = np.fromiter(chain.from_iterable(lists), dtype=np.int32)
+    return ids, np.cumsum([0, *map(len, lists)])
+
+
+def _piece_encoder(file: bytes):
+    """Encoder of words by the sentencepiece vocabulary, and which of its ids are fallback bytes."""
     import sentencepiece
 
-    vocabulary = sentencepiece.SentencePieceProcessor(model_proto=model)
+    vocabulary = sentencepiece.SentencePieceProcessor(model_proto=file)
     is_byte = np.array([vocabulary.IsByte(i) for i in range(vocabulary.GetPieceSize())])
+    return lambda words: _cat(vocabulary.encode(words, num_threads=1)), is_byte
+
+
+def _rank_encoder(file: bytes) -> Callable[[list[str]], Coded]:
+    """Encoder of words, each read with a space before it, by the ranks of a file."""
+    ranks = bpe.parse_ranks(file)
+    encode, _ = bpe.codec(ranks)
+    leads = np.zeros(max(ranks.values()) + 1, dtype=bool)
+    leads[[rank for token, rank in ranks.items() if token.startswith(b" ")]] = True
+
+    def coded(words: list[str]) -> Coded:
+        text = " ".join(words)
+        if len(text.split()) == len(words):  # else white space of two words could meet
+            ids = encode(" " + text)
+            starts = np.flatnonzero(leads[ids])
+            if len(starts) == len(words):
+                return ids.astype(np.int32), np.append(starts, len(ids))
+        return _cat([encode(" " + word).tolist() for word in words])
+
+    return coded
+
+
+def _word_encoder(file: bytes) -> Callable[[list[str]], Coded]:
+    """Encoder of words by the vocabulary with word ends, as ``tokenizers`` does it at several times the cost.
+
+    A zero byte stands for the word end: joining a byte to it has a lower
+    rank than any merge.  Zero bytes and ones of the text are read as twos.
+    """
+    import regex
+    import tiktoken
+
+    vocabulary = json.loads(file)
+    byte_of = {chr(b): b for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
+    byte_of |= {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(byte_of.values())))}
+    special = {t["content"] for t in vocabulary["added_tokens"]}
+    ranks = {bytes(byte_of[c] for c in t.removesuffix("</w>")) + b"\0" * t.endswith("</w>"): i
+             for t, i in vocabulary["model"]["vocab"].items() if t not in special}
+    encoding = tiktoken.Encoding("word", pat_str=r"[^\x00\x01]+\x00|\x01", mergeable_ranks=ranks, special_tokens={})
+    split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}\x01]+|\x01")
+    mark, plain = ranks[b"\1"], {0: 2, 1: 2}
+
+    def coded(words: list[str]) -> Coded:
+        text = "\1".join(words) + "\1"
+        if "\0" in text or text.count("\1") > len(words):
+            text = "".join([word.translate(plain) + "\1" for word in words])
+        text = "\0".join(split.findall(unicodedata.normalize("NFC", text).lower()))
+        ids = encoding.encode_to_numpy(text.replace("\1\0", "\1"), disallowed_special=()).astype(np.int32)
+        ends = np.flatnonzero(ids == mark)
+        return np.delete(ids, ends), np.append(0, ends - np.arange(len(ends)))
+
+    return coded
+
+
+def _tokens_of(encoders: list[Callable[[list[str]], Coded]]) -> Callable[[Iterable[bytes]], list[bytes]]:
+    """Of each word its ids in all vocabularies, as the bytes of 32-bit integers.
+
+    No token crosses a space, so that a word has the same ids wherever it
+    stands.  Ids of recent words are remembered in two halves; a full young
+    half takes the place of the old one.
+    """
+    young: dict[bytes, bytes] = {}
+    old: dict[bytes, bytes] = {}
+
+    def tokens(words: Iterable[bytes]) -> list[bytes]:
+        nonlocal young, old
+        found, missing = {}, []
+        for word in words:
+            ids = young.get(word)
+            if ids is None:
+                ids = old.get(word)
+                if ids is None:
+                    missing.append(word)
+                else:
+                    young[word] = ids
+            found[word] = ids
+        if missing:
+            texts = [word.decode() for word in missing]
+            new = []
+            for k, encode in enumerate(encoders):
+                ids, starts = encode(texts)
+                raw, at = (ids + np.int32(k * _SHIFT)).tobytes(), (4 * starts).tolist()
+                new.append([raw[a:b] for a, b in zip(at[:-1], at[1:])])
+            for word, *parts in zip(missing, *new):
+                found[word] = ids = b"".join(parts)
+                if len(word) <= CACHE_BYTES:
+                    young[word] = ids
+        if len(young) > CACHE_WORDS // 2:
+            young, old = {}, young
+        return list(found.values())
+
+    return tokens
+
+
+def _measurer(model: bytes, others: dict[str, bytes] | None = None):
+    pieces, is_byte = _piece_encoder(model)
+    files = _read()[1] if others is None else others
+    tokens = _tokens_of([pieces, *[(_word_encoder if v == "word" else _rank_encoder)(file) for v, file in files.items()]])
+    bounds = np.arange(len(files) + 2) * _SHIFT
 
     def measure(text: str) -> tuple:
         words, chars, symbols, dup_lines, repeats = base_counts(text)
-        counts = np.zeros(len(is_byte), dtype=np.int64)
-        for part in _parts(words):
-            used, times = np.unique(np.array(vocabulary.encode(part), dtype=np.int64), return_counts=True)
-            counts[used] += times
-        times = counts[counts > 0]
-        n = int(times.sum())
-        entropy = 1.0 if n < 2 else float((np.log2(n) - (times * np.log2(times)).sum() / n) / np.log2(n))
-        return (len(words), chars, symbols, dup_lines, repeats, n, chars / n if n else 0.0,
-                float(counts[is_byte].sum()) / n if n else 0.0, entropy, _script(text))
+        times = Counter(words)
+        coded = tokens(times)
+        ids = np.frombuffer(b"".join(coded), dtype=np.int32)
+        weights = np.repeat(np.fromiter(times.values(), dtype=np.int64, count=len(times)),
+                            np.fromiter(map(len, coded), dtype=np.int64, count=len(coded)) // 4)
+        order = np.argsort(ids)
+        ids, weights = ids[order], weights[order]
+        starts = np.flatnonzero(np.diff(ids, prepend=-1))
+        counts = np.add.reduceat(weights, starts) if len(ids) else weights
+        used = ids[starts]
+        cuts = np.searchsorted(used, bounds)
+        parts = [counts[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+        totals = [int(part.sum()) for part in parts]
+        per_token = [chars / n if n else 0.0 for n in totals]
+        entropy = [_entropy(part) for part in parts]
+        n = totals[0]
+        byte_share = float(parts[0][is_byte[used[:cuts[1]]]].sum()) / n if n else 0.0
+        return (len(words), chars, symbols, dup_lines, repeats, n, per_token[0], byte_share, entropy[0],
+                *chain.from_iterable(zip(per_token[1:], entropy[1:])), _script(text))
 
     return measure
 
@@ -121,14 +259,13 @@ def _measurer(model: bytes):
 def measured(docs: DataFrame, text_col: str = "text", into: str = "measures", model_path: str = VOCABULARY) -> DataFrame:
     """``docs`` with a struct of the base counts and token figures of the whole text (NULL: of an empty one).
 
-    The vocabulary file is read on the driver and broadcast (under a megabyte).
+    The vocabulary files are read on the driver and broadcast (under four megabytes).
     """
-    with open(model_path, "rb") as f:
-        model = docs.sparkSession.sparkContext.broadcast(f.read())
+    files = docs.sparkSession.sparkContext.broadcast(_read(model_path))
     at, names = docs.columns.index(text_col), [*docs.columns, into]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        measure = _measurer(model.value)
+        measure = _measurer(*files.value)
         for batch in batches:
             columns = list(zip(*[measure(text.as_py() or "") for text in batch.column(at)])) or [()] * len(MEASURES)
             struct = pa.StructArray.from_arrays(
@@ -165,8 +302,14 @@ def in_bands(m: str) -> Column:
         half = F.greatest((q[1] - q[0]) * BAND, F.lit(FIGURES[x])) * wider
         return F.col(f"{m}.{x}"), q[0] - half, q[1] + half
 
-    (cpt, low, high), (share, _, most), (entropy, least, _) = map(sides, FIGURES)
-    return F.coalesce((cpt >= low) & (cpt <= high) & (share <= most) & (entropy >= least), F.lit(True))
+    inside = F.lit(True)
+    for x in FIGURES:
+        value, low, high = sides(x)
+        if not x.startswith("byte_share"):
+            inside &= value >= low
+        if not x.startswith("token_entropy"):
+            inside &= value <= high
+    return F.coalesce(inside, F.lit(True))
 
 
 def judged(frame: DataFrame, m: str, lang_col: str | None = "lang") -> DataFrame:

@@ -90,3 +90,34 @@ def test_clean_documents_are_kept(spark):
     kept = {(r.quality, r.kept): r["count"] for r in got.groupBy("quality", "kept").count().collect()}
     assert kept[1, True] > 0.99 * (kept[1, True] + kept.get((1, False), 0))
     assert kept[0, False] > 0.4 * (kept[0, True] + kept[0, False])
+
+
+def test_other_vocabularies_read_the_words_as_their_libraries_do(spark):
+    import tiktoken
+    import tokenizers
+    from grantrisk.llm import bpe
+
+    measure = fertility._measurer(*fertility._read())
+    word = tokenizers.Tokenizer.from_file(fertility.OTHERS["word"])
+    word.encode_special_tokens = True  # their strings are ordinary text
+    encode = {"word": lambda t: word.encode(t, add_special_tokens=False).ids}
+    for v in ("byte", "multi"):
+        encoding = tiktoken.Encoding(v, pat_str=bpe.public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(fertility.OTHERS[v]), special_tokens={})
+        encode[v] = lambda t, encoding=encoding: encoding.encode_ordinary(" " + t)
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    texts += ["It's ΣΟΦΟΣ, \u0130stanbul e\u0301 \u00b2\u2167 x_y's 123 a\u00a0b \x1c\x7f \U0001f600 <|endoftext|> \u00a0c d\u00a0 " * k for k in (1, 300)]
+    for text in texts * 2:  # the second time from memory
+        got = dict(zip(fertility.MEASURES.names, measure(text)))
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        for v, ids_of in encode.items():
+            ids = np.array([i for w in words for i in ids_of(w)])
+            times = np.bincount(ids)[np.bincount(ids) > 0] if len(ids) else ids
+            entropy = 1.0 if len(ids) < 2 else -(times / len(ids) * np.log2(times / len(ids))).sum() / np.log2(len(ids))
+            assert got[f"chars_per_token_{v}"] == pytest.approx(sum(map(len, words)) / max(len(ids), 1)), (v, text[:80])
+            assert got[f"token_entropy_{v}"] == pytest.approx(entropy)
+
+
+def test_all_vocabularies_reject_most_junk(spark):
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").where("quality = 0")
+    got = op9_quality_rules(spark, "/root/testdata/sf0.1").where("not base_failed").join(labels, "doc_id")
+    assert got.where("kept").count() < 0.2 * got.count()
