@@ -16,7 +16,10 @@ documents, so they need no list of languages:
 A text outside the band of any vocabulary goes.
 
 An address, a number or a quotation in an otherwise clean text shifts the
-figures by its share of the tokens, so a band widens with 1 / tokens.
+figures by its share of the tokens, so short texts are held against the
+quartiles of texts of their length: a length class is a power of two of
+words.  A class of under ``LEAST_CLASS`` texts takes the language's quartiles,
+widened for short texts up to ``MOST_WIDER`` times.
 """
 
 from __future__ import annotations
@@ -53,6 +56,7 @@ MAX_REPEAT_PERCENT = 20
 WINDOW = 5
 #: Half-width of a band in interquartile ranges, and the least half-width of each figure.
 BAND = 2.0
+LEAST_CLASS, MOST_WIDER = 10, 3.0
 FIGURES = {"chars_per_token": 0.1, "byte_share": 0.05, "token_entropy": 0.1} \
     | {f"{x}_{v}": least for v in OTHERS for x, least in (("chars_per_token", 0.1), ("token_entropy", 0.1))}
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63],
@@ -286,16 +290,29 @@ def base_failed(m: str) -> Column:
     return (F.col(f"{m}.n_words") < MIN_WORDS) | (100 * F.col(f"{m}.n_repeat_words") > MAX_REPEAT_PERCENT * F.col(f"{m}.n_words"))
 
 
+def length_class(m: str) -> Column:
+    """Number of binary digits of the number of words."""
+    return F.length(F.bin(F.col(f"{m}.n_words")))
+
+
 def bands(frame: DataFrame, group: Column, m: str) -> DataFrame:
-    """Per group: its median number of tokens, and the quartiles of each figure, over all texts that pass the base rules."""
+    """Per group and length class: the quartiles of each figure over all texts that pass the base rules.
+
+    A row of class NULL holds for the whole group, and for its classes of
+    under ``LEAST_CLASS`` texts, with the group's median number of tokens.
+    """
     figures = [F.percentile_approx(f"{m}.{x}", [0.25, 0.75], 10000).alias(f"{m}_{x}") for x in FIGURES]
-    return frame.where(~base_failed(m)).groupBy(group.alias(f"{m}_of")).agg(
-        F.percentile_approx(f"{m}.n_tokens", 0.5, 10000).alias(f"{m}_typical"), *figures)
+    good = frame.where(~base_failed(m)).withColumn(f"{m}_of", group)
+    whole = good.groupBy(f"{m}_of").agg(F.percentile_approx(f"{m}.n_tokens", 0.5, 10000).alias(f"{m}_typical"), *figures)
+    classes = good.groupBy(f"{m}_of", length_class(m).alias(f"{m}_length")).agg(F.count("*").alias("n"), *figures)
+    return whole.withColumn(f"{m}_length", F.lit(None).cast("int")).unionByName(
+        classes.where(F.col("n") >= LEAST_CLASS).drop("n").withColumn(f"{m}_typical", F.lit(None).cast("long")))
 
 
 def in_bands(m: str) -> Column:
     """True where every figure lies in the joined band (or where there is no band)."""
-    wider = 1 + F.col(f"{m}_typical") / (3 * F.greatest(F.col(f"{m}.n_tokens"), F.lit(1)))
+    wider = F.least(1 + F.col(f"{m}_typical") / (3 * F.greatest(F.col(f"{m}.n_tokens"), F.lit(1))), F.lit(MOST_WIDER))
+    wider = F.when(F.col(f"{m}_typical").isNull(), 1.0).otherwise(wider)
 
     def sides(x: str) -> tuple[Column, Column, Column]:
         q = F.col(f"{m}_{x}")
@@ -320,11 +337,15 @@ def judged(frame: DataFrame, m: str, lang_col: str | None = "lang") -> DataFrame
     has no words and fails, a NULL language is judged with its script.
     """
     group = group_of(F.col(lang_col) if lang_col else None, F.col(f"{m}.script"))
-    # Written first: a table of a few rows whose known size lets the join broadcast it.
+    # Written first: a table of a few rows whose known size lets the joins broadcast it.
     limits = staged(bands(frame, group, m), "bands")
-    out = frame.withColumn(f"{m}_group", group).join(limits, F.col(f"{m}_group") == F.col(f"{m}_of"), "left")
+    kinds = limits.where(F.col(f"{m}_length").isNotNull()).select(f"{m}_of", f"{m}_length")
+    out = frame.withColumns({f"{m}_group": group, f"{m}_class": length_class(m)})
+    held = out.join(kinds, (F.col(f"{m}_group") == F.col(f"{m}_of")) & (F.col(f"{m}_class") == F.col(f"{m}_length")), "left") \
+        .withColumn(f"{m}_class", F.col(f"{m}_length")).drop(f"{m}_of", f"{m}_length")
+    out = held.join(limits, (F.col(f"{m}_group") == F.col(f"{m}_of")) & F.col(f"{m}_class").eqNullSafe(F.col(f"{m}_length")), "left")
     out = out.withColumn(f"{m}_failed", base_failed(m)).withColumn(f"{m}_kept", ~base_failed(m) & in_bands(m))
-    return out.drop(f"{m}_group", f"{m}_of", f"{m}_typical", *[f"{m}_{x}" for x in FIGURES])
+    return out.drop(f"{m}_group", f"{m}_class", f"{m}_of", f"{m}_length", f"{m}_typical", *[f"{m}_{x}" for x in FIGURES])
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str | None = "lang", model_path: str = VOCABULARY) -> DataFrame:
