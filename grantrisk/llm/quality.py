@@ -5,7 +5,8 @@ from text labelled bad.  A text is compressed block by block with each of
 them; the normalised difference of the two compressed sizes says which kind
 of text it resembles, and the mean compressed share of its bytes tells
 repetitive text.  A logistic fit on labelled rows that no dictionary has seen
-turns both into a calibrated score.
+turns both into a calibrated score; the rows of a label weigh as much as all
+learnable rows of that label, so that the sample's size leaves the scores level.
 
 Fitting reads a bounded sample of labelled rows (``SAMPLE`` per label, chosen
 by a hash of the id; ``SAMPLE_BLOCKS`` blocks of each for the dictionaries).
@@ -106,12 +107,14 @@ def _sample_blocks(rows: DataFrame) -> DataFrame:
         run, "label int, blocks array<binary>, place bigint")
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float, float]:
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, weights: np.ndarray | None = None) -> tuple[float, float, float]:
     x = np.column_stack([x * _SCALE, np.ones(len(x))])
     w = np.zeros(3)
+    k = np.ones(len(y)) if weights is None else weights * len(y) / weights.sum()
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x / len(y) + ridge * np.eye(3), x.T @ (p - y) / len(y) + ridge * w)
+        step = np.linalg.solve((x * (k * p * (1 - p))[:, None]).T @ x / len(y) + ridge * np.eye(3),
+                               x.T @ (k * (p - y)) / len(y) + ridge * w)
         w -= step
     return tuple(float(v) for v in w)
 
@@ -126,6 +129,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")) \
         .agg(F.min(label_col).cast("int").alias("label"), F.max(label_col).alias("other")).where("label = other")
     known = staged(known.select("id", "label", F.xxhash64("id").alias("place")), "labels")
+    # Rows that could be learnt from: labels whose text there is, however often its id comes.
+    texts = docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"))
+    learnable = {r.label: r["count"] for r in known.join(texts, "id", "left_semi").groupBy("label").count().collect()}
     chosen = [known.where(F.col("label") == v).orderBy("place", "id").limit(SAMPLE) for v in (0, 1)]
     chosen = staged(chosen[0].unionByName(chosen[1]), "sample-ids")  # at most 2 * SAMPLE rows
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null") \
@@ -141,7 +147,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = _scored(sample.where(~first), model, "text", ("label", "id")).toPandas().sort_values("id")
     if rows.empty:
         return model
-    return Model(model.bad, model.good, _logistic(rows[["difference", "share"]].to_numpy(), rows["label"].to_numpy(dtype=float)))
+    label = rows["label"].to_numpy()
+    weight = np.array([learnable.get(v, 0) for v in (0, 1)]) / np.maximum(np.bincount(label, minlength=2), 1)
+    return Model(model.bad, model.good, _logistic(rows[["difference", "share"]].to_numpy(), label.astype(float), weights=weight[label]))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", id_cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:

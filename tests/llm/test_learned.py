@@ -71,3 +71,26 @@ def test_calibration_is_a_probability():
     p = 1 / (1 + np.exp(-(x @ np.array([20.0, 0.0]) * 1.0 + 0.5)))
     w = quality._logistic(x, (rng.random(4000) < p).astype(float))
     assert w[0] == pytest.approx(1.0, abs=0.2) and w[2] == pytest.approx(0.5, abs=0.2)
+
+
+def test_a_smaller_sample_leaves_the_score_level(spark, monkeypatch):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(0)
+    good, odd = (["".join(rng.choices(a, k=rng.randrange(3, 8))) for _ in range(400)] for a in ("abcdefgh", "fghijklm"))
+    rows, labels = [], []
+    for i in range(2400):  # ten good texts to a bad one, both of mixed words
+        bad = i % 11 == 0
+        share = rng.betavariate(2, 3) if bad else rng.betavariate(3, 2)
+        rows.append((i, " ".join(rng.choice(good if rng.random() < share else odd) for _ in range(60))))
+        labels.append((i, 0 if bad else 1))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+
+    def level():
+        return np.mean([r.score for r in quality.score(docs, quality.fit(docs, labels)).collect()])
+
+    whole = level()
+    monkeypatch.setattr(quality, "SAMPLE", 200)
+    assert abs(whole - 10 / 11) < 0.05 and abs(level() - whole) < 0.05
