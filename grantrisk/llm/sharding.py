@@ -17,11 +17,11 @@ The placement is a table of that bounded size, broadcast to the documents.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ranking import row_number_global
-from .common import staged, word_count
+from .common import free_name, staged, word_count
 
 GRAIN = 128
 PIECES = 8
@@ -51,11 +51,15 @@ def documents_to_pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ``text_key`` is the md5 of the text; NULL texts form a group of their own.
     ``row`` tells repeated rows apart and is fixed by the staging.
     """
-    raw = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
+    return _to_pack(docs, F.monotonically_increasing_id(), F.col(id_col), F.col(text_col), overhead)
+
+
+def _to_pack(docs: DataFrame, row: Column, doc_id: Column, text: Column, overhead: int = 16) -> DataFrame:
+    raw = F.coalesce(text.cast("binary"), F.lit(b""))
     return staged(docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"),
+        row.alias("row"), doc_id.alias("doc_id"),
         (F.octet_length(raw) + overhead).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"),
-        word_count(F.col(text_col)).alias("tokens"), F.coalesce(F.md5(F.col(text_col).cast("binary")), F.lit("")).alias("text_key"),
+        word_count(text).alias("tokens"), F.coalesce(F.md5(text.cast("binary")), F.lit("")).alias("text_key"),
     ), "to-pack")
 
 
@@ -97,6 +101,14 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id",
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write ``docs`` with its columns in folders ``shard=K`` (ids must be unique)."""
-    where = shard_documents(docs, n_shards, id_col, text_col).select(F.col("doc_id").alias(id_col), "shard")
-    docs.drop("shard").join(where, id_col).write.partitionBy("shard").parquet(path)
+    """Write every row of ``docs`` once, with its columns, in folders ``shard=K`` (``shard_=K`` if there is a column shard).
+
+    Rows are told apart by a staged number, so ids may be NULL or repeated.
+    """
+    held = staged(docs.select(F.monotonically_increasing_id().alias("row"),
+                              F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")), "to-write")
+    doc = F.col("doc")
+    packed = pack(_to_pack(held, F.col("row"), doc.getField(id_col), doc.getField(text_col)), n_shards)
+    folder = free_name(docs.columns, "shard")
+    held.join(packed.select("row", F.col("shard").alias("__shard")), "row").select("doc.*", F.col("__shard").alias(folder)) \
+        .write.partitionBy(folder).parquet(path)

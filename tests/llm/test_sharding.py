@@ -71,3 +71,14 @@ def test_query_balances_a_larger_table(spark):
         rows += 1
     assert rows == 10000 and len(load) == 40
     assert max(load.values()) < 1.02 * min(load.values())
+
+
+def test_write_shards_writes_every_row_once(spark, odd_docs, tmp_path):
+    sharding.write_shards(odd_docs, str(tmp_path / "a"), 3)  # NULL ids, repeated rows, a column shard
+    back = spark.read.parquet(str(tmp_path / "a"))
+    assert back.columns == [*odd_docs.columns, "shard_"]
+    assert Counter(back.drop("shard_").collect()) == Counter(odd_docs.collect())
+    plain = odd_docs.drop("shard")
+    sharding.write_shards(plain, str(tmp_path / "b"), 3)
+    back = spark.read.parquet(str(tmp_path / "b"))
+    assert back.columns == [*plain.columns, "shard"] and Counter(back.drop("shard").collect()) == Counter(plain.collect())
