@@ -24,6 +24,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Cut texts into pieces of about so many characters.
 PIECE = 1 << 16
+#: The library's pattern overflows its stack on white space of about a million characters; runs beyond this are its own pieces.
+LONG_RUN = 1 << 16
+#: What the pattern's \\s matches (Unicode White_Space; Python's has four control characters more).
+_SPACE = "[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 #: Give batches of about so many bytes of text back to Spark.
 BATCH_BYTES = 4 << 20
 
@@ -60,6 +64,24 @@ def pieces(text: str, size: int = PIECE) -> Iterator[str]:
         at = end
 
 
+def long_runs(text: str, longest: int) -> Iterator[tuple[str, bool]]:
+    """Consecutive parts of ``text``, and whether each is white space that the pattern takes in one match.
+
+    A run of over ``longest`` characters is one match but for its last one,
+    which the pattern leaves to what follows, if anything does.
+    """
+    at = 0
+    if len(text) > longest:
+        for run in re.finditer(_SPACE + "{%d,}" % (longest + 1), text):
+            end = run.end() - (run.end() < len(text))
+            if run.start() > at:
+                yield text[at:run.start()], False
+            yield text[run.start():end], True
+            at = end
+    if at < len(text) or not text:
+        yield text[at:], False
+
+
 def _encoding(ranks: dict[bytes, int]):
     import tiktoken
 
@@ -74,7 +96,9 @@ def codec(ranks: dict[bytes, int]) -> tuple[Callable[[str | None], np.ndarray],
         token[rank] = piece
 
     def encode(text: str | None) -> np.ndarray:
-        parts = [encoding.encode_to_numpy(p, disallowed_special=()) for p in pieces(text or "")]
+        parts = [np.asarray(encoding._encode_single_piece(part), dtype=np.uint32) if run
+                 else encoding.encode_to_numpy(part, disallowed_special=())
+                 for p in pieces(text or "") for part, run in long_runs(p, LONG_RUN)]
         return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
     def decode(ids: np.ndarray) -> bytes:

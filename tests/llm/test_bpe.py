@@ -51,3 +51,19 @@ def test_query_against_the_library(spark, sf):
         ids = np.array(WHOLE.encode_ordinary(texts[r.doc_id]), dtype="<u4")
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from(list("a1. \n\t\xa0\x1c☃")), max_size=40), st.integers(1, 5))
+def test_long_runs_encode_like_the_whole(text, longest):
+    parts = list(bpe.long_runs(text, longest))
+    assert "".join(p for p, _ in parts) == text
+    got = [i for p, run in parts for i in (WHOLE._encode_single_piece(p) if run else WHOLE.encode_ordinary(p))]
+    assert got == WHOLE.encode_ordinary(text)
+
+
+def test_a_million_spaces(docs_of):
+    texts = ["a" + space * 1_100_000 + end for space in " \n" for end in ("", "b c")] + ["plain words"]
+    docs = docs_of(*[(i, t, "en", "a") for i, t in enumerate(texts)])
+    for r in bpe.decode(bpe.encode(docs, bpe.RANKS), bpe.RANKS).collect():
+        assert bytes(r.decoded).decode() == r.text
