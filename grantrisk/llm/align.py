@@ -131,7 +131,9 @@ def aligner(a: Vocabulary, b: Vocabulary) -> Callable[[pa.StringArray], Aligned]
         whole = pc.binary_join_element_wise(pa.scalar(""), pc.fill_null(texts, ""), pa.scalar(" "))
         bounds = np.frombuffer(whole.buffers()[1], dtype=np.int32)[whole.offset:whole.offset + len(whole) + 1]
         raw = np.frombuffer(whole.buffers()[2] or b"", dtype=np.uint8)[:bounds[-1]]
-        begins = np.unique(np.concatenate([_cuts(raw), bounds[:-1]])).astype(np.int32)
+        begin = np.zeros(len(raw), dtype=bool)
+        begin[_cuts(raw)] = begin[bounds[:-1]] = True
+        begins = np.flatnonzero(begin).astype(np.int32)
         parts = pa.StringArray.from_buffers(len(begins), pa.py_buffer(np.append(begins, bounds[-1]).astype(np.int32)), pa.py_buffer(raw))
         once = parts.dictionary_encode()
         words = [w[1:] for w in once.dictionary.to_pylist()]
