@@ -35,7 +35,7 @@ def whole(text):
     ea, eb = np.cumsum([len(x) for x in ba]), np.cumsum([len(x) for x in bb])
     groups, i, j = [], 0, 0
     for end in sorted(set(ea.tolist()) & set(eb.tolist())):
-        k, m = int((ea <= end).sum()), int((eb <= end).sum())
+        k, m = np.searchsorted(ea, end, "right"), np.searchsorted(eb, end, "right")
         groups.append((a[i:k], b[j:m]))
         i, j = k, m
     return a, b, groups
