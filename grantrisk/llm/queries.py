@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, bpe, fertility, langid, lines, mixing, quality, sharding, simhash, urls, vectors
+from . import align, bpe, codes, fertility, langid, lines, mixing, quality, sharding, simhash, sketches, urls, vectors
 from .common import in_fold, staged, table
 
 URL_RULES = (urls.Rule("allow", "org/"), urls.Rule("block", "example.org/es/"), urls.Rule("block", "example.org/en/1"),
@@ -87,11 +87,24 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraph sketches of every document and of its edited text, and their likeness to that and to the next document."""
+    return sketches.edit_figures(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of two vocabularies aligned by bytes: counts, links with their corpus-wide counts, digest of the groups."""
     return align.alignment_figures(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of every embedding with 16 codebooks of 64 entries, their errors, summed by label too, and the codebooks' digest."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    books = codes.fit(vectors, parts=16, entries=64, rounds=2)
+    coded = codes.with_group_error(staged(codes.encode(vectors, books), "codes"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_quality": op2_quality,
@@ -103,6 +116,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_quality_rules": op9_quality_rules,
     "op10_mixing": op10_mixing,
+    "op11_fingerprints": op11_fingerprints,
     "op12_alignment": op12_alignment,
+    "op13_codes": op13_codes,
     "pipeline": corpus_pipeline.run,
 }
