@@ -15,14 +15,16 @@ and merged by Spark.
 
 No token of either vocabulary crosses the place before a single space between
 two characters that aren't white space (for B this is read off its pieces), so
-texts are cut there and each different part of a batch is encoded once.
+texts are cut there, and a part that was seen not long ago isn't encoded again.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -33,7 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, staged
+from . import bpe
+from .common import Coded, free_name, remembered, staged, text_slices
 
 BYTE_LEVEL = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -48,18 +51,28 @@ HEAD_PAIRS = 1 << 19
 
 
 class Vocabulary(NamedTuple):
-    """Bytes of each token, and the ids of texts one after the other with the number of ids of each."""
+    """Bytes of each token, and the ids of parts of texts: each is read with a space before it."""
     token: pa.Array
-    encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
+    encode: Callable[[list[str]], Coded]
 
 
-def _flat(lists: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-    return np.fromiter((i for ids in lists for i in ids), dtype=np.int32, count=int(sizes.sum())), sizes
+def _flat(lists: Sequence[Sequence[int]]) -> Coded:
+    return np.fromiter(chain.from_iterable(lists), dtype=np.int32), np.cumsum([0, *map(len, lists)])
+
+
+#: Parts of texts of these characters only: no library or version of Unicode puts them into other classes than another.
+_PLAIN = re.compile("[\n !-~\xa1-\xac\xae-\u024f]*")
+#: ... that start with a space and end in none, so that those before and after them don't matter.
+_REGULAR = re.compile("[!-~\xa1-\xac\xae-\u024f](?:[\n -~\xa1-\xac\xae-\u024f]*[!-~\xa1-\xac\xae-\u024f])?")
 
 
 def byte_level(file: bytes) -> Vocabulary:
-    """The vocabulary of a ``tokenizers`` file; special tokens in a text are plain text."""
+    """The vocabulary of a ``tokenizers`` file; special tokens in a text are plain text.
+
+    Where its merges come in the order of their ids, plain parts of texts are
+    encoded together by these ids as ranks, which gives the same ids for a
+    third of the time; the ``tokenizers`` library encodes the others.
+    """
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -70,9 +83,39 @@ def byte_level(file: bytes) -> Vocabulary:
     byte_of = {chr(b): b for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
     byte_of |= {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(byte_of.values())))}
     ids = {i: t for t, i in vocabulary.get_vocab(with_added_tokens=True).items()}
-    token = pa.array([bytes(byte_of[c] for c in ids.get(i, "")) for i in range(max(ids) + 1)], pa.binary())
-    return Vocabulary(token, lambda texts: _flat(
-        [e.ids for e in vocabulary.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]))
+    token = [bytes(byte_of[c] for c in ids.get(i, "")) for i in range(max(ids) + 1)]
+    length = np.array([len(t) for t in token])
+    model = json.loads(file)["model"]
+    merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    ordered = {len(t) for t in token[:256]} == {1} and [model["vocab"].get(m) for m in merged] == list(range(256, 256 + len(merged))) and len(model["vocab"]) >= 256 + len(merged)
+    to_ids, _ = bpe.codec({token[i]: i for i in range(256 + len(merged))}) if ordered else (None, None)
+
+    def whole(texts: list[str]) -> Coded:
+        return _flat([e.ids for e in vocabulary.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)])
+
+    def encode(texts: list[str]) -> Coded:
+        if not ordered:
+            return whole(texts)
+        kind = np.array([2 if _REGULAR.fullmatch(t) else 1 if _PLAIN.fullmatch(t) else 0 for t in texts])
+        parts = []
+        regular, plain, other = (np.flatnonzero(kind == k) for k in (2, 1, 0))
+        if len(regular):
+            joined = [" " + texts[i] for i in regular]
+            got = to_ids("".join(joined)).astype(np.int32)
+            ends = np.cumsum([len(t.encode()) for t in joined])
+            parts.append((got, np.append(0, np.searchsorted(np.cumsum(length[got]), ends, side="right"))))
+        if len(plain):
+            parts.append(_flat([to_ids(" " + texts[i]).tolist() for i in plain]))
+        if len(other):
+            parts.append(whole([texts[i] for i in other]))
+        if len(parts) == 1:
+            return parts[0]
+        lists = pa.concat_arrays([pa.ListArray.from_arrays(pa.array(s, pa.int32()), pa.array(i, pa.int32())) for i, s in parts])
+        back = np.argsort(np.concatenate([regular, plain, other]), kind="stable")
+        lists = lists.take(pa.array(back))
+        return lists.flatten().to_numpy(), np.append(0, np.cumsum(lists.value_lengths().to_numpy()))
+
+    return Vocabulary(pa.array(token, pa.binary()), encode)
 
 
 def piece_level(file: bytes) -> Vocabulary:
@@ -125,6 +168,7 @@ class Aligned(NamedTuple):
 def aligner(a: Vocabulary, b: Vocabulary) -> Callable[[pa.StringArray], Aligned]:
     """The alignment of a batch of texts."""
     lengths = [pc.binary_length(v.token) for v in (a, b)]
+    ids_of = remembered([a.encode, b.encode])
 
     def encoded(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
         """Space and text of all rows as bytes, where each begins, and per vocabulary ids and their starts."""
@@ -136,12 +180,9 @@ def aligner(a: Vocabulary, b: Vocabulary) -> Callable[[pa.StringArray], Aligned]
         begins = np.flatnonzero(begin).astype(np.int32)
         parts = pa.StringArray.from_buffers(len(begins), pa.py_buffer(np.append(begins, bounds[-1]).astype(np.int32)), pa.py_buffer(raw))
         once = parts.dictionary_encode()
-        words = [w[1:] for w in once.dictionary.to_pylist()]
         first = np.searchsorted(begins, bounds)
         out = []
-        for v in (a, b):
-            ids, sizes = v.encode(words)
-            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(ids))
+        for lists in ids_of(pc.utf8_slice_codeunits(once.dictionary, 1)):
             taken = lists.take(once.indices)
             offsets = np.append(taken.offsets.to_numpy(), 0)
             per_text = pa.ListArray.from_arrays(pa.array(offsets[np.minimum(first, len(taken))], pa.int32()), taken.values)
@@ -251,16 +292,6 @@ def speller(sizes: tuple[int, int]) -> Callable[[Aligned], list[str]]:
     return digests
 
 
-def _slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
-    """Consecutive parts of a batch with about BATCH_BYTES of text each."""
-    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
-    start = 0
-    while start < batch.num_rows:
-        end = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + BATCH_BYTES)))
-        yield batch.slice(start, end - start)
-        start = end
-
-
 def _read(*paths: str) -> list[bytes]:
     files = []
     for path in paths:
@@ -287,7 +318,7 @@ def _mapped(docs: DataFrame, text_col: str, new: dict[str, T.DataType], columns:
         a, b = byte_level(files.value[0]), piece_level(files.value[1])
         align, of = aligner(a, b), columns(a, b)
         for whole in batches:
-            for batch in _slices(whole, at):
+            for batch in text_slices(whole, [at], BATCH_BYTES):
                 made = of(align(batch.column(at).cast(pa.string())))
                 yield pa.RecordBatch.from_arrays([batch.column(i) for i in keep] + made, names=names)
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -138,3 +139,51 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
         rest = batch.slice(starts[-1])
     if rest is not None and rest.num_rows:
         yield rest, np.array([0, rest.num_rows])
+
+
+def text_slices(batch: pa.RecordBatch, columns: Sequence[int], size: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch with about ``size`` bytes in the given text columns each."""
+    if not batch.num_rows:
+        return
+    lengths = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64 for c in columns)
+    upto, start = np.cumsum(lengths), 0
+    while start < batch.num_rows:
+        end = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + size)))
+        yield batch.slice(start, end - start)
+        start = end
+
+
+#: Ids of some words one after the other, and where each word's begin and the last one's end.
+Coded = tuple[np.ndarray, np.ndarray]
+
+
+def remembered(encoders: Sequence[Callable[[list[str]], Coded]], most: int = 1 << 18, longest: int = 48) -> Callable[[pa.Array], list[pa.ListArray]]:
+    """Lists of ids of different words by each encoder; a word that was seen not long ago isn't encoded again.
+
+    About ``most`` words of up to ``longest`` bytes are remembered at a time.
+    """
+    known, lists = pa.array([], pa.string()), [pa.array([], pa.list_(pa.int32()))] * len(encoders)
+
+    def ids_of(words: pa.Array) -> list[pa.ListArray]:
+        nonlocal known, lists
+        place = pc.index_in(words, value_set=known)
+        missing = place.is_null().to_numpy(zero_copy_only=False)
+        new = words.filter(pa.array(missing))
+        fresh, texts = [], new.to_pylist()
+        for encode in encoders:
+            ids, starts = encode(texts) if texts else (np.zeros(0, np.int32), np.zeros(1, np.int64))
+            fresh.append(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32())))
+        at = pc.fill_null(place, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        at[missing] = len(known) + np.arange(len(new))
+        every = [pa.concat_arrays(pair) for pair in zip(lists, fresh)]
+        out = [x.take(pa.array(at)) for x in every]
+        short = np.flatnonzero(pc.binary_length(new).to_numpy(zero_copy_only=False) <= longest)
+        if len(known) + len(short) <= most:
+            keep = np.append(np.arange(len(known)), len(known) + short)
+            known = pa.concat_arrays([known, new.take(pa.array(short))])
+            lists = every if len(short) == len(new) else [x.take(pa.array(keep)) for x in every]
+        else:
+            known, lists = new.take(pa.array(short)), [x.take(pa.array(short)) for x in fresh]
+        return out
+
+    return ids_of

@@ -26,13 +26,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import staged
+from .common import staged, text_slices
 
 ROWS = 3
 #: Cells of a row in a fingerprint; sizes are powers of two, four times as large at each retry.
@@ -217,18 +216,6 @@ def _utf8(texts: Sequence[str | None]) -> list[bytes]:
     return [(t or "").encode() for t in texts]
 
 
-def _slices(batch: pa.RecordBatch, columns: Sequence[int]) -> Iterator[pa.RecordBatch]:
-    """Consecutive parts of a batch with about BATCH_BYTES in the given columns each."""
-    if not batch.num_rows:
-        return
-    size = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64 for c in columns)
-    upto, start = np.cumsum(size), 0
-    while start < batch.num_rows:
-        end = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + BATCH_BYTES)))
-        yield batch.slice(start, end - start)
-        start = end
-
-
 def _with(df: DataFrame, fields: list[T.StructField], columns: Sequence[str], values) -> DataFrame:
     """``df`` with ``fields``, made by ``values`` from the lists of values of ``columns``."""
     gone = {f.name.lower() for f in fields}
@@ -239,7 +226,7 @@ def _with(df: DataFrame, fields: list[T.StructField], columns: Sequence[str], va
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in _slices(whole, at):
+            for batch in text_slices(whole, at, BATCH_BYTES):
                 new = values(*[batch.column(i).to_pylist() for i in at])
                 yield pa.RecordBatch.from_arrays([batch.column(i) for i in keep] + [
                     pa.array(v, types[f.dataType.simpleString()]) for v, f in zip(new, fields)], names=names)
@@ -354,7 +341,7 @@ def edit_figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             return pa.RecordBatch.from_arrays([ids, *none, pa.array([number]), pa.array([first]), pa.array([value])], names=shape.names)
 
         for whole in batches:
-            for batch in _slices(whole, [1]):
+            for batch in text_slices(whole, [1], BATCH_BYTES):
                 ids, texts = batch.column(0), batch.column(1).to_pylist()
                 if last is None:
                     yield edge(ids.slice(0, 1), texts[0], True)
@@ -378,7 +365,7 @@ def edit_figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in _slices(whole, [1, 2]):
+            for batch in text_slices(whole, [1, 2], BATCH_BYTES):
                 yield pa.RecordBatch.from_arrays([batch.column(0), *_figures(batch.column(1).to_pylist(), batch.column(2).to_pylist())],
                                                  names=["id", *_OUT.names])
 
