@@ -27,28 +27,27 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections import Counter
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bpe
-from .common import free_name, staged
+from .common import Coded, free_name, remembered, staged, text_slices
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 #: The other public vocabularies; byte_bpe_50k.json is that of the rank file again.
 OTHERS = {"byte": public_tokenizers.path("byte_bpe_50k.tiktoken"), "multi": public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
           "word": public_tokenizers.path("word_bpe_49k.json")}
-#: A Python worker remembers the tokens of about so many words of up to so many bytes.
-CACHE_WORDS, CACHE_BYTES = 1 << 18, 48
-#: Ids of the k-th vocabulary are told apart by adding k times this.
-_SHIFT = 1 << 16
+#: Texts are measured in batches of about so many bytes.
+BATCH_BYTES = 2 << 20
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 10
 #: A base rule fails above this percentage of words in repeated windows.
@@ -72,32 +71,70 @@ MEASURES = T.StructType([
     T.StructField("script", T.StringType())])
 
 
-def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
-    """Words that lie in a window of ``window`` words found twice or more, its first place included."""
-    if len(words) <= window:
-        return 0
-    code = np.fromiter(map(hash, words), dtype=np.int64, count=len(words)).astype(np.uint64)
-    n = len(words) - window + 1
-    mixed = np.zeros(n, dtype=np.uint64)
+def repeated_words(codes: np.ndarray, text: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """For each word whether it lies in a window of ``window`` words found twice or more in its text, its first place included.
+
+    ``codes``: equal for equal words; ``text``: the number of each word's text, ascending.
+    """
+    n = max(len(codes) - window + 1, 0)
+    inside = text[:n] == text[window - 1:]
+    mixed = text[:n].astype(np.uint64) * _MULTIPLIERS[0]
     for k in range(window):
-        mixed = (mixed ^ code[k:k + n]) * _MULTIPLIERS[k]
+        mixed = (mixed ^ codes[k:k + n].astype(np.uint64)) * _MULTIPLIERS[k]
         mixed ^= mixed >> np.uint64(31)
-    _, where, times = np.unique(mixed, return_inverse=True, return_counts=True)
-    starts = np.zeros(len(words) + 1, dtype=np.int64)
-    again = times[where] > 1
-    starts[:n][again] += 1
-    starts[window:window + n][again] -= 1
-    return int((np.cumsum(starts) > 0).sum())
+    at = np.flatnonzero(inside)
+    order = at[np.argsort(mixed[at], kind="stable")]
+    same = mixed[order][1:] == mixed[order][:-1]
+    again = np.zeros(len(order), dtype=bool)
+    again[1:] |= same
+    again[:-1] |= same
+    marks = np.zeros(len(codes) + 1, dtype=np.int64)
+    marks[order[again]] += 1
+    np.subtract.at(marks, order[again] + window, 1)
+    return np.cumsum(marks)[:-1] > 0
+
+
+class Counts(NamedTuple):
+    """Base counts of some texts, and their words: the different ones, the code of each and the number of its text."""
+    n_words: np.ndarray
+    word_chars: np.ndarray
+    n_symbols: np.ndarray
+    n_dup_lines: np.ndarray
+    n_repeat_words: np.ndarray
+    words: pa.Array
+    codes: np.ndarray
+    text: np.ndarray
+
+
+def batch_counts(texts: Sequence[str]) -> Counts:
+    """Words; their characters; symbols; lines equal to an earlier line with a word; words in repeated windows."""
+    words, n_words, spaces, symbols, dups = [], [], [], [], []
+    for text in texts:
+        raw = text.encode()
+        found = raw.split()  # bytes.split() cuts at exactly the six ASCII spaces
+        words += found
+        n_words.append(len(found))
+        spaces.append(len(text) - len(raw))
+        symbols.append(len(raw) - len(raw.translate(None, SYMBOLS)))
+        lines = [line for line in raw.split(b"\n") if line.strip()]
+        dups.append(len(lines) - len(set(lines)))
+    n_words = np.array(n_words, dtype=np.int64)
+    column = pa.array(words, pa.binary())
+    once = column.dictionary_encode()
+    codes, text = once.indices.to_numpy(), np.repeat(np.arange(len(texts)), n_words)
+    upto = np.append(0, np.cumsum(pc.binary_length(column).to_numpy().astype(np.int64)))
+    ends = np.cumsum(n_words)
+    # characters of the words: their bytes, less what the whole text has more bytes than characters
+    chars = upto[ends] - upto[ends - n_words] + np.array(spaces, dtype=np.int64)
+    repeats = np.bincount(text[repeated_words(codes, text)], minlength=len(texts))
+    return Counts(n_words, chars, np.array(symbols, dtype=np.int64), np.array(dups, dtype=np.int64), repeats,
+                  once.dictionary.cast(pa.string()), codes, text)
 
 
 def base_counts(text: str) -> tuple[list[bytes], int, int, int, int]:
-    """Words; their characters; symbols; lines equal to an earlier line with a word; words in repeated windows."""
-    raw = text.encode()
-    words = raw.split()  # bytes.split() cuts at exactly the six ASCII spaces
-    spaces = len(raw) - sum(map(len, words))
-    lines = [line for line in raw.split(b"\n") if line.strip()]
-    return (words, len(text) - spaces, len(raw) - len(raw.translate(None, SYMBOLS)), len(lines) - len(set(lines)),
-            repeated_words(words))
+    """Words and base counts of one text."""
+    found = batch_counts([text])
+    return (text.encode().split(), *(int(c[0]) for c in found[1:5]))
 
 
 def _script(text: str) -> str:
@@ -106,12 +143,6 @@ def _script(text: str) -> str:
     return unicodedata.name(letter[0], "").partition(" ")[0] if letter else ""
 
 
-def _entropy(times: np.ndarray) -> float:
-    """Entropy of tokens that occur so many times, relative to the most that so many could have."""
-    n = int(times.sum())
-    return 1.0 if n < 2 else float((np.log2(n) - (times * np.log2(times)).sum() / n) / np.log2(n))
-
-
 def _read(model_path: str = VOCABULARY) -> tuple[bytes, dict[str, bytes]]:
     """The files of all vocabularies."""
     files = []
@@ -121,10 +152,6 @@ def _read(model_path: str = VOCABULARY) -> tuple[bytes, dict[str, bytes]]:
     return files[0], dict(zip(OTHERS, files[1:]))
 
 
-#: Of some words: their ids one after the other, and where each word's begin and the last one's end.
-Coded = tuple[np.ndarray, np.ndarray]
-
-
 def _cat(lists: Sequence[Sequence[int]]) -> Coded:
     ids = np.fromiter(chain.from_iterable(lists), dtype=np.int32)
     return ids, np.cumsum([0, *map(len, lists)])
@@ -189,77 +216,47 @@ def _word_encoder(file: bytes) -> Callable[[list[str]], Coded]:
     return coded
 
 
-def _tokens_of(encoders: list[Callable[[list[str]], Coded]]) -> Callable[[Iterable[bytes]], list[bytes]]:
-    """Of each word its ids in all vocabularies, as the bytes of 32-bit integers.
+def _batch_measurer(model: bytes, others: dict[str, bytes]) -> Callable[[Sequence[str]], list[np.ndarray | list]]:
+    """The columns of MEASURES for a batch of texts.
 
-    No token crosses a space, so that a word has the same ids wherever it
-    stands.  Ids of recent words are remembered in two halves; a full young
-    half takes the place of the old one.
+    No token crosses a space, so a word has the same ids wherever it stands:
+    each different word of a batch is encoded once, all words together.
     """
-    young: dict[bytes, bytes] = {}
-    old: dict[bytes, bytes] = {}
-
-    def tokens(words: Iterable[bytes]) -> list[bytes]:
-        nonlocal young, old
-        found, missing = {}, []
-        for word in words:
-            ids = young.get(word)
-            if ids is None:
-                ids = old.get(word)
-                if ids is None:
-                    missing.append(word)
-                else:
-                    young[word] = ids
-            found[word] = ids
-        if missing:
-            texts = [word.decode() for word in missing]
-            new = []
-            for k, encode in enumerate(encoders):
-                ids, starts = encode(texts)
-                raw, at = (ids + np.int32(k * _SHIFT)).tobytes(), (4 * starts).tolist()
-                new.append([raw[a:b] for a, b in zip(at[:-1], at[1:])])
-            for word, *parts in zip(missing, *new):
-                found[word] = ids = b"".join(parts)
-                if len(word) <= CACHE_BYTES:
-                    young[word] = ids
-        if len(young) > CACHE_WORDS // 2:
-            young, old = {}, young
-        return list(found.values())
-
-    return tokens
-
-
-def _measurer(model: bytes, others: dict[str, bytes] | None = None):
     pieces, is_byte = _piece_encoder(model)
-    files = _read()[1] if others is None else others
-    tokens = _tokens_of([pieces, *[(_word_encoder if v == "word" else _rank_encoder)(file) for v, file in files.items()]])
-    bounds = np.arange(len(files) + 2) * _SHIFT
-
-    def measure(text: str) -> tuple:
-        words, chars, symbols, dup_lines, repeats = base_counts(text)
-        times = Counter(words)
-        coded = tokens(times)
-        ids = np.frombuffer(b"".join(coded), dtype=np.int32)
-        weights = np.repeat(np.fromiter(times.values(), dtype=np.int64, count=len(times)),
-                            np.fromiter(map(len, coded), dtype=np.int64, count=len(coded)) // 4)
-        order = np.argsort(ids)
-        ids, weights = ids[order], weights[order]
-        starts = np.flatnonzero(np.diff(ids, prepend=-1))
-        counts = np.add.reduceat(weights, starts) if len(ids) else weights
-        used = ids[starts]
-        cuts = np.searchsorted(used, bounds)
-        parts = [counts[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
-        totals = [int(part.sum()) for part in parts]
-        per_token = [chars / n if n else 0.0 for n in totals]
-        entropy = [_entropy(part) for part in parts]
-        n = totals[0]
-        byte_share = float(parts[0][is_byte[used[:cuts[1]]]].sum()) / n if n else 0.0
-        return (len(words), chars, symbols, dup_lines, repeats, n, per_token[0], byte_share, entropy[0],
-                *chain.from_iterable(zip(per_token[1:], entropy[1:])), _script(text))
+    ids_of = remembered([pieces, *[(_word_encoder if v == "word" else _rank_encoder)(file) for v, file in others.items()]])
+
+    def measure(texts: Sequence[str]) -> list[np.ndarray | list]:
+        n, base = len(texts), batch_counts(texts)
+        pair, times = np.unique(base.text * np.int64(max(len(base.words), 1)) + base.codes, return_counts=True)
+        text, word = np.divmod(pair, max(len(base.words), 1))
+        figures, bytes_of = [], None
+        for lists in ids_of(base.words):
+            taken = lists.take(pa.array(word))
+            sizes = taken.value_lengths().to_numpy()
+            key = np.repeat(text << 32, sizes) | taken.flatten().to_numpy()
+            used = pa.table({"key": key, "n": np.repeat(times, sizes)}).group_by("key", use_threads=False).aggregate([("n", "sum")])
+            key, count = used["key"].to_numpy(), used["n_sum"].to_numpy()
+            of = key >> 32
+            total = np.bincount(of, weights=count, minlength=n)
+            spread = np.bincount(of, weights=count * np.log2(count), minlength=n)
+            several = np.maximum(total, 2)
+            entropy = np.where(total < 2, 1.0, (np.log2(several) - spread / several) / np.log2(several))
+            figures += [np.where(total > 0, base.word_chars / np.maximum(total, 1), 0.0), entropy]
+            if bytes_of is None:
+                some = is_byte[key & 0xFFFFFFFF]
+                bytes_of = total.astype(np.int64), np.bincount(of[some], weights=count[some], minlength=n) / np.maximum(total, 1)
+        n_tokens, byte_share = bytes_of
+        return [*base[:5], n_tokens, figures[0], byte_share, *figures[1:], list(map(_script, texts))]
 
     return measure
 
 
+def _measurer(model: bytes, others: dict[str, bytes] | None = None) -> Callable[[str], tuple]:
+    """The measures of one text at a time."""
+    measure = _batch_measurer(model, _read()[1] if others is None else others)
+    return lambda text: tuple(column[0] for column in measure([text]))
+
+
 def measured(docs: DataFrame, text_col: str = "text", into: str = "measures", model_path: str = VOCABULARY) -> DataFrame:
     """``docs`` with a struct of the base counts and token figures of the whole text (NULL: of an empty one).
 
@@ -269,13 +266,15 @@ def measured(docs: DataFrame, text_col: str = "text", into: str = "measures", mo
     at, names = docs.columns.index(text_col), [*docs.columns, into]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        measure = _measurer(*files.value)
-        for batch in batches:
-            columns = list(zip(*[measure(text.as_py() or "") for text in batch.column(at)])) or [()] * len(MEASURES)
-            struct = pa.StructArray.from_arrays(
-                [pa.array(c, {"bigint": pa.int64(), "double": pa.float64(), "string": pa.string()}[f.dataType.simpleString()])
-                 for c, f in zip(columns, MEASURES.fields)], names=MEASURES.names)
-            yield pa.RecordBatch.from_arrays([*batch.columns, struct], names=names)
+        pa.set_cpu_count(1)
+        measure = _batch_measurer(*files.value)
+        for whole in batches:
+            for batch in text_slices(whole, [at], BATCH_BYTES):
+                columns = measure([text or "" for text in batch.column(at).to_pylist()])
+                struct = pa.StructArray.from_arrays(
+                    [pa.array(c, {"bigint": pa.int64(), "double": pa.float64(), "string": pa.string()}[f.dataType.simpleString()])
+                     for c, f in zip(columns, MEASURES.fields)], names=MEASURES.names)
+                yield pa.RecordBatch.from_arrays([*batch.columns, struct], names=names)
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(into, MEASURES)]))
 
