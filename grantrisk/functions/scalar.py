@@ -101,18 +101,21 @@ def double_to_decimal_comma(c: str | Column) -> Column:
     The shortest text that reads back as the same double, its exponent
     written out.  NaN becomes NULL; infinities keep their names.
     """
-    x = F.nanvl(_c(c).cast("double"), F.lit(None).cast("double"))
-    text = x.cast("string")
-    shape = r"^-?(\d+)\.(\d+?)0*(?:E(-?\d+))?$"
+    text = F.nanvl(_c(c).cast("double"), F.lit(None).cast("double")).cast("string")
+    short = F.translate(F.regexp_replace(text, r"\.0$", ""), ".", ",")
+    # Few doubles have an exponent.  Taking theirs apart inside a lambda keeps the code of wide exports small.
+    return F.when(~text.contains("E"), short).otherwise(F.transform(F.array(text), _without_exponent)[0])
+
+
+def _without_exponent(text: Column) -> Column:
+    """``-1.25E-7`` -> ``-0,000000125``; text of another shape as it is."""
+    shape = r"^-?(\d+)\.(\d+?)0*E(-?\d+)$"
     whole, part, exponent = (F.regexp_extract(text, shape, i) for i in (1, 2, 3))
-    part = F.when(part == "0", "").otherwise(part)
-    digits = F.concat(whole, part)
-    point = F.length(whole) + F.when(exponent == "", 0).otherwise(exponent.try_cast("int"))
+    digits = F.concat(whole, F.when(part == "0", "").otherwise(part))
+    point = F.length(whole) + exponent.try_cast("int")
     padded = F.when(point <= 0, F.concat(F.repeat(F.lit("0"), 1 - point), digits)) \
         .otherwise(F.rpad(digits, F.greatest(point, F.length(digits)), "0"))
     point = F.greatest(point, F.lit(1))
     front, back = F.substring(padded, 1, point), F.substring(padded, point + 1, F.length(padded))
     plain = F.concat(F.when(text.startswith("-"), "-").otherwise(""), front, F.when(back == "", "").otherwise(F.concat(F.lit(","), back)))
-    # most doubles have no exponent: their text needs no taking apart
-    short = F.translate(F.regexp_replace(text, r"\.0$", ""), ".", ",")
-    return F.when(~text.contains("E"), short).when(text.rlike(shape), plain).otherwise(text)
+    return F.when(text.rlike(shape), plain).otherwise(text)

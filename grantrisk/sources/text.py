@@ -2,9 +2,10 @@
 
 Extracts are read as text by header name and cast by name with the
 registry in :mod:`grantrisk.schemas`; numbers use a decimal comma.  A quoted
-field may hold line breaks, so a file is read as a whole by one task.  Pass
-``multi_line=False`` for files known to have none: a large extract is then
-split among many tasks.
+field may hold line breaks; files larger than one split are read by
+:mod:`grantrisk.sources.quoted`, which finds out in which splits a line break
+ends a record.  ``multi_line=False`` saves that pass for files known to have
+no line breaks in fields.
 """
 
 from __future__ import annotations
@@ -18,12 +19,33 @@ from pyspark.sql import types as T
 from grantrisk import schemas
 from grantrisk.functions import scalar as fx
 from grantrisk.operators import relational as rel
+from grantrisk.sources import quoted
 
 CSV_OPTIONS = {"sep": ";", "header": "true", "encoding": "UTF-8", "quote": '"', "escape": '"'}
 
 
-def read_text_table(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """All columns as strings, named by the header."""
+def split_size(spark: SparkSession) -> int:
+    """``spark.sql.files.maxPartitionBytes`` as a number."""
+    text = spark.conf.get("spark.sql.files.maxPartitionBytes").lower().removesuffix("b")
+    unit = {"k": 10, "m": 20, "g": 30, "t": 40}.get(text[-1:], 0)
+    return int(text[:-1] if unit else text) << unit
+
+
+def _largest_file(spark: SparkSession, path: str) -> int:
+    """Bytes of the largest file of a path (lengths only, no content is read)."""
+    return spark.read.format("binaryFile").load(path).agg(F.max("length").alias("n")).first()["n"] or 0
+
+
+def read_text_table(spark: SparkSession, path: str, multi_line: bool = True, split_bytes: int | None = None) -> DataFrame:
+    """All columns as strings, named by the header.
+
+    With ``multi_line``, files of more than ``split_bytes`` (default: the
+    session's split size) are read by many tasks, smaller ones by one each.
+    """
+    if multi_line:
+        limit = split_bytes if split_bytes is not None else split_size(spark)
+        if _largest_file(spark, path) > limit:
+            return quoted.read_text_table(spark, path, CSV_OPTIONS)
     return spark.read.options(**CSV_OPTIONS).option("multiLine", str(multi_line).lower()) \
         .option("inferSchema", "false").csv(path)
 
