@@ -10,10 +10,8 @@ another engine) reproduces the same draw.  Per-class ranks use bucketed
 running counts (:mod:`grantrisk.operators.ranking`) instead of a window
 partitioned only by the label, which would put each class in one task.
 
-Neighbour search (R3/R4) is exact and partitioned: references live in pivot
-cells, large cells in blocks of a bounded size; a query searches its own cell
-and then only the cells that the triangle inequality leaves.  Neither side
-passes through the driver and nothing that grows with the data is broadcast.
+Neighbour search (R3/R4) is that of :mod:`grantrisk.operators.neighbours`.
+Rows may be arrays or Spark ML vectors; vectors stay sparse throughout.
 """
 
 from __future__ import annotations
@@ -21,29 +19,17 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grantrisk import schemas
 from grantrisk.functions.scalar import MIX_RANGE, mix, uniform01
-from grantrisk.operators import ranking
+from grantrisk.operators import neighbours, ranking
 from grantrisk.session import cut_lineage
 
-# The neighbour kernel runs in Python workers; pickling this module's
-# functions by value ships them with the task, so executors need no copy of
-# the package on their path.
-try:
-    import sys as _sys
-
-    from pyspark import cloudpickle as _cloudpickle
-    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
-except Exception:  # noqa: BLE001 - older cloudpickle: rely on --py-files
-    pass
-# Reference rows that a task of the neighbour search holds (bytes, estimated), and query rows.
+# Reference rows that a task of the neighbour search holds (bytes, estimated).
 MAX_BLOCK_BYTES = 8 * 1024 * 1024
-QUERY_ROWS = 1 << 16
-# Cells of the neighbour search.
-PIVOTS = 64
 
 
 def class_counts(df: DataFrame, label: str) -> dict[int, int]:
@@ -170,7 +156,7 @@ def class_weights(df: DataFrame, label: str = "label", mode: str = "balanced",
     return df.withColumn(out, w)
 
 
-# -- exact k nearest neighbours ------------------------------------------------------
+# -- k nearest neighbours ------------------------------------------------------
 
 def _as_double(vec: str) -> Column:
     return F.transform(F.col(vec), lambda x: x.cast("double"))
@@ -180,150 +166,6 @@ def _sqdist(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def _nearest(qid, qmat, rid, rmat, k: int, exclude_self: bool):
-    """Exact k nearest rows of ``rmat`` for every row of ``qmat`` (numpy).
-
-    Squared distances are accumulated dimension by dimension from 0, the
-    same floating-point sequence as the SQL path, and the k best are ordered
-    by (distance, id) — ties at the k-th place are resolved by id exactly.
-    A query's own row (``exclude_self``) is masked out only where it is
-    present.  Returns (offsets, d2, ids) of a list<struct> column.
-    """
-    import numpy as np
-    n, m = len(qid), len(rid)
-    kk = min(k, m)
-    if kk <= 0 or n == 0:
-        return np.zeros(n + 1, dtype=np.int32), np.empty(0), np.empty(0, dtype=np.int64)
-    out_d, out_i = np.empty((n, kk)), np.empty((n, kk), dtype=np.int64)
-    step = max(1, int(1e7 // max(1, m)))  # distance block of ~1e7 cells (80 MB) per task
-    for lo in range(0, n, step):
-        hi = min(n, lo + step)
-        d2 = np.zeros((hi - lo, m))
-        for j in range(qmat.shape[1]):
-            diff = qmat[lo:hi, j][:, None] - rmat[None, :, j]
-            d2 += diff * diff
-        if exclude_self:
-            d2[qid[lo:hi][:, None] == rid[None, :]] = np.inf
-        part = np.argpartition(d2, kk - 1, axis=1)[:, :kk]
-        best = np.take_along_axis(d2, part, axis=1)
-        order = np.lexsort((rid[part], best), axis=1)
-        out_d[lo:hi] = np.take_along_axis(best, order, axis=1)
-        out_i[lo:hi] = np.take_along_axis(rid[part], order, axis=1)
-        kth = best.max(axis=1)
-        # rows with a tie at the k-th place: the smaller ids win
-        for r in np.flatnonzero((d2 <= kth[:, None]).sum(axis=1) > kk):
-            cand = np.flatnonzero(d2[r] <= kth[r])
-            cand = cand[np.lexsort((rid[cand], d2[r, cand]))[:kk]]
-            out_d[lo + r], out_i[lo + r] = d2[r, cand], rid[cand]
-    keep = np.isfinite(out_d)  # drops the masked own row, if it was among the k
-    offsets = np.concatenate([[0], np.cumsum(keep.sum(axis=1))]).astype(np.int32)
-    return offsets, out_d[keep], out_i[keep]
-
-
-def _matrix(table, ids: str, vectors: str):
-    """(ids, rows of doubles) of an Arrow table; NULL or ragged vectors are an error that names a row."""
-    import numpy as np
-    rid = table.column(ids).to_numpy().astype(np.int64)
-    column = table.column(vectors).combine_chunks()
-    widths = column.value_lengths().to_numpy(zero_copy_only=False)
-    bad = np.flatnonzero((widths != widths[0]) | np.isnan(widths.astype(np.float64))) if len(rid) else []
-    if len(bad) or column.flatten().null_count:
-        raise ValueError(f"vector of another length or with NULLs, row {rid[bad[0]] if len(bad) else rid[0]}")
-    return rid, column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rid), -1)
-
-
-def _distances(rows, pivots):
-    """Euclidean distances of every row to every pivot."""
-    import numpy as np
-    square = (rows * rows).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1)[None, :] - 2 * rows @ pivots.T
-    return np.sqrt(np.maximum(square, 0.0))
-
-
-def _to_pivots(df: DataFrame, pivots, ids: str, vectors: str) -> DataFrame:
-    """``df`` (id, vector) with ``to``: the distances to the pivots."""
-    import pyarrow as pa
-    held = df.sparkSession.sparkContext.broadcast(pivots)
-
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            _, rows = _matrix(pa.Table.from_batches([batch]), ids, vectors)
-            if rows.shape[1] != held.value.shape[1]:
-                raise ValueError(f"vectors of {rows.shape[1]} and of {held.value.shape[1]} components")
-            to = _distances(rows, held.value)
-            lists = pa.ListArray.from_arrays(pa.array(range(0, to.size + 1, to.shape[1]), pa.int32()), to.ravel())
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[ids, vectors, "to"])
-
-    return df.mapInArrow(run, f"{ids} bigint, {vectors} array<double>, to array<double>")
-
-
-def _score_cells(q: DataFrame, r: DataFrame, blocks: Column, n_chunks: int, k: int, exclude_self: bool) -> DataFrame:
-    """(qid, nn) lists of every query row (qid, qvec, cell) against every block of its cell's rows (rid, rvec, cell)."""
-    import pyarrow as pa
-    q = q.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))) \
-        .withColumn("chunk", F.pmod(F.xxhash64("qid"), F.lit(n_chunks)).cast("int"))
-    r = r.withColumn("block", F.pmod(F.xxhash64("rid"), blocks).cast("int")) \
-        .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))))
-    struct_t = pa.struct([("d2", pa.float64()), ("id", pa.int64())])
-
-    def score(left, right):
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"qid": pa.array([], pa.int64()), "nn": pa.array([], pa.list_(struct_t))})
-        qid, qmat = _matrix(left, "qid", "qvec")
-        rid, rmat = _matrix(right, "rid", "rvec")
-        offs, d2, ids = _nearest(qid, qmat, rid, rmat, k, exclude_self)
-        structs = pa.StructArray.from_arrays([pa.array(d2), pa.array(ids)], fields=list(struct_t))
-        return pa.table({"qid": pa.array(qid), "nn": pa.ListArray.from_arrays(pa.array(offs, pa.int32()), structs)})
-
-    key = ["cell", "block", "chunk"]
-    return q.groupBy(*key).cogroup(r.groupBy(*key)).applyInArrow(score, "qid bigint, nn array<struct<d2: double, id: bigint>>")
-
-
-def _best(lists: DataFrame, k: int) -> DataFrame:
-    return lists.groupBy("qid").agg(F.flatten(F.collect_list("nn")).alias("nn")) \
-        .select("qid", F.slice(F.array_sort("nn"), 1, k).alias("nn"))
-
-
-def _knn_cells(queries: DataFrame, refs: DataFrame, k: int, exclude_self: bool, block_rows: int) -> DataFrame:
-    """Exact k nearest by pivot cells.
-
-    References live in the cell of their nearest pivot (as many cells as there
-    would be blocks, PIVOTS at most), large cells in blocks of about
-    ``block_rows``.  A query first searches its own cell; its k-th
-    distance then bounds the cells that can hold anything nearer (triangle
-    inequality with the cell's radius), and those alone are searched too.
-    Pivots, radii and block counts are PIVOTS rows; vectors only move by
-    shuffles, each task holding one block and one chunk of queries.
-    """
-    import numpy as np
-    wanted = min(PIVOTS, math.ceil(refs.count() / block_rows))
-    sample = refs.orderBy(F.xxhash64("rid"), "rid").limit(wanted).toArrow()
-    _, pivots = _matrix(sample, "rid", "rvec")
-    pivots = np.unique(pivots, axis=0)
-    nearest = F.array_position("to", F.array_min("to")).cast("int") - 1
-    r = cut_lineage(_to_pivots(refs, pivots, "rid", "rvec").select("rid", "rvec", nearest.alias("cell"), F.array_min("to").alias("own")))
-    cells = {c.cell: c for c in r.groupBy("cell").agg(F.max("own").alias("radius"), F.count("*").alias("n")).collect()}
-    n_blocks = [math.ceil(cells[c].n / block_rows) if c in cells else 0 for c in range(len(pivots))]
-    radius = [cells[c].radius if c in cells else 0.0 for c in range(len(pivots))]
-    blocks = F.element_at(F.lit(n_blocks), F.col("cell") + 1)
-    r = r.select("rid", "rvec", "cell")
-    q = cut_lineage(_to_pivots(queries, pivots, "qid", "qvec"))
-    n_chunks = max(1, math.ceil(q.count() / QUERY_ROWS))
-    used = F.lit([n > 0 for n in n_blocks])
-    home = F.array_min(F.filter(F.arrays_zip(F.col("to").alias("d"), F.sequence(F.lit(0), F.size("to") - 1).alias("c"), used.alias("u")),
-                                lambda x: x["u"]))["c"].cast("int")
-    q = q.withColumn("home", home)
-    first = cut_lineage(_best(_score_cells(q.select("qid", "qvec", F.col("home").alias("cell")), r, blocks, n_chunks, k, exclude_self), k))
-    bound = F.when(F.size("nn") == k, F.sqrt(F.col("nn")[k - 1]["d2"])).otherwise(F.lit(float("inf")))
-    reach = q.join(first.select("qid", bound.alias("bound")), "qid", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
-    # a little slack for rounding: a cell too many costs time only
-    near = F.filter(F.arrays_zip(F.col("to").alias("d"), F.lit(radius).alias("radius"), used.alias("u"), F.sequence(F.lit(0), F.size("to") - 1).alias("c")),
-                    lambda x: x["u"] & (x["c"] != F.col("home")) & (x["d"] - x["radius"] <= F.col("bound") * (1 + 1e-9) + 1e-9))
-    rest = reach.select("qid", "qvec", F.explode(F.transform(near, lambda x: x["c"].cast("int"))).alias("cell"))
-    return _best(first.unionByName(_score_cells(rest, r, blocks, n_chunks, k, exclude_self)), k)
-
-
 def _knn_sql(q: DataFrame, r: DataFrame, k: int, exclude_self: bool, chunk_rows: int) -> DataFrame:
     """The same lists with higher-order functions, each size-checked chunk of references as one value: for checks on small data."""
     n_chunks = max(1, math.ceil(r.count() / chunk_rows))
@@ -338,35 +180,67 @@ def _knn_sql(q: DataFrame, r: DataFrame, k: int, exclude_self: bool, chunk_rows:
     out = lists[0]
     for part in lists[1:]:
         out = out.unionByName(part)
-    return _best(out, k)
+    return neighbours.best(out, k)
+
+
+def is_vector(df: DataFrame, col: str) -> bool:
+    """Whether a column holds Spark ML vectors."""
+    return isinstance(df.schema[col].dataType, VectorUDT)
 
 
 def knn(queries: DataFrame, refs: DataFrame, k: int, row_id: str = "row_id", vec: str = "embedding",
-        exclude_self: bool = False, max_bytes: int = MAX_BLOCK_BYTES, engine: str = "numpy") -> DataFrame:
-    """Exact k nearest ``refs`` of every query row.
+        exclude_self: bool = False, max_bytes: int = MAX_BLOCK_BYTES, engine: str = "numpy",
+        recall: float | None = None) -> DataFrame:
+    """k nearest ``refs`` of every query row, exact unless a ``recall`` is given.
 
     Returns (row_id, nn) where ``nn`` is an array of (d2, id) structs sorted by
-    squared distance then id (ties broken by the smaller id).  ``max_bytes``
-    bounds the reference rows that a task holds at a time.  ``engine``:
-    ``"numpy"`` (default) searches pivot cells; ``"sql"`` compares every pair
-    in the JVM and gives identical results.  NULL vectors, NULL components and
-    vectors of another length are an error.
+    squared distance then id (ties broken by the smaller id).  ``vec``: arrays,
+    or Spark ML vectors, which stay sparse.  ``max_bytes`` bounds the
+    reference rows that a task holds at a time.  ``recall``: the share of true
+    neighbours that is enough (see :mod:`grantrisk.operators.neighbours`).
+    ``engine="sql"`` compares every pair of arrays in the JVM and gives the
+    same lists.  NULL vectors, NULL components and arrays of another length
+    are an error.
     """
     first = refs.select(vec).first()
     if first is None:  # no reference rows: every query gets an empty list
-        return queries.select(F.col(row_id), F.array().cast("array<struct<d2: double, id: bigint>>").alias("nn"))
-    rows = max(1, max_bytes // (8 * (len(first[vec] or []) + 2) + 32))
-    r = refs.select(F.col(row_id).cast("bigint").alias("rid"), _as_double(vec).alias("rvec"))
-    q = queries.select(F.col(row_id).cast("bigint").alias("qid"), _as_double(vec).alias("qvec"))
+        return queries.select(F.col(row_id), F.array().cast(neighbours.EMPTY).alias("nn"))
+    sparse = is_vector(refs, vec)
+    columns = neighbours.sparse_columns(vec) if sparse else [_as_double(vec).alias("vec")]
+    r = refs.select(F.col(row_id).cast("bigint").alias("rid"), *columns)
+    q = queries.select(F.col(row_id).cast("bigint").alias("qid"), *columns)
+    if sparse:  # 12 bytes a component, their mean number from all rows
+        size = 12 * (r.agg(F.avg(F.size("index"))).first()[0] or 0.0)
+    else:
+        size = 8 * len(first[vec] or [])
+    rows = max(1, int(max_bytes // (size + 48)))
     if engine == "sql":
-        found = _knn_sql(q, r, k, exclude_self, rows)
+        found = _knn_sql(q.withColumnRenamed("vec", "qvec"), r.withColumnRenamed("vec", "rvec"), k, exclude_self, rows)
     else:
-        found = _knn_cells(q, r, k, exclude_self, rows)
-    empty = F.array().cast("array<struct<d2: double, id: bigint>>")
-    out = q.select("qid").join(found, "qid", "left").select(F.col("qid").alias(row_id), F.coalesce("nn", empty).alias("nn"))
+        found = neighbours.search(q, r, k, exclude_self, rows, recall)
+    out = q.select("qid").join(found, "qid", "left") \
+        .select(F.col("qid").alias(row_id), F.coalesce("nn", F.array().cast(neighbours.EMPTY)).alias("nn"))
     return out.withColumn(row_id, F.col(row_id).cast(dict(queries.dtypes)[row_id]))
 
 
+def between(a: str, b: str, step: str, width: int) -> Column:
+    """The point ``a`` + ``step`` x (``b`` - ``a``) of two Spark ML vectors of ``width`` components, sparse.
+
+    One small object per synthetic row: Spark has no function that makes a
+    sparse vector from lists.
+    """
+    def mixed(x, y, u):
+        values = dict(zip(x.indices.tolist(), x.values.tolist())) if hasattr(x, "indices") else dict(enumerate(x.toArray().tolist()))
+        other = dict(zip(y.indices.tolist(), y.values.tolist())) if hasattr(y, "indices") else dict(enumerate(y.toArray().tolist()))
+        out = {}
+        for i in sorted({*values, *other}):
+            v = values.get(i, 0.0)
+            out[i] = v + u * (other.get(i, 0.0) - v)
+        return Vectors.sparse(width, {i: v for i, v in out.items() if v})
+
+    return F.udf(mixed, VectorUDT())(a, b, step)
+
+
 # -- R3 SMOTE ---------------------------------------------------------------------
 
 def smote_count(n_major: int, n_minor: int, ratio: float) -> int:
@@ -380,7 +254,7 @@ def smote_count(n_major: int, n_minor: int, ratio: float) -> int:
 
 def smote(df: DataFrame, ratio: float, label: str = "label", row_id: str = "row_id",
           vec: str = "embedding", k: int = schemas.SMOTE_K, seed: int = schemas.SEED,
-          minority: int | None = None) -> DataFrame:
+          minority: int | None = None, recall: float | None = None) -> DataFrame:
     """Append synthetic minority rows x + u (nb - x), nb one of the k
     nearest minority rows of x.
 
@@ -400,7 +274,9 @@ def smote(df: DataFrame, ratio: float, label: str = "label", row_id: str = "row_
                      F.lit(None).cast("bigint").alias("base_id"),
                      F.lit(None).cast("bigint").alias("neighbour_id"),
                      F.lit(None).cast("double").alias("step"))
-    base = base.withColumn(vec, _as_double(vec))
+    sparse = is_vector(df, vec)
+    if not sparse:
+        base = base.withColumn(vec, _as_double(vec))
     if n_new == 0 or n_min == 0:
         return base
     kk = min(k, n_min - 1)
@@ -408,21 +284,25 @@ def smote(df: DataFrame, ratio: float, label: str = "label", row_id: str = "row_
         raise InfeasibleRatio("SMOTE needs at least two minority rows")
     mino = df.filter(F.col(label) == minority).select(row_id, vec)
     ranked = _rank_by_id(mino, row_id, out="__rank")
-    nn = cut_lineage(knn(mino, mino, kk, row_id, vec, exclude_self=True))
+    nn = cut_lineage(knn(mino, mino, kk, row_id, vec, exclude_self=True, recall=recall))
     info = ranked.join(nn, on=[row_id]).select(
         (F.col("__rank") - 1).alias("__b"), F.col(row_id).alias("base_id"),
-        _as_double(vec).alias("__x"), F.col("nn"))
+        (F.col(vec) if sparse else _as_double(vec)).alias("__x"), F.col("nn"))
     j = spark.range(n_new).select(F.col("id").alias("__j"))
     j = j.withColumn("__idx", F.pmod(mix("__j", seed), F.lit(n_min * kk))) \
          .withColumn("__b", (F.col("__idx") / F.lit(kk)).cast("bigint")) \
          .withColumn("__c", F.pmod(F.col("__idx"), F.lit(kk)).cast("int")) \
          .withColumn("step", uniform01("__j", seed + 1))
     s = j.join(info, on="__b").withColumn("neighbour_id", F.element_at("nn", F.col("__c") + 1)["id"])
-    nbv = mino.select(F.col(row_id).alias("neighbour_id"), _as_double(vec).alias("__nb"))
+    nbv = mino.select(F.col(row_id).alias("neighbour_id"), (F.col(vec) if sparse else _as_double(vec)).alias("__nb"))
     s = s.join(nbv, on="neighbour_id")
+    if sparse:
+        point = between("__x", "__nb", "step", mino.select(F.unwrap_udt(vec)["size"]).first()[0] or len(mino.select(vec).first()[0]))
+    else:
+        point = F.zip_with("__x", "__nb", lambda a, b: a + F.col("step") * (b - a))
     new = s.select((-(F.col("__j") + 1)).cast(dict(df.dtypes)[row_id]).alias(row_id),
                    F.lit(minority).cast(dict(df.dtypes)[label]).alias(label),
-                   F.zip_with("__x", "__nb", lambda a, b: a + F.col("step") * (b - a)).alias(vec),
+                   point.alias(vec),
                    F.lit(True).alias("synthetic"), F.col("base_id").cast("bigint"),
                    F.col("neighbour_id").cast("bigint"), F.col("step"))
     return base.unionByName(new)
@@ -440,7 +320,7 @@ def nearmiss_keep(n_major: int, n_minor: int, ratio: float) -> int:
 
 def nearmiss(df: DataFrame, ratio: float, label: str = "label", row_id: str = "row_id",
              vec: str = "embedding", k: int = schemas.NEARMISS_K, minority: int | None = None,
-             n_buckets: int | None = None) -> DataFrame:
+             n_buckets: int | None = None, recall: float | None = None) -> DataFrame:
     """Keep the majority rows with the smallest mean distance to their k
     nearest minority rows (ties: smaller id), until minority/majority = ratio.
 
@@ -453,7 +333,7 @@ def nearmiss(df: DataFrame, ratio: float, label: str = "label", row_id: str = "r
     n_keep = nearmiss_keep(n_maj, n_min, ratio)
     mino = df.filter(F.col(label) == minority)
     majo = df.filter(F.col(label) != minority)
-    nn = knn(majo, mino, k, row_id, vec)
+    nn = knn(majo, mino, k, row_id, vec, recall=recall)
     md = nn.select(row_id, (F.aggregate(F.transform("nn", lambda e: F.sqrt(e["d2"])), F.lit(0.0),
                                         lambda a, x: a + x) / F.size("nn")).alias("mean_dist"))
     # The neighbour search runs once: quantiles, ranking and the final
@@ -463,8 +343,8 @@ def nearmiss(df: DataFrame, ratio: float, label: str = "label", row_id: str = "r
     md = ranking.row_number_global(md, [F.col("mean_dist"), F.col(row_id)], "__bucket", out="__rn")
     keep = md.filter(F.col("__rn") <= n_keep).select(row_id, "mean_dist")
     kept = majo.join(keep, on=[row_id])
-    return mino.withColumn("mean_dist", F.lit(None).cast("double")).unionByName(kept) \
-        .withColumn(vec, _as_double(vec))
+    out = mino.withColumn("mean_dist", F.lit(None).cast("double")).unionByName(kept)
+    return out if is_vector(df, vec) else out.withColumn(vec, _as_double(vec))
 
 
 # -- R5 / R6 ------------------------------------------------------------------------
@@ -472,7 +352,7 @@ def nearmiss(df: DataFrame, ratio: float, label: str = "label", row_id: str = "r
 def smote_nearmiss(df: DataFrame, ratio: float, **kw) -> DataFrame:
     """SMOTE then NearMiss, both at ``ratio``."""
     s = cut_lineage(smote(df, ratio, **kw))  # NearMiss reads it several times
-    nm_kw = {k_: v for k_, v in kw.items() if k_ in ("label", "row_id", "vec", "minority")}
+    nm_kw = {k_: v for k_, v in kw.items() if k_ in ("label", "row_id", "vec", "minority", "recall")}
     return nearmiss(s.drop("mean_dist") if "mean_dist" in s.columns else s, ratio, **nm_kw)
 
 
@@ -480,7 +360,7 @@ def resample(df: DataFrame, method: str, ratio: float, **kw) -> DataFrame:
     if method == "smote":
         return smote(df, ratio, **kw)
     if method == "nearmiss":
-        nm_kw = {k_: v for k_, v in kw.items() if k_ in ("label", "row_id", "vec", "minority")}
+        nm_kw = {k_: v for k_, v in kw.items() if k_ in ("label", "row_id", "vec", "minority", "recall")}
         return nearmiss(df, ratio, **nm_kw)
     if method == "smote_nearmiss":
         return smote_nearmiss(df, ratio, **kw)

@@ -12,7 +12,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -103,10 +102,10 @@ def fit_eval(kind: str, params: dict | None, m: Matrices, train: DataFrame | Non
 
 
 def resampled_train(data: DataFrame, method: str, ratio: float, pos_weight: float | None) -> DataFrame:
-    """Training part rebalanced by R3-R5 (vectors <-> arrays around the resampler)."""
-    tr = data.filter(F.col("split") == "train").select(ROW_ID, LABEL, vector_to_array("features").alias("embedding"))
-    res = bal.resample(tr, method, ratio, label=LABEL, row_id=ROW_ID, vec="embedding")
-    out = res.select(ROW_ID, LABEL, array_to_vector("embedding").alias("features"), F.lit("train").alias("split"))
+    """Training part rebalanced by R3-R5; the vectors stay as they are, sparse ones sparse."""
+    tr = data.filter(F.col("split") == "train").select(ROW_ID, LABEL, "features")
+    res = bal.resample(tr, method, ratio, label=LABEL, row_id=ROW_ID, vec="features")
+    out = res.select(ROW_ID, LABEL, "features", F.lit("train").alias("split"))
     if pos_weight is None:
         return bal.class_weights(out, LABEL, mode="balanced")
     return bal.class_weights(out, LABEL, mode="pos", pos_weight=pos_weight)
