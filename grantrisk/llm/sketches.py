@@ -196,12 +196,12 @@ def likeness(keys: Keys, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(both > 0, 1 - apart / np.maximum(both, 1), 1.0)
 
 
-def _spelt(keys: Keys, texts: np.ndarray, size: int = CELLS) -> list[str]:
-    """Fingerprints in base64: counts (32 bits), sums (64 bits) and check sums (32 bits), little-endian."""
+def _packed(keys: Keys, texts: np.ndarray, size: int = CELLS) -> list[bytes]:
+    """Sketches as bytes: counts (32 bits), sums (64 bits) and check sums (32 bits), little-endian."""
     cells = sketch(*keys.of(texts), len(texts), size)
     raw = np.concatenate([c.reshape(len(texts), -1).astype(c.dtype.newbyteorder("<")).view(np.uint8).reshape(len(texts), -1)
                           for c in cells], axis=1)
-    return [base64.b64encode(r.tobytes()).decode() for r in raw]
+    return [r.tobytes() for r in raw]
 
 
 def _read(fingerprints: list[str]) -> Cells:
@@ -235,12 +235,12 @@ def _with(df: DataFrame, fields: list[T.StructField], columns: Sequence[str], va
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", into: str = "fingerprint", cells: int = CELLS) -> DataFrame:
-    """``docs`` with the fingerprint of each whole text (NULL: of an empty one), ``cells`` (a power of two) a row.
+    """``docs`` with the fingerprint of each whole text (NULL: of an empty one), in base64, ``cells`` (a power of two) a row.
 
     Every row stays; a column named ``into`` is replaced.
     """
     def values(texts: list) -> tuple:
-        return _spelt(keys_of(_utf8(texts)), np.arange(len(texts)), cells),
+        return [base64.b64encode(f).decode() for f in _packed(keys_of(_utf8(texts)), np.arange(len(texts)), cells)],
 
     return _with(docs, [T.StructField(into, T.StringType())], [text_col], values)
 
@@ -292,9 +292,10 @@ def compare_texts(pairs: DataFrame, old_col: str, new_col: str) -> DataFrame:
     return _with(pairs, [*_DIFFERENCE, T.StructField("likeness", T.DoubleType())], [old_col, new_col], values)
 
 
-_OUT = T.StructType([T.StructField("n_chars", T.LongType()), T.StructField("edited_sha256", T.StringType()),
-                     T.StructField("fingerprint", T.StringType()), T.StructField("edited_fingerprint", T.StringType()),
+_OUT = T.StructType([T.StructField("n_chars", T.LongType()), T.StructField("edited_sha256", T.BinaryType()),
+                     T.StructField("fingerprint", T.BinaryType()), T.StructField("edited_fingerprint", T.BinaryType()),
                      T.StructField("near_edited", T.DoubleType()), T.StructField("near_next", T.DoubleType())])
+_ARROW = {"bigint": pa.int64(), "binary": pa.binary(), "double": pa.float64()}
 
 
 def _figures(texts: list[str], following: list[str]) -> list[pa.Array]:
@@ -306,10 +307,9 @@ def _figures(texts: list[str], following: list[str]) -> list[pa.Array]:
         edited.append((text[:len(text) - k] + after[:k]).encode())
     keys = keys_of(_utf8(texts) + edited + _utf8(following))
     a, b, c = (np.arange(n) + k * n for k in range(3))
-    values = ([len(t) for t in texts], [hashlib.sha256(e).hexdigest() for e in edited], _spelt(keys, a), _spelt(keys, b),
+    values = ([len(t) for t in texts], [hashlib.sha256(e).digest() for e in edited], _packed(keys, a), _packed(keys, b),
               likeness(keys, a, b), likeness(keys, a, c))
-    return [pa.array(v, {"bigint": pa.int64(), "string": pa.string(), "double": pa.float64()}[f.dataType.simpleString()])
-            for v, f in zip(values, _OUT.fields)]
+    return [pa.array(v, _ARROW[f.dataType.simpleString()]) for v, f in zip(values, _OUT.fields)]
 
 
 def edit_figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -336,8 +336,7 @@ def edit_figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         number, last = TaskContext.get().partitionId(), None
 
         def edge(ids: pa.Array, value: str, first: bool) -> pa.RecordBatch:
-            none = [pa.nulls(1, {"bigint": pa.int64(), "string": pa.string(), "double": pa.float64()}[f.dataType.simpleString()])
-                    for f in _OUT.fields]
+            none = [pa.nulls(1, _ARROW[f.dataType.simpleString()]) for f in _OUT.fields]
             return pa.RecordBatch.from_arrays([ids, *none, pa.array([number]), pa.array([first]), pa.array([value])], names=shape.names)
 
         for whole in batches:
@@ -356,7 +355,7 @@ def edit_figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if last is not None:
             yield edge(*last, False)
 
-    found = staged(runs.mapInArrow(run, shape), "sketches")
+    found = staged(runs.mapInArrow(run, shape), "sketches", compression="zstd")
     firsts = found.where("first").select(F.col("run").alias("next_run"), F.col("text").alias("after"))
     # a row per task, numbers only
     order = firsts.select("next_run").withColumn("run", F.lag("next_run").over(Window.orderBy("next_run")))
@@ -370,4 +369,6 @@ def edit_figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                                                  names=["id", *_OUT.names])
 
     ends = lasts.mapInArrow(close, T.StructType([id_field, *_OUT.fields]))
-    return found.where("run is null").select("id", *_OUT.names).unionByName(ends).withColumnRenamed("id", id_col)
+    text_of = {"edited_sha256": F.lower(F.hex("edited_sha256")),
+               **{c: F.translate(F.base64(c), "\r\n", "") for c in ("fingerprint", "edited_fingerprint")}}
+    return found.where("run is null").select("id", *_OUT.names).unionByName(ends).withColumns(text_of).withColumnRenamed("id", id_col)
