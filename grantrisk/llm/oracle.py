@@ -2,22 +2,30 @@
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
+_SPACE = r"[\x09-\x0D\x20]+"
+
 OP8 = f"""
-WITH p AS (
-  SELECT page_id,
+WITH p0 AS (
+  SELECT row_number() OVER () AS page, page_id, html,
          translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), '{UPPER}', '{UPPER.lower()}') AS host,
-         coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path,
-         regexp_replace(html, '<[^>]*>', '', 'g') AS t
+         coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
   FROM pages),
-o AS (SELECT *, CASE WHEN length(t) > 0 THEN NOT (
-          (length(t) - length(translate(t, '#*$%|', ''))) * 50 > length(t)
-          OR (length(t) - length(translate(t, '{UPPER}', ''))) * 3 > length(t)) END AS good,
-       string_split(host, '.') AS l FROM p),
-h0 AS (SELECT host, any_value(l) AS l, count(good)::DOUBLE AS n, coalesce(sum(good::INT), 0)::DOUBLE AS k FROM o GROUP BY host),
-h1 AS (SELECT *, array_to_string(l[-2:], '.') AS two FROM h0),
+p AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), '\\.*(:[0-9]*)?$', '') AS name FROM p0),
+dl AS (SELECT DISTINCT doc_id, trim(regexp_replace(x, '{_SPACE}', ' ', 'g')) AS line
+       FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents)),
+ll AS (SELECT line, avg(quality) AS rate FROM dl JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND length(line) >= 20 GROUP BY line),
+pp AS (SELECT page, trim(regexp_replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)),
+              '&amp;', '&'), '{_SPACE}', ' ', 'g')) AS line
+       FROM (SELECT page, unnest(regexp_split_to_array(html, '<[^>]*>')) AS x FROM p)),
+pg AS (SELECT page, sum(length(line)) AS a, sum(CASE WHEN rate IS NOT NULL THEN length(line) END) AS seen, sum(length(line) * rate) AS g
+       FROM pp LEFT JOIN ll USING (line) WHERE length(line) >= 20 GROUP BY page),
+o AS (SELECT p.*, CASE WHEN seen * 2 >= a THEN g * 2 >= seen END AS good, string_split(name, '.') AS l FROM p LEFT JOIN pg USING (page)),
+h0 AS (SELECT name AS host, any_value(l) AS l, count(good)::DOUBLE AS n, coalesce(sum(good::INT), 0)::DOUBLE AS k FROM o GROUP BY name),
+h1 AS (SELECT *, array_to_string(l[-2:], '.') AS two,
+              regexp_matches(host, '^([0-9]+[.]){{3}}[0-9]+$') OR starts_with(host, '[') AS address FROM h0),
 h2 AS (SELECT *, two IN ('co.uk', 'org.uk', 'ac.uk', 'gov.uk', 'com.au', 'com.br', 'co.jp', 'co.nz', 'co.za', 'com.cn') AS known FROM h1),
-h AS (SELECT host, n, k, CASE WHEN known THEN two ELSE l[-1] END AS suffix,
-             CASE WHEN known THEN array_to_string(l[-3:], '.') ELSE two END AS domain FROM h2),
+h AS (SELECT host, n, k, CASE WHEN address THEN host WHEN known THEN two ELSE l[-1] END AS suffix,
+             CASE WHEN address THEN host WHEN known THEN array_to_string(l[-3:], '.') ELSE two END AS domain FROM h2),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM h GROUP BY ALL),
 s AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM d GROUP BY ALL),
 g AS (SELECT 1 AS lv, n, k FROM s UNION ALL SELECT 2, n, k FROM d UNION ALL SELECT 3, n, k FROM h),
@@ -25,20 +33,21 @@ m AS (SELECT lv, sum(n) AS n, sum(k) AS k, sum(n * n) AS nn, sum(k * k / n) AS k
 q AS (SELECT lv, (k / n) * (1 - k / n) AS noise,
              CASE WHEN m > 1 THEN (kkn - k * k / n - (m - 1) * (k / n) * (1 - k / n)) / (n - nn / n) END AS spread FROM m),
 w AS (SELECT lv, CASE WHEN spread > 0 THEN least(greatest(noise / spread - 1, 2.0), 1000.0) ELSE 1000.0 END AS w FROM q),
-c AS (SELECT (SELECT (sum(k) + 1) / (sum(n) + 2) FROM s) AS p0, (SELECT w FROM w WHERE lv = 1) AS s1,
-             (SELECT w FROM w WHERE lv = 2) AS s2, (SELECT w FROM w WHERE lv = 3) AS s3),
-r AS (SELECT host, h.n + s3 AS total,
-             (h.k + s3 * ((d.k + s2 * ((s.k + s1 * p0) / (s.n + s1))) / (d.n + s2))) / (h.n + s3) AS mean
-      FROM h JOIN d USING (domain) JOIN s ON s.suffix = d.suffix, c),
-u AS (SELECT host, least(mean + 1.645 * sqrt(mean * (1 - mean) / (total + 1)), 1.0) AS upper FROM r),
+c AS (SELECT (SELECT (sum(k) + 1) / (sum(n) + 2) FROM s) AS p0, coalesce((SELECT w FROM w WHERE lv = 1), 1000.0) AS s1,
+             coalesce((SELECT w FROM w WHERE lv = 2), 1000.0) AS s2, coalesce((SELECT w FROM w WHERE lv = 3), 1000.0) AS s3),
+r0 AS (SELECT host, h.n, h.k, s3, p0, (d.k + s2 * ((s.k + s1 * p0) / (s.n + s1))) / (d.n + s2) AS dm
+       FROM h JOIN d USING (domain) JOIN s ON s.suffix = d.suffix, c),
+r AS (SELECT host, p0, k + s3 * dm AS a, n - k + s3 * (1 - dm) AS b FROM r0),
+u AS (SELECT host, least(a / (a + b) + 1.645 * sqrt(a * b / (a + b + 1)) / (a + b),
+                         1 / (1 + exp(-1.645 * sqrt(1 / a + 1 / b) - ln(a / b)))) AS upper, p0 / 3 / (p0 / 3 + 1 - p0) AS least FROM r),
 f(ord, verdict, rule, rh, rp) AS (VALUES (1, 'allow', 'org/', 'org', '/'), (2, 'block', 'example.org/es/', 'example.org', '/es/'),
   (3, 'block', 'example.org/en/1', 'example.org', '/en/1'), (4, 'allow', 'com/fr/', 'com', '/fr/'), (5, 'block', 'com/de/', 'com', '/de/')),
 fit AS (SELECT host, path, arg_min(struct_pack(rule, verdict), (-length(rule), ord)) AS x
         FROM (SELECT DISTINCT host, path FROM o) JOIN f
           ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY host, path)
 SELECT page_id, o.host, o.path, x.rule AS rule,
-       coalesce(x.verdict, CASE WHEN upper < 0.5 THEN 'block' ELSE 'allow' END) AS verdict
-FROM o JOIN u USING (host) LEFT JOIN fit ON fit.host = o.host AND fit.path = o.path
+       coalesce(x.verdict, CASE WHEN upper < least THEN 'block' ELSE 'allow' END) AS verdict
+FROM o JOIN u ON u.host = o.name LEFT JOIN fit ON fit.host = o.host AND fit.path = o.path
 """
 
 OP4 = f"""

@@ -63,9 +63,9 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdict for every page: the five rules, else the host's reputation from its pages' weak labels."""
+    """Verdict for every page: the five rules, else its host's reputation from the labelled documents that its pages show."""
     pages = table(spark, sf_dir, "pages")
-    outcomes = pages.select(urls.host_of(F.col("url")).alias("host"), urls.page_outcome(F.col("html")).alias("good"))
+    outcomes = urls.outcomes_of(pages, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     judged = urls.filter_urls(pages.select("page_id", "url"), outcomes, URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
 

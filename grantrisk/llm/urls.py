@@ -4,8 +4,11 @@ Each labelled page is a good or bad outcome of its host.  Counts are shrunk
 down a chain of beta-binomial priors -- all pages -> public suffix ->
 registered domain -> host -- whose strengths are estimated from the counts by
 the method of moments.  A host is blocked when even the upper bound of its
-posterior rate of good pages lies below the threshold, so hosts with few
-pages fall back on their domain and suffix and are never blocked by chance.
+posterior odds of good pages lies below a share of the odds over all pages,
+so hosts with few pages fall back on their domain and suffix and are never
+blocked by chance.
+
+Pages get their outcome from labelled documents whose lines they show.
 
 All steps are DataFrame expressions.  Outcomes are counted per host before
 anything else, with map-side partial counts, so a host with a third of all
@@ -22,6 +25,11 @@ from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, ASCII_UPPER, staged
 
+#: Paragraphs of fewer characters say nothing about where a page's text is from.
+LEAST_PARAGRAPH = 20
+#: A host is blocked below this share of the odds of all pages.
+ODDS = 1 / 3
+
 #: Suffixes of two labels under which names are registered (fixed values; a parameter).
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "com.br", "co.jp", "co.nz", "co.za", "com.cn")
 
@@ -62,15 +70,25 @@ def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column,
     return text, verdict
 
 
+def name_of(host: Column) -> Column:
+    """The host without user part, port and trailing dots: what reputations are kept for."""
+    return F.regexp_replace(F.regexp_replace(host, "^.*@", ""), "\\.*(:[0-9]*)?$", "")
+
+
+def _is_address(name: Column) -> Column:
+    """IPv4 addresses and bracketed IPv6 ones, which have no domain above them."""
+    return name.rlike(r"^([0-9]+\.){3}[0-9]+$") | name.startswith("[")
+
+
 def suffix_of(host: Column, two_label: Sequence[str] = TWO_LABEL_SUFFIXES) -> Column:
     """Public suffix: the last label, or the last two where these are a known suffix."""
     two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*two_label), two).otherwise(F.substring_index(host, ".", -1))
+    return F.when(_is_address(host), host).when(two.isin(*two_label), two).otherwise(F.substring_index(host, ".", -1))
 
 
 def domain_of(host: Column, two_label: Sequence[str] = TWO_LABEL_SUFFIXES) -> Column:
     """Registered domain: the suffix and one label more."""
-    return F.when(F.substring_index(host, ".", -2).isin(*two_label), F.substring_index(host, ".", -3)) \
+    return F.when(_is_address(host), host).when(F.substring_index(host, ".", -2).isin(*two_label), F.substring_index(host, ".", -3)) \
         .otherwise(F.substring_index(host, ".", -2))
 
 
@@ -93,14 +111,17 @@ def prior_strength(groups: DataFrame, least: float, most: float) -> float:
 
 def host_reputation(outcomes: DataFrame, host: str = "host", good: str = "good", z: float = 1.645,
                     least_strength: float = 2.0, most_strength: float = 1000.0) -> DataFrame:
-    """Posterior per host -> (host, n, k, domain, suffix, mean, lower, upper).
+    """Posterior per host -> (host, n, k, domain, suffix, mean, lower, upper, base).
 
     ``outcomes`` has a row per labelled page: its host and ``good`` (boolean;
-    NULL means not labelled and counts nowhere).  The bounds are the normal
-    approximation mean -/+ z * sd of the beta posterior, held within [0, 1].
-    Hosts without a labelled page are kept with n = 0 and get the prior.
+    NULL means not labelled and counts nowhere).  Hosts are taken without user
+    part and port.  ``base`` is the rate over all pages, ``mean`` that of the
+    posterior beta(a, b); the bounds are the nearer ones of two normal
+    approximations, of the rate itself and of its log-odds (ln(a / b) -/+ z *
+    sqrt(1 / a + 1 / b)), which fail at opposite ends.  Hosts without a labelled page are kept
+    with n = 0 and get the prior.
     """
-    counts = outcomes.groupBy(F.coalesce(F.col(host), F.lit("")).alias("host")).agg(
+    counts = outcomes.groupBy(name_of(F.coalesce(F.col(host), F.lit(""))).alias("host")).agg(
         F.count(F.col(good)).cast("double").alias("n"), F.sum(F.when(F.col(good), 1.0).otherwise(0.0)).alias("k"))
     counts = staged(counts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))}), "hosts")
     domains = counts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
@@ -110,44 +131,76 @@ def host_reputation(outcomes: DataFrame, host: str = "host", good: str = "good",
     suffixes = suffixes.select("suffix", ((F.col("k") + s1 * p0) / (F.col("n") + s1)).alias("sm"))
     domains = domains.join(suffixes, "suffix") \
         .select("domain", ((F.col("k") + s2 * F.col("sm")) / (F.col("n") + s2)).alias("dm"))
-    total = F.col("n") + s3
-    mean = (F.col("k") + s3 * F.col("dm")) / total
-    sd = F.sqrt(mean * (1 - mean) / (total + 1))
+    a, b = F.col("k") + s3 * F.col("dm"), F.col("n") - F.col("k") + s3 * (1 - F.col("dm"))
+    middle, sd = F.log(a / b), F.sqrt(1 / a + 1 / b)
+    mean, rate_sd = a / (a + b), F.sqrt(a * b / (a + b + 1)) / (a + b)
     return counts.join(domains, "domain").select(
         "host", "n", "k", "domain", "suffix", mean.alias("mean"),
-        F.greatest(mean - z * sd, F.lit(0.0)).alias("lower"), F.least(mean + z * sd, F.lit(1.0)).alias("upper"))
+        F.greatest(mean - z * rate_sd, 1 / (1 + F.exp(z * sd - middle))).alias("lower"),
+        F.least(mean + z * rate_sd, 1 / (1 + F.exp(-z * sd - middle))).alias("upper"), F.lit(p0).alias("base"))
 
 
 def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule], url: str = "url", z: float = 1.645,
-                threshold: float = 0.5) -> DataFrame:
+                odds: float = ODDS) -> DataFrame:
     """Every row of ``pages`` with host, path, rule, verdict and the host's posterior mean and upper bound.
 
     ``outcomes``: (host, good) rows, see ``host_reputation``.  The longest
-    fitting rule decides; without one a host is blocked if its upper bound is
-    below ``threshold``.  A host that ``outcomes`` doesn't have is allowed,
-    with NULL bounds.  NULL urls and urls without a scheme have the empty
-    host and path, which no rule fits.  Repeated rows stay; no pages give no
-    rows.  Columns of these names in ``pages`` are replaced.
+    fitting rule decides; without one a host is blocked if the upper bound of
+    its odds of good pages is below ``odds`` times those of all pages.  A host
+    that ``outcomes`` doesn't have is allowed, with NULL bounds.  NULL urls
+    and urls without a scheme have the empty host and path, which no rule
+    fits.  Repeated rows stay; no pages give no rows.  Columns of these names
+    in ``pages`` are replaced.
     """
     p = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row"), F.col(url).alias("u"))
-    p = p.select("row", host_of(F.col("u")).alias("host"), path_of(F.col("u")).alias("path"))
+    p = p.select("row", host_of(F.col("u")).alias("host"), path_of(F.col("u")).alias("path")).withColumn("name", name_of(F.col("host")))
     text, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    seen = host_reputation(outcomes, z=z).select("host", "mean", "upper")
-    out = p.join(seen, "host", "left").withColumns({
+    seen = host_reputation(outcomes, z=z).select(F.col("host").alias("name"), "mean", "upper", "base")
+    least = odds * F.col("base") / (odds * F.col("base") + 1 - F.col("base"))
+    out = p.join(seen, "name", "left").withColumns({
         "rule": text,
-        "verdict": F.coalesce(verdict, F.when(F.col("upper") < threshold, "block").otherwise("allow"))})
+        "verdict": F.coalesce(verdict, F.when(F.col("upper") < least, "block").otherwise("allow"))})
     new = ["host", "path", "rule", "verdict", "mean", "upper"]
     return out.select(*[F.col("row").getField(c).alias(c) for c in pages.columns if c.lower() not in new], *new)
 
 
-def page_outcome(html: Column) -> Column:
-    """Weak label of a page from its own text: true unless it reads as junk.
+def _paragraphs(pieces: Column) -> Column:
+    """Pieces of text with runs of white space as one space, those of LEAST_PARAGRAPH characters and more."""
+    plain = F.transform(pieces, lambda x: F.trim(F.regexp_replace(x, r"[\x09-\x0D\x20]+", " ")))
+    return F.filter(plain, lambda x: F.length(x) >= LEAST_PARAGRAPH)
 
-    Tags are cut out.  Junk has over one of ``#*$%|`` in 50 characters, or
-    over a third of A-Z.  NULL for NULL or empty pages (not labelled).
+
+def page_paragraphs(html: Column) -> Column:
+    """Texts between the tags of a page, its five commonest entities resolved; NULL for a NULL page."""
+    def resolved(x: Column) -> Column:
+        for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+            x = F.replace(x, F.lit(entity), F.lit(char))
+        return x
+
+    return _paragraphs(F.transform(F.split(html, "<[^>]*>"), resolved))
+
+
+def outcomes_of(pages: DataFrame, documents: DataFrame, labels: DataFrame, quality: str = "quality", url: str = "url", html: str = "html",
+                text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(host, good) of every page; NULL unless labelled documents hold at least half of its paragraphs' characters.
+
+    A paragraph counts with the share of good (1) ones among the labelled
+    documents that hold it as a line; a page is good if the mean over its
+    known characters is at least a half.  Lines meet paragraphs by a digest
+    of 128 bits, each different line once, so a line that many documents
+    share is one row.
     """
-    text = F.regexp_replace(html, "<[^>]*>", "")
-    n = F.length(text)
-    symbols = n - F.length(F.translate(text, "#*$%|", ""))
-    capitals = n - F.length(F.translate(text, ASCII_UPPER, ""))
-    return F.when(n > 0, ~((symbols * 50 > n) | (capitals * 3 > n)))
+    known = labels.where(F.col(quality).isNotNull()).select(F.col(id_col).alias("id"), F.col(quality).cast("double").alias("q"))
+    held = documents.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(_paragraphs(F.split(text, "\n")))).alias("line"))
+    lines = held.join(known, "id").groupBy(F.md5(F.col("line").cast("binary")).alias("key")).agg(F.avg("q").alias("rate"))
+    rows = staged(pages.select(F.monotonically_increasing_id().alias("page"), host_of(F.col(url)).alias("host"),
+                               page_paragraphs(F.col(html)).alias("p")), "page-paragraphs")
+    each = rows.select("page", F.explode("p").alias("line")) \
+        .select("page", F.md5(F.col("line").cast("binary")).alias("key"), F.length("line").cast("double").alias("size"))
+    sums = each.join(lines, "key", "left").groupBy("page").agg(
+        F.sum("size").alias("all"), F.sum(F.when(F.col("rate").isNotNull(), F.col("size"))).alias("seen"),
+        F.sum(F.col("size") * F.col("rate")).alias("good"))
+    enough = F.col("seen") * 2 >= F.col("all")
+    return rows.select("page", "host").join(sums, "page", "left") \
+        .select("host", F.when(enough, F.col("good") * 2 >= F.col("seen")).alias("good"))
+
