@@ -25,8 +25,7 @@ from pyspark.sql import functions as F
 from .common import staged, word_count
 
 #: Key buckets per source: a source's budget ends in one of them, and only that one is sorted.
-KEY_BUCKETS = 4096
-_NO_ID = -(1 << 63)
+KEY_BUCKETS, BUCKETS_AN_E = 1 << 14, 1 << 10
 
 
 def quality_weight(text: Column, least: float = 0.05) -> Column:
@@ -43,13 +42,20 @@ def sampling_key(doc_id: Column, weight: Column, seed: int = 0) -> Column:
     return -F.log(u) / weight
 
 
-def items_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-             seed: int = 0) -> DataFrame:
-    """(doc_id, source, size, key) of every document: what the plan is made from."""
+def _item(id_col: str, text_col: str, source_col: str, seed: int, weight: Column | None) -> list[Column]:
     text = F.col(text_col)
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-                       word_count(text).alias("size"),
-                       sampling_key(F.col(id_col), quality_weight(text), seed).alias("key"))
+    return [F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"),
+            sampling_key(F.col(id_col), quality_weight(text) if weight is None else weight, seed).alias("key")]
+
+
+def items_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+             seed: int = 0, weight: Column | None = None) -> DataFrame:
+    """(doc_id, source, size, key) of every document: what the plan is made from.
+
+    ``weight``: quality weight of a document, above 0 and not NULL (default
+    ``quality_weight`` of its text).  Ids may be of any type that can be ordered.
+    """
+    return docs.select(*_item(id_col, text_col, source_col, seed, weight))
 
 
 def source_targets(sources: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.0,
@@ -79,8 +85,13 @@ def source_targets(sources: DataFrame, weights: Sequence[float] = (5, 2, 1), sha
 
 
 def _bucket(key: Column) -> Column:
-    """Rises with the key; even for weights near 1."""
-    return F.least(F.floor((1 - F.exp(-key)) * KEY_BUCKETS), F.lit(KEY_BUCKETS - 1)).cast("int")
+    """Rises with the key, by its logarithm: whatever its weights, a source has at most 0.04 % of its keys in one bucket."""
+    return F.least(F.floor(F.log1p(key * 4096) * BUCKETS_AN_E), F.lit(KEY_BUCKETS - 1)).cast("int")
+
+
+def _place() -> Column:
+    """A document's place in the order of keys and, for equal ones, ids, NULL first."""
+    return F.struct(F.col("key").alias("key"), F.col("doc_id").isNotNull().alias("known"), F.col("doc_id").alias("id"))
 
 
 def plan_mix(items: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.0,
@@ -101,16 +112,15 @@ def plan_mix(items: DataFrame, weights: Sequence[float] = (5, 2, 1), share: floa
         .where((F.col("upto") - F.col("words") <= F.col("rest")) & (F.col("upto") > F.col("rest"))) \
         .select("s", F.col("bucket").alias("last_bucket"), (F.col("upto") - F.col("words")).alias("before"), "rest")
     last = staged(last, "mix-last")
-    inside = items.join(last, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("last_bucket"))) \
-        .withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)))
-    ordered = Window.partitionBy("s").orderBy("key", "id").rowsBetween(Window.unboundedPreceding, 0)
+    inside = items.join(last, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("last_bucket")))
+    ordered = Window.partitionBy("s").orderBy("key", F.asc_nulls_first("doc_id")).rowsBetween(Window.unboundedPreceding, 0)
     middle = F.col("before") + F.sum("size").over(ordered) - F.col("size") / 2
     cuts = inside.withColumn("middle", middle).where("middle <= rest").groupBy(F.col("s").alias("c")) \
-        .agg(F.max(F.struct("key", "id")).alias("cut"))
+        .agg(F.max(_place()).alias("cut"))
     out = plan.join(last.select("s", "last_bucket"), F.col("source").eqNullSafe(F.col("s")), "left") \
         .join(cuts, F.col("source").eqNullSafe(F.col("c")), "left")
     return staged(out.select("source", "source_size", "target", "epochs", "last_bucket",
-                             F.col("cut.key").alias("cut_key"), F.col("cut.id").alias("cut_id")), "mix-plan")
+                             "cut"), "mix-plan")
 
 
 def apply_mix(items: DataFrame, plan: DataFrame) -> DataFrame:
@@ -123,28 +133,25 @@ def apply_mix(items: DataFrame, plan: DataFrame) -> DataFrame:
     p = plan.withColumnRenamed("source", "plan_source")
     joined = items.join(p, F.col("source").eqNullSafe(F.col("plan_source")))
     bucket, last = _bucket(F.col("key")), F.col("last_bucket")
-    at = F.struct(F.col("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)))
-    inside = F.coalesce(at <= F.struct(F.col("cut_key"), F.col("cut_id")), F.lit(False)) & F.col("cut_key").isNotNull()
+    inside = F.col("cut").isNotNull() & F.coalesce(_place() <= F.col("cut"), F.lit(False))
     # Without a last bucket the rest of the budget holds all of the source, unless there is no rest.
     extra = F.when(last.isNull(), F.col("target") - F.col("epochs") * F.col("source_size") >= F.col("source_size")) \
         .when(bucket < last, True).when(bucket > last, False).otherwise(inside)
     copies = F.col("epochs") + F.coalesce(extra & (F.col("source_size") > 0), F.lit(False)).cast("int")
     out = joined.withColumn("copies", copies).withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
-    return out.drop("plan_source", "epochs", "last_bucket", "cut_key", "cut_id")
+    return out.drop("plan_source", "epochs", "last_bucket", "cut")
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                 weights: Sequence[float] = (5, 2, 1), share: float = 1.0, max_epochs: float = 3.0,
-                seed: int = 0) -> DataFrame:
+                seed: int = 0, weight: Column | None = None) -> DataFrame:
     """The mixed corpus: each document as often as the mix takes it, with the columns of ``docs``.
 
     Documents that the mix doesn't take go.  An empty table stays empty.
+    ``weight``: see ``items_of``.
     """
-    plan = plan_mix(staged(items_of(docs, id_col, text_col, source_col, seed), "mix-items"), weights, share, max_epochs)
+    plan = plan_mix(staged(items_of(docs, id_col, text_col, source_col, seed, weight), "mix-items"), weights, share, max_epochs)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    text = F.col(text_col)
-    items = docs.select(row, F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-                        word_count(text).alias("size"),
-                        sampling_key(F.col(id_col), quality_weight(text), seed).alias("key"))
+    items = docs.select(row, *_item(id_col, text_col, source_col, seed, weight))
     taken = apply_mix(items, plan).where("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

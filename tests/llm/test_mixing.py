@@ -1,6 +1,7 @@
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from grantrisk.llm import mixing
 from grantrisk.llm.common import staged
@@ -84,3 +85,27 @@ def test_mix_repeats_documents(docs_of):
         got[r.doc_id] += 1
     assert got == {i: n for i, n in want.items() if n}
     assert max(want.values()) == 3
+
+
+def test_ids_of_any_type_and_weights_of_ones_own(spark):
+    rows = [(f"doc-{i}" if i % 7 else None, "w " * (1 + i % 9), "ab"[i % 2], float(1 + i % 3)) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, source string, w double")
+    items = staged(mixing.items_of(df, weight=F.col("w")), "t")
+    got = mixing.apply_mix(items, mixing.plan_mix(items)).collect()
+    check(got, {s: sum(r["size"] for r in got if r.source == s) for s in "ab"})
+    out = mixing.mix_sources(df, weight=F.col("w"))
+    assert out.columns == df.columns and out.count() > 0
+    heavy = df.withColumn("w", F.when(F.col("text") == "w ", 1e6).otherwise(1.0))
+    items = staged(mixing.items_of(heavy, weight=F.col("w")), "t")
+    taken = mixing.apply_mix(items, mixing.plan_mix(items, share=0.3)).where("size = 1")
+    assert taken.where("taken = 0").count() == 0
+
+
+def test_a_source_of_least_weight_is_spread_over_the_buckets(spark):
+    df = spark.range(30000).selectExpr("id as doc_id", "'# # #' as text", "if(id % 3 = 0, 'a', 'b') as source")
+    items = mixing.items_of(df)
+    n = items.select(mixing._bucket(F.col("key")).alias("b")).groupBy("b").count().agg(F.max("count")).first()[0]
+    assert n < 40
+    got = mixing.apply_mix(staged(items, "t"), mixing.plan_mix(staged(items, "t"))).groupBy("source").agg(
+        F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert all(abs(r.taken - r.target) <= 3 for r in got)
