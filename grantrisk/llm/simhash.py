@@ -170,7 +170,9 @@ def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sh
              segments: int | None = None) -> DataFrame:
     """The columns of ``docs``, one row of each group: that with the smallest id.
 
-    Of rows that repeat this id, the one with the smallest md5 of its text stays.
+    Of rows that repeat this id, the one with the smallest md5 of its text
+    stays, of rows that repeat the text too, that with the smallest hash of
+    all its columns.
     """
     text = F.col(text_col).cast("string")
     key = F.coalesce(F.md5(text.cast("binary")), F.lit("")).alias("text_key")
@@ -185,5 +187,5 @@ def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sh
     kept = first.select(*keys(F.col("doc_id")), F.col("text_key").alias("k2"))
     # Texts are shuffled once: repeated rows are merged before, and the join finds them dealt by its keys.
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *keys(F.col(id_col)), key.alias("k2"))
-    rows = rows.groupBy("k0", "k1", "k2").agg(F.first("row").alias("row"))
+    rows = rows.groupBy("k0", "k1", "k2").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
     return rows.join(kept, ["k0", "k1", "k2"], "left_semi").select("row.*")
