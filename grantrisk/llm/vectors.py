@@ -35,9 +35,9 @@ BLOCK = 1024
 
 
 def usable(vector: Column, label: Column) -> Column:
-    """True for vectors that can link: a label, components without NULL, NaN and infinity, and a finite norm above 0."""
-    norm = F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    return F.coalesce(label.isNotNull() & (norm > 0) & (norm < float("inf")), F.lit(False))
+    """True for vectors that can link: a label, components without NULL, NaN and infinity, and one that isn't 0."""
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.coalesce(label.isNotNull() & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
 def _vectors(column: pa.ListArray) -> np.ndarray:
@@ -46,6 +46,8 @@ def _vectors(column: pa.ListArray) -> np.ndarray:
 
 
 def _units(v: np.ndarray) -> np.ndarray:
+    """Rows of length 1; huge and tiny ones are brought near 1 first, so that no square overflows or vanishes."""
+    v = v / 2.0 ** np.frexp(np.abs(v).max(axis=1, keepdims=True, initial=0.0))[1]
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
@@ -62,7 +64,7 @@ def choose_pivots(entries: DataFrame, wanted: int) -> np.ndarray:
     for r in rows:
         v = np.zeros(width)
         v[:len(r.vector)] = r.vector
-        v /= np.linalg.norm(v)
+        v = _units(v[None, :])[0]
         if len(pivots) < wanted and (not len(pivots) or (pivots @ v).max() < ALIKE):
             pivots = np.vstack([pivots, v])
     return pivots

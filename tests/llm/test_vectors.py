@@ -69,3 +69,21 @@ def test_query_against_brute_force(spark, sf):
     rows = [(r.vec_id, list(r.embedding), r.label) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in op3_embeddings(spark, sf).collect())
     assert got == brute(rows)
+
+
+def test_huge_and_tiny_doubles_link_by_their_direction(spark):
+    rows = [(1, [1e200, 0.0], 1), (2, [3e-200, 1e-202], 1), (3, [0.0, 1e300], 1), (4, [5e-324, 1e-10], 1), (5, [1.0, 0.01], 1), (6, [0.0, -0.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(df).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 5: (2, 1), 3: (1, 3), 4: (1, 3), 6: (0, 6)}
+
+
+def test_query_on_planted_links(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    rows = [(i, v, int(i % 3)) for i, v in enumerate([v for _ in range(30) for v in cluster(rng, 5, 64, 0.1)])]
+    rows = [(i, v, (i // 5) % 3 if i % 10 else None) for i, v, _ in rows]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in op3_embeddings(spark, str(tmp_path)).collect())
+    expected = brute(rows)
+    assert sum(r[1] for r in expected) > 300
+    assert sum(r[1] for r in got) >= 0.99 * sum(r[1] for r in expected)
