@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import staged
+
 #: At most so many languages; more would not be language codes.
 MAX_LANGUAGES = 1024
 #: Score about so many characters at a time.
@@ -105,6 +107,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", bits: i
                 names=["lang", "feature", "n"])
 
     counts = rows.mapInArrow(count, "lang string, feature int, n bigint").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
+    counts = staged(counts, "language-counts")  # read twice below
     languages = sorted(r.lang for r in counts.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
     if len(languages) > MAX_LANGUAGES:
         raise ValueError(f"over {MAX_LANGUAGES} languages")
@@ -130,22 +133,31 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", id_cols: tupl
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, log_prob, log_prior, letters = held.value
+        matrix = log_prob.astype(np.float64)
         for batch in batches:
-            names, scores = [], []
-            for text in batch.column(len(id_cols)):
-                text = text.as_py()
-                if not text or not languages or not has_letter(text):
-                    names.append("und")
-                    scores.append(0.0)
-                    continue
-                log = log_prior.copy()
-                for at in range(0, len(text), BLOCK):
-                    found = features(text[at:at + BLOCK], letters, bits, orders)
-                    used, times = np.unique(found, return_counts=True)
-                    log += times @ log_prob[used].astype(np.float64)
-                best = int(np.argmax(log))
-                names.append(languages[best])
-                scores.append(float(1.0 / np.exp(log - log[best]).sum()))
+            texts = batch.column(len(id_cols)).to_pylist()
+            logs = np.tile(log_prior, (len(texts), 1)) if languages else np.zeros((len(texts), 1))
+            wanted = [i for i, t in enumerate(texts) if t and languages and has_letter(t)]
+            blocks = [(i, texts[i][at:at + BLOCK]) for i in wanted for at in range(0, len(texts[i]), BLOCK)]
+            start = 0
+            while start < len(blocks):
+                # sparse rows of counts, several texts (or one block of a long one) at a time
+                size, end = 0, start
+                while end < len(blocks) and (end == start or size + len(blocks[end][1]) <= BLOCK // 4):
+                    size, end = size + len(blocks[end][1]), end + 1
+                found = [features(text, letters, bits, orders) for _, text in blocks[start:end]]
+                key = np.concatenate(found).astype(np.int64) + (np.repeat(np.arange(len(found)), list(map(len, found))) << 32)
+                used, times = np.unique(key, return_counts=True)
+                row = used >> 32
+                first = np.flatnonzero(np.diff(row, prepend=-1))
+                sums = np.add.reduceat(times[:, None] * matrix[used & 0xFFFFFFFF], first, axis=0)
+                np.add.at(logs, [blocks[start + r][0] for r in row[first]], sums)
+                start = end
+            best = logs.argmax(axis=1)
+            score_of = 1.0 / np.exp(logs - logs[np.arange(len(texts)), best][:, None]).sum(axis=1) if len(texts) else np.zeros(0)
+            names, scores = ["und"] * len(texts), [0.0] * len(texts)
+            for i in wanted:
+                names[i], scores[i] = languages[best[i]], float(score_of[i])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(i) for i in range(len(id_cols))] + [pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                 names=[*id_cols, "lang_pred", "score"])
