@@ -16,6 +16,8 @@ first, so iterative learners do not replay the ETL and survive executor loss.
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
 import random
 from collections.abc import Callable, Sequence
@@ -26,6 +28,7 @@ from typing import Any
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
                                        MultilayerPerceptronClassifier)
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -160,16 +163,58 @@ def kfold_metrics(make: Callable[[DataFrame], Any], df: DataFrame, fold: str = "
 
 def cv_score(make: Callable[[DataFrame], Any], df: DataFrame, metric: str = "roc_auc",
              fold: str = "fold", k: int = schemas.N_FOLDS, parallelism: int = 2,
-             row_id: str = "row_id", label: str = "label") -> float:
-    """M5: mean k-fold score of one candidate; NaN when a fold's score is undefined."""
+             row_id: str = "row_id", label: str = "label", ledger: Ledger | None = None, key: str = "") -> float:
+    """M5: mean k-fold score of one candidate; NaN when a fold's score is undefined.
+
+    With a ``ledger`` folds that it has under ``key`` aren't fitted again, and each other one is written to it.
+    """
     def one(f: int) -> float:
+        if ledger is not None and (key, f) in ledger.scores:
+            return ledger.scores[key, f]
         tr, va = df.filter(F.col(fold) != f), df.filter(F.col(fold) == f)
-        return score(predict(make(tr).fit(tr), va, row_id, label), metric)
+        value = score(predict(make(tr).fit(tr), va, row_id, label), metric)
+        if ledger is not None:
+            ledger.add(key, f, value)
+        return value
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
         vals = list(ex.map(one, range(k)))
     return sum(vals) / len(vals) if vals and None not in vals else float("nan")
 
 
+class Ledger:
+    """Scores of finished fits in a folder of Parquet tables, one committed row for each (candidate, fold).
+
+    A search that ends midway and is started again reads what is there and
+    fits the rest.  Rows are keyed by a digest of everything that a score
+    depends on: the candidate, the metric, the folds and the data.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        self.scores: dict[tuple[str, int], float | None] = {}
+        jvm = spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+            self.scores = {(r.key, r.fold): r.score for r in spark.read.schema("key string, fold int, score double")
+                           .option("recursiveFileLookup", "true").parquet(path).collect()}
+
+    def add(self, key: str, fold: int, value: float | None) -> None:
+        self.spark.createDataFrame([(key, fold, value)], "key string, fold int, score double").coalesce(1) \
+            .write.mode("overwrite").parquet(f"{self.path}/{key}-{fold}")  # a folder each: fits end side by side
+        self.scores[key, fold] = value
+
+    @staticmethod
+    def key(candidate: dict, metric: str, k: int, data: str) -> str:
+        return hashlib.sha256(json.dumps([sorted(candidate.items()), metric, k, data], default=str).encode()).hexdigest()
+
+
+def data_digest(df: DataFrame, features: str = "features") -> str:
+    """Count and sum of the row hashes: the same for the same rows in any order."""
+    cols = [F.unwrap_udt(F.col(c)) if c == features and isinstance(df.schema[c].dataType, VectorUDT) else F.col(c) for c in sorted(df.columns)]
+    r = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*cols).cast("decimal(38,0)")).alias("h")).first()
+    return f"{r.n}:{r.h}:{','.join(sorted(df.columns))}"
+
+
 @dataclass(frozen=True)
 class Uniform:
     lo: float
@@ -234,11 +279,18 @@ def grid_candidates(grid: dict[str, Sequence]) -> list[dict]:
 
 def search(spark: SparkSession, make_from: Callable[[dict, DataFrame], Any], candidates: list[dict],
            df: DataFrame, metric: str = "roc_auc", fold: str = "fold", k: int = schemas.N_FOLDS,
-           parallelism: int = 2) -> DataFrame:
-    """K-fold score of every candidate -> trials table (trial, score, params...)."""
+           parallelism: int = 2, ledger: str | None = None, tag: str = "") -> DataFrame:
+    """K-fold score of every candidate -> trials table (trial, score, params...).
+
+    ``ledger``: a folder that keeps finished fits, so that a search started
+    again goes on where it ended; ``tag`` names what ``make_from`` makes.
+    """
+    kept = Ledger(spark, ledger) if ledger else None
+    data = f"{tag}|{data_digest(df)}" if ledger else ""
     rows = []
     for i, cand in enumerate(candidates):
-        s = cv_score(lambda tr, c=cand: make_from(c, tr), df, metric, fold, k, parallelism)
+        s = cv_score(lambda tr, c=cand: make_from(c, tr), df, metric, fold, k, parallelism, ledger=kept,
+                     key=Ledger.key(cand, metric, k, data) if kept else "")
         rows.append({"trial": i, "score": float(s), **{p: float(v) for p, v in cand.items()}})
     keys = list(candidates[0]) if candidates else []
     schema = "trial int, score double" + "".join(f", {p} double" for p in keys)

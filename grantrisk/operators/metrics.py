@@ -12,11 +12,14 @@ score (ties collapse into one row), with running sums from
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grantrisk.operators import ranking
+from grantrisk.session import cut_lineage
 
 METRIC_NAMES = ["ACU", "SEN", "ESP", "PRE", "F-measure", "AUC"]
 
@@ -70,6 +73,7 @@ def score_groups(df: DataFrame, label: str = "label", score: str = "probability"
         F.sum(F.when(y == 1, 1).otherwise(0)).cast("bigint").alias("tp"),
         F.sum(F.when(y == 0, 1).otherwise(0)).cast("bigint").alias("fp"),
     )
+    g = cut_lineage(g)  # cuts, bucket totals, running sums and class totals all read it
     g = ranking.quantile_bucket(g, "score", n_buckets, descending=True)
     g = ranking.running_sums(g, [F.col("score").desc()],
                              {"cum_tp": F.col("tp"), "cum_fp": F.col("fp")}, "__bucket", gs)
@@ -180,7 +184,12 @@ def class_histogram(df: DataFrame, value: str, label: str, n_bins: int, group: S
     x = F.col(value).cast("double")
     rng = df.filter(x.isNotNull()).groupBy(*keys).agg(F.min(x).alias("__lo"), F.max(x).alias("__hi"))
     width = F.col("__hi") - F.col("__lo")
-    binned = df.filter(x.isNotNull()).join(rng, on=keys).select(
+    def same(other: DataFrame, names: Sequence[str]) -> tuple[DataFrame, Column]:
+        """``other`` with its key columns renamed, and the condition that they are equal, NULL with NULL."""
+        renamed = other.withColumnsRenamed({c: f"__k{i}" for i, c in enumerate(names)})
+        return renamed, reduce(and_, [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(names)])
+
+    binned = df.filter(x.isNotNull()).join(*same(rng, keys)).select(
         *keys,
         F.when(width == 0, F.lit(0)).otherwise(
             F.least(F.lit(n_bins - 1),
@@ -189,7 +198,7 @@ def class_histogram(df: DataFrame, value: str, label: str, n_bins: int, group: S
     bins = rng.select(*keys, "__lo", "__hi",
                       F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("bin"))
     step = (F.col("__hi") - F.col("__lo")) / F.lit(float(n_bins))
-    out = bins.join(counts, on=[*keys, "bin"], how="left").select(
+    out = bins.join(*same(counts, [*keys, "bin"]), "left").select(
         *keys, "bin",
         (F.col("__lo") + F.col("bin") * step).alias("lo"),
         (F.col("__lo") + (F.col("bin") + 1) * step).alias("hi"),

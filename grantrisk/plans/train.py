@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from grantrisk import schemas
 from grantrisk.operators import balance as bal
-from grantrisk.operators import learn
+from grantrisk.operators import learn, many
 from grantrisk.operators import prepare as prep
 from grantrisk.operators import relational as rel
 from grantrisk.plans import etl
@@ -115,9 +115,13 @@ SPACES = {"gbt": learn.GBT_SPACE, "logit": learn.LOGIT_SPACE, "mlp": learn.MLP_S
 
 
 def tune(kind: str, m: Matrices, n_iter: int = 20, folds: int = schemas.N_FOLDS, metric: str = "roc_auc",
-         seed: int = schemas.SEED, base: dict | None = None) -> tuple[dict, DataFrame]:
+         seed: int = schemas.SEED, base: dict | None = None, ledger: str | None = None) -> tuple[dict, DataFrame]:
     """Seeded random search of ``kind`` on the training part.
 
+    Logistic candidates and folds are fitted together in the passes of one
+    fit (:mod:`grantrisk.operators.many`); the others one after the other,
+    kept in ``ledger`` (a folder) if one is given.
+
     Returns the best parameters (on top of ``base``) and the trials table.
     As in the original search, the positive weight is not part of the best
     parameters, so the boosted tree keeps its default weight when refitted.
@@ -125,25 +129,37 @@ def tune(kind: str, m: Matrices, n_iter: int = 20, folds: int = schemas.N_FOLDS,
     data = (m.tree if kind == "gbt" else m.linear).filter(F.col("split") == "train")
     folded = cut_lineage(bal.stratified_folds(data, LABEL, ROW_ID, k=folds))
     cands = [{**(base or {}), **c} for c in learn.draw_candidates(SPACES[kind], n_iter, seed)]
-    trials = learn.search(folded.sparkSession, lambda c, tr: make_estimator(kind, c, tr), cands, folded,
-                          metric=metric, k=folds)
+    if kind == "logit":
+        trials = many.search_logit(folded, cands, metric, k=folds)
+    else:
+        trials = learn.search(folded.sparkSession, lambda c, tr: make_estimator(kind, c, tr), cands, folded,
+                              metric=metric, k=folds, ledger=ledger, tag=kind)
     best = learn.best_candidate(trials)
     return best, trials
 
 
-def grid_search(m: Matrices, grid: dict | None = None, folds: int = schemas.N_FOLDS, metric: str = "roc_auc") -> DataFrame:
-    """M7: trials of the boosted-tree grid (default: all 90 candidates, ten folds) on the training part."""
+def grid_search(m: Matrices, grid: dict | None = None, folds: int = schemas.N_FOLDS, metric: str = "roc_auc",
+                ledger: str | None = None) -> DataFrame:
+    """M7: trials of the boosted-tree grid (default: all 90 candidates, ten folds) on the training part.
+
+    ``ledger``: see ``learn.search``.
+    """
     folded = cut_lineage(bal.stratified_folds(m.tree.filter(F.col("split") == "train"), LABEL, ROW_ID, k=folds))
     cands = learn.grid_candidates(grid or learn.GBT_GRID)
-    return learn.search(folded.sparkSession, lambda c, tr: learn.gbt(c), cands, folded, metric=metric, k=folds)
+    return learn.search(folded.sparkSession, lambda c, tr: learn.gbt(c), cands, folded, metric=metric, k=folds,
+                        ledger=ledger, tag="gbt")
 
 
 def random_search(m: Matrices, n: int = 10, folds: int = schemas.N_FOLDS, metric: str = "recall",
-                  seed: int = schemas.SEED) -> DataFrame:
-    """M8: trials of ``n`` seeded draws of boosted trees (default: ten draws, ten folds, scored by recall)."""
+                  seed: int = schemas.SEED, ledger: str | None = None, space: dict | None = None) -> DataFrame:
+    """M8: trials of ``n`` seeded draws of boosted trees (default: ten draws, ten folds, scored by recall).
+
+    ``ledger``: see ``learn.search``; ``space``: other distributions than ``learn.GBT_RANDOM_SPACE``.
+    """
     folded = cut_lineage(bal.stratified_folds(m.tree.filter(F.col("split") == "train"), LABEL, ROW_ID, k=folds))
-    cands = learn.draw_candidates(learn.GBT_RANDOM_SPACE, n, seed)
-    return learn.search(folded.sparkSession, lambda c, tr: learn.gbt(c), cands, folded, metric=metric, k=folds)
+    cands = learn.draw_candidates(space or learn.GBT_RANDOM_SPACE, n, seed)
+    return learn.search(folded.sparkSession, lambda c, tr: learn.gbt(c), cands, folded, metric=metric, k=folds,
+                        ledger=ledger, tag="gbt")
 
 
 def _tag(rows: DataFrame, variant: str, phase: str, ratio=None, method=None) -> DataFrame:

@@ -90,3 +90,10 @@ def test_running_sums_property(spark, rows, n_buckets, descending):
     w = Window.partitionBy("g").orderBy(key, "id").rowsBetween(Window.unboundedPreceding, 0)
     ref = {r["id"]: r["s"] for r in df.withColumn("s", F.sum("v").over(w)).collect()}
     assert {r["id"]: r["s"] for r in got.collect()} == ref
+
+
+def test_histogram_keeps_rows_of_a_null_class_and_group(spark):
+    df = spark.createDataFrame([(1.0, None, None), (2.0, None, None), (2.0, 1, "a"), (None, 1, "a"), (5.0, 1, None)], "x double, y int, g string")
+    rows = mx.class_histogram(df, "x", "y", 2, ["g"]).collect()
+    assert sorted(((r.g, r.y, r.bin, r.n) for r in rows), key=repr) == sorted(
+        [(None, None, 0, 1), (None, None, 1, 1), ("a", 1, 0, 1), ("a", 1, 1, 0), (None, 1, 0, 1), (None, 1, 1, 0)], key=repr)

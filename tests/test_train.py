@@ -34,3 +34,30 @@ def test_search_and_refit(spark):
     assert pred.count() == m.linear.filter(F.col("split") == "test").count()
     assert rows.count() == 6
     assert len(learn.grid_candidates(learn.GBT_GRID)) == 90
+
+
+def test_a_search_that_ended_midway_goes_on(spark, tmp_path):
+    import pytest
+    from pyspark.ml.linalg import Vectors
+
+    from grantrisk.operators import learn
+    df = spark.createDataFrame([(i, i % 2, 1.0, i % 3, Vectors.dense([float(i % 2) + (i % 5) / 4])) for i in range(60)],
+                               ["row_id", "label", "weight", "fold", "features"])
+    cands, made = [{"C": c} for c in (0.1, 1.0, 10.0)], []
+
+    def make(c, tr):
+        if len(made) == 4 and "stop" in made:
+            raise RuntimeError("executor gone")
+        made.append(c["C"])
+        return learn.logit(c, n_rows=40)
+
+    whole = learn.search(spark, lambda c, tr: learn.logit(c, n_rows=40), cands, df, k=3).collect()
+    path, made[:] = str(tmp_path / "ledger"), ["stop"]
+    with pytest.raises(RuntimeError):
+        learn.search(spark, make, cands, df, k=3, parallelism=1, ledger=path, tag="logit")
+    made.remove("stop")
+    again = learn.search(spark, make, cands, df, k=3, parallelism=1, ledger=path, tag="logit").collect()
+    assert again == whole and len(made) == 9  # three folds of three candidates, none twice
+    assert learn.search(spark, make, cands, df.orderBy("features"), k=3, ledger=path, tag="logit").collect() == whole and len(made) == 9
+    learn.search(spark, make, cands[:1], df.where("row_id > 0"), k=3, ledger=path, tag="logit")
+    assert len(made) == 12  # other data, other fits
