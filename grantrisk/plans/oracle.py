@@ -639,3 +639,66 @@ _TRAIN_STATS = "st AS (SELECT count(*) AS n, " + ", ".join(f"stddev_pop({c}) AS
 ORACLE["standardize_train"] = R(W(
     "SELECT row_id, split, " + ", ".join(f"({c} - m_{c}) / {_std_scale(c)} AS {c}" for c in _NUMF) + " FROM fi, tm, st",
     _LAB, *_holdout("lab"), _TRAIN_MEANS, _FILLED, _TRAIN_STATS), *_NUMF)
+
+# -- forward pass of given weights, a tree by enumeration, entries, components, neighbours ---------
+ORACLE["mlp_closed_form"] = R(W(
+    "SELECT row_id, label, p AS probability, CAST(p > 0.5 AS INTEGER) AS prediction FROM (SELECT row_id, label, "
+    "1 / (1 + exp((0.7 * h1 - 1.1 * h2 + 0.05) - (-0.4 * h1 + 0.9 * h2 + 0.3))) AS p FROM (SELECT row_id, label, "
+    "1 / (1 + exp(-(x::INT + 0.1))) AS h1, 1 / (1 + exp(-(-2.0 * x::INT - 0.2))) AS h2 FROM lab))", _LAB), "probability")
+
+
+def _level(n: int) -> list[str]:
+    """CTEs n{n + 1} (rows with their next node) from n{n}: best split of each node over all columns, cuts and directions."""
+    return [
+        f"e{n} AS (SELECT node, 0 AS feature, a AS v, g, h FROM n{n} UNION ALL SELECT node, 1, b, g, h FROM n{n})",
+        f"t{n} AS (SELECT node, feature, sum(g) AS ag, sum(h) AS ah, coalesce(sum(g) FILTER (v IS NULL), 0) AS ng, "
+        f"coalesce(sum(h) FILTER (v IS NULL), 0) AS nh FROM e{n} GROUP BY ALL)",
+        f"u{n} AS (SELECT node, feature, v, sum(sum(g)) OVER w AS lg, sum(sum(h)) OVER w AS lh FROM e{n} WHERE v IS NOT NULL "
+        f"GROUP BY node, feature, v WINDOW w AS (PARTITION BY node, feature ORDER BY v))",
+        f"c{n} AS (SELECT node, feature, v, ml, ag, ah, lg + CASE WHEN ml THEN ng ELSE 0 END AS gl, lh + CASE WHEN ml THEN nh ELSE 0 END AS hl "
+        f"FROM u{n} JOIN t{n} USING (node, feature), (VALUES (false), (true)) m(ml))",
+        f"s{n} AS (SELECT *, round((gl * gl / (hl + 1) + (ag - gl) * (ag - gl) / (ah - hl + 1) - ag * ag / (ah + 1)) / 2, 9) AS gain FROM c{n} "
+        f"WHERE hl >= 1 AND ah - hl >= 1)",
+        f"b{n} AS (SELECT * FROM s{n} WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, feature, v, ml) = 1)",
+        f"n{n + 1} AS (SELECT row_id, label, n.a, n.b, g, h, CASE WHEN feature IS NULL THEN n.node ELSE 2 * n.node + CASE WHEN "
+        f"coalesce(CASE WHEN feature = 0 THEN n.a ELSE n.b END <= s.v, s.ml) THEN 0 ELSE 1 END END AS node "
+        f"FROM n{n} n LEFT JOIN (SELECT node, feature, v, ml FROM b{n}) s ON s.node = n.node)"]
+
+
+ORACLE["boost_closed_form"] = R(W(
+    "SELECT row_id, label, 1 / (1 + exp(0.3 * sum(g) OVER w / (sum(h) OVER w + 1))) AS probability, "
+    "CAST(sum(g) OVER w < 0 AS INTEGER) AS prediction FROM n2 WINDOW w AS (PARTITION BY node)",
+    "bl AS (SELECT CAST(NR_CONVENIO AS BIGINT) AS row_id, CAST(TARGET AS INTEGER) AS label, least(EMENDAS, 3.0) AS a, "
+    "CASE WHEN DIF_PRORROG IS NOT NULL THEN least(greatest(floor(DIF_PRORROG / 200), -1), 3) END AS b FROM mi WHERE TARGET IS NOT NULL)",
+    "bw AS (SELECT *, CAST(count(*) OVER () AS DOUBLE) / (2 * count(*) OVER (PARTITION BY label)) AS wt FROM bl)",
+    "n0 AS (SELECT row_id, label, a, b, wt * (0.5 - label) AS g, wt * 0.25 AS h, 1 AS node FROM bw)", *_level(0), *_level(1)), "probability")
+ORACLE["boost_contributions"] = W("SELECT row_id, label, TRUE AS adds_up FROM ho WHERE split = 'test'", _LAB, *_holdout("lab"))
+ORACLE["libsvm_entries"] = f"SELECT NR_CONVENIO, idx, value FROM ({ORACLE['linear_matrix']}) _e"
+
+
+def _components(method: str, ratio: float, p: str) -> tuple[list[str], str]:
+    """CTEs, and the rows of a resampler at a ratio, none if it can't be made."""
+    new = "(SELECT n_new >= 0 FROM {0}_par)"
+    keep = "(SELECT CAST(trunc(n_min / CAST({1} AS DOUBLE)) AS BIGINT) <= n_maj FROM {0}_cnt)"
+    if method == "smote":
+        ctes, out, ok = _smote_ctes("mat", ratio, p), f"{p}_out", new.format(p)
+    elif method == "nearmiss":
+        ctes, out, ok = _nearmiss_ctes("mat", ratio, p), f"{p}_out", keep.format(p, ratio)
+    else:
+        ctes = _smote_ctes("mat", ratio, p) + _nearmiss_ctes(f"{p}_out", ratio, f"{p}n")
+        out, ok = f"{p}n_out", f"{new.format(p)} AND {keep.format(p + 'n', ratio)}"
+    return ctes, (f"SELECT '{method}' AS method, CAST({ratio} AS DOUBLE) AS ratio, row_id, label, unnest(v) AS value, "
+                  f"CAST(generate_subscripts(v, 1) - 1 AS INTEGER) AS position FROM {out} WHERE {ok}")
+
+
+_PLAN = [(_m, _r) for _m in ("smote", "nearmiss") for _r in schemas.RESAMPLE_RATIOS] + \
+    [("smote_nearmiss", _r) for _r in schemas.SMOTE_NEARMISS_RATIOS]
+_PARTS = [_components(_m, _r, f"x{_i}") for _i, (_m, _r) in enumerate(_PLAN)]
+ORACLE["resample_components"] = R(W(" UNION ALL ".join(q for _, q in _PARTS), _MAT, *[c for ctes, _ in _PARTS for c in ctes]), "value")
+_TRUE = ("nb AS (SELECT a.vec_id AS row_id, b.vec_id AS neighbour_id, "
+         + _D2.format(a="list_transform(a.embedding, lambda x: CAST(x AS DOUBLE))", b="list_transform(b.embedding, lambda x: CAST(x AS DOUBLE))")
+         + " AS d2 FROM embeddings a JOIN embeddings b ON a.label = 0 AND b.label <> 0)")
+ORACLE["neighbours_exact"] = R(
+    f"WITH {_TRUE} SELECT row_id, CAST(r - 1 AS INTEGER) AS rank, neighbour_id, d2 FROM (SELECT *, row_number() OVER "
+    "(PARTITION BY row_id ORDER BY d2, neighbour_id) AS r FROM nb) WHERE r <= 5", "d2")
+ORACLE["neighbours_recall"] = "SELECT count(*) * 5 AS neighbours, TRUE AS enough FROM embeddings WHERE label = 0"

@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +20,7 @@ from grantrisk import schemas
 from grantrisk.functions import scalar as fx
 from grantrisk.functions.scalar import mix as _mix_col
 from grantrisk.operators import balance as bal
+from grantrisk.operators import boost
 from grantrisk.operators import learn
 from grantrisk.operators import metrics as mx
 from grantrisk.operators import prepare as prep
@@ -637,11 +639,9 @@ def q_grid(spark, sf):
 
 @query("random_search")
 def q_random(spark, sf):
-    """M8/M9/M10 on a small budget (logistic space, 4 draws, 3 folds); ``train.random_search`` runs the whole one."""
-    df = _folds3(_mats(spark, sf).linear)
-    cands = learn.draw_candidates(learn.LOGIT_SPACE, 4)
-    return learn.search(spark, lambda c, tr: train.make_estimator("logit", c, tr), cands, df,
-                        metric="average_precision", k=3)
+    """Boosted-tree draws scored by recall (2 draws of small trees, 3 folds); ``train.random_search`` draws ten of the whole space."""
+    space = {**learn.GBT_RANDOM_SPACE, "max_depth": learn.UniformInt(2, 5), "n_estimators": learn.UniformInt(5, 15)}
+    return train.random_search(_mats(spark, sf), 2, 3, space=space)
 
 
 @query("best_refit")
@@ -649,10 +649,37 @@ def q_best(spark, sf):
     """Refit the best random-search candidate on the training part."""
     m = _mats(spark, sf)
     best = learn.best_candidate(q_random(spark, sf))
-    _, _, rows = train.fit_eval("logit", best, m)
+    _, _, rows = train.fit_eval("gbt", best, m)
     return _long(rows, m.variant)
 
 
+@query("logit_search")
+def q_logit_search(spark, sf):
+    """The whole search of the logistic model, 20 draws x 10 folds fitted together, on the training part of each variant."""
+    out = None
+    for v in schemas.VARIANT_DROPS:
+        trials = train.tune("logit", _mats(spark, sf, v))[1].withColumn("variant", F.lit(v))
+        out = trials if out is None else out.unionByName(trials)
+    return out
+
+
+def _on_variants(kind):
+    def q(spark, sf):
+        out = None
+        for v in schemas.VARIANT_DROPS:
+            m = _mats(spark, sf, v)
+            rows = _long(train.fit_eval(kind, None, m)[2], v)
+            out = rows if out is None else out.unionByName(rows)
+        return out
+    return q
+
+
+for _kind, _name in (("gbt", "boosted trees"), ("logit", "logistic regression"), ("mlp", "perceptron")):
+    _fn = _on_variants(_kind)
+    _fn.__doc__ = f"M1-M4/E1/E2: {_name} with the reference defaults on all three variants, hold-out metrics."
+    query(f"{_kind}_variants")(_fn)
+
+
 @query("importances")
 def q_importances(spark, sf):
     """Ten largest importances of the default boosted trees (150 rounds), with feature names."""
@@ -861,12 +888,13 @@ def q_sep_report(spark, sf):
 
 @query("grid_search_cv")
 def q_grid_cv(spark, sf):
-    """M7 with CrossValidator(foldCol, parallelism): two logistic regularisation
-    strengths (reduced budget), exact 3-fold stratified folds."""
+    """M7 with CrossValidator(foldCol, parallelism): boosted trees of two rates and two depths (5 rounds), exact 3-fold stratified folds."""
     m = _mats(spark, sf)
-    df = _folds3(m.linear)
-    est = learn.logit(None, n_rows=df.count())
-    return learn.grid_search_cv(spark, est, {"regParam": [1e-3, 1e-1]}, df)
+    return learn.grid_search_cv(spark, learn.gbt({"n_estimators": 5}), {"stepSize": [0.01, 0.1], "maxDepth": [5, 6]}, _folds3(m.tree))
+
+
+#: Weights of the perceptron of mlp_closed_form: per layer a matrix by columns (one per input) and the biases.
+MLP_WEIGHTS = [1.0, -2.0, 0.5, 0.25, 0.1, -0.2, 0.7, -0.4, -1.1, 0.9, 0.05, 0.3]
 
 
 # -- learners and searches with exact oracles ---------------------------------------------
@@ -910,6 +938,86 @@ def q_mlp_holdout(spark, sf):
     return pred.select("row_id", "label", agree.alias("agree"))
 
 
+@query("mlp_closed_form")
+def q_mlp_closed(spark, sf):
+    """M3/M4: a perceptron that keeps the weights it is given, on a binary feature: the forward pass of these weights."""
+    d = _binary(spark, sf)
+    est = learn.mlp({"hidden_layer_sizes": 2, "max_iter": 0}, n_features=2)
+    return learn.predict(est.setInitialWeights(Vectors.dense(MLP_WEIGHTS)).fit(d), d)
+
+
+@query("boost_closed_form")
+def q_boost_closed(spark, sf):
+    """M1/M4: one second-order tree of depth 2 on two columns, one with NULLs: the best splits and leaf values by enumeration."""
+    mi = model_input(spark, sf).filter(F.col("TARGET").isNotNull())
+    late = F.least(F.greatest(F.floor(F.col("DIF_PRORROG") / 200), F.lit(-1)), F.lit(3)).cast("double")
+    late = F.when(F.col("DIF_PRORROG").isNotNull(), late)
+    d = mi.select("row_id", F.col("TARGET").cast("int").alias("label"), F.least("EMENDAS", F.lit(3.0)).alias("a"), late.alias("b"))
+    d = cut_lineage(bal.class_weights(cut_lineage(d)))
+    model = boost.fit(d, ["a", "b"], {"n_estimators": 1, "max_depth": 2}, weight="weight")
+    return boost.predict(d, model).select("row_id", "label", "probability", "prediction")
+
+
+@query("boost_contributions")
+def q_boost_contributions(spark, sf):
+    """Contributions of six second-order trees for each hold-out row; with the base they add up to the margin."""
+    mi = model_input(spark, sf).filter(F.col("TARGET").isNotNull()).withColumn("label", F.col("TARGET").cast("int"))
+    mi = cut_lineage(bal.class_weights(bal.holdout_split(cut_lineage(mi), "label", "row_id"), mode="pos"))
+    columns = list(schemas.NUMERIC_FEATURES)
+    model = boost.fit(mi.filter("split = 'train'"), columns, {"n_estimators": 6, "max_depth": 3}, weight="weight")
+    test = mi.filter("split = 'test'")
+    total = F.col("base") + F.aggregate("contribution", F.lit(0.0), lambda a, x: a + x)
+    both = boost.contributions(test, model).join(boost.predict(test, model), "row_id")
+    return both.select("row_id", "label", (F.abs(total - F.col("margin")) < 1e-9).alias("adds_up"))
+
+
+@query("libsvm_entries")
+def q_libsvm_entries(spark, sf):
+    """The linear matrix of all columns written as libsvm under its agreement number and read back, every entry."""
+    m = cut_lineage(_assembled(spark, sf, "linear").select(F.col("NR_CONVENIO").cast("double").alias("label"), "features"))
+    path = scratch_path(spark, "svm_entries")
+    svm.write_libsvm(m, path)
+    back = svm.read_libsvm(spark, path, learn.vector_width(m))
+    rows = prep.vector_entries(back).select(F.col("label").cast("bigint").cast("string").alias("NR_CONVENIO"), F.inline("entries"))
+    return rows.filter(F.round("value", 6) != 0)
+
+
+@query("resample_components")
+def q_resample_components(spark, sf):
+    """Every resampler at every ratio of the plan that it can make, every component of every row."""
+    m, out = cut_lineage(matrix(spark, sf)), None
+    plan = [(x, r) for x in ("smote", "nearmiss") for r in schemas.RESAMPLE_RATIOS] + [("smote_nearmiss", r) for r in schemas.SMOTE_NEARMISS_RATIOS]
+    for method, ratio in plan:
+        try:
+            rows = bal.resample(m, method, ratio)
+        except bal.InfeasibleRatio:
+            continue
+        rows = rows.select(F.lit(method).alias("method"), F.lit(ratio).alias("ratio"), "row_id", "label",
+                           F.posexplode("embedding").alias("position", "value"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("neighbours_exact")
+def q_neighbours(spark, sf):
+    """The five nearest vectors of another label for every embedding of label 0, exact."""
+    return _nearest(spark, sf).select("row_id", F.posexplode("nn").alias("rank", "n")).select("row_id", "rank", F.col("n.id").alias("neighbour_id"), "n.d2")
+
+
+def _nearest(spark, sf, **options):
+    m = cut_lineage(_t(spark, sf, "embeddings").selectExpr("vec_id as row_id", "label", "embedding"))
+    return bal.knn(m.where("label = 0"), m.where("label <> 0"), 5, **options)
+
+
+@query("neighbours_recall")
+def q_neighbours_recall(spark, sf):
+    """The search to a recall of 0.95 beside the exact one: whether so many of the true neighbours are found."""
+    true = _nearest(spark, sf, max_bytes=1 << 16).select("row_id", F.explode("nn.id").alias("id"))
+    found = _nearest(spark, sf, max_bytes=1 << 16, recall=0.97).select("row_id", F.explode("nn.id").alias("id"), F.lit(1).alias("hit"))
+    both = true.join(found, ["row_id", "id"], "left")
+    return both.agg(F.count("*").alias("neighbours"), (F.count("hit") >= 0.95 * F.count("*")).alias("enough"))
+
+
 @query("model_roundtrip_equal")
 def q_model_equal(spark, sf):
     """A saved and loaded model predicts every hold-out row as the fitted one does."""
