@@ -190,13 +190,17 @@ def outcomes_of(pages: DataFrame, documents: DataFrame, labels: DataFrame, quali
     of 128 bits, each different line once, so a line that many documents
     share is one row.
     """
+    def digest(line: Column) -> Column:
+        return F.unhex(F.md5(line.cast("binary")))
+
     known = labels.where(F.col(quality).isNotNull()).select(F.col(id_col).alias("id"), F.col(quality).cast("double").alias("q"))
-    held = documents.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(_paragraphs(F.split(text, "\n")))).alias("line"))
-    lines = held.join(known, "id").groupBy(F.md5(F.col("line").cast("binary")).alias("key")).agg(F.avg("q").alias("rate"))
-    rows = staged(pages.select(F.monotonically_increasing_id().alias("page"), host_of(F.col(url)).alias("host"),
-                               page_paragraphs(F.col(html)).alias("p")), "page-paragraphs")
-    each = rows.select("page", F.explode("p").alias("line")) \
-        .select("page", F.md5(F.col("line").cast("binary")).alias("key"), F.length("line").cast("double").alias("size"))
+    held = documents.select(F.col(id_col).alias("id"), F.array_distinct(F.transform(_paragraphs(F.split(text, "\n")), digest)).alias("keys"))
+    # only digests are moved, never texts
+    lines = held.where(F.size("keys") > 0).join(known, "id").select(F.explode("keys").alias("key"), "q") \
+        .groupBy("key").agg(F.avg("q").alias("rate"))
+    sized = F.transform(page_paragraphs(F.col(html)), lambda x: F.struct(digest(x).alias("key"), F.length(x).cast("double").alias("size")))
+    rows = staged(pages.select(F.monotonically_increasing_id().alias("page"), host_of(F.col(url)).alias("host"), sized.alias("p")), "page-paragraphs")
+    each = rows.select("page", F.explode("p").alias("p")).select("page", "p.key", "p.size")
     sums = each.join(lines, "key", "left").groupBy("page").agg(
         F.sum("size").alias("all"), F.sum(F.when(F.col("rate").isNotNull(), F.col("size"))).alias("seen"),
         F.sum(F.col("size") * F.col("rate")).alias("good"))
