@@ -22,6 +22,7 @@ from collections.abc import Sequence
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from grantrisk import schemas
 from grantrisk.functions.scalar import MIX_RANGE, mix, uniform01
@@ -30,6 +31,8 @@ from grantrisk.session import cut_lineage
 
 # Reference rows that a task of the neighbour search holds (bytes, estimated).
 MAX_BLOCK_BYTES = 8 * 1024 * 1024
+# Stands for a NULL id in the order of ids, where NULL comes first.
+LEAST_ID = -(1 << 63)
 
 
 def class_counts(df: DataFrame, label: str) -> dict[int, int]:
@@ -84,8 +87,16 @@ def holdout_split(df: DataFrame, label: str = "label", row_id: str = "row_id",
     first :func:`holdout_counts` rows of each class form the test part.
     """
     k = holdout_counts(class_counts(df, label), test_share)  # one entry per class
-    n_buckets = n_buckets or ranking.default_buckets(df.sparkSession)
     d = df.withColumn("__mix", mix(row_id, seed))
+    if isinstance(df.schema[row_id].dataType, T.IntegralType):
+        cuts = ranking.cuts_of_smallest(d.withColumn("__id", F.coalesce(row_id, F.lit(LEAST_ID))), "__mix", "__id", k, label)
+        is_test = F.lit(False)
+        for c in k:
+            cond = F.col(label).isNull() if c is None else (F.col(label) == F.lit(c))
+            is_test = F.when(cond, ranking.among_smallest(F.col("__mix"), F.coalesce(row_id, F.lit(LEAST_ID)), cuts.get(c))).otherwise(is_test)
+        return d.withColumn("split", F.when(is_test, F.lit("test")).otherwise(F.lit("train"))).drop("__mix")
+    # ids of other types are ranked in buckets
+    n_buckets = n_buckets or ranking.default_buckets(df.sparkSession)
     d = ranking.row_number_global(d, [F.col("__mix"), F.col(row_id)],
                                   ranking.uniform_bucket("__mix", n_buckets, MIX_RANGE), [label], out="__rn")
     limit = F.lit(0)
@@ -320,7 +331,7 @@ def nearmiss_keep(n_major: int, n_minor: int, ratio: float) -> int:
 
 def nearmiss(df: DataFrame, ratio: float, label: str = "label", row_id: str = "row_id",
              vec: str = "embedding", k: int = schemas.NEARMISS_K, minority: int | None = None,
-             n_buckets: int | None = None, recall: float | None = None) -> DataFrame:
+             recall: float | None = None) -> DataFrame:
     """Keep the majority rows with the smallest mean distance to their k
     nearest minority rows (ties: smaller id), until minority/majority = ratio.
 
@@ -336,12 +347,10 @@ def nearmiss(df: DataFrame, ratio: float, label: str = "label", row_id: str = "r
     nn = knn(majo, mino, k, row_id, vec, recall=recall)
     md = nn.select(row_id, (F.aggregate(F.transform("nn", lambda e: F.sqrt(e["d2"])), F.lit(0.0),
                                         lambda a, x: a + x) / F.size("nn")).alias("mean_dist"))
-    # The neighbour search runs once: quantiles, ranking and the final
-    # selection all read the checkpointed distances.
+    # The neighbour search runs once: the counting passes and the selection read the checkpointed distances.
     md = cut_lineage(md)
-    md = ranking.quantile_bucket(md, "mean_dist", n_buckets)
-    md = ranking.row_number_global(md, [F.col("mean_dist"), F.col(row_id)], "__bucket", out="__rn")
-    keep = md.filter(F.col("__rn") <= n_keep).select(row_id, "mean_dist")
+    cut = ranking.cuts_of_smallest(md, "mean_dist", row_id, {0: n_keep}).get(0)
+    keep = md.filter(ranking.among_smallest(F.col("mean_dist"), F.col(row_id), cut))
     kept = majo.join(keep, on=[row_id])
     out = mino.withColumn("mean_dist", F.lit(None).cast("double")).unionByName(kept)
     return out if is_vector(df, vec) else out.withColumn(vec, _as_double(vec))

@@ -15,6 +15,7 @@ The result equals the single-window result exactly.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -104,3 +105,82 @@ def row_number_global(df: DataFrame, order_by: Sequence[Column], bucket: Column
                       partition_by: Sequence[str] = (), out: str = "rn") -> DataFrame:
     """1-based ``row_number()`` over (partition_by) ordered by ``order_by``."""
     return running_sums(df, order_by, {out: F.lit(1).cast("bigint")}, bucket, partition_by)
+
+
+#: Buckets of a counting pass, and rows from which on the last bucket is counted again instead of being sorted.
+DIGITS, FEW = 4096, 10000
+
+
+def cuts_of_smallest(df: DataFrame, key: str, row_id: str, k: dict, group: str | None = None) -> dict:
+    """Per group the (key, id) of the ``k[group]``-th smallest row by (key, id), without any order over all rows.
+
+    Counting passes: the range of keys that holds the wanted row is cut into
+    DIGITS buckets, whose counts (and least and greatest keys) are a small
+    table; the bucket that it lies in is the next range.  Once that holds few
+    rows, or one key only, these (or the ids of that key, counted the same
+    way) settle it.  No task ever holds more than a bucket of FEW rows, so a
+    key that a third of all rows share costs another pass, not a large sort.
+    ``key`` and ``row_id`` are numbers without NULLs; ``df`` is read once a
+    pass.  Groups with ``k`` 0 are left out.
+    """
+    groups = [g for g in k if k[g] > 0]
+    rows = df.select((F.col(group) if group else F.lit(0)).alias("g"), F.col(key).alias("key"), F.col(row_id).alias("id"))
+
+    def of(g) -> Column:
+        return F.col("g").isNull() if g is None else F.col("g") == F.lit(g)
+
+    want = {g: k[g] for g in groups}
+    held = dict.fromkeys(groups, F.lit(True))  # condition of the rows still in question
+    done, column = {}, dict.fromkeys(groups, "key")
+    known_key: dict = {}
+    ranges = {r["g"]: r for r in rows.groupBy("g").agg(*[f(c).alias(n) for c in ("key", "id") for f, n in ((F.min, f"lo_{c}"), (F.max, f"hi_{c}"))],
+                                                       F.count("*").alias("n")).collect()} if groups else {}
+    low = {g: (ranges[g]["lo_key"], ranges[g]["hi_key"]) for g in groups}
+    count = {g: ranges[g]["n"] for g in groups}
+    while len(done) < len(groups):
+        few = [g for g in groups if g not in done and count[g] <= FEW]
+        for g in few:  # at most FEW rows each
+            part = rows.filter(of(g) & held[g] & F.col(column[g]).between(*low[g])).select("key", "id").orderBy("key", "id").collect()
+            done[g] = tuple(part[want[g] - 1])
+        for g in [g for g in groups if g not in done and low[g][0] == low[g][1]]:
+            if column[g] == "id":
+                done[g] = (known_key[g], low[g][0])
+                continue
+            known_key[g], column[g] = low[g][0], "id"
+            held[g] = F.col("key") == F.lit(low[g][0])
+            r = rows.filter(of(g) & held[g]).agg(F.min("id").alias("lo"), F.max("id").alias("hi")).first()
+            low[g] = (r["lo"], r["hi"])
+        going = [g for g in groups if g not in done and low[g][0] != low[g][1]]
+        if not going:
+            continue
+        bucket, inside = F.lit(None).cast("int"), F.lit(False)
+        for g in going:
+            lo, hi = low[g]
+            x = F.col(column[g])
+            mine = of(g) & held[g] & x.between(lo, hi)
+            share = (x - F.lit(lo)).cast("double") / F.lit(float(hi - lo))
+            if hi - lo == math.inf:
+                share = (x / 2 - F.lit(lo / 2)) / F.lit(hi / 2 - lo / 2)
+            place = F.least(F.floor(share * DIGITS), F.lit(DIGITS - 1)).cast("int")
+            bucket, inside = F.when(mine, place).otherwise(bucket), inside | mine
+        value = F.lit(None)
+        for g in going:
+            value = F.when(of(g), F.col(column[g])).otherwise(value)
+        found: dict = {g: [] for g in going}
+        counted = rows.filter(inside).groupBy("g", bucket.alias("b")).agg(F.count("*").alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+        for r in counted.collect():  # DIGITS rows a group
+            found[r["g"]].append((r["b"], r["n"], r["lo"], r["hi"]))
+        for g in going:
+            for _, n, lo, hi in sorted(found[g]):
+                if want[g] <= n:
+                    low[g], count[g] = (lo, hi), n
+                    break
+                want[g] -= n
+    return done
+
+
+def among_smallest(key: Column, row_id: Column, cut: tuple | None) -> Column:
+    """Whether a row's (key, id) is at most ``cut`` (see ``cuts_of_smallest``); False without one."""
+    if cut is None:
+        return F.lit(False)
+    return (key < F.lit(cut[0])) | ((key == F.lit(cut[0])) & (row_id <= F.lit(cut[1])))
