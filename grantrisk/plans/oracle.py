@@ -702,3 +702,7 @@ ORACLE["neighbours_exact"] = R(
     f"WITH {_TRUE} SELECT row_id, CAST(r - 1 AS INTEGER) AS rank, neighbour_id, d2 FROM (SELECT *, row_number() OVER "
     "(PARTITION BY row_id ORDER BY d2, neighbour_id) AS r FROM nb) WHERE r <= 5", "d2")
 ORACLE["neighbours_recall"] = "SELECT count(*) * 5 AS neighbours, TRUE AS enough FROM embeddings WHERE label = 0"
+ORACLE["rejected_values"] = (
+    "SELECT CAST(o_orderkey AS VARCHAR) AS \"KEY\", 'PRICE' AS \"column\", 'n/d' AS text FROM orders WHERE o_orderkey % 97 = 0 UNION ALL "
+    "SELECT CAST(o_orderkey AS VARCHAR), 'DAYS', CASE WHEN o_orderkey % 53 = 1 THEN o_orderkey || 'x' ELSE '1,5' END "
+    "FROM orders WHERE o_orderkey % 53 = 1 OR o_orderkey % 97 = 0")

@@ -938,6 +938,19 @@ def q_mlp_holdout(spark, sf):
     return pred.select("row_id", "label", agree.alias("agree"))
 
 
+@query("rejected_values")
+def q_rejected(spark, sf):
+    """An extract of the orders with bad numbers, read with its reject table: a row per bad text."""
+    path = scratch_path(spark, "bad_extract")
+    src = _t(spark, sf, "orders").select(
+        F.col("o_orderkey").cast("string").alias("KEY"),
+        F.expr("CASE WHEN o_orderkey % 97 = 0 THEN 'n/d' WHEN o_orderkey % 89 = 0 THEN ' ' ELSE replace(cast(o_totalprice AS STRING), '.', ',') END").alias("PRICE"),
+        F.expr("CASE WHEN o_orderkey % 53 = 1 THEN concat(o_orderkey, 'x') WHEN o_orderkey % 97 = 0 THEN '1,5' ELSE '7' END").alias("DAYS"))
+    txt.export_csv(src, path)
+    types = {"PRICE": T.DoubleType(), "DAYS": T.IntegerType()}
+    return txt.reject_table(txt.cast_columns(txt.read_text_table(spark, path), types, rejects="rejects"), ["KEY"])
+
+
 @query("mlp_closed_form")
 def q_mlp_closed(spark, sf):
     """M3/M4: a perceptron that keeps the weights it is given, on a binary feature: the forward pass of these weights."""

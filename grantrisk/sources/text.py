@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,10 +50,13 @@ def read_text_table(spark: SparkSession, path: str, multi_line: bool = True, spl
         .option("inferSchema", "false").csv(path)
 
 
-def cast_columns(df: DataFrame, types: dict[str, T.DataType], allow_missing: bool = False) -> DataFrame:
+def cast_columns(df: DataFrame, types: dict[str, T.DataType], allow_missing: bool = False, rejects: str | None = None) -> DataFrame:
     """Text -> declared types; doubles accept a decimal comma; bad text -> NULL.
 
-    A declared column that the text lacks is an error, or NULL with ``allow_missing``.
+    A declared column that the text lacks is an error, or NULL with
+    ``allow_missing``.  With ``rejects`` a column of that name lists the bad
+    texts of a row as (column, text), so that none becomes NULL unseen; blank
+    text is no value and no reject.
     """
     missing = [c for c in types if c not in df.columns]
     if missing and not allow_missing:
@@ -69,16 +72,33 @@ def cast_columns(df: DataFrame, types: dict[str, T.DataType], allow_missing: boo
             out[c] = F.lower(F.trim(F.col(c))).isin("true", "1")
         else:
             out[c] = F.trim(F.col(c)).try_cast(t)
+    if rejects:
+        bad = [F.when((F.trim(F.col(c)) != "") & typed.isNull(), F.struct(F.lit(c).alias("column"), F.col(c).alias("text")))
+               for c, typed in out.items()]
+        empty = F.array().cast("array<struct<column: string, text: string>>")
+        out[rejects] = F.filter(F.array(*bad), lambda r: r.isNotNull()) if bad else empty
     return df.withColumns(out) if out else df
 
 
+def reject_table(df: DataFrame, keys: Sequence[str] = (), rejects: str = "rejects") -> DataFrame:
+    """(keys, column, text): a row per text that ``cast_columns`` could not cast."""
+    return df.select(*keys, F.inline(rejects))
+
+
+def count_rejects(df: DataFrame, columns: Sequence[str], rejects: str = "rejects") -> tuple[DataFrame, Observation]:
+    """``df`` and an observation of its rows and bad texts per column, filled by the first action on ``df``."""
+    seen = Observation()
+    counts = [F.count_if(F.array_contains(F.transform(rejects, lambda r: r["column"]), c)).alias(c) for c in columns]
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *counts), seen
+
+
 def read_extract(spark: SparkSession, path: str, table: str, multi_line: bool = True,
-                 allow_missing: bool = False) -> DataFrame:
-    """One source extract with the registry's types and column order."""
+                 allow_missing: bool = False, rejects: str | None = None) -> DataFrame:
+    """One source extract with the registry's types and column order, and its bad texts in ``rejects`` (see ``cast_columns``)."""
     sp = schemas.spec(table)
     raw = read_text_table(spark, path, multi_line)
-    typed = cast_columns(raw, {c: sp.type_of(c) for c in sp.columns}, allow_missing)
-    return typed.select(*sp.columns)
+    typed = cast_columns(raw, {c: sp.type_of(c) for c in sp.columns}, allow_missing, rejects)
+    return typed.select(*sp.columns, *([rejects] if rejects else []))
 
 
 def extract_path(folder: str, table: str) -> str:
