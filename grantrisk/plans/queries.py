@@ -663,6 +663,12 @@ def q_logit_search(spark, sf):
     return out
 
 
+@query("adaptive_search")
+def q_adaptive(spark, sf):
+    """20 adaptive evaluations of the logistic model on 3 folds, each proposed from the scores before it."""
+    return train.tune("logit", _mats(spark, sf), 20, 3, law="adaptive")[1]
+
+
 def _on_variants(kind):
     def q(spark, sf):
         out = None

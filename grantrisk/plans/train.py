@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from grantrisk import schemas
 from grantrisk.operators import balance as bal
-from grantrisk.operators import learn, many
+from grantrisk.operators import adaptive, learn, many
 from grantrisk.operators import prepare as prep
 from grantrisk.operators import relational as rel
 from grantrisk.plans import etl
@@ -115,8 +115,11 @@ SPACES = {"gbt": learn.GBT_SPACE, "logit": learn.LOGIT_SPACE, "mlp": learn.MLP_S
 
 
 def tune(kind: str, m: Matrices, n_iter: int = 20, folds: int = schemas.N_FOLDS, metric: str = "roc_auc",
-         seed: int = schemas.SEED, base: dict | None = None, ledger: str | None = None) -> tuple[dict, DataFrame]:
-    """Seeded random search of ``kind`` on the training part.
+         seed: int = schemas.SEED, base: dict | None = None, ledger: str | None = None, law: str = "random") -> tuple[dict, DataFrame]:
+    """Seeded search of ``kind`` on the training part.
+
+    ``law``: "random" draws all candidates at once, "adaptive" proposes each
+    from the scores before it (:mod:`grantrisk.operators.adaptive`).
 
     Logistic candidates and folds are fitted together in the passes of one
     fit (:mod:`grantrisk.operators.many`); the others one after the other,
@@ -129,13 +132,21 @@ def tune(kind: str, m: Matrices, n_iter: int = 20, folds: int = schemas.N_FOLDS,
     data = (m.tree if kind == "gbt" else m.linear).filter(F.col("split") == "train")
     folded = cut_lineage(bal.stratified_folds(data, LABEL, ROW_ID, k=folds))
     cands = [{**(base or {}), **c} for c in learn.draw_candidates(SPACES[kind], n_iter, seed)]
-    if kind == "logit":
-        trials = many.search_logit(folded, cands, metric, k=folds)
+
+    def scored(some: list[dict]) -> DataFrame:
+        if kind == "logit":
+            return many.search_logit(folded, some, metric, k=folds)
+        return learn.search(folded.sparkSession, lambda c, tr: make_estimator(kind, c, tr), some, folded, metric=metric, k=folds,
+                            ledger=ledger, tag=kind)
+
+    if law == "adaptive":
+        pairs = adaptive.search(lambda c: scored([c]).first()["score"], {**(base or {}), **SPACES[kind]}, n_iter, seed)
+        names = list(pairs[0][0])
+        rows = [(i, float(s), *[float(c[p]) for p in names]) for i, (c, s) in enumerate(pairs)]
+        trials = folded.sparkSession.createDataFrame(rows, "trial int, score double" + "".join(f", {p} double" for p in names))
     else:
-        trials = learn.search(folded.sparkSession, lambda c, tr: make_estimator(kind, c, tr), cands, folded,
-                              metric=metric, k=folds, ledger=ledger, tag=kind)
-    best = learn.best_candidate(trials)
-    return best, trials
+        trials = scored(cands)
+    return learn.best_candidate(trials), trials
 
 
 def grid_search(m: Matrices, grid: dict | None = None, folds: int = schemas.N_FOLDS, metric: str = "roc_auc",
