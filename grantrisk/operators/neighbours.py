@@ -272,8 +272,9 @@ def _search(q: DataFrame, r: DataFrame, cells: Cells, k: int, exclude_self: bool
         return pa.table({"qid": pa.array(queries.ids), "nn": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)})
 
     key = ["block", "part", "chunk"]
-    used = q.select(*key).distinct()
-    r = r.select("rid", *columns, *key).join(used, key, "left_semi")  # parts that no query visits stay where they are
+    r = r.select("rid", *columns, *key)
+    if len(cells.cell) > 1:
+        r = r.join(q.select(*key).distinct(), key, "left_semi")  # parts that no query visits stay where they are
     return q.select("qid", *columns, "bound", *key).groupBy(*key).cogroup(r.groupBy(*key)).applyInArrow(score, f"qid bigint, nn {EMPTY}")
 
 
@@ -353,6 +354,10 @@ def search(q: DataFrame, r: DataFrame, k: int, exclude_self: bool, block_rows: i
     which a sample of the queries meets exactly and all of them about.
     """
     columns = [c for c in q.columns if c != "qid"]
+    if r.count() <= block_rows:  # one part, which every query meets: nothing to place and nothing to bound
+        one = Cells(Rows(np.zeros(1, np.int64)), np.zeros(1, np.int32), np.zeros(1), np.zeros(1), np.ones(1, np.int32))
+        return _search(q.withColumns({"bound": F.lit(float("inf")), "block": F.lit(0)}),
+                       r.withColumns({"block": F.lit(0), "part": F.lit(0)}), one, k, exclude_self, columns)
     refs, cells = build_cells(r, block_rows)
     q = cut_lineage(q)
     if recall is None:
