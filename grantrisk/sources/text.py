@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -85,11 +85,14 @@ def reject_table(df: DataFrame, keys: Sequence[str] = (), rejects: str = "reject
     return df.select(*keys, F.inline(rejects))
 
 
-def count_rejects(df: DataFrame, columns: Sequence[str], rejects: str = "rejects") -> tuple[DataFrame, Observation]:
-    """``df`` and an observation of its rows and bad texts per column, filled by the first action on ``df``."""
-    seen = Observation()
-    counts = [F.count_if(F.array_contains(F.transform(rejects, lambda r: r["column"]), c)).alias(c) for c in columns]
-    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *counts), seen
+def count_rejects(df: DataFrame, columns: Sequence[str], rejects: str = "rejects") -> DataFrame:
+    """One row: ``rows`` and, per column, the number of its bad texts.
+
+    An aggregate, not an ``Observation``: a session that has observed a query
+    can no longer serialize logistic models (their summaries hold the session).
+    """
+    names = F.transform(rejects, lambda r: r["column"])
+    return df.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(F.array_contains(names, c)).alias(c) for c in columns])
 
 
 def read_extract(spark: SparkSession, path: str, table: str, multi_line: bool = True,
