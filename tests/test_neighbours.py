@@ -69,3 +69,15 @@ def test_search_to_a_recall(spark):
     q = queries.selectExpr("row_id as qid", "transform(embedding, x -> double(x)) as vec")
     r, cells = neighbours.build_cells(refs.selectExpr("row_id as rid", "transform(embedding, x -> double(x)) as vec"), 20)
     assert neighbours.probes_for(q, r, cells, 5, False, ["vec"], 0.5) < neighbours.probes_for(q, r, cells, 5, False, ["vec"], 0.99)
+
+
+def test_a_query_is_sent_to_a_shelf_once_with_the_parts_that_it_visits(spark):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(200)], "rid long, vec array<double>")
+    refs, cells = neighbours.build_cells(df, 10)
+    near = np.ones((3, len(cells.cell)), dtype=bool)
+    near[1] = False
+    first, ring, shelf = cells.pieces()
+    assert len(ring) == cells.parts.sum() >= 10 and not shelf.any()
+    visits = neighbours._listed(cells, near)[0].to_pylist()
+    assert visits == [[{"shelf": 0, "pieces": list(range(len(ring)))}], [], [{"shelf": 0, "pieces": list(range(len(ring)))}]]
