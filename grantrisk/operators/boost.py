@@ -7,14 +7,16 @@ running sums over its bins, for missing values going left or right:
     gain = (GL^2 / (HL + l) + GR^2 / (HR + l) - G^2 / (H + l)) / 2 - gamma
 
 with ``min_child_weight`` a least hessian per child.  Rows never move: a
-row's node is an expression of its bins and of the splits so far (a few
-numbers per node), so a level costs one pass and a shuffle of at most nodes
-x features x bins partial sums per task.  The driver holds the trees.
+row's node follows from its bins and the splits so far (a few numbers per
+node), walked batch by batch, so a level costs one pass, in which each task
+adds up its rows, and a shuffle of at most nodes x features x bins partial
+sums per task.  The driver holds the trees.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import random
 import sys
 from collections.abc import Iterator, Sequence
@@ -35,8 +37,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 DEFAULTS = {"n_estimators": 150, "max_depth": 6, "learning_rate": 0.3, "subsample": 1.0, "colsample_bytree": 1.0,
             "gamma": 0.0, "min_child_weight": 1.0, "reg_lambda": 1.0}
-#: Trees between two cuts of the lineage, decimals to which gains are compared, most levels of a tree.
+#: Trees between two rewrites of the margins, decimals to which gains are compared, most levels of a tree.
 CUT_EVERY, DIGITS, MAX_DEPTH = 5, 9, 16
+#: Cells (node, feature, bin) up to which a task adds up a level in one array, 24 bytes each.
+MAX_CELLS = 1 << 20
 
 
 @dataclass
@@ -77,26 +81,109 @@ def bin_cuts(df: DataFrame, columns: Sequence[str], max_bins: int) -> list[list[
     return [sorted(set(q))[:-1] if q else [] for q in row]
 
 
-def _bin(column: str, cuts: list[float]) -> Column:
-    """Number of cuts below the value; -1 for a missing one."""
-    x = F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
-    found = F.size(F.filter(F.lit(cuts), lambda c: c < x)) if cuts else F.lit(0)
-    return F.when(x.isNull(), F.lit(-1)).otherwise(found)
+def _binned(rows: DataFrame, n: int, cuts: list[list[float]]) -> DataFrame:
+    """Rows (row_id, y, w, a column per feature) with ``bins`` for the features: the number of cuts below the value, -1 for a missing one."""
+    ends = [np.array(c, dtype=np.float64) for c in cuts]
+    keep = [f.name for f in rows.schema.fields[:n]]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:n])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bins = np.empty((batch.num_rows, len(ends)), dtype=np.int32)
+            for i, at in enumerate(ends):
+                x = batch.column(n + i).to_numpy(zero_copy_only=False).astype(np.float64)
+                bins[:, i] = np.where(np.isnan(x), -1, np.searchsorted(at, x, side="left"))
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(n)] + [_lists(bins)], names=[*keep, "bins"])
 
+    return rows.mapInArrow(run, f"{schema}, bins array<int>")
 
-def _at(values: Sequence, place: Column) -> Column:
-    return F.element_at(F.lit(list(values)), place.cast("int") + 1)
 
+def _lists(x: np.ndarray) -> pa.ListArray:
+    """A list per row of a matrix."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+
+
+@dataclass
+class Steps:
+    """A tree on bins: per node the split feature (-1: leaf), the last bin to the left, the direction of missing values, the value."""
+    feature: np.ndarray
+    bin: np.ndarray
+    missing_left: np.ndarray
+    value: np.ndarray
+
+    def nodes(self, bins: np.ndarray, levels: int) -> np.ndarray:
+        """The node of each row after at most ``levels`` splits."""
+        node = np.ones(len(bins), dtype=np.int64)
+        for _ in range(levels):
+            going = np.flatnonzero(self.feature[node] >= 0)
+            if not len(going):
+                break
+            at = node[going]
+            of = bins[going, self.feature[at]]
+            node[going] = 2 * at + ~np.where(of < 0, self.missing_left[at], of <= self.bin[at])
+        return node
+
+
+def _batches(batches: Iterator[pa.RecordBatch], width: int, done: list[Steps], depth: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Each batch with the bins and, the trees in ``done`` added, the margins of its rows."""
+    for batch in batches:
+        if batch.num_rows:
+            bins = batch.column("bins").flatten().to_numpy().reshape(batch.num_rows, width)
+            margin = batch.column("margin").to_numpy().copy()
+            for tree in done:
+                margin += tree.value[tree.nodes(bins, depth)]
+            yield batch, bins, margin
+
+
+def _level_sums(rows: DataFrame, chosen: list[int], width: int, sizes: list[int], done: list[Steps], tree: Steps, level: int, depth: int) -> DataFrame:
+    """(node, feature, bin, g, h): gradients and hessians of the rows at the nodes of ``level``.
+
+    A task adds up its batches in one array while the cells of the level are
+    few, else each batch by the cells that it has.
+    """
+    first, cells = 1 << level, max(sizes) + 1
+    few = len(chosen) * first * cells <= MAX_CELLS
+
+    def made(feature: int, key: np.ndarray, g: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(first + key // cells, pa.int32()), pa.array(np.full(len(key), feature), pa.int32()),
+                                           pa.array(key % cells - 1, pa.int32()), pa.array(g), pa.array(h)], names=["node", "feature", "bin", "g", "h"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((3, len(chosen), first * cells)) if few else None
+        for batch, bins, margin in _batches(batches, width, done, depth):
+            node = tree.nodes(bins, level)
+            here = np.flatnonzero(node >= first)
+            w, y = (batch.column(c).to_numpy()[here] for c in ("w", "y"))
+            with np.errstate(over="ignore"):
+                probability = 1 / (1 + np.exp(-margin[here]))
+            g, h = w * (probability - y), w * probability * (1 - probability)
+            at = (node[here] - first) * cells + 1
+            for j, f in enumerate(chosen):
+                key = at + bins[here, f]
+                if few:
+                    total[0, j] += np.bincount(key, minlength=first * cells)
+                    total[1, j] += np.bincount(key, g, first * cells)
+                    total[2, j] += np.bincount(key, h, first * cells)
+                else:
+                    keys, place = np.unique(key, return_inverse=True)
+                    yield made(f, keys, np.bincount(place, g), np.bincount(place, h))
+        for j, f in enumerate(chosen if few else []):
+            keys = np.flatnonzero(total[0, j])
+            yield made(f, keys, total[1, j, keys], total[2, j, keys])
+
+    parts = rows.select("y", "w", "bins", "margin").mapInArrow(run, "node int, feature int, bin int, g double, h double")
+    return parts.groupBy("node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+
+
+def _with_margins(rows: DataFrame, width: int, done: list[Steps], depth: int) -> DataFrame:
+    """``rows`` with the trees in ``done`` added to their margins."""
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, _, margin in _batches(batches, width, done, depth):
+            yield pa.RecordBatch.from_arrays([pa.array(margin) if c == "margin" else batch.column(c) for c in names], names=names)
 
-def _next(node: Column, level: int, splits: dict[int, tuple]) -> Column:
-    """The node of a row one level down; rows of leaves stay where they are."""
-    first = 1 << level
-    table = [splits.get(first + i, (-1, 0, False)) for i in range(first)]
-    place = node - first
-    feature = _at([s[0] for s in table], place)
-    of = F.element_at("bins", F.greatest(feature, F.lit(0)) + 1)
-    left = F.when(of < 0, _at([s[2] for s in table], place)).otherwise(of <= _at([s[1] for s in table], place))
-    return F.when((node >= first) & (feature >= 0), 2 * node + F.when(left, 0).otherwise(1)).otherwise(node)
+    return rows.mapInArrow(run, rows.schema)
 
 
 def best_splits(sums: DataFrame, gamma: float, least: float, reg: float) -> DataFrame:
@@ -143,50 +230,44 @@ def fit(df: DataFrame, columns: Sequence[str], params: dict | None = None, label
         raise ValueError(f"max_depth {depth}: 1 to {MAX_DEPTH}")
     df = df.where(F.col(label).isNotNull())
     model = Model(list(columns), bin_cuts(df, columns, max_bins))
-    w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    rows = cut_lineage(df.select(F.col(row_id).alias("row_id"), F.col(label).cast("double").alias("y"), w.alias("w"),
-                                 F.array(*[_bin(c, cuts) for c, cuts in zip(columns, model.cuts)]).alias("bins"), F.lit(0.0).alias("margin")))
+    w = F.coalesce(F.col(weight).cast("double"), F.lit(0.0)) if weight else F.lit(1.0)
+    kept = df.select(F.col(row_id).alias("row_id"), F.col(label).cast("double").alias("y"), w.alias("w"), F.lit(0.0).alias("margin"),
+                     *[F.col(c).cast("double").alias(f"__x{i}") for i, c in enumerate(columns)])
+    rows = cut_lineage(_binned(kept, 4, model.cuts))
     rng = random.Random(seed)
+    done: list[Steps] = []  # trees that the rows' margins don't hold yet
     for t in range(int(p["n_estimators"])):
         chosen = sorted(rng.sample(range(len(columns)), max(1, math.ceil(float(p["colsample_bytree"]) * len(columns)))))
-        tree, rows = _grow(rows, chosen, model.cuts, depth, p, seed + t, reg)
+        tree, steps = _grow(rows, chosen, model.cuts, depth, p, seed + t, reg, done)
         model.trees.append(tree)
-        if t % CUT_EVERY == CUT_EVERY - 1:
-            rows = cut_lineage(rows)
+        done.append(steps)
+        if t % CUT_EVERY == CUT_EVERY - 1 and t + 1 < int(p["n_estimators"]):
+            rows, done = cut_lineage(_with_margins(rows, len(columns), done, depth)), []
     return model
 
 
-def _grow(rows: DataFrame, chosen: list[int], cuts: list[list[float]], depth: int, p: dict, seed: int, reg: float) -> tuple[Tree, DataFrame]:
+def _grow(rows: DataFrame, chosen: list[int], cuts: list[list[float]], depth: int, p: dict, seed: int, reg: float, done: list[Steps]) -> tuple[Tree, Steps]:
     size = 1 << (depth + 1)
     tree = Tree(np.full(size, -1), np.full(size, np.nan), np.zeros(size, bool), np.zeros(size), np.zeros(size))
-    rate = float(p["learning_rate"])
-    probability = 1 / (1 + F.exp(-F.col("margin")))
-    seen = rows.withColumns({"g": F.col("w") * (probability - F.col("y")), "h": F.col("w") * probability * (1 - probability), "node": F.lit(1)})
-    if float(p["subsample"]) < 1:
-        seen = seen.where(uniform01("row_id", seed) < float(p["subsample"]))
-    bins = F.array(*[F.struct(F.lit(i).alias("feature"), F.element_at("bins", i + 1).alias("bin")) for i in chosen])
-    steps = []
+    steps = Steps(tree.feature, np.zeros(size, dtype=np.int64), tree.missing_left, tree.value)
+    rate, sizes = float(p["learning_rate"]), [len(c) + 1 for c in cuts]
+    seen = rows.where(uniform01("row_id", seed) < float(p["subsample"])) if float(p["subsample"]) < 1 else rows
     for level in range(depth):
-        sums = seen.where(F.col("node") >= 1 << level).select("node", "g", "h", F.explode(bins).alias("b")) \
-            .groupBy("node", "b.feature", "b.bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
-        splits = {}
+        sums = _level_sums(seen, chosen, len(cuts), sizes, done, steps, level, depth)
+        split = False
         for s in best_splits(sums, float(p["gamma"]), float(p["min_child_weight"]), reg).collect():  # a row per node
             if level == 0:
                 tree.value[1] = -rate * s.g / (s.h + reg)
             if s.gain is None:
                 continue
-            splits[s.node] = (s.feature, s.bin, s.missing_left)
+            split = True
+            steps.bin[s.node] = s.bin
             tree.feature[s.node], tree.missing_left[s.node], tree.gain[s.node] = s.feature, s.missing_left, s.gain
             tree.cut[s.node] = cuts[s.feature][s.bin] if s.bin < len(cuts[s.feature]) else math.inf
             tree.value[2 * s.node], tree.value[2 * s.node + 1] = -rate * s.gl / (s.hl + reg), -rate * s.gr / (s.hr + reg)
-        if not splits:
+        if not split:
             break
-        steps.append((level, splits))
-        seen = seen.withColumn("node", _next(F.col("node"), level, splits))
-    rows = rows.withColumn("node", F.lit(1))
-    for level, splits in steps:
-        rows = rows.withColumn("node", _next(F.col("node"), level, splits))
-    return tree, rows.withColumn("margin", F.col("margin") + _at(tree.value.tolist(), F.col("node"))).drop("node")
+    return tree, steps
 
 
 def _walk(model: Model, x: np.ndarray) -> Iterator[tuple[Tree, np.ndarray, np.ndarray, np.ndarray]]:
@@ -207,15 +288,16 @@ def _walk(model: Model, x: np.ndarray) -> Iterator[tuple[Tree, np.ndarray, np.nd
 
 
 def _scored(df: DataFrame, model: Model, keep: Sequence[str], fields: str, work) -> DataFrame:
-    held = df.sparkSession.sparkContext.broadcast(model)
+    held = df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))  # a broadcast object would be pickled by reference
     n, names = len(keep), [*keep, *[f.split()[0] for f in fields.split(", ")]]
     rows = df.select(*[F.col(c) for c in keep], *[F.col(c).cast("double").alias(f"__x{i}") for i, c in enumerate(model.columns)])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:n])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = pickle.loads(held.value)
         for batch in batches:
-            x = np.stack([batch.column(n + i).to_numpy(zero_copy_only=False).astype(np.float64) for i in range(len(held.value.columns))], axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(n)] + work(held.value, x), names=names)
+            x = np.stack([batch.column(n + i).to_numpy(zero_copy_only=False).astype(np.float64) for i in range(len(model.columns))], axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(n)] + work(model, x), names=names)
 
     return rows.mapInArrow(run, f"{schema}, {fields}")
 

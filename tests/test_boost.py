@@ -83,3 +83,24 @@ def test_rows_without_label_values_or_a_split(spark):
     assert boost.predict(df, none).first().probability == 0.5
     with pytest.raises(ValueError):
         boost.fit(df, ["a"], {"max_depth": 40})
+
+
+@pytest.mark.parametrize("cells", [boost.MAX_CELLS, 0])
+def test_a_level_costs_the_same_whatever_trees_came_before(data, monkeypatch, cells):
+    x, y, w, df = data
+    plans, best = [], boost.best_splits
+
+    def seen(sums, *args):
+        plans.append(sums._jdf.queryExecution().logical().toString())
+        return best(sums, *args)
+
+    monkeypatch.setattr(boost, "best_splits", seen)
+    monkeypatch.setattr(boost, "MAX_CELLS", cells)
+    p = {**boost.DEFAULTS, "n_estimators": 7, "max_depth": 2}
+    model = boost.fit(df, ["a", "b", "c"], p, weight="weight")
+    assert len({p.count("\n") for p in plans}) == 1 and not any("explode" in p for p in plans)
+    margin = np.zeros(300)
+    for _ in range(7):
+        margin += brute_tree(x, y, w, margin, 2, p["learning_rate"], p["gamma"], p["min_child_weight"], p["reg_lambda"])
+    got = {r.row_id: r.margin for r in boost.predict(df, model).collect()}
+    assert np.allclose([got[i] for i in range(300)], margin, atol=1e-9)
