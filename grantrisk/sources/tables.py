@@ -67,8 +67,10 @@ def write_bucketed(df: DataFrame, table: str, key: str, n_buckets: int, path: st
     aggregate on that key without a shuffle (co-located), which is what
     repeated feature-table builds over the same extracts want.  Data files
     live at ``path`` (shared storage); only the table definition is in the
-    session catalog.
+    session catalog.  Rows go to the task of their bucket first: a file per
+    bucket, however many tasks ``df`` has, and no task idle where the files
+    that it is read from have few row groups.
     """
-    df.write.mode("overwrite").bucketBy(n_buckets, key).sortBy(key) \
+    df.repartition(n_buckets, key).write.mode("overwrite").bucketBy(n_buckets, key).sortBy(key) \
         .option("path", path).saveAsTable(table)
     return df.sparkSession.table(table)

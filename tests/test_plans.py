@@ -16,3 +16,12 @@ def test_plan_shape(spark, name):
     plan = df._jdf.queryExecution().executedPlan().toString()
     for bad in ("CartesianProduct", "NestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
         assert bad not in plan, f"{name}: {bad}"
+
+
+def test_a_bucket_is_one_file_however_many_tasks_write(spark, tmp_path):
+    from grantrisk.sources.tables import write_bucketed
+    df = spark.range(400).selectExpr("IF(id % 10 = 0, NULL, CAST(id % 90 AS STRING)) AS k", "id").repartition(6)
+    back = write_bucketed(df, "one_file_a_bucket", "k", 4, str(tmp_path / "t"))
+    assert len(list((tmp_path / "t").glob("part-*.parquet"))) <= 4
+    assert sorted(map(repr, back.collect())) == sorted(map(repr, df.collect()))
+    assert "Exchange" not in back.groupBy("k").count()._jdf.queryExecution().executedPlan().toString()
