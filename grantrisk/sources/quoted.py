@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from grantrisk.session import cut_lineage
+
 # Functions that run in Python workers are pickled by value: executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -67,6 +69,13 @@ def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
                         F.col("_metadata.file_block_start").alias("start"))
 
 
+def lines_are_records(spark: SparkSession, path: str | list[str]) -> bool:
+    """Whether every line of the files is a record to any reader: none holds a quote or a carriage return, none is blank."""
+    line = F.col("line")
+    odd = line.contains('"') | line.contains("\r") | ~line.rlike(r"[^\x00-\x20]")
+    return not _lines(spark, path).agg(F.max(odd).alias("odd")).first()["odd"]
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.StringArray]]:
     """Consecutive lines of one split of a file."""
     for batch in batches:
@@ -175,17 +184,20 @@ def _parts(lines: DataFrame, inside: set[tuple[int, int]], sep: str, fragments:
     return lines.mapInArrow(run, _PARTS)
 
 
-def read_records(spark: SparkSession, path: str | list[str], sep: str = ";") -> DataFrame:
+def read_records(spark: SparkSession, path: str | list[str], sep: str = ";", states: DataFrame | None = None, leads: bool = False) -> DataFrame:
     """(record, lead): every record of the files as text, quoted line breaks included; ``lead`` marks the first of a file.
 
     A file with a quote that is never closed ends in one record, as it does
     for a reader of the whole file (less a line break at the very end).  An
-    empty file has no record.
+    empty file has no record.  ``states``: those of the splits, if at hand (see
+    ``split_states``); ``leads``: only the first record of each file.
     """
-    states = split_states(split_functions(spark, path, sep))
+    if states is None:
+        states = cut_lineage(split_states(split_functions(spark, path, sep)))  # a row per split, read three times
     inside = {(r.file, r.start) for r in states.where("inside").select("file", "start").toLocalIterator()}
     lines = _lines(spark, path)
-    whole = _parts(lines, inside, sep, fragments=False).select("record", "lead")
+    whole = _parts(lines.where("start = 0") if leads else lines, inside, sep, fragments=False).select("record", "lead")
+    whole = whole.where("lead") if leads else whole
     unclosed = states.groupBy("file").agg(F.max_by(F.when(F.col("inside"), F.col("after_in")).otherwise(F.col("after_out")), "start").alias("open"))
     if not inside and not unclosed.where("open").limit(1).collect():
         return whole
@@ -196,7 +208,7 @@ def read_records(spark: SparkSession, path: str | list[str], sep: str = ";") ->
     joined = parts.join(numbered, ["file", "start", "opens"]).groupBy("file", "number").agg(
         F.array_sort(F.collect_list(F.struct("start", "opens", "record"))).alias("p"), F.max("lead").alias("lead"))
     text = F.array_join(F.transform("p", lambda x: x["record"]), "\n")
-    return whole.unionByName(joined.select(text.alias("record"), "lead"))
+    return whole.unionByName((joined.where("lead") if leads else joined).select(text.alias("record"), "lead"))
 
 
 def read_text_table(spark: SparkSession, path: str | list[str], options: dict[str, str]) -> DataFrame:
@@ -210,9 +222,11 @@ def read_text_table(spark: SparkSession, path: str | list[str], options: dict[st
     if {options.get("quote", '"'), options.get("escape", '"')} != {'"'} or options.get("header") != "true":
         raise ValueError("files with a header, quoted and escaped by double quotes")
     columns = spark.read.options(**options, multiLine="true").csv(path).columns  # reads the header of one file only
-    records = read_records(spark, path, options.get("sep", ","))
+    sep = options.get("sep", ",")
+    states = cut_lineage(split_states(split_functions(spark, path, sep)))
+    records = read_records(spark, path, sep, states)
     # as in a reader of whole files, the header tells how lines end
-    crlf = records.where(F.col("lead") & F.col("record").endswith("\r")).limit(1).count() > 0
+    crlf = read_records(spark, path, sep, states, leads=True).where(F.col("record").endswith("\r")).limit(1).count() > 0
     text = F.regexp_replace("record", "\r(\n|$)", "$1") if crlf else F.col("record")
     rows = records.where(~F.col("lead")).select(text.alias("record")).where("record <> ''")
     fields = ", ".join(f"c{i} string" for i in range(len(columns)))

@@ -41,11 +41,14 @@ def read_text_table(spark: SparkSession, path: str, multi_line: bool = True, spl
 
     With ``multi_line``, files of more than ``split_bytes`` (default: the
     session's split size) are read by many tasks, smaller ones by one each.
+    Large files without a quote are read line by line, by Spark alone.
     """
     if multi_line:
         limit = split_bytes if split_bytes is not None else split_size(spark)
         if _largest_file(spark, path) > limit:
-            return quoted.read_text_table(spark, path, CSV_OPTIONS)
+            if not quoted.lines_are_records(spark, path):
+                return quoted.read_text_table(spark, path, CSV_OPTIONS)
+            return spark.read.options(**CSV_OPTIONS, lineSep="\n").option("inferSchema", "false").csv(path)
     return spark.read.options(**CSV_OPTIONS).option("multiLine", str(multi_line).lower()) \
         .option("inferSchema", "false").csv(path)
 

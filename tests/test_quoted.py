@@ -75,3 +75,24 @@ def test_small_files_are_read_whole(spark, tmp_path):
     (tmp_path / "f.csv").write_text('h1;h2\n1;"a\nb"\n')
     assert [tuple(r) for r in text.read_text_table(spark, str(tmp_path)).collect()] == [("1", "a\nb")]
     assert "MapInArrow" in text.read_text_table(spark, str(tmp_path), split_bytes=3)._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("body,plain", [("a;b\n1;2\n;x y\n", True), ("a;b\n1;\"2\"\n", False), ("a;b\r\n1;2\r\n", False), ("a;b\n  \n1;2\n", False)])
+def test_lines_without_quotes_need_no_python(spark, tmp_path, body, plain):
+    path = str(tmp_path / "f.csv")
+    with open(path, "w", newline="") as f:
+        f.write(body)
+    got = text.read_text_table(spark, path, split_bytes=0)
+    assert ("MapInArrow" not in got._jdf.queryExecution().toString()) == plain
+    expected = spark.read.options(**text.CSV_OPTIONS).option("multiLine", "true").csv(path)
+    assert got.columns == expected.columns and rows(got) == rows(expected)
+
+
+def test_quotes_are_looked_for_once(spark, tmp_path, monkeypatch):
+    path, calls, one = str(tmp_path / "f.csv"), [], quoted.split_functions
+    with open(path, "w") as f:
+        f.write('a;b\n"x\ny";2\n')
+    monkeypatch.setattr(quoted, "split_functions", lambda *a: calls.append(cut := one(*a)) or cut)
+    got = quoted.read_text_table(spark, path, text.CSV_OPTIONS)
+    assert [tuple(r) for r in got.collect()] == [("x\ny", "2")] and len(calls) == 1
+    assert got._jdf.queryExecution().logical().toString().count("MapInArrow") == 1  # the records; the splits' states are a table
