@@ -141,3 +141,27 @@ def test_knn_names_the_row_of_an_odd_vector(spark):
         bad = spark.createDataFrame([(7, odd)], "row_id long, embedding array<double>")
         with pytest.raises(Exception, match="7|components"):
             bal.knn(bad, good, 1).collect()
+
+
+def test_a_wide_matrix_says_its_width_but_names_no_component(spark):
+    from grantrisk.operators import learn
+    df = spark.createDataFrame([(i, f"c{i % 300}", float(i), None if i == 2 else 1.0 + i % 2) for i in range(600)], "rid long, c string, x double, z double")
+    model, _ = prep.linear_pipeline(df, ["x", "z"], ["c"], "rid")
+    out = model.transform(df, ["rid"])
+    assert out.columns == ["rid", "features"] and learn.vector_width(out) == 302
+    assert len(out.schema.json()) < 2000  # was a description of every component, parsed by the driver
+    st, rows = model.imputed_stats, {r["rid"]: r["features"] for r in out.collect()}
+    for i in (0, 2, 301):
+        z = st.mean["z"] if i == 2 else 1.0 + i % 2
+        want = {0: (i - st.mean["x"]) / st.std_pop["x"], 1: (z - st.mean["z"]) / st.std_pop["z"], 2 + i % 300: 1.0}
+        got = dict(zip(rows[i].indices.tolist(), rows[i].values.tolist()))
+        assert rows[i].size == 302 and got == pytest.approx({k: v for k, v in want.items() if v})
+
+
+def test_narrow_vectors_are_dense_where_that_is_smaller(spark):
+    from pyspark.ml.linalg import DenseVector
+    df = spark.createDataFrame([(1, "b", 1.0), (2, "a", 2.0), (3, None, 4.0)], "rid long, c string, x double")
+    model, _ = prep.linear_pipeline(df, ["x"], ["c"], "rid")
+    rows = {r["rid"]: r["features"] for r in model.transform(df).collect()}
+    assert all(isinstance(v, DenseVector) for v in rows.values())
+    assert {i: v.toArray()[1:].tolist() for i, v in rows.items()} == {1: [1.0, 0.0, 0.0], 2: [0.0, 1.0, 0.0], 3: [0.0, 0.0, 1.0]}
