@@ -61,3 +61,29 @@ def test_a_search_that_ended_midway_goes_on(spark, tmp_path):
     assert learn.search(spark, make, cands, df.orderBy("features"), k=3, ledger=path, tag="logit").collect() == whole and len(made) == 9
     learn.search(spark, make, cands[:1], df.where("row_id > 0"), k=3, ledger=path, tag="logit")
     assert len(made) == 12  # other data, other fits
+
+
+def test_grid_candidates_that_differ_in_rounds_share_a_fit(spark, monkeypatch):
+    from pyspark.ml.linalg import Vectors
+    df = spark.createDataFrame([(i, int((i * 7) % 5 > 1) ^ int(i % 11 == 0), 1.0 + i % 2, i % 3, Vectors.dense([float((i * 7) % 5), float(i % 13), float(i % 4)]))
+                                for i in range(240)], ["row_id", "label", "weight", "fold", "features"]).coalesce(1).cache()
+    grid, fits = {"learning_rate": [0.1, 0.5], "max_depth": [2], "n_estimators": [2, 5, 3]}, []
+
+    def make(c, tr):
+        fits.append(c["n_estimators"])
+        return learn.gbt(c)
+
+    cands = learn.grid_candidates(grid)
+    alone = learn.search(spark, make, cands, df, k=3).collect()
+    assert len(fits) == 18
+    fits.clear()
+    assert learn.search(spark, make, cands, df, k=3, rounds="n_estimators").collect() == alone
+    assert fits == [5] * 6 and len({r["score"] for r in alone}) > 2
+
+
+def test_the_grid_query_searches_the_whole_grid(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(Q, "_mats", lambda *a, **k: "matrices")
+    monkeypatch.setattr(train, "grid_search", lambda m, grid=None, folds=10, **k: seen.update(m=m, n=len(learn.grid_candidates(grid or learn.GBT_GRID)), folds=folds))
+    Q.q_grid(spark, SF)
+    assert seen == {"m": "matrices", "n": 90, "folds": 10}
