@@ -87,3 +87,16 @@ def test_the_grid_query_searches_the_whole_grid(spark, monkeypatch):
     monkeypatch.setattr(train, "grid_search", lambda m, grid=None, folds=10, **k: seen.update(m=m, n=len(learn.grid_candidates(grid or learn.GBT_GRID)), folds=folds))
     Q.q_grid(spark, SF)
     assert seen == {"m": "matrices", "n": 90, "folds": 10}
+
+
+def test_the_experiment_query_has_every_phase(spark, monkeypatch):
+    import inspect
+    real, seen = inspect.signature(train.experiment), []
+    monkeypatch.setattr(Q, "features", lambda *a, **k: "features")
+    monkeypatch.setattr(train, "experiment", lambda *a, **k: seen.append(real.bind(*a, **k)))
+    Q.q_experiment(spark, SF)
+    seen[0].apply_defaults()
+    a = seen[0].arguments
+    assert a["params"] is None and a["tune_iter"] == 20 and a["tune_folds"] == 10 and len(a["variants"]) == len(a["models"]) == 3
+    assert sorted(a["resample"]) == sorted((m, r) for m in ("smote", "nearmiss", "smote_nearmiss") for r in (0.1, 0.2, 1.0))
+    assert a["resample_variants"] is a["resample_models"] is None
